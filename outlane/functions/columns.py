@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 
 def r6(col) -> Column:
-    """Round to six digits without a negative zero."""
-    rounded = F.round(_c(col), 6)
+    """Round to six digits without a negative zero.
+
+    The nudge keeps exact halves from depending on the order of a sum.
+    """
+    rounded = F.round(_c(col) + 1e-10, 6)
     return F.when(rounded == 0, F.lit(0.0)).otherwise(rounded)
 
 
@@ -201,12 +204,16 @@ QUANTILE_D = (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e+0
 
 
 def normal_cdf(z) -> Column:
-    z = _c(z)
     p, a1, a2, a3, a4, a5 = ERF
-    x = F.abs(z) / F.sqrt(F.lit(2.0))
-    t = 1 / (1 + p * x)
-    tail = ((((a5 * t + a4) * t + a3) * t + a2) * t + a1) * t * F.exp(-x * x)
-    return F.when(z >= 0, 1 - tail / 2).otherwise(tail / 2)
+    z = _c(z)
+
+    def body(v):
+        t, x2 = v["t"], v["z"] * v["z"] / 2
+        tail = ((((a5 * t + a4) * t + a3) * t + a2) * t + a1) * t * F.exp(-x2)
+        return 0.5 + F.signum(v["z"]) * (0.5 - tail / 2)
+
+    # z is named once: the polynomial would repeat a long expression otherwise
+    return let(z, lambda w: let(F.struct(w.alias("z"), (1 / (1 + p * F.abs(w) / F.sqrt(F.lit(2.0)))).alias("t")), body))
 
 
 def normal_quantile_value(p: float) -> float:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 HOT_ROWS_CONF = "outlane.hotGroupRows"
 HOT_ROWS_DEFAULT = 2_000_000
-SMALL_INPUT_BYTES = 256 * 1024 * 1024
+SMALL_INPUT_BYTES = 64 * 1024 * 1024
 SPLITS = 256
 POINTS_PER_SPLIT = 32
 
@@ -28,17 +28,18 @@ def hot_rows(df: DataFrame) -> int:
 def has_hot_group(df: DataFrame, keys: list[str]) -> bool:
     """True when some group is larger than one task should hold.
 
-    An input whose estimated size is small cannot contain one, so no job runs.
+    A plan that scans little cannot contain one, so no job runs.
     """
     limit = hot_rows(df)
-    if limit >= HOT_ROWS_DEFAULT and _estimated_bytes(df) <= SMALL_INPUT_BYTES:
+    if limit >= HOT_ROWS_DEFAULT and _scanned_bytes(df) <= SMALL_INPUT_BYTES:
         return False
     return not df.groupBy(*keys).count().filter(F.col("count") > limit).isEmpty()
 
 
-def _estimated_bytes(df: DataFrame) -> int:
-    stats = df._jdf.queryExecution().optimizedPlan().stats()
-    return int(str(stats.sizeInBytes()))
+def _scanned_bytes(df: DataFrame) -> int:
+    """Estimated size of everything the plan scans."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 
 
 def _splits(df: DataFrame, keys: list[str]) -> DataFrame:

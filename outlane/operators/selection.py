@@ -23,3 +23,418 @@ def cap_count(rows: DataFrame, keys: list[str], count: Column) -> DataFrame:
     """The best ``count`` rows of a selection; the count is a column."""
     placed = with_position(rows, keys, [("score", "desc"), ("idx", "asc")], "_rn")
     return placed.filter(F.col("_rn") <= count).drop("_rn")
+
+
+def cap_rate(rows: DataFrame, sizes: DataFrame, rate: float, keys: list[str] = ["dataset"]) -> DataFrame:
+    """Cap at ceil(n x rate) of the TEST size, at least one."""
+    limit = F.greatest(F.lit(1), F.ceil(F.col("n") * rate))
+    return cap_count(rows.join(sizes, "dataset"), keys, limit).drop("n")
+
+
+def cap_rate_max(rows: DataFrame, sizes: DataFrame, rate: float, most: int, keys: list[str] = ["dataset"]) -> DataFrame:
+    limit = F.least(F.lit(most), F.greatest(F.lit(1), F.ceil(F.col("n") * rate)))
+    return cap_count(rows.join(sizes, "dataset"), keys, limit).drop("n")
+
+
+def test_sizes(test: DataFrame) -> DataFrame:
+    return test.groupBy("dataset").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---- order-based rules ------------------------------------------------------
+
+def top_k(test: DataFrame, k: Column | int, later_first: bool = True) -> DataFrame:
+    """The k best rows; ties go to the later index, or to the earlier one."""
+    k = k if isinstance(k, Column) else F.lit(k)
+    order = [("score", "desc"), ("idx", "desc" if later_first else "asc")]
+    return with_position(test, ["dataset"], order, "rank").filter(F.col("rank") <= k)
+
+
+def strategy_k(strategy: str, n: Column) -> Column:
+    """Selection size of a named strategy, at least 1 and at most n."""
+    if strategy == "top_1":
+        k = F.lit(1)
+    elif strategy == "sqrt_n_tail":
+        k = F.ceil(F.sqrt(n))
+    elif strategy.startswith("prior_q_"):
+        parts = strategy.split("_")
+        k = F.ceil(n * int(parts[2]) / 100)
+        if parts[3:5] == ["min", "k"]:
+            k = F.greatest(k, F.lit(int(parts[5])))
+    else:
+        raise ValueError(f"unknown strategy {strategy}")
+    return F.greatest(F.lit(1), F.least(n, k))
+
+
+def by_strategies(test: DataFrame, strategies: list[str]) -> DataFrame:
+    """Top-k selections of several strategies from one ordering."""
+    placed = with_position(test, ["dataset"], [("score", "desc"), ("idx", "desc")], "rank").join(test_sizes(test), "dataset")
+    fired = F.array(*[F.when(F.col("rank") <= strategy_k(s, F.col("n")), F.lit(s)) for s in strategies])
+    return placed.withColumn("strategy", F.explode(F.array_compact(fired))).select("strategy", "dataset", "idx", "score")
+
+
+def tail_gap(test: DataFrame, min_k: int = 1, fraction: float = 0.1) -> DataFrame:
+    """Cut at the largest gap among the upper scores.
+
+    Only the upper 10 % can be cut, so the gap is taken between neighbours in
+    rank order found by an equi join, and the first largest gap wins.
+    """
+    placed = with_position(test, ["dataset"], [("score", "desc"), ("idx", "desc")], "rank").join(test_sizes(test), "dataset")
+    most = F.greatest(F.lit(max(min_k, 3)), F.ceil(F.col("n") * fraction))
+    upper = placed.filter(F.col("rank") <= F.least(F.col("n"), most + 1))
+    below = upper.select("dataset", (F.col("rank") - 1).alias("rank"), F.col("score").alias("next"))
+    gaps = upper.join(below, ["dataset", "rank"]).filter((F.col("rank") >= min_k) & (F.col("rank") <= F.col("n") - 1))
+    # the lowest cut of the equally wide ones comes first in ascending order
+    cut = gaps.groupBy("dataset").agg(F.max_by("rank", F.struct(F.col("score") - F.col("next"), "rank")).alias("k"))
+    limit = F.when(F.col("n") <= 2, 1).otherwise(F.coalesce("k", F.lit(min_k)))
+    return placed.join(cut, "dataset", "left").filter(F.col("rank") <= limit).drop("k", "n")
+
+
+def score_margin(test: DataFrame, k: int) -> DataFrame:
+    """score[k] - score[k+1]; null when there is no next row."""
+    best = top_k(test, k + 1, later_first=False)
+    at = lambda r: F.max(F.when(F.col("rank") == r, F.col("score")))
+    return best.groupBy("dataset").agg((at(k) - at(k + 1)).alias("margin"))
+
+
+# ---- budgets ----------------------------------------------------------------
+
+def length_budget(n: Column, rate: float, low: int, high: int) -> Column:
+    return F.greatest(F.lit(low), F.least(F.lit(high), F.ceil(n * rate)))
+
+
+def train_budget(exceed: DataFrame, sizes: DataFrame, multiplier=1.5, low=0.005, high=0.03, most: int | None = None) -> DataFrame:
+    """Budget from the mean TRAIN exceed rate of the sources, clipped."""
+    rate = F.least(F.lit(high), F.greatest(F.lit(low), F.avg("exceed_rate") * multiplier))
+    out = exceed.groupBy("dataset").agg(rate.alias("rate")).join(sizes, "dataset")
+    count = F.greatest(F.lit(1), F.ceil(F.col("n") * F.col("rate")))
+    return out.withColumn("budget", count if most is None else F.greatest(F.lit(1), F.least(count, F.lit(most))))
+
+
+def family_budget(count: Column, family: Column, high: list[str], moderate: list[str]) -> Column:
+    """Smaller budgets for families known for many false alerts (diagnostic)."""
+    return (F.when(family.isin(high), F.greatest(F.lit(2), F.ceil(count * 0.55)))
+            .when(family.isin(moderate), F.greatest(F.lit(2), F.ceil(count * 0.70))).otherwise(F.greatest(F.lit(1), count)))
+
+
+def fixed_budgets(rows: DataFrame, ks: list[int]) -> DataFrame:
+    """Top K for each K of a grid from one ordering; K = 0 selects nothing."""
+    placed = with_position(rows, ["dataset"], [("score", "desc"), ("idx", "asc")], "_rn")
+    fits = F.array(*[F.when(F.col("_rn") <= k, F.lit(k)) for k in ks if k > 0])
+    return placed.withColumn("k", F.explode(F.array_compact(fits))).drop("_rn")
+
+
+# ---- agreement --------------------------------------------------------------
+
+def support(selections: DataFrame) -> DataFrame:
+    """(dataset, idx, support): how many sources selected a row."""
+    return selections.select("dataset", "idx", "source").distinct().groupBy("dataset", "idx").agg(
+        F.count(F.lit(1)).alias("support"))
+
+
+def at_least(selections: DataFrame, k: int, sources: list[str] | None = None) -> DataFrame:
+    rows = selections if sources is None else selections.filter(F.col("source").isin(sources))
+    return support(rows).filter(F.col("support") >= k).select("dataset", "idx")
+
+
+def p_agreement(pvalues: DataFrame, alpha: float, required: int = 2) -> DataFrame:
+    got = pvalues.groupBy("dataset", "idx").agg(F.count_if(F.col("p") <= alpha).alias("support"))
+    return got.withColumn("selected", (F.col("support") >= required).cast("int"))
+
+
+def threshold_candidates(selections: DataFrame) -> DataFrame:
+    """Two of three base sources, or two of four with the extra source."""
+    base = F.count_if(F.col("source").isin(list(BASE)))
+    got = selections.select("dataset", "idx", "source").distinct().groupBy("dataset", "idx").agg(
+        base.alias("b"), F.count(F.lit(1)).alias("all"))
+    return got.filter("b >= 2 or all >= 2").select("dataset", "idx")
+
+
+def intersect(a: DataFrame, b: DataFrame) -> DataFrame:
+    return a.join(b.select("dataset", "idx").distinct(), ["dataset", "idx"], "left_semi")
+
+
+def minus(a: DataFrame, b: DataFrame) -> DataFrame:
+    return a.join(b.select("dataset", "idx").distinct(), ["dataset", "idx"], "left_anti")
+
+
+def union(*parts: DataFrame) -> DataFrame:
+    out = parts[0].select("dataset", "idx")
+    for part in parts[1:]:
+        out = out.unionByName(part.select("dataset", "idx"))
+    return out.distinct()
+
+
+# ---- rank fusion ------------------------------------------------------------
+
+WEIGHTS = {"rocket": 0.50, "image_a": 0.25, "image_b": 0.25}
+
+
+def source_ranks(scores: DataFrame) -> DataFrame:
+    return with_position(scores, ["dataset", "source"], [("score", "desc"), ("idx", "asc")], "rank")
+
+
+def fused_order(scores: DataFrame, weights: dict[str, float] = WEIGHTS) -> DataFrame:
+    """Weighted rank sum per row and its position, smallest first."""
+    w = F.lit(0.0)
+    for name, value in weights.items():
+        w = F.when(F.col("source") == name, F.lit(value)).otherwise(w)
+    ranks = source_ranks(scores.filter(F.col("source").isin(list(weights))))
+    sums = ranks.groupBy("dataset", "idx").agg(F.round(F.sum(w * F.col("rank")), 6).alias("fused"))
+    return with_position(sums, ["dataset"], [("fused", "asc"), ("idx", "asc")], "place")
+
+
+def fused_margin(order: DataFrame, count: Column, least: float = 1.0) -> DataFrame:
+    """The fused top set; its last row is dropped when the margin is thin.
+
+    ``order`` carries a ``count`` source column; at least one row stays.
+    """
+    sized = order.withColumn("_c", count)
+    ends = sized.filter((F.col("place") == F.col("_c")) | (F.col("place") == F.col("_c") + 1)).groupBy("dataset").agg(
+        F.max(F.when(F.col("place") == F.col("_c"), F.col("fused"))).alias("a"),
+        F.max(F.when(F.col("place") == F.col("_c") + 1, F.col("fused"))).alias("b"))
+    thin = F.coalesce(F.col("b") - F.col("a") < least, F.lit(False)) & (F.col("_c") > 1)
+    return sized.join(ends, "dataset", "left").filter(
+        F.col("place") <= F.col("_c") - F.when(thin, 1).otherwise(0)).drop("a", "b", "_c")
+
+
+def fused_guarded(scores: DataFrame, count: int, guard: str, guard_count: int) -> DataFrame:
+    """Fused top set kept only where single sources also rank the row high."""
+    fused = fused_order(scores).filter(F.col("place") <= count).select("dataset", "idx")
+    if guard == "none":
+        return fused
+    tops = source_ranks(scores.filter(F.col("source").isin(list(BASE)))).filter(F.col("rank") <= max(count, guard_count))
+    rocket, two = tops.filter("source = 'rocket'"), at_least(tops, 2)
+    allowed = {"rocket_top": rocket, "two_model_top": two}.get(guard)
+    if allowed is None:
+        allowed = union(rocket, two)
+    return intersect(fused, allowed)
+
+
+# ---- fallback tiers ---------------------------------------------------------
+
+def first_tier(tagged: DataFrame, keys: list[str]) -> DataFrame:
+    """``a or b or c``: keep the rows of the lowest non-empty tier per group.
+
+    The lowest tier is one grouped minimum joined back; no window over rows.
+    """
+    low = tagged.groupBy(*keys).agg(F.min("tier").alias("tier"))
+    return tagged.join(low, keys + ["tier"], "left_semi")
+
+
+def tier(rows: DataFrame, strategy: str, number: int) -> DataFrame:
+    return rows.select(F.lit(strategy).alias("strategy"), F.lit(number).alias("tier"), "dataset", "idx")
+
+
+def agreement_sets(scores: DataFrame, thresholds: DataFrame) -> dict[str, DataFrame]:
+    """The sets the strategy rules are made of, with the first source's score."""
+    fired = scores.join(thresholds, ["dataset", "source"]).filter(F.col("score") > F.col("threshold"))
+    base = fired.filter(F.col("source").isin(list(BASE)))
+    names = F.collect_set("source")
+    wide = base.groupBy("dataset", "idx").agg(names.alias("names"))
+    rocket = scores.filter("source = 'rocket'").select("dataset", "idx", "score")
+    rows = wide.join(rocket, ["dataset", "idx"])
+    has = lambda s: F.array_contains("names", s)
+    image = scores.filter("source = 'image_b'").select("dataset", "idx", F.col("score").alias("image_score"))
+    rows = rows.join(image, ["dataset", "idx"])
+    return {
+        "fired": base, "two": rows.filter(F.size("names") >= 2), "three": rows.filter(F.size("names") >= 3),
+        "rocket": rows.filter(has("rocket")),
+        "pair": rows.filter(has("image_a") & has("image_b")).withColumn("score", F.col("image_score"))}
+
+
+def strategy_sets(scores: DataFrame, thresholds: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(strategy, dataset, idx) of the agreement strategies.
+
+    Each strategy is a list of tiers; a later tier counts only when the earlier
+    ones are empty for the dataset.
+    """
+    s = agreement_sets(scores, thresholds)
+    cap = lambda name, rate: cap_rate(s[name], sizes, rate)
+    most = lambda name, k: cap_count(s[name], ["dataset"], F.lit(k))
+    both = lambda name, rate, k: cap_rate_max(s[name], sizes, rate, k)
+    chains = {
+        "index_2of3": [s["two"]],
+        "cap_1pct_2of3": [cap("two", 0.01)], "cap_3pct_2of3": [cap("two", 0.03)],
+        "cap_max3_2of3": [most("two", 3)], "cap_min2pct_max5_2of3": [both("two", 0.02, 5)],
+        "fallback_pair_then_rocket": [cap("two", 0.02), cap("pair", 0.02), cap("rocket", 0.01)],
+        "confidence_high_then_medium": [cap("three", 0.02), cap("two", 0.02)],
+        "conservative_hardness": [cap("three", 0.02), cap("two", 0.02), cap("pair", 0.01)],
+        "final_balanced": [cap("two", 0.03), cap("pair", 0.01), cap("rocket", 0.01)],
+        "final_low_fp": [most("three", 3), most("two", 3)],
+        "final_operational": [both("two", 0.02, 5), most("pair", 1), most("rocket", 1)]}
+    out = None
+    for name, tiers in chains.items():
+        for i, rows in enumerate(tiers):
+            part = tier(rows, name, i)
+            out = part if out is None else out.unionByName(part)
+    return first_tier(out, ["strategy", "dataset"]).select("strategy", "dataset", "idx")
+
+
+# ---- source choosers (one row per dataset and source) -----------------------
+
+def source_summary(scores: DataFrame, thresholds: DataFrame, exceed: DataFrame) -> DataFrame:
+    """predicted count, TEST size, alert rate and TRAIN exceed per source."""
+    keys = ["dataset", "source"]
+    got = scores.join(thresholds, keys).groupBy(*keys).agg(
+        F.count_if(F.col("score") > F.col("threshold")).alias("predicted"), F.count(F.lit(1)).alias("n"))
+    return got.join(exceed.select(*keys, "exceed_rate"), keys).withColumn("alert_rate", F.col("predicted") / F.col("n"))
+
+
+def passes_guard(rate: float = 0.02, train_rate: float = 0.025) -> Column:
+    budget = F.greatest(F.lit(1), F.ceil(F.col("n") * rate))
+    return (F.col("predicted") > 0) & (F.col("predicted") <= budget) & (F.col("exceed_rate") <= train_rate)
+
+
+def choose_confident(summary: DataFrame) -> DataFrame:
+    """First source when guarded, else the calmest guarded image source, else
+    the first source when it fires rarely, else none."""
+    is_first = F.col("source") == "rocket"
+    priority = (F.when(is_first & passes_guard(0.03, 0.035), 0)
+                .when(F.col("source").startswith("image") & passes_guard(), 1)
+                .when(is_first & (F.col("predicted") > 0) & (F.col("alert_rate") <= 0.05), 2))
+    reason = (F.when(F.col("p") == 0, "first_guard").when(F.col("p") == 1, "image_guard").when(F.col("p") == 2, "first_nonzero"))
+    ranked = summary.withColumn("p", priority).filter("p is not null")
+    key = F.struct("p", F.when(F.col("p") == 1, F.col("exceed_rate")).otherwise(0.0), "predicted", "source")
+    best = ranked.groupBy("dataset").agg(F.min_by(F.struct("source", reason.alias("reason")), key).alias("b"))
+    return _or_none(summary, best.select("dataset", "b.*"))
+
+
+def _or_none(summary: DataFrame, chosen: DataFrame, reason: str = "no_candidate") -> DataFrame:
+    """Every dataset gets a row; without a choice it is the none row."""
+    names = summary.select("dataset").distinct()
+    return names.join(chosen, "dataset", "left").select(
+        "dataset", F.coalesce("source", F.lit("none")).alias("source"), F.coalesce("reason", F.lit(reason)).alias("reason"))
+
+
+def choose_agreement_count(summary: DataFrame) -> DataFrame:
+    """Decide by which sources fired at all, without looking at indices."""
+    n = summary.groupBy("dataset").pivot("source", list(BASE)).agg(F.sum("predicted")).fillna(0)
+    r, a, b = (F.col(c) for c in BASE)
+    source = (F.when((r > 0) & ((a > 0) | (b > 0)), "rocket").when((r == 0) & (a > 0) & (b > 0), F.when(a <= b, "image_a").otherwise("image_b"))
+              .when(r > 0, "rocket").otherwise("none"))
+    reason = (F.when((r > 0) & ((a > 0) | (b > 0)), "first_agrees_with_image").when((r == 0) & (a > 0) & (b > 0), "image_pair")
+              .when(r > 0, "first_only").otherwise("no_count_agreement"))
+    return n.select("dataset", source.alias("source"), reason.alias("reason"))
+
+
+def choose_fp_guarded(summary: DataFrame) -> DataFrame:
+    """Best guarded source by budget fill minus exceed and alert rate."""
+    budget = F.greatest(F.lit(1), F.ceil(F.col("n") * 0.02))
+    score = (F.least(F.col("predicted"), budget) / (budget + 1.0) - 5.0 * F.col("exceed_rate") - F.col("alert_rate")
+             + F.when(F.col("source") == "rocket", 0.10).otherwise(0.0))
+    guarded = summary.filter(passes_guard()).withColumn("s", F.round(score, 9))
+    best = guarded.groupBy("dataset").agg(F.max_by("source", F.struct("s", -F.col("predicted"), "source")).alias("source"))
+    return _or_none(summary, best.withColumn("reason", F.lit("fp_guard_score")), "fp_guard_rejected_all")
+
+
+def family_prior(detail: DataFrame, default: str = "rocket", fp_penalty: float = 0.03) -> DataFrame:
+    """Best source on the sibling datasets of the family (diagnostic).
+
+    Leave-one-out means come from family sums minus the own value.
+    """
+    value = F.col("f1") - fp_penalty * F.col("fp")
+    sums = detail.groupBy("family", "source").agg(F.sum(value).alias("s"), F.count(F.lit(1)).alias("c"))
+    own = detail.join(sums, ["family", "source"]).withColumn(
+        "m", F.when(F.col("c") > 1, F.round((F.col("s") - value) / (F.col("c") - 1), 9)))
+    best = own.filter("m is not null").groupBy("dataset").agg(
+        F.max_by("source", F.struct("m", (F.col("source") == default).cast("int"), "source")).alias("best"))
+    return detail.select("dataset").distinct().join(best, "dataset", "left").select(
+        "dataset", F.coalesce("best", F.lit(default)).alias("source"))
+
+
+def best_of(detail: DataFrame) -> DataFrame:
+    """Upper bound: the source with the best F1, then fewest fp (diagnostic)."""
+    return detail.groupBy("dataset").agg(F.max_by("source", F.struct("f1", -F.col("fp"), "source")).alias("source"))
+
+
+def switch_source(base: DataFrame, specialist: DataFrame, sizes: DataFrame, max_exceed: float, rate: float) -> DataFrame:
+    """Take the specialist where it is TRAIN-safe and within its cap."""
+    cap = F.greatest(F.lit(1), F.ceil(F.col("n") * rate))
+    other = specialist.select("dataset", F.col("predicted").alias("sp"), F.col("exceed_rate").alias("se"))
+    joined = base.join(other, "dataset", "left").join(sizes, "dataset")
+    safe = (F.col("sp") > 0) & (F.col("se") <= max_exceed) & (F.col("sp") <= cap)
+    return joined.withColumn("source", F.when(F.coalesce(safe, F.lit(False)), "multi").otherwise(F.col("source"))).select("dataset", "source")
+
+
+def overlap_switch(base: DataFrame, special: DataFrame, special_exceed: DataFrame, names: DataFrame, max_exceed: float) -> DataFrame:
+    """Switch when TRAIN-safe and (overlap with the base, or the base silent)."""
+    b = base.groupBy("dataset").agg(F.count(F.lit(1)).alias("base_n"))
+    o = intersect(base, special).groupBy("dataset").agg(F.count(F.lit(1)).alias("overlap"))
+    got = names.join(b, "dataset", "left").join(o, "dataset", "left").join(special_exceed, "dataset", "left").fillna(0, ["base_n", "overlap"])
+    use = (F.coalesce("exceed_rate", F.lit(1.0)) <= max_exceed) & ((F.col("overlap") > 0) | (F.col("base_n") == 0))
+    return got.select("dataset", "base_n", "overlap", F.when(use, "specialist").otherwise("base").alias("source"))
+
+
+def confident_top1(test: DataFrame, thresholds: DataFrame, margin: float, gap: float) -> DataFrame:
+    """The top row where it clears the threshold and the second row."""
+    best = top_k(test, 2, later_first=False)
+    one, two = (F.max(F.when(F.col("rank") == r, F.col("score"))) for r in (1, 2))
+    top = best.groupBy("dataset").agg(one.alias("a"), two.alias("b"), F.max(F.when(F.col("rank") == 1, F.col("idx"))).alias("idx"))
+    ok = (F.col("a") - F.col("threshold") >= margin) & (F.coalesce(F.col("a") - F.col("b"), F.lit(float("inf"))) >= gap)
+    return top.join(thresholds, "dataset").filter(ok).select("dataset", "idx")
+
+
+def intersection_or_fallback(first: DataFrame, second: DataFrame, fallback: DataFrame) -> DataFrame:
+    """Rows in both sets; where none are, the fallback rows."""
+    parts = tier(intersect(first, second), "x", 0).unionByName(tier(fallback, "x", 1))
+    return first_tier(parts, ["dataset"]).select("dataset", "idx")
+
+
+def repair_silent(selected: DataFrame, candidates: DataFrame, names: DataFrame) -> DataFrame:
+    """Add a candidate only to datasets where nothing fired.
+
+    ``candidates``: (dataset, idx, priority); the lowest priority wins.
+    """
+    silent = names.join(selected.select("dataset").distinct(), "dataset", "left_anti")
+    pick = candidates.join(silent, "dataset", "left_semi").groupBy("dataset").agg(
+        F.min_by("idx", F.struct("priority", "idx")).alias("idx"))
+    return selected.select("dataset", "idx").unionByName(pick)
+
+
+def tail_position(test: DataFrame, rate: float, low: int, high: int) -> DataFrame:
+    """The last rows by position: a leakage diagnostic, never a selector."""
+    n = test_sizes(test)
+    width = F.least(F.lit(high), F.greatest(F.lit(low), F.ceil(F.col("n") * rate)))
+    return test.join(n, "dataset").filter(F.col("idx") >= F.col("n") - width).select("dataset", "idx")
+
+
+def failure_modes(detail: DataFrame, least: int = 3) -> DataFrame:
+    """Families that often alert only falsely or not at all (diagnostic)."""
+    mode = F.when(F.col("tp") + F.col("fp") == 0, "no_prediction").when(F.col("tp") == 0, "all_fp")
+    return detail.withColumn("mode", mode).filter("mode is not null").groupBy("family", "mode").agg(
+        F.count(F.lit(1)).alias("datasets")).filter(F.col("datasets") >= least)
+
+
+def ordered_union(first: DataFrame, second: DataFrame, cap: int) -> DataFrame:
+    """First list in its order, then new rows of the second, up to a cap.
+
+    Both carry ``place``; the cap is the length of the published list.
+    """
+    both = first.select("dataset", "idx", F.struct(F.lit(0).alias("l"), "place").alias("o")).unionByName(
+        second.select("dataset", "idx", F.struct(F.lit(1).alias("l"), "place").alias("o")))
+    merged = both.groupBy("dataset", "idx").agg(F.min("o").alias("o")).select("dataset", "idx", F.col("o.l").alias("list"), F.col("o.place").alias("at"))
+    return with_position(merged, ["dataset"], [("list", "asc"), ("at", "asc"), ("idx", "asc")], "place").filter(F.col("place") <= cap)
+
+
+def disagreement(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Rows in both, only in the first, only in the second."""
+    left = a.select("dataset", "idx").distinct().withColumn("l", F.lit(1))
+    right = b.select("dataset", "idx").distinct().withColumn("r", F.lit(1))
+    side = F.when(F.col("l").isNotNull() & F.col("r").isNotNull(), "common").when(F.col("l").isNotNull(), "first").otherwise("second")
+    return left.join(right, ["dataset", "idx"], "full_outer").select("dataset", "idx", side.alias("side"))
+
+
+def large_data_strategies(scores: DataFrame, fired: DataFrame, sizes: DataFrame, large: int) -> DataFrame:
+    """Union, switch and guard variants for datasets with many TEST rows.
+
+    Small datasets pass through with the two-source agreement set.
+    """
+    big = sizes.filter(F.col("n") >= large).select("dataset")
+    two = at_least(fired, 2, list(BASE))
+    small_two = two.join(big, "dataset", "left_anti")
+    fused = fused_order(scores).join(big, "dataset", "left_semi")
+    top = fused.filter("place <= 2")
+    guarded = intersect(fused.filter("place <= 4"), fired.filter("source = 'rocket'"))
+    named = lambda name, rows: rows.select(F.lit(name).alias("strategy"), "dataset", "idx")
+    return (named("union_fused", union(two, top)).unionByName(named("switch_fused", small_two)).unionByName(named("switch_fused", top))
+            .unionByName(named("guard_fused", guarded)).unionByName(named("guard_fused", small_two)))

@@ -215,34 +215,32 @@ def lognormal(train: DataFrame, keys: list[str], q: float = 0.02) -> DataFrame:
 
 
 KDE_GRID = 1000
-KDE_STEP = 32
+KDE_STRIDES = (100, 10, 1)
 
 
 def kde(train: DataFrame, keys: list[str], q: float = 0.02) -> DataFrame:
     """First point of a 1000-point grid on [min, 2 max] with KDE mass >= 1 - q.
 
-    The mass is monotone, so 32 coarse points find the bracket and 32 fine
-    points the crossing: two aggregations instead of a grid-by-score product.
+    The mass is monotone, so three rounds of eleven points (strides 100, 10, 1)
+    find the crossing: three aggregations instead of a grid-by-score product.
     """
     fit = train.groupBy(*keys).agg(F.min("score").alias("lo"), F.max("score").alias("hi"),
                                    (F.stddev_samp("score") * F.pow(F.count(F.lit(1)), F.lit(-0.2))).alias("h"))
-    rows = train.select(*keys, "score").join(fit, keys)
     grid = lambda i: F.col("lo") + (2 * F.col("hi") - F.col("lo")) * i / (KDE_GRID - 1)
-    mass = lambda i: F.avg(normal_cdf((grid(i) - F.col("score")) / F.col("h")) - normal_cdf((F.col("lo") - F.col("score")) / F.col("h")))
-
-    def first_at(df: DataFrame, points: list[Column], extra: list[str]) -> DataFrame:
-        got = df.groupBy(*keys, *extra).agg(*[mass(p).alias(f"m{j}") for j, p in enumerate(points)])
-        found = F.array(*[F.when(F.col(f"m{j}") >= 1 - q, F.lit(j)) for j in range(len(points))])
-        return got.select(*keys, *extra, F.array_min(F.array_compact(found)).alias("j"))
-
-    coarse = [F.lit(min(j * KDE_STEP, KDE_GRID - 1)) for j in range(KDE_GRID // KDE_STEP + 2)]
-    bracket = first_at(rows, coarse, []).select(*keys, F.greatest(F.lit(0), F.col("j") - 1).alias("b"), F.col("j").alias("c"))
-    start = F.col("b") * KDE_STEP
-    fine = [F.least(start + j, F.lit(KDE_GRID - 1)) for j in range(KDE_STEP + 1)]
-    crossing = first_at(rows.join(bracket, keys), fine, ["b", "c"])
-    at = F.least(F.col("b") * KDE_STEP + F.col("j"), F.lit(KDE_GRID - 1))
-    out = crossing.join(fit, keys).join(empirical(train, keys, q).withColumnRenamed("threshold", "fallback"), keys)
-    return out.select(*keys, _finite_or(F.when(F.col("c").isNotNull(), grid(at)), F.col("fallback")).alias("threshold"))
+    below = lambda x: F.avg(normal_cdf((x - F.col("score")) / F.col("h")))
+    rows = train.select(*keys, "score").join(fit, keys)
+    floor = rows.groupBy(*keys).agg(below(F.col("lo")).alias("floor"))
+    bracket = fit.select(*keys, F.lit(0).alias("start"))
+    for stride in KDE_STRIDES:
+        at = [F.least(F.col("start") + j * stride, F.lit(KDE_GRID - 1)) for j in range(11)]
+        mass = rows.join(bracket, keys).groupBy(*keys, "start").agg(*[below(grid(p)).alias(f"m{j}") for j, p in enumerate(at)])
+        hit = F.array_min(F.array_compact(F.array(*[
+            F.when(F.col(f"m{j}") - F.col("floor") >= 1 - q, F.lit(j)) for j in range(11)])))
+        step = F.when(F.lit(stride == 1), hit).otherwise(F.greatest(hit - 1, F.lit(0)))
+        bracket = mass.join(floor, keys).select(*keys, F.when(step.isNotNull(), F.least(F.col("start") + step * stride, F.lit(KDE_GRID - 1))).alias("start"))
+    fallback = empirical(train, keys, q).withColumnRenamed("threshold", "fallback")
+    out = bracket.join(fit, keys).join(fallback, keys)
+    return out.select(*keys, _finite_or(grid(F.col("start")), F.col("fallback")).alias("threshold"))
 
 
 def ks_statistic(train: DataFrame, keys: list[str]) -> DataFrame:

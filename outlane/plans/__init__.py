@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("fragments", "ingest", "scoring", "thresholds")
+MODULES = ("fragments", "ingest", "scoring", "thresholds", "fusion", "selection")
 
 
 def load_all() -> None:

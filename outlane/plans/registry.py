@@ -51,4 +51,5 @@ def query(name: str, needs: str = "", sql: str | None = None):
 
 
 def r6(expr: str) -> str:
-    return f"(CASE WHEN round({expr}, 6) = 0 THEN 0.0 ELSE round({expr}, 6) END)"
+    rounded = f"round(CAST({expr} AS DOUBLE) + 1e-10, 6)"
+    return f"(CASE WHEN {rounded} = 0 THEN 0.0 ELSE {rounded} END)"

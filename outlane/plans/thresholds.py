@@ -52,8 +52,8 @@ def _sweep_sql():
         if kind == "quantile":
             parts.append(f"SELECT dataset, '{name}' AS rule, quantile_cont(score, {1 - v}) AS threshold FROM train GROUP BY 1")
         else:
-            rate = f"{v}" if kind == "rate" else None
-            inner = cap_sql("train", rate) if rate else cap_sql("train", f"{v}.0 / count(*) OVER (PARTITION BY dataset)")
+            n = "count(*) OVER (PARTITION BY dataset)"
+            inner = cap_sql("train", v) if kind == "rate" else cap_sql("train", "1").replace(f"CAST(floor(1 * {n}) AS BIGINT)", str(v))
             parts.append(f"SELECT dataset, '{name}', threshold FROM ({inner})")
     return f"SELECT dataset, rule, {r6('threshold')} AS threshold FROM ({' UNION ALL '.join(parts)})"
 
@@ -171,7 +171,7 @@ def cdf_sql(z: str) -> str:
     x = f"(abs({z}) / sqrt(2.0))"
     u = f"(1 / (1 + {p} * {x}))"
     tail = f"((((({a5} * {u} + {a4}) * {u} + {a3}) * {u} + {a2}) * {u} + {a1}) * {u} * exp(-{x} * {x}))"
-    return f"(CASE WHEN {z} >= 0 THEN 1 - {tail} / 2 ELSE {tail} / 2 END)"
+    return f"(0.5 + sign({z}) * (0.5 - {tail} / 2))"
 
 
 fragment("kde", "train", f"""
