@@ -225,49 +225,52 @@ def tier(rows: DataFrame, strategy: str, number: int) -> DataFrame:
     return rows.select(F.lit(strategy).alias("strategy"), F.lit(number).alias("tier"), "dataset", "idx")
 
 
-def agreement_sets(scores: DataFrame, thresholds: DataFrame) -> dict[str, DataFrame]:
-    """The sets the strategy rules are made of, with the first source's score."""
-    fired = scores.join(thresholds, ["dataset", "source"]).filter(F.col("score") > F.col("threshold"))
-    base = fired.filter(F.col("source").isin(list(BASE)))
-    names = F.collect_set("source")
-    wide = base.groupBy("dataset", "idx").agg(names.alias("names"))
-    rocket = scores.filter("source = 'rocket'").select("dataset", "idx", "score")
-    rows = wide.join(rocket, ["dataset", "idx"])
-    has = lambda s: F.array_contains("names", s)
-    image = scores.filter("source = 'image_b'").select("dataset", "idx", F.col("score").alias("image_score"))
-    rows = rows.join(image, ["dataset", "idx"])
-    return {
-        "fired": base, "two": rows.filter(F.size("names") >= 2), "three": rows.filter(F.size("names") >= 3),
-        "rocket": rows.filter(has("rocket")),
-        "pair": rows.filter(has("image_a") & has("image_b")).withColumn("score", F.col("image_score"))}
+def agreement_rows(scores: DataFrame, thresholds: DataFrame) -> DataFrame:
+    """Fired rows with their set memberships and their place in each set.
+
+    Places are running counts along one ordering by the first source's score
+    (and one by the image score), so every capped set is a filter.
+    """
+    fired = scores.filter(F.col("source").isin(list(BASE))).join(thresholds, ["dataset", "source"])
+    hit = lambda s: F.count_if((F.col("source") == s) & (F.col("score") > F.col("threshold"))).alias(f"hit_{s}")
+    value = lambda s, name: F.max(F.when(F.col("source") == s, F.col("score"))).alias(name)
+    rows = fired.groupBy("dataset", "idx").agg(
+        *[hit(s) for s in BASE], value("rocket", "score"), value("image_b", "image_score"))
+    total = F.col("hit_rocket") + F.col("hit_image_a") + F.col("hit_image_b")
+    rows = rows.filter(total > 0).select(
+        "dataset", "idx", "score", "image_score", (total >= 2).cast("int").alias("two"), (total >= 3).cast("int").alias("three"),
+        F.col("hit_rocket").cast("int").alias("rocket"),
+        ((F.col("hit_image_a") > 0) & (F.col("hit_image_b") > 0)).cast("int").alias("pair"))
+    first = with_position(rows, ["dataset"], [("score", "desc"), ("idx", "asc")], "_o",
+                          {f"at_{s}": F.col(s) for s in ("two", "three", "rocket")})
+    return with_position(first, ["dataset"], [("image_score", "desc"), ("idx", "asc")], "_i", {"at_pair": F.col("pair")})
 
 
 def strategy_sets(scores: DataFrame, thresholds: DataFrame, sizes: DataFrame) -> DataFrame:
     """(strategy, dataset, idx) of the agreement strategies.
 
-    Each strategy is a list of tiers; a later tier counts only when the earlier
-    ones are empty for the dataset.
+    Each strategy is a list of (set, limit) tiers; a later tier counts only when
+    the earlier ones are empty for the dataset.
     """
-    s = agreement_sets(scores, thresholds)
-    cap = lambda name, rate: cap_rate(s[name], sizes, rate)
-    most = lambda name, k: cap_count(s[name], ["dataset"], F.lit(k))
-    both = lambda name, rate, k: cap_rate_max(s[name], sizes, rate, k)
+    rate = lambda name, r: (name, F.greatest(F.lit(1), F.ceil(F.col("n") * r)))
+    most = lambda name, k: (name, F.lit(k))
+    both = lambda name, r, k: (name, F.least(F.lit(k), F.greatest(F.lit(1), F.ceil(F.col("n") * r))))
     chains = {
-        "index_2of3": [s["two"]],
-        "cap_1pct_2of3": [cap("two", 0.01)], "cap_3pct_2of3": [cap("two", 0.03)],
+        "index_2of3": [("two", F.col("n"))],
+        "cap_1pct_2of3": [rate("two", 0.01)], "cap_3pct_2of3": [rate("two", 0.03)],
         "cap_max3_2of3": [most("two", 3)], "cap_min2pct_max5_2of3": [both("two", 0.02, 5)],
-        "fallback_pair_then_rocket": [cap("two", 0.02), cap("pair", 0.02), cap("rocket", 0.01)],
-        "confidence_high_then_medium": [cap("three", 0.02), cap("two", 0.02)],
-        "conservative_hardness": [cap("three", 0.02), cap("two", 0.02), cap("pair", 0.01)],
-        "final_balanced": [cap("two", 0.03), cap("pair", 0.01), cap("rocket", 0.01)],
+        "fallback_pair_then_rocket": [rate("two", 0.02), rate("pair", 0.02), rate("rocket", 0.01)],
+        "confidence_high_then_medium": [rate("three", 0.02), rate("two", 0.02)],
+        "conservative_hardness": [rate("three", 0.02), rate("two", 0.02), rate("pair", 0.01)],
+        "final_balanced": [rate("two", 0.03), rate("pair", 0.01), rate("rocket", 0.01)],
         "final_low_fp": [most("three", 3), most("two", 3)],
         "final_operational": [both("two", 0.02, 5), most("pair", 1), most("rocket", 1)]}
-    out = None
-    for name, tiers in chains.items():
-        for i, rows in enumerate(tiers):
-            part = tier(rows, name, i)
-            out = part if out is None else out.unionByName(part)
-    return first_tier(out, ["strategy", "dataset"]).select("strategy", "dataset", "idx")
+    rows = agreement_rows(scores, thresholds).join(sizes, "dataset")
+    tags = F.array_compact(F.array(*[
+        F.when((F.col(name) == 1) & (F.col(f"at_{name}") <= limit), F.struct(F.lit(strategy).alias("strategy"), F.lit(i).alias("tier")))
+        for strategy, tiers in chains.items() for i, (name, limit) in enumerate(tiers)]))
+    tagged = rows.select("dataset", "idx", F.explode(tags).alias("t")).select("t.strategy", "t.tier", "dataset", "idx")
+    return first_tier(tagged, ["strategy", "dataset"]).select("strategy", "dataset", "idx")
 
 
 # ---- source choosers (one row per dataset and source) -----------------------

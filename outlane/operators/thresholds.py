@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from outlane.functions.columns import normal_cdf, normal_quantile_value
 from outlane.functions.order import exact_quantiles, with_position
+from outlane.session import stage
 
 
 def finite(scores: DataFrame) -> DataFrame:
@@ -228,18 +229,20 @@ def kde(train: DataFrame, keys: list[str], q: float = 0.02) -> DataFrame:
                                    (F.stddev_samp("score") * F.pow(F.count(F.lit(1)), F.lit(-0.2))).alias("h"))
     grid = lambda i: F.col("lo") + (2 * F.col("hi") - F.col("lo")) * i / (KDE_GRID - 1)
     below = lambda x: F.avg(normal_cdf((x - F.col("score")) / F.col("h")))
-    rows = train.select(*keys, "score").join(fit, keys)
-    floor = rows.groupBy(*keys).agg(below(F.col("lo")).alias("floor"))
-    bracket = fit.select(*keys, F.lit(0).alias("start"))
+    rows = stage(train.select(*keys, "score").join(fit, keys))  # read once per round
+    bracket = rows.groupBy(*keys).agg(below(F.col("lo")).alias("floor")).withColumn("start", F.lit(0))
     for stride in KDE_STRIDES:
-        at = [F.least(F.col("start") + j * stride, F.lit(KDE_GRID - 1)) for j in range(11)]
-        mass = rows.join(bracket, keys).groupBy(*keys, "start").agg(*[below(grid(p)).alias(f"m{j}") for j, p in enumerate(at)])
-        hit = F.array_min(F.array_compact(F.array(*[
-            F.when(F.col(f"m{j}") - F.col("floor") >= 1 - q, F.lit(j)) for j in range(11)])))
-        step = F.when(F.lit(stride == 1), hit).otherwise(F.greatest(hit - 1, F.lit(0)))
-        bracket = mass.join(floor, keys).select(*keys, F.when(step.isNotNull(), F.least(F.col("start") + step * stride, F.lit(KDE_GRID - 1))).alias("start"))
-    fallback = empirical(train, keys, q).withColumnRenamed("threshold", "fallback")
-    out = bracket.join(fit, keys).join(fallback, keys)
+        # eleven points per score exist only until the map-side average
+        points = rows.join(bracket, keys).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(10))))
+        x = grid(F.least(F.col("start") + F.col("j") * stride, F.lit(KDE_GRID - 1)))
+        mass = points.groupBy(*keys, "start", "floor", "j").agg(below(x).alias("m"))
+        reached = F.min(F.when(F.col("m") - F.col("floor") >= 1 - q, F.col("j")))
+        hit = reached if stride == 1 else F.greatest(reached - 1, F.lit(0))
+        at = F.when(hit.isNotNull(), F.least(F.col("start") + hit * stride, F.lit(KDE_GRID - 1)))
+        bracket = mass.groupBy(*keys, "start", "floor").agg(at.alias("_at")).select(
+            *keys, "floor", F.col("_at").alias("start"))
+    limits = rows.groupBy(*keys).agg(F.first("lo").alias("lo"), F.first("hi").alias("hi"))
+    out = bracket.join(limits, keys).join(empirical(rows, keys, q).withColumnRenamed("threshold", "fallback"), keys)
     return out.select(*keys, _finite_or(grid(F.col("start")), F.col("fallback")).alias("threshold"))
 
 

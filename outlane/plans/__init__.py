@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("fragments", "ingest", "scoring", "thresholds", "fusion", "selection")
+MODULES = ("fragments", "ingest", "scoring", "thresholds", "fusion", "selection", "review", "evaluation")
 
 
 def load_all() -> None:

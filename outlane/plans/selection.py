@@ -34,7 +34,7 @@ def caps_all(t, rate=0.1):
 
 
 def fired(t, source=None):
-    got = S.above(test_all(t), caps_all(t), DSS)
+    got = t.once("fired", lambda: S.above(test_all(t), caps_all(t), DSS))
     return got if source is None else got.filter(F.col("source") == source)
 
 

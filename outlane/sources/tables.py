@@ -18,7 +18,13 @@ class Tables:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
-        self._archive: DataFrame | None = None
+        self._staged: dict[str, DataFrame] = {}
+
+    def once(self, name: str, build) -> DataFrame:
+        """A stage contract: build a result with several readers one time."""
+        if name not in self._staged:
+            self._staged[name] = stage(build())
+        return self._staged[name]
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
@@ -32,12 +38,10 @@ class Tables:
     def archive(self) -> DataFrame:
         """(dataset, split, idx, id, y, values): the one-class construction.
 
-        A stage contract: built once per use of the tables and written out, since
-        every query below it reads it several times.
+        Written out once per use of the tables; every query below reads it more
+        than once.
         """
-        if self._archive is None:
-            self._archive = stage(one_class(self.labelled()))
-        return self._archive
+        return self.once("archive", lambda: one_class(self.labelled()))
 
     def series(self) -> DataFrame:
         """The archive without labels."""
