@@ -81,7 +81,7 @@ def sorted_percentile(sorted_arr, q: float) -> Column:
 
 
 def array_percentile(arr, q: float) -> Column:
-    return sorted_percentile(F.array_sort(_c(arr)), q)
+    return let(F.array_sort(_c(arr)), lambda s: sorted_percentile(s, q))
 
 
 def first_difference(arr) -> Column:

@@ -216,23 +216,23 @@ def second_lanes(t):
 
 
 @query("lane_diff", "grid both_lanes", f"""
-WITH c AS (SELECT g.dataset, g.lane, count(CASE WHEN a = g.lane AND b = g.lane THEN 1 END) AS both, count(CASE WHEN a = g.lane OR b = g.lane THEN 1 END) AS either FROM grid g LEFT JOIN both_lanes l USING (dataset) GROUP BY 1, 2)
-SELECT dataset, lane, CASE WHEN both = either THEN 1 ELSE 0 END AS exact, {r6('CASE WHEN either = 0 THEN 1 ELSE both / either END')} AS jaccard FROM c""")
+WITH c AS (SELECT g.dataset, g.lane, count(CASE WHEN a = g.lane AND b = g.lane THEN 1 END) AS shared, count(CASE WHEN a = g.lane OR b = g.lane THEN 1 END) AS either FROM grid g LEFT JOIN both_lanes l USING (dataset) GROUP BY 1, 2)
+SELECT dataset, lane, CASE WHEN shared = either THEN 1 ELSE 0 END AS exact, {r6('CASE WHEN either = 0 THEN 1 ELSE shared / either END')} AS jaccard FROM c""")
 def _(t):
     return rounded(P.lane_diff(lanes(t), second_lanes(t), list(NAMES), named(t)), "jaccard")
 
 
 @query("lane_jaccard", "sizes fired", f"""
 WITH a AS (SELECT dataset, idx FROM fired WHERE source = 'rocket' AND score > 150), b AS (SELECT dataset, idx FROM fired WHERE source = 'multi' AND score > 100),
-f AS (SELECT dataset, count(*) AS either, count(CASE WHEN a.idx IS NOT NULL AND b.idx IS NOT NULL THEN 1 END) AS both FROM a FULL JOIN b USING (dataset, idx) GROUP BY 1)
-SELECT dataset, {r6('CASE WHEN either IS NULL THEN 1 ELSE both / either END')} AS jaccard FROM sizes LEFT JOIN f USING (dataset)""")
+f AS (SELECT dataset, count(*) AS either, count(CASE WHEN a.idx IS NOT NULL AND b.idx IS NOT NULL THEN 1 END) AS shared FROM a FULL JOIN b USING (dataset, idx) GROUP BY 1)
+SELECT dataset, {r6('CASE WHEN either IS NULL THEN 1 ELSE shared / either END')} AS jaccard FROM sizes LEFT JOIN f USING (dataset)""")
 def _(t):
     return rounded(P.jaccard(fired(t, "rocket").filter("score > 150"), fired(t, "multi").filter("score > 100"), named(t)), "jaccard")
 
 
 @query("top_set_jaccard", "sizes base_ranks", f"""
-WITH f AS (SELECT dataset, count(*) AS either, count(CASE WHEN c = 2 THEN 1 END) AS both FROM (SELECT dataset, idx, count(*) AS c FROM base_ranks WHERE rank <= 5 AND source IN ('rocket', 'multi') GROUP BY 1, 2) GROUP BY 1)
-SELECT dataset, {r6('both / either')} AS jaccard FROM sizes JOIN f USING (dataset)""")
+WITH f AS (SELECT dataset, count(*) AS either, count(CASE WHEN c = 2 THEN 1 END) AS shared FROM (SELECT dataset, idx, count(*) AS c FROM base_ranks WHERE rank <= 5 AND source IN ('rocket', 'multi') GROUP BY 1, 2) GROUP BY 1)
+SELECT dataset, {r6('shared / either')} AS jaccard FROM sizes JOIN f USING (dataset)""")
 def _(t):
     tops = S.source_ranks(test_all(t)).filter("rank <= 5")
     return rounded(P.jaccard(tops.filter("source = 'rocket'"), tops.filter("source = 'multi'"), named(t)), "jaccard")
@@ -255,8 +255,8 @@ def _(t):
 
 @query("rule_substitution_audit", "test train sizes", f"""
 WITH q AS (SELECT dataset, quantile_cont(score, 0.95) AS q5, quantile_cont(score, 0.9) AS q10 FROM train GROUP BY 1),
-f AS (SELECT dataset, count(CASE WHEN score > q5 THEN 1 END) AS both, count(CASE WHEN score > q10 THEN 1 END) AS either FROM test JOIN q USING (dataset) GROUP BY 1)
-SELECT dataset, {r6('CASE WHEN either = 0 THEN 1 ELSE both / either END')} AS jaccard, CASE WHEN both = either THEN 1 ELSE 0 END AS exact FROM f""")
+f AS (SELECT dataset, count(CASE WHEN score > q5 THEN 1 END) AS shared, count(CASE WHEN score > q10 THEN 1 END) AS either FROM test JOIN q USING (dataset) GROUP BY 1)
+SELECT dataset, {r6('CASE WHEN either = 0 THEN 1 ELSE shared / either END')} AS jaccard, CASE WHEN shared = either THEN 1 ELSE 0 END AS exact FROM f""")
 def _(t):
     train = t.score().filter("split = 'TRAIN'")
     limits = T.sweep(train, ["dataset"], (("quantile_5", "quantile", 0.05), ("quantile_10", "quantile", 0.1)))
