@@ -64,11 +64,20 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def with_fit(arr: Column, fit: Column, body) -> Column:
+    """Apply ``body(x, fit)`` to each element; the fit is evaluated once.
+
+    One lambda level only: Spark does not extract an Arrow function whose input
+    holds a lambda that refers to an outer lambda's variable.
+    """
+    return F.zip_with(arr, F.array_repeat(fit, F.size(arr)), body)
+
+
 def z_norm(arr) -> Column:
     """(x - mean) / population deviation; a constant series keeps scale 1."""
     arr = _c(arr)
-    return let(F.struct(array_mean(arr).alias("m"), nonzero_or_one(array_std(arr)).alias("s")),
-               lambda f: F.transform(arr, lambda x: (x - f["m"]) / f["s"]))
+    fit = F.struct(array_mean(arr).alias("m"), nonzero_or_one(array_std(arr)).alias("s"))
+    return with_fit(arr, fit, lambda x, f: (x - f["m"]) / f["s"])
 
 
 def sorted_percentile(sorted_arr, q: float) -> Column:
@@ -87,12 +96,13 @@ def array_percentile(arr, q: float) -> Column:
 def first_difference(arr) -> Column:
     """Change from the previous point; the first change is zero."""
     arr = _c(arr)
-    return F.transform(arr, lambda x, i: x - F.get(arr, F.greatest(i - 1, F.lit(0))))
+    before = F.concat(F.slice(arr, 1, 1), F.slice(arr, F.lit(1), F.greatest(F.size(arr) - 1, F.lit(0))))
+    return F.zip_with(arr, F.slice(before, F.lit(1), F.size(arr)), lambda x, p: x - p)
 
 
 def min_zero(arr) -> Column:
     arr = _c(arr)
-    return let(F.array_min(arr), lambda low: F.transform(arr, lambda x: x - low))
+    return with_fit(arr, F.array_min(arr), lambda x, low: x - low)
 
 
 def resample(arr, target) -> Column:

@@ -74,7 +74,8 @@ def over_spans(values, spans: list[tuple[int, int]], statistic) -> Column:
     """
     table = F.array(*[F.struct(F.lit(a + 1).alias("a"), F.lit(b - a).alias("n")) for a, b in spans])
     v = F.col(values) if isinstance(values, str) else values
-    return F.flatten(F.transform(table, lambda s: let(F.slice(v, s["a"], s["n"]), statistic)))
+    # bind the array outside the walk: it may be an Arrow function's result
+    return let(v, lambda bound: F.flatten(F.transform(table, lambda s: let(F.slice(bound, s["a"], s["n"]), statistic))))
 
 
 def representations(rows: DataFrame) -> DataFrame:
@@ -91,7 +92,7 @@ def representations(rows: DataFrame) -> DataFrame:
 
 def log_spectrum(values) -> Column:
     """log(1 + |rFFT|) without the constant bin."""
-    return F.transform(F.slice(spectrum(values), 2, F.lit(2**31 - 1)), lambda m: F.log1p(m))
+    return F.transform(F.filter(spectrum(values), lambda m, i: i > 0), lambda m: F.log1p(m))
 
 
 def band_edges(bins: int, bands: int) -> list[tuple[int, int]]:
@@ -151,7 +152,7 @@ def haar(values, length: int, width: int) -> Column:
         return F.concat(detail, let(average, lambda a: levels(a, half, have + half)))
 
     v = F.col(values) if isinstance(values, str) else values
-    return fixed_width(levels(v, length, 0), width)
+    return let(v, lambda bound: fixed_width(levels(bound, length, 0), width))
 
 
 # ---- shapelets --------------------------------------------------------------

@@ -39,7 +39,7 @@ def bank_sql(bank, extra=()):
         pad = span // 2 if kernel["padding"] else 0
         size = L + 2 * pad - span + 1
         for j, w in enumerate(kernel["weights"]):
-            rows.append(f"({k}, {j}, {w!r}, {kernel['dilation']}, {pad}, {size}{''.join(', ' + repr(float(kernel[e])) for e in extra)})")
+            rows.append(f"({k}, {j}, {w!r}::DOUBLE, {kernel['dilation']}, {pad}, {size}{''.join(', ' + repr(float(kernel[e])) + '::DOUBLE' for e in extra)})")
     cols = ", ".join(("k", "j", "w", "d", "pad", "size") + tuple(extra))
     return f"(VALUES {', '.join(rows)}) AS bank({cols})"
 
