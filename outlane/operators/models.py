@@ -280,9 +280,11 @@ def _segment(seed: str, low: float, high: float, *tags) -> tuple[Column, Column]
     return start, width
 
 
-def _lift(start: Column, width: Column, amount: Column) -> Column:
-    inside = lambda i: (i >= F.col("_a")) & (i < F.col("_a") + F.col("_w"))
-    return F.transform("values", lambda x, i: F.when(inside(i), x + F.col("_m")).otherwise(x))
+def _lift() -> Column:
+    """Add _m to the points from _a on; the draws are bound once per row."""
+    drawn = F.struct(F.col("_a").alias("a"), F.col("_w").alias("w"), F.col("_m").alias("m"))
+    return let(drawn, lambda p: F.transform("values", lambda x, i: F.when(
+        (i >= p["a"]) & (i < p["a"] + p["w"]), x + p["m"]).otherwise(x)))
 
 
 def pseudo_series(train: DataFrame, seed: str = "pseudo") -> DataFrame:
@@ -300,7 +302,7 @@ def pseudo_series(train: DataFrame, seed: str = "pseudo") -> DataFrame:
             tail = F.slice("values", F.col("_a") + F.col("_w") + 1, F.size("values"))
             values = F.concat(F.slice("values", F.lit(1), F.col("_a")), body, tail)
         else:
-            values = _lift(start, width, F.col("_m"))
+            values = _lift()
         part = rows.select("dataset", "idx", F.lit(kind).alias("kind"), values.alias("values"))
         out = part if out is None else out.unionByName(part)
     return out
@@ -374,8 +376,8 @@ def warp_permute(rows: DataFrame, seed: str = "multi", segments: int = 4) -> Dat
     n = F.size("values")
     tagged = rows.withColumn("kind", F.when(uniform(seed, *keys, "kind") < 0.5, "warp").otherwise("permute")).withColumn(
         "_p", _pick(0.0, 2 * math.pi, seed, *keys, "phase"))
-    at = lambda i: F.greatest(F.lit(0), F.least(n - 1, F.rint(i + 0.05 * n * F.sin(2 * math.pi * i / n + F.col("_p"))).cast("int")))
-    warped = F.transform("values", lambda x, i: F.get("values", at(i)))
+    at = lambda i, p: F.greatest(F.lit(0), F.least(n - 1, F.rint(i + 0.05 * n * F.sin(2 * math.pi * i / n + p)).cast("int")))
+    warped = let(F.col("_p"), lambda p: F.transform("values", lambda x, i: F.get("values", at(i, p))))
     edge = lambda j: F.floor(n * j / segments).cast("int")
     order = F.array_sort(F.array(*[F.struct(hash_key(seed, *keys, "seg", F.lit(j)).alias("h"), F.lit(j).alias("j")) for j in range(segments)]))
     shuffled = F.flatten(F.transform(order, lambda s: F.slice("values", edge(s["j"]) + 1, edge(s["j"] + 1) - edge(s["j"]))))

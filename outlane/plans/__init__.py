@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("fragments", "ingest", "scoring", "thresholds", "fusion", "selection", "review", "evaluation", "prep", "features", "images", "models")
+MODULES = ("fragments", "ingest", "scoring", "thresholds", "fusion", "selection", "review", "evaluation", "prep", "features", "images", "models", "streams")
 
 
 def load_all() -> None:

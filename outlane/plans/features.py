@@ -19,11 +19,11 @@ KEY = "dataset, split, idx"
 
 
 def zraw(t):
-    return raw(t).withColumn("values", C.z_norm("values"))
+    return t.once("zraw", lambda: raw(t).withColumn("values", C.z_norm("values")))
 
 
 def zarch(t):
-    return t.series().withColumn("values", C.z_norm("values"))
+    return t.once("zarch", lambda: t.series().withColumn("values", C.z_norm("values")))
 
 
 def long(df, *keys, col="vec", name="feature"):
@@ -31,24 +31,24 @@ def long(df, *keys, col="vec", name="feature"):
     return got.select(*keys, F.col(name).cast("bigint").alias(name), R6("v").alias("v"))
 
 
-def bank_sql(bank, extra=()):
+def bank_sql(bank, extra=(), length=L):
     """A kernel bank as VALUES (k, j, w, dilation, padding, extras)."""
     rows = []
     for k, kernel in enumerate(bank):
         span = (len(kernel["weights"]) - 1) * kernel["dilation"] + 1
         pad = span // 2 if kernel["padding"] else 0
-        size = L + 2 * pad - span + 1
+        size = length + 2 * pad - span + 1
         for j, w in enumerate(kernel["weights"]):
             rows.append(f"({k}, {j}, {w!r}::DOUBLE, {kernel['dilation']}, {pad}, {size}{''.join(', ' + repr(float(kernel[e])) + '::DOUBLE' for e in extra)})")
     cols = ", ".join(("k", "j", "w", "d", "pad", "size") + tuple(extra))
     return f"(VALUES {', '.join(rows)}) AS bank({cols})"
 
 
-def conv_sql(bank, rel, keys, extra=()):
+def conv_sql(bank, rel, keys, extra=(), length=L):
     """Outputs (keys, k, p, c): sum over taps; positions outside are zero."""
     more = "".join(f", any_value({e}) AS {e}" for e in extra)
-    return f"""SELECT {keys}, k, p, sum(CASE WHEN p + j * d - pad BETWEEN 0 AND {L - 1} THEN w * values[p + j * d - pad + 1] ELSE 0 END) AS c{more}
-FROM {rel}, (SELECT *, unnest(range(size)) AS p FROM {bank_sql(bank, extra)}) GROUP BY {keys}, k, p"""
+    return f"""SELECT {keys}, k, p, sum(CASE WHEN p + j * d - pad BETWEEN 0 AND {length - 1} THEN w * values[p + j * d - pad + 1] ELSE 0 END) AS c{more}
+FROM {rel}, (SELECT *, unnest(range(size)) AS p FROM {bank_sql(bank, extra, length)}) GROUP BY {keys}, k, p"""
 
 
 fragment("zraw", "zpts", "SELECT id, label, list(v ORDER BY pos) AS values FROM zpts GROUP BY 1, 2")

@@ -25,7 +25,7 @@ def _(t):
     return M.fold_plan(t.series().filter("split = 'TRAIN'"))
 
 
-fragment("cross", "vectors_z folds", """
+fragment("cross_all", "vectors_z folds", """
 SELECT dataset, f, CASE WHEN f = fold THEN 'HELD' ELSE 'TRAIN' END AS split, idx, vec FROM (
   SELECT v.dataset, v.idx, vec, fold, unnest(range(CAST(folds AS BIGINT))) AS f FROM vectors_z v JOIN folds p ON p.dataset = v.dataset AND p.idx = v.idx WHERE split = 'TRAIN')
 UNION ALL SELECT v.dataset, unnest(range(CAST(folds AS BIGINT))), 'TEST', v.idx, vec FROM vectors_z v JOIN (SELECT DISTINCT dataset, folds FROM folds) p ON p.dataset = v.dataset WHERE split = 'TEST'""")
@@ -36,12 +36,12 @@ CENTER = """SELECT c.dataset, c.f, split, idx, list_distance(vec, center) AS sco
   ON m.dataset = c.dataset AND m.f = c.f"""
 
 
-@query("crossfit_centroid", "cross", "WITH cross_rows AS (SELECT * FROM \"cross\"), cf AS (" + CENTER + ") " + FINAL)
+@query("crossfit_centroid", "cross_all", "WITH cross_rows AS (SELECT * FROM cross_all), cf AS (" + CENTER + ") " + FINAL)
 def _(t):
     return rounded(M.crossfit(vectors(t), M.centroid))
 
 
-@query("crossfit_source_scores", "cross vectors_z folds", f"""WITH cross_rows AS (SELECT * FROM "cross"), cf AS ({CENTER}),
+@query("crossfit_source_scores", "cross_all vectors_z folds", f"""WITH cross_rows AS (SELECT * FROM cross_all), cf AS ({CENTER}),
 n AS (SELECT dataset, count(*) AS n FROM folds GROUP BY 1),
 full_rows AS (SELECT v.dataset, split, idx, list_distance(vec, center) AS score FROM vectors_z v JOIN (
   SELECT dataset, list(m ORDER BY pos) AS center FROM (SELECT dataset, pos, avg(v) AS m FROM points WHERE split = 'TRAIN' GROUP BY 1, 2) GROUP BY 1) c USING (dataset) WHERE split = 'TEST')
@@ -61,7 +61,7 @@ def _(t):
     return rounded(M.crossfit(vectors(t), M.gmm(2)))
 
 
-@query("lof_crossfit", "cross", f"""WITH cross_rows AS (SELECT * FROM "cross"),
+@query("lof_crossfit", "cross_all", f"""WITH cross_rows AS (SELECT * FROM cross_all),
 p AS (SELECT a.dataset, a.f, a.split, a.idx, b.idx AS rid, list_distance(a.vec, b.vec) AS d FROM cross_rows a JOIN cross_rows b ON a.dataset = b.dataset AND a.f = b.f AND b.split = 'TRAIN' AND NOT (a.split = 'TRAIN' AND a.idx = b.idx)
       QUALIFY row_number() OVER (PARTITION BY a.dataset, a.f, a.split, a.idx ORDER BY list_distance(a.vec, b.vec), b.idx) <= 5),
 kd AS (SELECT dataset, f, idx AS rid, max(d) AS kd FROM p WHERE split = 'TRAIN' GROUP BY 1, 2, 3),
@@ -91,8 +91,8 @@ JOIN (SELECT dataset, quantile_cont(score + 1e-9, 0.5) + 1e-9 AS typical FROM {n
 FROM (SELECT dataset, split, idx, round(score, 9) AS score FROM {name}_knn) k JOIN (SELECT dataset, count(*) AS n FROM {name}_knn WHERE split = 'TRAIN' GROUP BY 1) c ON c.dataset = k.dataset""")
 
 
-def rocket_fragment(name: str, rel: str, bank) -> None:
-    fragment(f"{name}_c", rel, conv_sql(bank, rel, KEY, ("bias",)))
+def rocket_fragment(name: str, rel: str, bank, length: int = L) -> None:
+    fragment(f"{name}_c", rel, conv_sql(bank, rel, KEY, ("bias",), length))
     fragment(f"{name}_f", f"{name}_c", f"""SELECT {KEY}, 2 * k + s AS pos, CASE s WHEN 0 THEN max(c + bias) ELSE avg(CASE WHEN c + bias > 0 THEN 1 ELSE 0 END) END AS v
 FROM {name}_c, (SELECT unnest([0, 1]) AS s) GROUP BY {KEY}, k, s""")
     knn_fragments(name, f"{name}_f")
@@ -153,17 +153,21 @@ def _(t):
     return aggregate([knn_rank(rows.select(*AK, N.rocket_features("values", SIZE, s).alias("vec"))) for s in SEEDS])
 
 
-for _i, _start in enumerate((0, 32)):
+PATCHES = ((0.0, 1.0), (0.0, 0.5), (0.5, 0.5), (1.0, 0.5))
+for _i, (_start, _width) in enumerate(PATCHES):
+    _n = int(L * _width)
+    _from = int((L - _n) * _start)
     fragment(f"patch{_i}_p", "points", f"""SELECT dataset, split, idx, list((v - m) / CASE WHEN s = 0 THEN 1 ELSE s END ORDER BY pos) AS values FROM (
-  SELECT *, avg(v) OVER w AS m, stddev_pop(v) OVER w AS s FROM points WHERE pos >= {_start} AND pos < {_start + 32} WINDOW w AS (PARTITION BY dataset, split, idx)) GROUP BY 1, 2, 3""")
+  SELECT *, avg(v) OVER w AS m, stddev_pop(v) OVER w AS s FROM points WHERE pos >= {_from} AND pos < {_from + _n} WINDOW w AS (PARTITION BY dataset, split, idx)) GROUP BY 1, 2, 3""")
+    rocket_fragment(f"patch{_i}", f"patch{_i}_p", N.random_kernels(_n, SIZE, 500 + _i), _n)
 
 
-@query("patch_kernel_ensemble")
+@query("patch_kernel_ensemble", " ".join(f"patch{i}_rank" for i in range(4)), _aggregate_sql([f"patch{i}" for i in range(4)]))
 def _(t):
     """Full window and three half windows, each scored and ranked."""
     rows = zarch(t)
     parts = []
-    for i, (start, width) in enumerate(((0.0, 1.0), (0.0, 0.5), (0.5, 0.5), (1.0, 0.5))):
+    for i, (start, width) in enumerate(PATCHES):
         patch = rows.withColumn("values", C.z_norm(C.crop("values", start, width)))
         parts.append(knn_rank(patch.select(*AK, N.rocket_features("values", SIZE, 500 + i).alias("vec"))))
     return aggregate(parts)
