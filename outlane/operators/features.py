@@ -243,23 +243,36 @@ def widest_spread(train: DataFrame, keep: int) -> DataFrame:
     return got.withColumn("r", F.row_number().over(window)).filter(F.col("r") <= keep).select("dataset", "feature", "r")
 
 
+def _gram(batches):
+    """Per batch and dataset: row count, sums and the d x d product matrix."""
+    for pdf in batches:
+        for name, part in pdf.groupby("dataset"):
+            x = np.stack(part["vec"].to_numpy()).astype(float)
+            yield pd.DataFrame({"dataset": [name], "sums": [np.concatenate([[len(x)], x.sum(axis=0), (x.T @ x).ravel()])]})
+
+
 def factor(rows: DataFrame, components: int, centred: bool) -> DataFrame:
-    """PCA (centred) or truncated SVD fitted on the capped TRAIN side.
+    """PCA (centred) or truncated SVD fitted on the TRAIN side of any size.
 
-    The fit is one d x d Gram matrix per dataset, summed from the reference; the
-    projection is an expression on every row.  Signs are fixed so the largest
-    loading is positive.
+    TRAIN is read once into product matrices that are summed entry by entry;
+    only the d x d total of a dataset meets the eigen solver.  The projection is
+    an expression on every row.  The largest loading of an axis is positive.
     """
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(pdf["vec"].to_numpy()).astype(float)
-        mean = x.mean(axis=0) if centred else np.zeros(x.shape[1])
-        _, _, axes = np.linalg.svd(x - mean, full_matrices=False)
-        axes = axes[:components]
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = pdf.sort_values("at")["v"].to_numpy()
+        d = int(round((-1 + math.sqrt(1 + 4 * (len(total) - 1))) / 2))
+        n, mean, product = total[0], total[1:d + 1] / total[0], total[d + 1:].reshape(d, d)
+        if centred:
+            product = product - n * np.outer(mean, mean)
+        else:
+            mean = np.zeros(d)
+        axes = np.linalg.eigh(product)[1].T[::-1][:min(components, int(n), d)]
         signs = np.sign(axes[np.arange(len(axes)), np.abs(axes).argmax(axis=1)])
         return pd.DataFrame({"dataset": [pdf["dataset"].iloc[0]], "mean": [mean], "axes": [list(axes * signs[:, None])]})
 
-    model = rows.filter("split = 'TRAIN'").select("dataset", "vec").groupBy("dataset").applyInPandas(
-        fit, "dataset string, mean array<double>, axes array<array<double>>")
+    parts = rows.filter("split = 'TRAIN'").select("dataset", "vec").mapInPandas(_gram, "dataset string, sums array<double>")
+    total = parts.select("dataset", F.posexplode("sums").alias("at", "v")).groupBy("dataset", "at").agg(F.sum("v").alias("v"))
+    model = total.groupBy("dataset").applyInPandas(solve, "dataset string, mean array<double>, axes array<array<double>>")
     shifted = F.zip_with("vec", "mean", lambda x, m: x - m)
     project = let(shifted, lambda v: F.transform("axes", lambda a: array_sum(F.zip_with(a, v, lambda p, q: p * q))))
     return rows.join(model, "dataset").withColumn("vec", fixed_width(project, components)).drop("mean", "axes")

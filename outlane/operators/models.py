@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from outlane.functions.columns import array_mean, array_std, array_sum, hash_key, let, normal_cdf, uniform
 from outlane.functions.order import exact_quantiles, with_position
 from outlane.operators.features import factor
+from outlane.operators.quality import reference_rows
 from outlane.operators.scoring import centroids, distance, mean_distance, neighbours
 from outlane.session import stage
 
@@ -90,9 +91,10 @@ def lof(k: int):
 
 
 def _fitted(fit, schema: str):
-    """Model arrays per dataset from the capped TRAIN side."""
+    """Model arrays per dataset, fitted on at most 1000 reference rows."""
     def model(rows: DataFrame) -> DataFrame:
-        return rows.filter("split = 'TRAIN'").select("dataset", "idx", "vec").groupBy("dataset").applyInPandas(fit, f"dataset string, {schema}")
+        train = reference_rows(rows.filter("split = 'TRAIN'").select("dataset", "idx", "vec"))
+        return train.groupBy("dataset").applyInPandas(fit, f"dataset string, {schema}")
     return model
 
 
@@ -189,8 +191,12 @@ def pseudo_classifier(rows: DataFrame, pseudo: DataFrame, c: float = 0.5, rounds
     """P(anomaly) of a class-balanced logistic fit: normal against pseudo rows.
 
     ``pseudo`` rows carry the idx of their TRAIN parent, so a fold holds out a
-    row together with its perturbations.
+    row together with its perturbations.  TRAIN is cut to the reference rows
+    first, so a fit sees a bounded number of rows.
     """
+    reference = reference_rows(rows.filter("split = 'TRAIN'"))
+    rows = stage(reference.unionByName(rows.filter("split <> 'TRAIN'")))
+    pseudo = pseudo.join(reference.select("dataset", "idx"), ["dataset", "idx"], "left_semi")
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["y", "idx"], kind="stable")
         x, y = np.stack(pdf["vec"].to_numpy()).astype(float), pdf["y"].to_numpy().astype(float)

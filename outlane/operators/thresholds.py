@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from outlane.functions.columns import normal_cdf, normal_quantile_value
-from outlane.functions.order import exact_quantiles, with_position
+from outlane.functions.order import exact_quantiles, with_cumulative, with_position
 from outlane.session import stage
 
 
@@ -281,27 +281,50 @@ def size_hybrid(train: DataFrame, keys: list[str], q: float = 0.02, small: int =
 def family_pooled(train: DataFrame, q: float, own_weight: float = 0.0, least_pool: int = 8) -> DataFrame:
     """Quantile of all TRAIN scores of a family, own scores optionally repeated.
 
-    Without own weight the family quantile is computed once per family.  With
-    it, each dataset sees its family once plus its own rows ``times`` over; the
-    family counts are combined per distinct score before they meet datasets.
     """
-    sizes = train.groupBy("family", "dataset").agg(F.count(F.lit(1)).alias("n"))
     pools = train.groupBy("family").agg(F.count(F.lit(1)).alias("pool_n"))
     own = empirical(train, ["family", "dataset"], 1 - q).withColumnRenamed("threshold", "own_t")
     if own_weight <= 0:
-        pooled = empirical(train, ["family"], 1 - q).withColumnRenamed("threshold", "pool_t")
-        both = own.join(pooled, "family").join(pools, "family")
-        return both.select("dataset", "family", F.when(F.col("pool_n") < least_pool, F.col("own_t")).otherwise(F.col("pool_t")).alias("threshold"))
-    times = F.greatest(F.lit(1), F.floor(F.col("pool_n") * own_weight / F.col("n"))).cast("bigint")
-    plan = sizes.join(pools, "family").select("family", "dataset", "pool_n", times.alias("times"))
-    shared = train.groupBy("family", "score").agg(F.count(F.lit(1)).alias("w"))
-    pool_rows = shared.join(plan.select("family", "dataset"), "family").select("dataset", "score", "w")
-    own_rows = train.join(plan.select("dataset", "times"), "dataset").select("dataset", "score", F.col("times").alias("w"))
-    mixed = exact_quantiles(pool_rows.unionByName(own_rows), ["dataset"], "score", {"mix_t": q}, "w")
-    both = own.join(mixed, "dataset").join(pools, "family")
+        mixed = empirical(train, ["family"], 1 - q).withColumnRenamed("threshold", "mix_t")
+        both = own.join(mixed, "family").join(pools, "family")
+    else:
+        both = own.join(_mixture_quantile(train, pools, q, own_weight), "dataset").join(pools, "family")
     return both.select("dataset", "family", F.when(F.col("pool_n") < least_pool, F.col("own_t")).otherwise(F.col("mix_t")).alias("threshold"))
 
 
+def _mixture_quantile(train: DataFrame, pools: DataFrame, q: float, own_weight: float) -> DataFrame:
+    """Quantile of a family pool plus own rows repeated, without building it.
+
+    Between two neighbouring own scores the mixture is the pool shifted by a
+    constant, so its k-th value is either an own score or the pool value at a
+    known position: one running count per row and one equi join.
+    """
+    n = train.groupBy("family", "dataset").agg(F.count(F.lit(1)).alias("n"))
+    times = F.greatest(F.lit(1), F.floor(F.col("pool_n") * own_weight / F.col("n"))).cast("bigint")
+    plan = n.join(pools, "family").withColumn("times", times)
+    pos = (F.col("pool_n") + F.col("n") * F.col("times") - 1) * F.lit(float(q))
+    asked = plan.select("family", "dataset", "n", "times", (pos - F.floor(pos)).alias("share"), F.explode(F.array(
+        F.struct(F.lit(0).alias("side"), F.floor(pos).alias("k")), F.struct(F.lit(1).alias("side"), F.ceil(pos).alias("k")))).alias("a"))
+    asked = asked.select("family", "dataset", "n", "times", "share", "a.side", (F.col("a.k") + 1).alias("k"))
+    counted = with_cumulative(train.select("family", "dataset", "score"), ["family"], "score", {"pool_le": F.lit(1)})
+    same = counted.groupBy("family", "score").agg(F.count(F.lit(1)).alias("pool_eq"))
+    counted = with_cumulative(counted, ["family", "dataset"], "score", {"own_le": F.lit(1)})
+    steps = counted.groupBy("family", "dataset", "score").agg(
+        F.max("pool_le").alias("pool_le"), F.max("own_le").alias("own_le"), F.count(F.lit(1)).alias("own_eq")).join(same, ["family", "score"])
+    at = steps.join(asked, ["family", "dataset"]).filter(F.col("pool_le") + F.col("times") * F.col("own_le") >= F.col("k"))
+    first = at.groupBy("family", "dataset", "side", "k").agg(F.min_by(F.struct(
+        "score", (F.col("own_le") - F.col("own_eq")).alias("own_lt"), (F.col("pool_le") - F.col("pool_eq")).alias("pool_lt")), "score").alias("f"))
+    found = asked.join(first, ["family", "dataset", "side", "k"], "left")
+    below = F.coalesce(F.col("f.own_lt"), F.col("n"))
+    on_own = F.col("f.score").isNotNull() & (F.col("k") > F.col("f.pool_lt") + F.col("times") * below)
+    found = found.withColumn("place", F.when(~F.coalesce(on_own, F.lit(False)), F.col("k") - F.col("times") * below))
+    ids = train.select("family", "score", F.struct("dataset", "idx").alias("_id"))
+    placed = with_position(ids, ["family"], [("score", "asc"), ("_id", "asc")], "place").select("family", "place", F.col("score").alias("pool_score"))
+    value = found.join(placed, ["family", "place"], "left").withColumn("v", F.coalesce("pool_score", "f.score"))
+    side = lambda x: F.max(F.when(F.col("side") == x, F.col("v")))
+    return value.groupBy("dataset").agg((side(0) + (side(1) - side(0)) * F.max("share")).alias("mix_t"))
+
+
 # ---- diagnostics ------------------------------------------------------------
 
 def train_exceed(train: DataFrame, thresholds: DataFrame, keys: list[str]) -> DataFrame:

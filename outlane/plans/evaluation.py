@@ -271,25 +271,28 @@ def _(t):
     return P.shared_comparison(rows.filter("source = 'rocket' and tp > 0"), rows.filter("source = 'multi'"), ["tp", "fp"])
 
 
-TEXT = "coalesce(string_agg(CASE WHEN lane = '{0}' THEN CAST(idx AS VARCHAR) END, ' ' ORDER BY idx), '') AS {0}"
+TEXT = "SELECT dataset, lane, string_agg(CAST(idx AS VARCHAR), ' ' ORDER BY idx) AS text FROM {0} WHERE lane <> 'none' GROUP BY 1, 2"
 
 
-@query("index_list_text", "lanes", f"SELECT dataset, {', '.join(TEXT.format(n) for n in NAMES)} FROM lanes GROUP BY 1")
+@query("index_list_text", "lanes", f"SELECT *, 0 AS part FROM ({TEXT.format('lanes')})")
 def _(t):
-    return P.lanes_as_text(lanes(t), list(NAMES))
+    return P.lanes_as_text(lanes(t))
+
+
+@query("index_list_parse", "lanes", "SELECT dataset, lane, idx FROM lanes")
+def _(t):
+    return P.text_to_rows(P.lanes_as_text(lanes(t)))
 
 
 @query("selector_replay", "lanes evidence_lanes", f"""
-WITH a AS (SELECT dataset, {', '.join(TEXT.format(n) for n in NAMES)} FROM lanes GROUP BY 1),
-b AS (SELECT dataset, {', '.join(TEXT.format(n) for n in NAMES)} FROM evidence_lanes WHERE lane <> 'none' GROUP BY 1)
-SELECT dataset, {', '.join(f"CASE WHEN coalesce(a.{n}, '') = coalesce(b.{n}, '') THEN 1 ELSE 0 END AS same_{n}" for n in NAMES)} FROM a FULL JOIN b USING (dataset)""")
+SELECT dataset, lane, CASE WHEN a.text IS NOT DISTINCT FROM b.text THEN 1 ELSE 0 END AS same FROM ({TEXT.format('lanes')}) a FULL JOIN ({TEXT.format('evidence_lanes')}) b USING (dataset, lane)""")
 def _(t):
-    return P.replay_check(P.lanes_as_text(lanes(t), list(NAMES)), second_lanes(t), list(NAMES))
+    return P.replay_check(P.lanes_as_text(lanes(t)), second_lanes(t))
 
 
-@query("replay_diff", "lanes", "SELECT dataset, 1 AS same_hard, 1 AS same_standard_review, 1 AS same_priority_review FROM lanes GROUP BY 1")
+@query("replay_diff", "lanes", "SELECT dataset, lane, 1 AS same FROM lanes GROUP BY 1, 2")
 def _(t):
-    return P.replay_check(P.lanes_as_text(lanes(t), list(NAMES)), lanes(t), list(NAMES))
+    return P.replay_check(P.lanes_as_text(lanes(t)), lanes(t))
 
 
 @query("lane_transitions", "both_lanes", """

@@ -23,7 +23,7 @@ def zraw(t):
 
 
 def zarch(t):
-    return t.once("zarch", lambda: t.series().withColumn("values", C.z_norm("values")))
+    return t.once("zarch", lambda: t.scored_series().withColumn("values", C.z_norm("values")))
 
 
 def long(df, *keys, col="vec", name="feature"):

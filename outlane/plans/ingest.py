@@ -148,11 +148,13 @@ def _(t):
 
 
 @query("load_by_id_list", "", """
-SELECT o_custkey AS dataset, pos, id, n FROM (
-  SELECT o_custkey, o_orderkey AS id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS pos FROM orders)
+SELECT o_custkey AS dataset, part, pos, id, n FROM (
+  SELECT o_custkey, o_orderkey // 10000 AS part, o_orderkey AS id, row_number() OVER (PARTITION BY o_custkey, o_orderkey // 10000 ORDER BY o_orderkey) - 1 AS pos FROM orders)
 JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON id = l_orderkey""")
 def _(t):
-    lists = t.table("orders").groupBy(F.col("o_custkey").alias("dataset")).agg(
+    # a list covers one key range, so no cell grows without bound
+    part = F.floor(F.col("o_orderkey") / 10000).alias("part")
+    lists = t.table("orders").groupBy(F.col("o_custkey").alias("dataset"), part).agg(
         F.concat_ws(";", F.transform(F.sort_array(F.collect_list("o_orderkey")), lambda x: x.cast("string"))).alias("ids"))
     store = t.table("lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.count(F.lit(1)).alias("n"))
     return Q.read_id_list(lists, "ids").join(store, "id").withColumn("pos", F.col("pos").cast("bigint"))

@@ -37,7 +37,7 @@ JOIN (SELECT dataset, quantile_cont(score + 1e-9, 0.5) + 1e-9 AS typical FROM kn
 
 def vectors(t):
     """z-normalised archive series as vectors, without labels."""
-    return t.once("vectors", lambda: t.series().select("dataset", "split", "idx", z_norm("values").alias("vec")))
+    return t.once("vectors", lambda: t.scored_series().select("dataset", "split", "idx", z_norm("values").alias("vec")))
 
 
 def scaled(t):

@@ -94,11 +94,12 @@ SELECT dataset, any_value(low) AS low, any_value(mean) AS mean, any_value(std) A
   avg(ln(score - low + 1e-6)) AS ln_mean, stddev_pop(ln(score - low + 1e-6)) AS ln_std, avg(score - low + 1e-6) AS shift_mean,
   quantile_cont(score, 0.98) AS fallback, count(*) AS n
 FROM (SELECT *, min(score) OVER w AS low, avg(score) OVER w AS mean, stddev_pop(score) OVER w AS std FROM train WINDOW w AS (PARTITION BY dataset)) GROUP BY 1""")
-fragment("adaptive", "train_moments", f"""
+ADAPTIVE = f"""
 SELECT dataset, skew, n, CASE WHEN std = 0 THEN fallback WHEN skew > 1.2 THEN exp(ln_mean + {Z98!r} * ln_std) + low - 1e-6
   WHEN skew < 0.2 THEN mean + {Z98!r} * std
   ELSE shift_mean * pow(1 - 1 / (9 * shape) + {Z98!r} / (3 * sqrt(shape)), 3) + low - 1e-6 END AS threshold
-FROM (SELECT *, (3 - s + sqrt((s - 3) * (s - 3) + 24 * s)) / (12 * s) AS shape FROM (SELECT *, ln(shift_mean) - ln_mean AS s FROM train_moments))""")
+FROM (SELECT *, (3 - s + sqrt((s - 3) * (s - 3) + 24 * s)) / (12 * s) AS shape FROM (SELECT *, ln(shift_mean) - ln_mean AS s FROM MOMENTS))"""
+fragment("adaptive", "train_moments", ADAPTIVE.replace("MOMENTS", "train_moments"))
 
 
 @query("skew_adaptive_threshold", "adaptive", f"SELECT dataset, {r6('threshold')} AS threshold, {r6('skew')} AS skew FROM adaptive")
@@ -120,6 +121,7 @@ SELECT dataset, any_value(low) AS low, any_value(mean) AS mean, any_value(std) A
   avg(ln(score - low + 1e-6)) AS ln_mean, stddev_pop(ln(score - low + 1e-6)) AS ln_std, avg(score - low + 1e-6) AS shift_mean,
   quantile_cont(score, 0.98) AS fallback, count(*) AS n
 FROM (SELECT *, min(score) OVER w AS low, avg(score) OVER w AS mean, stddev_pop(score) OVER w AS std FROM wide_train WINDOW w AS (PARTITION BY dataset)) GROUP BY 1""")
+fragment("wide_adaptive", "wide_moments", ADAPTIVE.replace("MOMENTS", "wide_moments"))
 fragment("tail90", "wide_train", tail_sql(0.9))
 TAIL = """CASE WHEN abs(k) < 1e-9 THEN -sigma * ln(1 - p) ELSE sigma / k * (1 - pow(1 - p, k)) END"""
 
@@ -130,18 +132,20 @@ def wide(t):
     return placed.select(F.col("family").alias("dataset"), F.col("_i").alias("idx"), "score")
 
 
-@query("peaks_over_threshold", "tail90 wide_moments", f"""
-SELECT dataset, {r6('base + ' + TAIL)} AS threshold, nt AS excesses FROM (
-  SELECT *, least(0.9999, greatest(0.9, 1 - 0.02 * n / nt)) AS p, b0 / (b0 - 2 * a1) - 2 AS k, 2 * b0 * a1 / (b0 - 2 * a1) AS sigma FROM tail90 WHERE nt > 10)""")
+@query("peaks_over_threshold", "tail90 wide_adaptive", f"""
+WITH t AS (SELECT *, least(0.9999, greatest(0.9, 1 - 0.02 * n / nt)) AS p, b0 / (b0 - 2 * a1) - 2 AS k, 2 * b0 * a1 / (b0 - 2 * a1) AS sigma FROM tail90 WHERE nt > 10)
+SELECT a.dataset, {r6('coalesce(base + ' + TAIL + ', a.threshold)')} AS threshold, coalesce((SELECT nt FROM tail90 x WHERE x.dataset = a.dataset), 0) AS excesses
+FROM wide_adaptive a LEFT JOIN t ON t.dataset = a.dataset""")
 def _(t):
     got = T.peaks_over_threshold(wide(t), DS, 0.02)
     return got.select("dataset", R6("threshold").alias("threshold"), "excesses")
 
 
-@query("fixed_rate_tail", "tail90", f"""
-SELECT dataset, {r6('base + ' + TAIL)} AS threshold, 'evt_gpd' AS method FROM (
-  SELECT *, CASE WHEN 1 - 0.02 * n / nt < 0 THEN 0.98 WHEN 1 - 0.02 * n / nt >= 1 THEN 0.999 ELSE 1 - 0.02 * n / nt END AS p,
-    b0 / (b0 - 2 * a1) - 2 AS k, 2 * b0 * a1 / (b0 - 2 * a1) AS sigma FROM tail90 WHERE nt > 10)""")
+@query("fixed_rate_tail", "tail90 wide_adaptive", f"""
+WITH t AS (SELECT *, CASE WHEN 1 - 0.02 * n / nt < 0 THEN 0.98 WHEN 1 - 0.02 * n / nt >= 1 THEN 0.999 ELSE 1 - 0.02 * n / nt END AS p,
+  b0 / (b0 - 2 * a1) - 2 AS k, 2 * b0 * a1 / (b0 - 2 * a1) AS sigma FROM tail90 WHERE nt > 10)
+SELECT a.dataset, {r6('coalesce(base + ' + TAIL + ', a.threshold)')} AS threshold, CASE WHEN t.dataset IS NULL THEN 'adaptive_fallback' ELSE 'evt_gpd' END AS method
+FROM wide_adaptive a LEFT JOIN t ON t.dataset = a.dataset""")
 def _(t):
     got = T.fixed_tail(wide(t), DS, 0.02)
     return got.select("dataset", R6("threshold").alias("threshold"), "method")

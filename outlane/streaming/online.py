@@ -7,11 +7,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
+from outlane.functions.order import with_position
+
 # Smoothing, window length, deviation margin, covariate share.
 ALPHA, WINDOW, MARGIN, GAMMA = 0.15, 50, 1.0, 0.3
 OUT = "dataset string, idx bigint, score double, ema double, threshold double, alert int"
@@ -87,16 +89,20 @@ def online_threshold_batch(scores: DataFrame, start: DataFrame, window: int = WI
     tail in front.  The smoothed score is a geometric sum over a frame: after
     200 steps a term weighs less than 1e-14, so the frame is exact to doubles.
     """
-    reach = 200
-    order = Window.partitionBy("dataset").orderBy("idx")
-    warm = start.select("dataset", "mu", "limit", F.posexplode(F.concat(
+    reach, block = 200, 50_000
+    warm = start.select("dataset", "mu", F.posexplode(F.concat(
         F.array_repeat(F.col("mu"), F.lit(window) - F.least(F.lit(window), F.size("tail"))), "tail")).alias("p", "score"))
     rows = warm.select("dataset", (F.col("p") - window).cast("long").alias("idx"), "score").unionByName(
         scores.select("dataset", "idx", "score"))
+    # blocks of the order overlap by the frame, so a hot dataset is many tasks
+    own = F.greatest(F.lit(0).cast("long"), F.floor(F.col("idx") / block))
+    blocks = F.when((F.col("idx") >= 0) & (F.pmod("idx", F.lit(block)) >= block - reach), F.array(own, own + 1)).otherwise(F.array(own))
+    placed = rows.withColumn("own", own).withColumn("block", F.explode(blocks))
+    order = Window.partitionBy("dataset", "block").orderBy("idx")
     recent = order.rowsBetween(-window, -1)
     terms = F.collect_list(F.when(F.col("idx") >= 0, F.col("score"))).over(order.rowsBetween(-reach, 0))
-    framed = rows.withColumn("m", F.avg("score").over(recent)).withColumn("s", F.stddev_pop("score").over(recent)).withColumn("terms", terms)
-    kept = framed.filter("idx >= 0").join(start.select("dataset", "mu", "limit"), "dataset")
+    framed = placed.withColumn("m", F.avg("score").over(recent)).withColumn("s", F.stddev_pop("score").over(recent)).withColumn("terms", terms)
+    kept = framed.filter((F.col("idx") >= 0) & (F.col("own") == F.col("block"))).join(start.select("dataset", "mu", "limit"), "dataset")
     ema = F.aggregate("terms", F.col("mu"), lambda acc, x: ALPHA * x + (1 - ALPHA) * acc)
     bound = (F.col("limit") + MARGIN * F.col("s")) * (GAMMA * F.col("m") / F.col("mu") + 1 - GAMMA)
     return kept.select("dataset", "idx", "score", ema.alias("ema"), bound.alias("threshold"), (ema > bound).cast("int").alias("alert"))
@@ -104,29 +110,44 @@ def online_threshold_batch(scores: DataFrame, start: DataFrame, window: int = WI
 
 # ---- frozen reference -------------------------------------------------------
 
-def frozen_reference(train: DataFrame) -> DataFrame:
-    """Running TRAIN counts per distinct score, each with the next lower score:
-    a row of the stream falls into exactly one (low, high] interval."""
+VALUE_BUCKETS = 1024
+
+
+def _value_bucket(value) -> Column:
+    share = (F.col(value) - F.col("least")) / F.greatest(F.col("most") - F.col("least"), F.lit(1e-12))
+    return F.floor(F.least(F.lit(1.0), F.greatest(F.lit(0.0), share)) * VALUE_BUCKETS)
+
+
+def frozen_reference(train: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Frozen TRAIN scores as (ranges, steps).
+
+    A step is an interval (low, high] between neighbouring distinct scores with
+    the number of TRAIN scores at or above it, listed under the value buckets it
+    touches; ``ranges`` says how a dataset is bucketed.
+    """
+    ranges = train.groupBy("dataset").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least"), F.max("score").alias("most"))
     counts = train.groupBy("dataset", "score").agg(F.count(F.lit(1)).alias("c"))
-    order = Window.partitionBy("dataset").orderBy(F.col("score"))
-    n = train.groupBy("dataset").agg(F.count(F.lit(1)).alias("n"))
-    steps = counts.select("dataset", F.col("score").alias("high"), F.lag("score").over(order).alias("low"),
-                          F.sum("c").over(order.rowsBetween(0, Window.unboundedFollowing)).alias("ge"))
-    top = train.groupBy("dataset").agg(F.max("score").alias("low")).select(
-        "dataset", F.lit(None).cast("double").alias("high"), "low", F.lit(0).cast("long").alias("ge"))
-    return steps.unionByName(top).join(n, "dataset")
+    placed = with_position(counts, ["dataset"], [("score", "asc")], "p", {"upto": F.col("c")})
+    before = placed.select("dataset", (F.col("p") + 1).alias("p"), F.col("score").alias("low"))
+    steps = placed.join(before, ["dataset", "p"], "left").join(ranges, "dataset").select(
+        "dataset", "low", F.col("score").alias("high"), (F.col("n") - F.col("upto") + F.col("c")).alias("ge"), "least", "most")
+    top = ranges.select("dataset", F.col("most").alias("low"), F.lit(None).cast("double").alias("high"), F.lit(0).cast("long").alias("ge"), "least", "most")
+    spread = F.sequence(F.when(F.col("low").isNull(), F.lit(0).cast("long")).otherwise(_value_bucket("low")),
+                        F.when(F.col("high").isNull(), F.lit(VALUE_BUCKETS).cast("long")).otherwise(_value_bucket("high")))
+    return ranges, steps.unionByName(top).select("dataset", "low", "high", "ge", F.explode(spread).alias("bucket"))
 
 
-def conformal_stream(scores: DataFrame, reference: DataFrame) -> DataFrame:
+def conformal_stream(scores: DataFrame, reference: tuple[DataFrame, DataFrame]) -> DataFrame:
     """p-value of each arriving row against frozen TRAIN scores only.
 
-    A stream-static join without state: appending rows cannot change earlier
-    ones.
+    Two stream-static equi joins without state: appending rows cannot change
+    earlier ones, and a row meets only the steps of its own value bucket.
     """
-    s = scores.withColumnRenamed("dataset", "_d")
-    inside = (F.col("_d") == F.col("dataset")) & (F.col("low").isNull() | (F.col("score") > F.col("low"))) & (
-        F.col("high").isNull() | (F.col("score") <= F.col("high")))
-    return s.join(reference, inside).select("dataset", "idx", "score", ((1 + F.col("ge")) / (F.col("n") + 1)).alias("p"))
+    ranges, steps = reference
+    rows = scores.join(ranges, "dataset").withColumn("bucket", _value_bucket("score"))
+    inside = (F.col("low").isNull() | (F.col("score") > F.col("low"))) & (F.col("high").isNull() | (F.col("score") <= F.col("high")))
+    return rows.join(steps, ["dataset", "bucket"]).filter(inside).select(
+        "dataset", "idx", "score", ((1 + F.col("ge")) / (F.col("n") + 1)).alias("p"))
 
 
 # ---- resumable scoring ------------------------------------------------------
