@@ -2,9 +2,11 @@
 
 from importlib import import_module
 
-MODULES = ("fragments", "ingest", "scoring", "thresholds", "fusion", "selection", "review", "evaluation", "prep", "features", "images", "models", "streams")
+MODULES = ("fragments", "ingest", "scoring", "thresholds", "fusion", "selection", "review", "evaluation", "prep", "features",
+           "images", "models", "streams")
 
 
 def load_all() -> None:
+    """Import in order: later modules build on the fragments of earlier ones."""
     for name in MODULES:
         import_module(f"outlane.plans.{name}")

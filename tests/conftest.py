@@ -10,11 +10,11 @@ from outlane.session import local_session  # noqa: E402
 from outlane.sources.tables import Tables  # noqa: E402
 
 FOLDER = "/root/testdata/sf0.001"
+load_all()
 
 
 @pytest.fixture(scope="session")
 def spark():
-    load_all()
     session = local_session("4", "outlane-tests", "4g")
     session.conf.set("spark.sql.shuffle.partitions", "4")
     session.conf.set("spark.sql.streaming.stateStore.providerClass",
