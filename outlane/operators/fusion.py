@@ -17,7 +17,7 @@ from outlane.functions.order import exact_quantiles, with_cumulative, with_posit
 
 ID = ["dataset", "split", "idx"]
 
-# Fusion weights, bonus and small constants of the reference.
+# Fusion weights, bonus and the smallest p-value.
 RANK_WEIGHTS = {"rocket": 0.5, "image_a": 0.25, "image_b": 0.25}
 P_FLOOR = 1e-10
 

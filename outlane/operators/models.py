@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from outlane.functions.columns import array_mean, array_std, array_sum, hash_key, let, normal_cdf, uniform
+from outlane.functions.columns import array_mean, array_std, array_sum, hash_key, let, uniform
 from outlane.functions.order import exact_quantiles, with_position
 from outlane.operators.features import factor
 from outlane.operators.quality import reference_rows

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from outlane.functions.columns import hash_key
-from outlane.functions.order import exact_quantiles, with_position
+from outlane.functions.order import with_position
 
 NORMALS_PER_ANOMALY = 49
 REFERENCE_ROWS = 1000
@@ -203,9 +203,22 @@ def target_datasets(rows: DataFrame, kinds: list[str], min_train: int, max_auc_p
     return hard.orderBy(F.col("difficulty").desc(), "dataset").limit(limit)
 
 
+SALTS = 64
+
+
 def reference_rows(train: DataFrame, rows: int = REFERENCE_ROWS, seed: str = "ref") -> DataFrame:
-    """At most ``rows`` TRAIN series per dataset, chosen by hash order."""
-    return stable_sample(train, ["dataset"], F.lit(rows), seed, "reference", "idx").drop("h", "pick")
+    """At most ``rows`` TRAIN series per dataset, the first in a hash order.
+
+    Only ids are ranked, first per (dataset, salt) and then per dataset; both
+    limits are constant, so Spark prunes before each shuffle and even a hot
+    dataset sends its last task at most ``SALTS * rows`` ids.
+    """
+    h = hash_key(seed, F.col("dataset"), "reference", F.col("idx").cast("string"))
+    ids = train.select("dataset", "idx", h.alias("_h"), F.pmod(F.xxhash64("idx"), F.lit(SALTS)).alias("_s"))
+    for part in (["dataset", "_s"], ["dataset"]):
+        window = Window.partitionBy(*part).orderBy("_h", "idx")
+        ids = ids.withColumn("_r", F.row_number().over(window)).filter(F.col("_r") <= rows).drop("_r")
+    return train.join(ids.select("dataset", "idx"), ["dataset", "idx"], "left_semi")
 
 
 def label_free(rows: DataFrame, allowed: list[str]) -> DataFrame:

@@ -9,7 +9,7 @@ from outlane.operators import selection as S
 from outlane.operators import thresholds as T
 from outlane.plans.registry import fragment, query, r6
 from outlane.plans.review import evidence_lanes, hard, lanes, scored
-from outlane.plans.selection import caps_all, detail, exceed, fired, test, test_all
+from outlane.plans.selection import detail, exceed, fired, test, test_all
 
 DSS = ["dataset", "source"]
 F1 = "CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END"

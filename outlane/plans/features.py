@@ -8,10 +8,9 @@ from outlane.functions import columns as C
 from outlane.functions.columns import r6 as R6
 from outlane.operators import features as X
 from outlane.operators import kernels as N
-from outlane.operators import scoring as K
 from outlane.plans.prep import raw
 from outlane.plans.registry import fragment, query, r6
-from outlane.plans.scoring import rounded, vectors
+from outlane.plans.scoring import vectors
 
 L = 64
 AK = ("dataset", "split", "idx")
@@ -100,7 +99,8 @@ def _(t):
 
 PARAMS = N.dictionary_params(L, 5)
 fragment("dconv", "zarch", conv_sql(PARAMS, "zarch", KEY, ("quantile",)))
-fragment("biases", "dconv", "SELECT dataset, k, " + "CASE k " + " ".join(f"WHEN {i} THEN quantile_cont(c, {p['quantile']!r})" for i, p in enumerate(PARAMS)) + " END AS bias FROM dconv WHERE split = 'TRAIN' GROUP BY 1, 2")
+BIAS = "SELECT dataset, k, CASE k " + " ".join(f"WHEN {i} THEN quantile_cont(c, {p['quantile']!r})" for i, p in enumerate(PARAMS)) + " END AS bias FROM {0} WHERE split = 'TRAIN' GROUP BY 1, 2"
+fragment("biases", "dconv", BIAS.format("dconv"))
 
 
 def biases(t):
@@ -117,11 +117,12 @@ def _(t):
     return long(N.pooled_features(zarch(t), biases(t), L, 5, all_pools=False), *AK)
 
 
-fragment("pools", "dconv biases", f"""
-WITH e AS (SELECT {KEY}, k, p, c - bias AS x, c > bias AS a, count(*) OVER (PARTITION BY {KEY}, k) AS n FROM dconv JOIN biases USING (dataset, k)),
+POOLS = f"""
+WITH e AS (SELECT {KEY}, k, p, c - bias AS x, c > bias AS a, count(*) OVER (PARTITION BY {KEY}, k) AS n FROM CONV JOIN BIAS USING (dataset, k)),
 i AS (SELECT {KEY}, k, max(len) AS longest FROM (SELECT {KEY}, k, g, count(*) AS len FROM (SELECT *, p - row_number() OVER (PARTITION BY {KEY}, k ORDER BY p) AS g FROM e WHERE a) GROUP BY ALL) GROUP BY ALL)
 SELECT {KEY}, k, s, CASE s WHEN 0 THEN avg(CASE WHEN a THEN 1 ELSE 0 END) WHEN 1 THEN coalesce(avg(CASE WHEN a THEN x END), 0) WHEN 2 THEN coalesce(avg(CASE WHEN a THEN p / greatest(1, n - 1) END), 0)
-  ELSE coalesce(any_value(longest), 0) / any_value(n) END AS v FROM e LEFT JOIN i USING ({KEY}, k), (SELECT unnest(range(4)) AS s) GROUP BY {KEY}, k, s""")
+  ELSE coalesce(any_value(longest), 0) / any_value(n) END AS v FROM e LEFT JOIN i USING ({KEY}, k), (SELECT unnest(range(4)) AS s) GROUP BY {KEY}, k, s"""
+fragment("pools", "dconv biases", POOLS.replace("CONV", "dconv").replace("BIAS", "biases"))
 
 
 @query("multi_pool_features", "pools", f"SELECT {KEY}, 4 * k + s AS feature, {r6('v')} AS v FROM pools")
@@ -129,7 +130,15 @@ def _(t):
     return long(N.pooled_features(zarch(t), biases(t), L, 5), *AK)
 
 
-@query("raw_and_diff_pool_features")
+fragment("zarch_diff", "points", """SELECT dataset, split, idx, list(v ORDER BY pos) AS values FROM (
+  SELECT dataset, split, idx, pos, v - coalesce(lag(v) OVER (PARTITION BY dataset, split, idx ORDER BY pos), v) AS v FROM points) GROUP BY 1, 2, 3""")
+fragment("dconv_diff", "zarch_diff", conv_sql(PARAMS, "zarch_diff", KEY, ("quantile",)))
+fragment("biases_diff", "dconv_diff", BIAS.format("dconv_diff"))
+fragment("pools_diff", "dconv_diff biases_diff", POOLS.replace("CONV", "dconv_diff").replace("BIAS", "biases_diff"))
+
+
+@query("raw_and_diff_pool_features", "pools pools_diff", f"""
+SELECT 'raw' AS representation, {KEY}, 4 * k + s AS feature, {r6('v')} AS v FROM pools UNION ALL SELECT 'diff', {KEY}, 4 * k + s, {r6('v')} FROM pools_diff""")
 def _(t):
     """The pooled set on the series and on its change, side by side."""
     rows = zarch(t)

@@ -1,7 +1,5 @@
 """Queries for image textures of series."""
 
-from pyspark.sql import functions as F
-
 from outlane.operators import images as I
 from outlane.plans.features import long, zraw
 from outlane.plans.registry import fragment, query, r6
@@ -79,15 +77,34 @@ def _(t):
     return texture(t, ["rp"], "hog")
 
 
-@query("lbp_texture")
+CODE = " + ".join(f"CASE WHEN n{b}.v >= p.v THEN {1 << b} ELSE 0 END" for b in range(8))
+JOINS = " ".join(f"JOIN rp n{b} ON n{b}.id = p.id AND n{b}.px = p.px + ({dy * S + dx})" for b, (dy, dx) in enumerate(I.NEIGHBOURS))
+INNER = (S - 2) * (S - 2)
+
+
+@query("lbp_texture", "rp", f"""
+WITH c AS (SELECT p.id, {CODE} AS feature FROM rp p {JOINS} WHERE p.px % {S} BETWEEN 1 AND {S - 2} AND p.px // {S} BETWEEN 1 AND {S - 2}),
+h AS (SELECT id, feature, count(*) AS n FROM c GROUP BY 1, 2)
+SELECT id, feature, {r6(f'coalesce(n, 0) / ({INNER} + 1e-6)')} AS v FROM (SELECT DISTINCT id, unnest(range(256)) AS feature FROM rp) LEFT JOIN h USING (id, feature)""")
 def _(t):
-    """Comparison codes; equal pixels tie, so the check is on a fixture."""
-    return texture(t, ["gasf"], "lbp")
+    return texture(t, ["rp"], "lbp")
+
+
+def _glcm_sql():
+    stats = ("sum(pow(i - j, 2) * p)", "sum(abs(i - j) * p)", "sum(p / (1 + abs(i - j)))", "sum(p * p)", "sqrt(sum(p * p))", "-sum(p * ln(p + 1e-6))",
+             "sum((i - mi) * (j - mj) * p) / ((sqrt(sum(pow(i - mi, 2) * p)) + 1e-6) * (sqrt(sum(pow(j - mj, 2) * p)) + 1e-6))")
+    parts = []
+    for o, (dy, dx) in enumerate(I.OFFSETS):
+        parts.append(f"""SELECT a.id, {o} AS o, a.q AS i, b.q AS j FROM q a JOIN q b ON a.id = b.id AND b.px = a.px + {dy * S + dx} AND b.px % {S} - a.px % {S} = {dx}""")
+    return f"""WITH q AS (SELECT id, px, CAST(greatest(0, least(7, floor((v - min(v) OVER w) / (max(v) OVER w - min(v) OVER w + 1e-6) * 8))) AS INT) AS q FROM rp WINDOW w AS (PARTITION BY id)),
+e AS ({' UNION ALL '.join(parts)}), m AS (SELECT id, o, i, j, count(*) AS c FROM (SELECT * FROM e UNION ALL SELECT id, o, j, i FROM e) GROUP BY ALL),
+p AS (SELECT *, c / (sum(c) OVER (PARTITION BY id, o) + 1e-6) AS p FROM m), s AS (SELECT *, sum(i * p) OVER (PARTITION BY id, o) AS mi, sum(j * p) OVER (PARTITION BY id, o) AS mj FROM p)
+SELECT id, feature, {r6('v')} AS v FROM ({' UNION ALL '.join(f'SELECT id, o * 7 + {k} AS feature, {e} AS v FROM s GROUP BY id, o' for k, e in enumerate(stats))})"""
 
 
-@query("glcm_texture")
+@query("glcm_texture", "rp", _glcm_sql())
 def _(t):
-    return texture(t, ["gasf"], "glcm")
+    return texture(t, ["rp"], "glcm")
 
 
 @query("image_feature_set", "gasf rp", f"SELECT id, px AS feature, {r6('v')} AS v FROM gasf UNION ALL SELECT id, px + {N}, {r6('v')} FROM rp")

@@ -9,10 +9,10 @@ from outlane.operators import kernels as N
 from outlane.operators import models as M
 from outlane.operators import scoring as K
 from outlane.operators import thresholds as T
-from outlane.plans.features import AK, KEY, L, conv_sql, long, zarch, zraw
+from outlane.plans.features import AK, KEY, L, conv_sql, long, zarch
 from outlane.plans.prep import raw
 from outlane.plans.registry import fragment, query, r6
-from outlane.plans.scoring import near, rounded, scaled, vectors
+from outlane.plans.scoring import near, rounded, vectors
 from outlane.session import stage
 
 fragment("folds", "archive", """
@@ -296,7 +296,14 @@ def _(t):
     return raw(t).select("id", M.periodic_flag("values").alias("periodic"))
 
 
-@query("periodicity_datasets")
+@query("periodicity_datasets", "panel", f"""
+WITH p AS (SELECT dataset, idx, len(values) AS n, unnest(range(len(values))) AS pos, unnest(values) AS v FROM panel),
+c AS (SELECT dataset, idx, n, pos, v - avg(v) OVER (PARTITION BY dataset, idx) AS v FROM p),
+a AS (SELECT x.dataset, x.idx, any_value(x.n) AS n, y.pos - x.pos AS lag, sum(x.v * y.v) / any_value(s.p) AS acf FROM c x JOIN c y ON x.dataset = y.dataset AND x.idx = y.idx AND y.pos >= x.pos
+  JOIN (SELECT dataset, idx, sum(v * v) AS p FROM c GROUP BY 1, 2) s ON s.dataset = x.dataset AND s.idx = x.idx GROUP BY x.dataset, x.idx, y.pos - x.pos),
+k AS (SELECT *, lag(acf) OVER w AS b, lead(acf) OVER w AS nx FROM a WINDOW w AS (PARTITION BY dataset, idx ORDER BY lag)),
+f AS (SELECT dataset, idx, CASE WHEN max(CASE WHEN n >= 15 AND lag >= 5 AND lag < n - 1 AND acf > b AND acf > nx THEN acf END) > 0.4 THEN 1 ELSE 0 END AS f FROM k GROUP BY 1, 2)
+SELECT dataset, {r6('avg(f)')} AS share, CASE WHEN avg(f) >= 0.5 THEN 1 ELSE 0 END AS periodic FROM f GROUP BY 1""")
 def _(t):
     return M.periodic_datasets(t.panel(), "acf").withColumn("share", R6("share"))
 

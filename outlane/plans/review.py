@@ -6,7 +6,6 @@ from outlane.functions.columns import r6 as R6
 from outlane.operators import fusion as U
 from outlane.operators import rerank as R
 from outlane.operators import selection as S
-from outlane.operators import thresholds as T
 from outlane.plans.fusion import reliabilities
 from outlane.plans.registry import fragment, query, r6
 from outlane.plans.selection import exceed, fired, test, test_all

@@ -3,10 +3,9 @@
 from pyspark.sql import functions as F
 
 from outlane.functions.columns import r6 as R6
-from outlane.operators import fusion as U
 from outlane.operators import selection as S
 from outlane.operators import thresholds as T
-from outlane.plans.fusion import DSS, base, pvalues, source_caps
+from outlane.plans.fusion import DSS, base, pvalues
 from outlane.plans.registry import fragment, query, r6
 from outlane.plans.thresholds import cap_sql
 

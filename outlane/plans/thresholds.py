@@ -1,7 +1,5 @@
 """Queries for thresholds."""
 
-import math
-
 from pyspark.sql import functions as F
 
 from outlane.functions.columns import ERF, normal_quantile_value
