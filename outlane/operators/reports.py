@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -150,11 +152,14 @@ def reaggregate(detail: DataFrame, summary: DataFrame, keys: list[str], columns:
     return both.select(*keys, ok.cast("int").alias("consistent"))
 
 
+ISLANDS_PER_RUN = 1000
+
+
 def tolerance_match(left: DataFrame, right: DataFrame, tolerance: int) -> DataFrame:
     """Greedy nearest matching within +-t, left rows in ascending order.
 
     Positions more than t apart cannot interact, so the line is cut into
-    islands first; the sequential part only ever sees one island.
+    islands first; the sequential part sees a bounded run of islands.
     """
     both = left.select(*ID).distinct().withColumn("side", F.lit(0)).unionByName(
         right.select(*ID).distinct().withColumn("side", F.lit(1)))
@@ -169,7 +174,7 @@ def tolerance_match(left: DataFrame, right: DataFrame, tolerance: int) -> DataFr
         ours = sorted(part.loc[part["side"] == 0, "idx"])
         hits = 0
         for x in ours:
-            near = [v for v in free if abs(v - x) <= tolerance]
+            near = free[bisect_left(free, x - tolerance):bisect_right(free, x + tolerance)]
             if near:
                 free.remove(min(near, key=lambda v: (abs(v - x), v)))
                 hits += 1
@@ -177,7 +182,8 @@ def tolerance_match(left: DataFrame, right: DataFrame, tolerance: int) -> DataFr
                              "left_only": [len(ours) - hits], "right_only": [len(free)]})
 
     schema = "dataset string, matched bigint, left_only bigint, right_only bigint"
-    per = islands.select("dataset", "island", "idx", "side").groupBy("dataset", "island").applyInPandas(greedy, schema)
+    run = F.floor(F.col("island") / ISLANDS_PER_RUN).alias("run")
+    per = islands.select("dataset", run, "idx", "side").groupBy("dataset", "run").applyInPandas(greedy, schema)
     return per.groupBy("dataset").agg(*[F.sum(c).alias(c) for c in ("matched", "left_only", "right_only")])
 
 
