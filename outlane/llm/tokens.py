@@ -51,9 +51,9 @@ class UnitTable:
     characters, which bounds memory and changes no result.
     """
 
-    def __init__(self, cut, specials, encode_units, encode_whole, limit: int = 700_000, limit_chars: int = 16_000_000):
+    def __init__(self, cut, specials, encode_units, encode_whole, most_id: int = 2**31 - 1, limit: int = 700_000, limit_chars: int = 16_000_000):
         self.cut, self.specials, self.limit, self.limit_chars = cut, specials, limit, limit_chars
-        self.encode_units, self.encode_whole = encode_units, encode_whole
+        self.encode_units, self.encode_whole, self.most_id = encode_units, encode_whole, most_id
         self._clear()
 
     def _clear(self) -> None:
@@ -163,7 +163,7 @@ def library_table(path: str, kind: str) -> UnitTable:
         return out, n
 
     specials = [token.content for token in tokenizer.get_added_tokens_decoder().values()]
-    _TABLES[key] = UnitTable(word_units if kind == "word" else spaced_units, specials, encode_units, separate)
+    _TABLES[key] = UnitTable(word_units if kind == "word" else spaced_units, specials, encode_units, separate, len(edge) - 1)
     return _TABLES[key]
 
 
