@@ -51,7 +51,7 @@ class UnitTable:
     characters, which bounds memory and changes no result.
     """
 
-    def __init__(self, cut, specials, encode_units, encode_whole, most_id: int = 2**31 - 1, limit: int = 700_000, limit_chars: int = 16_000_000):
+    def __init__(self, cut, specials, encode_units, encode_whole, most_id: int = 2**31 - 1, limit: int = 250_000, limit_chars: int = 8_000_000):
         self.cut, self.specials, self.limit, self.limit_chars = cut, specials, limit, limit_chars
         self.encode_units, self.encode_whole, self.most_id = encode_units, encode_whole, most_id
         self._clear()
@@ -167,7 +167,7 @@ def library_table(path: str, kind: str) -> UnitTable:
     return _TABLES[key]
 
 
-def blocks(batches, text_at: int, most_bytes: int = 8_000_000):
+def blocks(batches, text_at: int, most_bytes: int = 4_000_000):
     """Slices of Arrow batches with at most ``most_bytes`` of text (or one row)."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(text_at)), 0).to_numpy(zero_copy_only=False)
@@ -176,3 +176,4 @@ def blocks(batches, text_at: int, most_bytes: int = 8_000_000):
         for a, b in zip(cuts[:-1], cuts[1:]):
             if b > a:
                 yield batch.slice(a, b - a)
+                pa.default_memory_pool().release_unused()
