@@ -2,11 +2,12 @@
 
 A plain window puts a whole group into one task.  That is right for groups of
 ordinary size and fatal when one dataset holds a third of all rows.  Every
-operator here first asks whether such a group can exist; only then it takes the
+operator here first asks whether such a group exists; only then it takes the
 split path: choose split points from a hash-selected subset of the group's own
 keys, number the rows inside each split, and add the sizes of the splits before
 it.  The split points only balance the work - every row is numbered, and the
-numbers are the same on both paths.
+numbers are the same on both paths: NULL and NaN stand where Spark's own
+ascending and descending orders put them, and NULL values keep their rows.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 HOT_ROWS_CONF = "outlane.hotGroupRows"
 HOT_ROWS_DEFAULT = 2_000_000
-SMALL_INPUT_BYTES = 64 * 1024 * 1024
+SMALL_INPUT_BYTES = 8 * 1024 * 1024
 SPLITS = 256
 POINTS_PER_SPLIT = 32
 
@@ -28,7 +29,8 @@ def hot_rows(df: DataFrame) -> int:
 def has_hot_group(df: DataFrame, keys: list[str]) -> bool:
     """True when some group is larger than one task should hold.
 
-    A plan that scans little cannot contain one, so no job runs.
+    The question costs a job, left out when little is scanned: the plain path
+    gives the same rows, so a wrong guess about very small files costs time only.
     """
     limit = hot_rows(df)
     if limit >= HOT_ROWS_DEFAULT and _scanned_bytes(df) <= SMALL_INPUT_BYTES:
@@ -42,6 +44,23 @@ def _scanned_bytes(df: DataFrame) -> int:
     return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 
 
+def _sort_key(df: DataFrame, order: list[tuple[str, str]]) -> Column:
+    """One struct whose ascending order is the asked order.
+
+    Each column becomes (flag, value): the flag puts NULL first and NaN last for
+    ascending columns and the other way round for descending ones.
+    """
+    fields = []
+    for i, (c, direction) in enumerate(order):
+        value, floating = F.col(c), df.schema[c].dataType.typeName() in ("double", "float")
+        nan = F.isnan(value) if floating else F.lit(False)
+        null, odd = (0, 2) if direction == "asc" else (2, 0)
+        flag = F.when(value.isNull(), null).when(nan, odd).otherwise(1)
+        plain = value if direction == "asc" else -value
+        fields += [flag.alias(f"f{i}"), (F.when(~nan, plain) if floating else plain).alias(f"k{i}")]
+    return F.struct(*fields)
+
+
 def _splits(df: DataFrame, keys: list[str]) -> DataFrame:
     """Per hot group, a bounded sorted list of split points of ``_k``."""
     limit = hot_rows(df)
@@ -72,8 +91,7 @@ def with_position(df: DataFrame, keys: list[str], order: list[tuple[str, str]],
         for label, value in running.items():
             out = out.withColumn(label, F.sum(value).over(frame))
         return out
-    key = F.struct(*[(-F.col(c) if d == "desc" else F.col(c)).alias(f"k{i}") for i, (c, d) in enumerate(order)])
-    keyed = df.withColumn("_k", key)
+    keyed = df.withColumn("_k", _sort_key(df, order))
     for label, value in running.items():
         keyed = keyed.withColumn(label, value)
     bounded = keyed.join(_splits(keyed, keys), keys, "left")
@@ -115,7 +133,9 @@ def with_cumulative(df: DataFrame, keys: list[str], value: str, sums: dict[str,
     steps = df.groupBy(*keys, value).agg(*[F.sum(w).alias(f"_s_{n}") for n, w in sums.items()])
     direction = "desc" if descending else "asc"
     steps = with_position(steps, keys, [(value, direction)], "_p", {n: F.col(f"_s_{n}") for n in sums})
-    return df.join(steps.select(*keys, value, *sums), keys + [value])
+    found = steps.select(*[F.col(c).alias(f"_j{i}") for i, c in enumerate([*keys, value])], *sums)
+    same = [F.col(c).eqNullSafe(F.col(f"_j{i}")) for i, c in enumerate([*keys, value])]
+    return df.join(found, same).drop(*[f"_j{i}" for i in range(len(keys) + 1)])
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, quantiles: dict[str, float],
