@@ -122,39 +122,6 @@ def resample(arr, target) -> Column:
             .when(n == target, arr).otherwise(grid))
 
 
-def interpolate_missing(arr) -> Column:
-    """Fill null/NaN/infinite points linearly, hold the edges, all bad -> 0.
-
-    Two linear scans carry the nearest good point from the left and from the
-    right; no shuffle and no quadratic look-up.
-    """
-    arr = _c(arr)
-    n = F.size(arr)
-    bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf")))
-    empty = F.array().cast("array<struct<v:double,p:int>>")
-    start = F.struct(empty.alias("out"), F.lit(None).cast("struct<v:double,p:int>").alias("last"))
-    state = "struct<out:array<struct<v:double,p:int>>,last:struct<v:double,p:int>>"
-
-    def scan(values):
-        def step(acc, x):
-            seen = F.when(bad(x["v"]), acc["last"]).otherwise(x)
-            return F.struct(F.concat(acc["out"], F.array(seen)).alias("out"), seen.alias("last")).cast(state)
-        return F.aggregate(values, start.cast(state), step, lambda acc: acc["out"])
-
-    placed = F.transform(arr, lambda x, i: F.struct(x.cast("double").alias("v"), i.cast("int").alias("p")))
-    left, right = scan(placed), F.reverse(scan(F.reverse(placed)))
-
-    def fill(pair, i):
-        a, b = pair["l"], pair["r"]
-        line = a["v"] + (b["v"] - a["v"]) * (i - a["p"]) / (b["p"] - a["p"])
-        return (F.when(a.isNull() & b.isNull(), F.lit(0.0)).when(a.isNull(), b["v"])
-                .when(b.isNull() | (a["p"] == b["p"]), a["v"]).otherwise(line))
-
-    pairs = F.arrays_zip(left.alias("l"), right.alias("r"))
-    return F.when(~F.exists(arr, bad), arr.cast("array<double>")).otherwise(
-        F.when(n == 0, arr.cast("array<double>")).otherwise(F.transform(pairs, fill)))
-
-
 def fixed_width(arr, width: int) -> Column:
     return F.slice(F.concat(_c(arr), F.array_repeat(F.lit(0.0), width)), 1, width)
 

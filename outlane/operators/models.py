@@ -60,7 +60,9 @@ def crossfit(rows: DataFrame, scorer, plan: DataFrame | None = None) -> DataFram
     scores = scorer(stage(cross_rows(rows, plan))).filter("split <> 'TRAIN'")
     named = scores.withColumn("dataset", F.regexp_replace("dataset", "#[0-9]+$", ""))
     got = exact_quantiles(named, ["dataset", "split", "idx"], "score", {"score": 0.5})
-    return got.withColumn("split", F.when(F.col("split") == "HELD", "TRAIN").otherwise(F.col("split")))
+    folded = got.withColumn("split", F.when(F.col("split") == "HELD", "TRAIN").otherwise(F.col("split")))
+    # a dataset with one TRAIN row has no folds: distance to that row
+    return folded.unionByName(centroid(rows.join(plan.select("dataset").distinct(), "dataset", "left_anti")))
 
 
 def crossfit_source(rows: DataFrame, scorer, least: int = 5) -> DataFrame:
@@ -171,31 +173,50 @@ def injection_centroid(rows: DataFrame, synthetic: DataFrame, weight: float = 0.
     return got.select("dataset", "split", "idx", (distance() - weight * distance("vec", "fake")).alias("score"))
 
 
-def small_train(rows: DataFrame, tiny: int = 5, small: int = 30, width: int = 5) -> DataFrame:
-    """Distance to the mean for n <= 5; PCA and kernel density below 30.
+def small_train(rows: DataFrame, stored: DataFrame | None = None, tiny: int = 5, small: int = 30, width: int = 5) -> DataFrame:
+    """Score by the size of the TRAIN side.
 
-    Below 30 rows the whole TRAIN side fits beside a row as one array.
+    n <= tiny: distance to the mean.  Below ``small``: PCA, then a Gaussian
+    kernel density with the data's covariance and Scott's factor; principal
+    components are uncorrelated, so the covariance is their variances, and the
+    whole TRAIN side fits beside a row as one array.  From ``small`` on: the
+    ``stored`` reconstruction score (dataset, split, idx, score), or the distance
+    to the mean where there is none.
     """
     n = rows.filter("split = 'TRAIN'").groupBy("dataset").agg(F.count(F.lit(1)).alias("n"))
-    sized = rows.join(n, "dataset").filter(F.col("n") < small)
-    near = centroid(sized.filter(F.col("n") <= tiny).drop("n"))
-    dense = stage(factor(sized.filter(F.col("n") > tiny).drop("n"), width, True))
-    packed = dense.filter("split = 'TRAIN'").groupBy("dataset").agg(F.collect_list("vec").alias("ref"))
-    kernel = lambda r: F.exp(-0.5 * array_sum(F.zip_with("vec", r, lambda a, b: (a - b) * (a - b))))
-    density = F.aggregate(F.transform("ref", kernel), F.lit(0.0), lambda a, x: a + x) / F.size("ref")
-    kde = dense.join(packed, "dataset").select("dataset", "split", "idx", (-F.log(density + 1e-300)).alias("score"))
+    sized = rows.join(n, "dataset")
+    near = centroid(sized.filter((F.col("n") <= tiny) | (F.col("n") >= small)).drop("n"))
+    if stored is not None:
+        large = n.filter(F.col("n") >= small).select("dataset")
+        known = stored.join(large, "dataset", "left_semi").select("dataset", "split", "idx", F.col("score").alias("_stored"))
+        near = near.join(known, ["dataset", "split", "idx"], "left").select("dataset", "split", "idx", F.coalesce("_stored", "score").alias("score"))
+    dense = stage(factor(sized.filter((F.col("n") > tiny) & (F.col("n") < small)).drop("n"), width, True))
+    train = dense.filter("split = 'TRAIN'")
+    spread = (train.select("dataset", F.posexplode("vec").alias("feature", "v")).groupBy("dataset", "feature").agg(F.var_samp("v").alias("v"))
+              .groupBy("dataset").agg(F.transform(F.sort_array(F.collect_list(F.struct("feature", "v"))), lambda x: F.greatest(x["v"], F.lit(1e-12))).alias("spread")))
+    packed = train.groupBy("dataset").agg(F.collect_list("vec").alias("ref")).join(spread, "dataset")
+    count, d = F.size("ref"), F.size("spread")
+    factor2 = F.pow(count, -2.0 / (d + 4))  # square of Scott's factor
+    gap = lambda r: array_sum(F.zip_with(F.zip_with("vec", r, lambda a, b: (a - b) * (a - b)), "spread", lambda s, v: s / v))
+    logs = F.transform("ref", lambda r: -0.5 * gap(r) / factor2)
+    total = let(logs, lambda v: F.array_max(v) + F.log(array_sum(F.transform(v, lambda x: F.exp(x - F.array_max(v))))))
+    norm = F.log(count) + 0.5 * (d * (math.log(2 * math.pi) + F.log(factor2)) + array_sum(F.transform("spread", lambda v: F.log(v))))
+    kde = dense.join(packed, "dataset").select("dataset", "split", "idx", (norm - total).alias("score"))
     return near.unionByName(kde)
 
 
-def pseudo_classifier(rows: DataFrame, pseudo: DataFrame, c: float = 0.5, rounds: int = 40) -> DataFrame:
+#: TRAIN rows of a dataset that a labelled fit sees at most, first in hash order.
+FIT_ROWS = 1000
+
+
+def pseudo_classifier(rows: DataFrame, pseudo: DataFrame, c: float = 0.5, rounds: int = 40, fit_rows: int = FIT_ROWS) -> DataFrame:
     """P(anomaly) of a class-balanced logistic fit: normal against pseudo rows.
 
     ``pseudo`` rows carry the idx of their TRAIN parent, so a fold holds out a
-    row together with its perturbations.  TRAIN is cut to the reference rows
-    first, so a fit sees a bounded number of rows.
+    row together with its perturbations.  The fit sees at most ``fit_rows``
+    TRAIN rows of a dataset and their perturbations; all rows are scored.
     """
-    reference = reference_rows(rows.filter("split = 'TRAIN'"))
-    rows = stage(reference.unionByName(rows.filter("split <> 'TRAIN'")))
+    reference = stage(reference_rows(rows.filter("split = 'TRAIN'"), fit_rows))
     pseudo = pseudo.join(reference.select("dataset", "idx"), ["dataset", "idx"], "left_semi")
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["y", "idx"], kind="stable")
@@ -215,12 +236,11 @@ def pseudo_classifier(rows: DataFrame, pseudo: DataFrame, c: float = 0.5, rounds
         return pd.DataFrame({"dataset": [pdf["dataset"].iloc[0]], "bias": [float(beta[0] - (slope * mean).sum())], "slope": [slope]})
 
     plan = fold_plan(rows.filter("split = 'TRAIN'"))
-    folds = stage(cross_rows(rows, plan))
     fakes = cross_rows(pseudo.withColumn("split", F.lit("TRAIN")), plan).filter("split = 'TRAIN'").withColumn("y", F.lit(1))
-    train = folds.filter("split = 'TRAIN'").withColumn("y", F.lit(0)).unionByName(fakes)
+    train = cross_rows(reference, plan).filter("split = 'TRAIN'").withColumn("y", F.lit(0)).unionByName(fakes)
     model = train.select("dataset", "idx", "vec", "y").groupBy("dataset").applyInPandas(fit, "dataset string, bias double, slope array<double>")
     logit = F.col("bias") + array_sum(F.zip_with("vec", "slope", lambda a, b: a * b))
-    scored = folds.filter("split <> 'TRAIN'").join(model, "dataset").select("dataset", "split", "idx", (1 / (1 + F.exp(-logit))).alias("score"))
+    scored = cross_rows(rows, plan).filter("split <> 'TRAIN'").join(model, "dataset").select("dataset", "split", "idx", (1 / (1 + F.exp(-logit))).alias("score"))
     named = scored.withColumn("dataset", F.regexp_replace("dataset", "#[0-9]+$", ""))
     got = exact_quantiles(named, ["dataset", "split", "idx"], "score", {"score": 0.5})
     return got.withColumn("split", F.when(F.col("split") == "HELD", "TRAIN").otherwise(F.col("split")))
@@ -317,7 +337,8 @@ def pseudo_series(train: DataFrame, seed: str = "pseudo") -> DataFrame:
 def inject(train: DataFrame, seed: str = "inject") -> DataFrame:
     """One altered copy per TRAIN series: shift, scale, ramp, splice, reverse.
 
-    The splice donor is the neighbour in hash order, found by an equi join.
+    The splice donor is the neighbour in hash order, found by an equi join; a
+    donor shorter than the segment cannot give one, so the segment is reversed.
     """
     keys = (F.col("dataset"), F.col("idx"))
     placed = with_position(train.withColumn("_h", hash_key(seed, *keys)), ["dataset"], [("_h", "asc"), ("idx", "asc")], "_r")
@@ -330,7 +351,7 @@ def inject(train: DataFrame, seed: str = "inject") -> DataFrame:
     rows = rows.withColumn("kind", F.floor(u("kind") * 5).cast("int")).withColumn(
         "_w", (low + F.floor(u("w") * (high - low))).cast("int")).withColumn(
         "_a", F.floor(u("s") * F.greatest(F.lit(1), length - F.col("_w") + 1)).cast("int")).withColumn(
-        "_b", F.floor(u("d") * F.greatest(F.lit(1), length - F.col("_w") + 1)).cast("int"))
+        "_b", F.floor(u("d") * F.greatest(F.lit(1), F.size("_donor") - F.col("_w") + 1)).cast("int"))
     sign = F.when(u("sign") < 0.5, -1.0).otherwise(1.0)
     rows = rows.withColumn("_m", F.when(F.col("kind") == 0, sign * (2.5 + u("amp")) * (array_std("values") + 1e-6))
                            .when(F.col("kind") == 1, 0.2 + 2.6 * u("amp")).otherwise(3.0 * sign))
@@ -338,7 +359,7 @@ def inject(train: DataFrame, seed: str = "inject") -> DataFrame:
     new = (F.when(F.col("kind") == 0, F.transform(seg, lambda x: x + F.col("_m")))
            .when(F.col("kind") == 1, F.transform(seg, lambda x: x * F.col("_m")))
            .when(F.col("kind") == 2, F.transform(seg, lambda x, i: x + F.col("_m") * i / F.greatest(F.lit(1), F.col("_w") - 1)))
-           .when(F.col("kind") == 3, F.slice("_donor", F.col("_b") + 1, F.col("_w"))).otherwise(F.reverse(seg)))
+           .when((F.col("kind") == 3) & (F.size("_donor") >= F.col("_w")), F.slice("_donor", F.col("_b") + 1, F.col("_w"))).otherwise(F.reverse(seg)))
     values = F.concat(F.slice("values", F.lit(1), F.col("_a")), new, F.slice("values", F.col("_a") + F.col("_w") + 1, length))
     return rows.select("dataset", "idx", "kind", values.alias("values"))
 

@@ -137,6 +137,22 @@ def array_udf(work, *columns) -> Column:
     return run(*columns)
 
 
+def interpolate_missing(values) -> Column:
+    """Fill null/NaN/infinite points linearly, hold the edges, all bad -> 0."""
+    @F.pandas_udf("array<double>")
+    def fill(series: pd.Series) -> pd.Series:
+        out = []
+        for one in series:
+            x = None if one is None else np.array(one, dtype=float)
+            if x is not None:
+                good = np.isfinite(x)
+                x = np.interp(np.arange(len(x)), np.flatnonzero(good), x[good]) if good.any() else np.zeros(len(x))
+            out.append(x)
+        return pd.Series(out)
+
+    return fill(values)
+
+
 def band_pass(values, low: float, high: float) -> Column:
     """Zero the DFT bins outside [low, high) of the spectrum."""
     def work(x: np.ndarray) -> np.ndarray:

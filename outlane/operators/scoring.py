@@ -2,9 +2,9 @@
 
 Series travel as one row with an array.  A query row meets the reference rows
 of its dataset inside one task as a matrix product; pairs are never rows.  The
-queries of a dataset are cut into blocks and the reference into blocks of at
-most ``REFERENCE_BLOCK`` rows, so neither a hot dataset nor a long reference
-lands in one task, and per-block neighbours are merged to the exact result.
+queries and the reference of a dataset are cut into blocks of a few thousand
+rows, so neither a hot dataset nor a long reference lands in one task, and
+per-block neighbours are merged to the exact result.
 """
 
 from __future__ import annotations
@@ -15,10 +15,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from outlane.functions.columns import array_sum
+from outlane.functions.order import exact_quantiles
 from outlane.session import stage
 
 QUERY_BLOCK = 4000
-REFERENCE_BLOCK = 1000
+REFERENCE_BLOCK = 2000
 NEAR = "array<struct<d:double,rid:bigint>>"
 
 # Guards of the density scores and of the robust scaling.
@@ -29,15 +30,10 @@ SPREAD_EPS = 1e-6
 # ---- scaling ----------------------------------------------------------------
 
 def feature_quantiles(reference: DataFrame, quantiles: dict[str, float], keys=("dataset",)) -> DataFrame:
-    """Per (keys, feature) exact linear quantiles of an array column ``vec``.
-
-    The reference is the capped TRAIN set (see ``reference_rows``), so a group
-    is at most that many values.
-    """
+    """Per (keys, feature) exact linear quantiles of an array column ``vec``,
+    whatever the number of reference rows."""
     long = reference.select(*keys, F.posexplode("vec").alias("feature", "v"))
-    qs = F.percentile("v", F.array(*[F.lit(float(q)) for q in quantiles.values()]))
-    return long.groupBy(*keys, "feature").agg(qs.alias("q")).select(
-        *keys, "feature", *[F.col("q")[i].alias(n) for i, n in enumerate(quantiles)])
+    return exact_quantiles(long, [*keys, "feature"], "v", quantiles)
 
 
 def pack(features: DataFrame, columns: list[str], keys=("dataset",)) -> DataFrame:
@@ -57,58 +53,65 @@ def robust_scale(rows: DataFrame, reference: DataFrame, keys=("dataset",)) -> Da
 
 # ---- neighbours -------------------------------------------------------------
 
+def _nearest(q: np.ndarray, ref: np.ndarray, rid: np.ndarray, own: np.ndarray, k: int) -> list:
+    """k nearest reference rows of each query, ties to the lower reference id.
+
+    A matrix product ranks them; what it cannot tell apart from the k-th by
+    more than its rounding error is measured again, coordinate by coordinate.
+    """
+    size_q, size_r = (q * q).sum(axis=1), (ref * ref).sum(axis=1)
+    rough = size_q[:, None] + size_r[None, :] - 2 * q @ ref.T
+    rough[own] = np.inf
+    take = min(k, len(ref))
+    kth = np.partition(rough, take - 1, axis=1)[:, take - 1]
+    slack = 1e-12 * (size_q + size_r.max()) * q.shape[1] + 1e-300
+    out = []
+    for i in range(len(q)):
+        near = np.flatnonzero((rough[i] <= kth[i] + 2 * slack[i]) & ~own[i])
+        dist = np.sqrt(((q[i] - ref[near]) ** 2).sum(axis=1))
+        best = np.lexsort((rid[near], dist))[:k]
+        out.append([{"d": float(dist[b]), "rid": int(rid[near[b]])} for b in best])
+    return out
+
+
 def _block_neighbours(k: int, skip_self: bool):
     def work(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({"dataset": [], "split": [], "idx": [], "near": []})
-        right = right.sort_values("rid", kind="stable")
         ref, rid = np.stack(right["ref_vec"].to_numpy()).astype(float), right["rid"].to_numpy()
         out = []
-        step = max(1, 4_000_000 // max(1, ref.size))
+        step = max(1, 4_000_000 // len(ref))
         for start in range(0, len(left), step):
             part = left.iloc[start:start + step]
             q = np.stack(part["query_vec"].to_numpy()).astype(float)
-            dist = np.sqrt(((q[:, None, :] - ref[None, :, :]) ** 2).sum(axis=2))
+            own = np.zeros((len(q), len(ref)), bool)
             if skip_self:
                 own = (part["split"].to_numpy() == "TRAIN")[:, None] & (part["idx"].to_numpy()[:, None] == rid[None, :])
-                dist = np.where(own, np.inf, dist)
-            order = np.argsort(dist, axis=1, kind="stable")[:, :k]
-            for i, row in enumerate(order):
-                out.append([{"d": float(dist[i, j]), "rid": int(rid[j])} for j in row if np.isfinite(dist[i, j])])
+            out += _nearest(q, ref, rid, own, k)
         return pd.DataFrame({"dataset": left["dataset"], "split": left["split"], "idx": left["idx"], "near": out})
     return work
 
 
-def neighbours(rows: DataFrame, reference: DataFrame, k: int, skip_self: bool = True,
-               reference_bound: int | None = REFERENCE_BLOCK) -> DataFrame:
+def neighbours(rows: DataFrame, reference: DataFrame, k: int, skip_self: bool = True) -> DataFrame:
     """(dataset, split, idx, near): the k nearest reference rows, ties to the
     lower reference id.
 
-    ``rows``: (dataset, split, idx, vec); ``reference``: (dataset, idx, vec).
-    ``reference_bound`` states how many reference rows a dataset can have; with
-    None any number is handled by merging blocks.
+    ``rows``: (dataset, split, idx, vec); ``reference``: (dataset, idx, vec), any
+    number of rows: blocks are merged.
     """
-    one_block = reference_bound is not None and reference_bound <= REFERENCE_BLOCK
-    sizes = rows.groupBy("dataset").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("qn"))
+    count = lambda df, block, name: df.groupBy("dataset").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(name))
+    sizes = count(rows, QUERY_BLOCK, "qn").join(count(reference, REFERENCE_BLOCK, "rn"), "dataset")
     block = lambda col, n: F.pmod(F.xxhash64(col), n).cast("int")
-    ref = reference.select("dataset", F.col("idx").alias("rid"), "vec")
-    left = rows.select("dataset", "split", "idx", "vec")
-    if one_block:
-        left = left.withColumn("rb", F.lit(0))
-        ref = ref.withColumn("rb", F.lit(0))
-    else:
-        parts = reference.groupBy("dataset").agg(F.ceil(F.count(F.lit(1)) / (REFERENCE_BLOCK // 2)).cast("int").alias("rn"))
-        left = left.join(parts, "dataset").withColumn("rb", F.explode(F.sequence(F.lit(0), F.col("rn") - 1))).drop("rn")
-        ref = ref.join(parts, "dataset").withColumn("rb", block("rid", F.col("rn"))).drop("rn")
-    left = left.join(sizes, "dataset").withColumn("qb", block("idx", F.col("qn"))).drop("qn")
-    ref = ref.join(sizes, "dataset").withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("qn") - 1))).drop("qn")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    ref = (reference.select("dataset", F.col("idx").alias("rid"), F.col("vec").alias("ref_vec")).join(sizes, "dataset")
+           .withColumn("rb", block("rid", F.col("rn"))).withColumn("qb", every("qn")))
+    left = (rows.select("dataset", "split", "idx", F.col("vec").alias("query_vec")).join(sizes, "dataset")
+            .withColumn("qb", block("idx", F.col("qn"))).withColumn("rb", every("rn")))
     keys = ["dataset", "qb", "rb"]
-    ref = ref.select(F.col("rid"), F.col("vec").alias("ref_vec"), *[F.col(k).alias(f"ref_{k}") for k in keys])
-    left = left.select(*[F.col(k).alias(k) for k in keys], "split", "idx", F.col("vec").alias("query_vec"))
+    ref = ref.select("rid", "ref_vec", *[F.col(k).alias(f"ref_{k}") for k in keys])
+    left = left.select(*keys, "split", "idx", "query_vec")
     found = left.groupBy(*keys).cogroup(ref.groupBy(*[f"ref_{k}" for k in keys])).applyInPandas(
         _block_neighbours(k, skip_self), f"dataset string, split string, idx bigint, near {NEAR}")
-    if one_block:
-        return found
     merged = found.groupBy("dataset", "split", "idx").agg(F.flatten(F.collect_list("near")).alias("near"))
     return merged.withColumn("near", F.slice(F.array_sort("near"), 1, k))
 
@@ -127,7 +130,9 @@ def density_scores(near: DataFrame, mode: str) -> DataFrame:
     base = stage(near.withColumn("base", mean_distance()))  # three readers of a costly result
     radius = base.filter("split = 'TRAIN'").select(
         "dataset", F.col("idx").alias("rid"), (F.col("base") + RADIUS_EPS).alias("radius"))
-    spread = base.select("dataset", "split", "idx", "base", F.explode_outer("near.rid").alias("rid"))
+    # a row without neighbours, the only one of its TRAIN side, is its own
+    rids = F.when((F.size("near") == 0) & (F.col("split") == "TRAIN"), F.array("idx")).otherwise(F.col("near.rid"))
+    spread = base.select("dataset", "split", "idx", "base", F.explode_outer(rids).alias("rid"))
     local = (spread.join(radius, ["dataset", "rid"], "left").groupBy("dataset", "split", "idx")
              .agg(F.first("base").alias("base"), (F.avg("radius") + RADIUS_EPS).alias("local")))
     if mode == "ratio":
@@ -140,8 +145,7 @@ def density_scores(near: DataFrame, mode: str) -> DataFrame:
 def local_gap(rows: DataFrame, k: int = 3) -> DataFrame:
     """Robust scaling, k neighbours, local gap: the standard row score.
 
-    ``rows``: (dataset, split, idx, vec) whose TRAIN side is the capped
-    reference.
+    ``rows``: (dataset, split, idx, vec).
     """
     reference = rows.filter("split = 'TRAIN'")
     scaled = stage(robust_scale(rows, reference))

@@ -205,7 +205,22 @@ def _(t):
     return got.select("dataset", "idx", R6(C.array_sum("values")).alias("total"), R6(F.array_max("values")).alias("top"), F.size("values").alias("points"))
 
 
-@query("anomaly_injection")
+_inject = lambda tag: U01("'inject'", "dataset", "idx", f"'{tag}'")
+fragment("injected", "ztrain", f"""
+SELECT dataset, idx, kind, pos, CASE WHEN pos < a OR pos >= a + w THEN x WHEN kind = 0 THEN x + m WHEN kind = 1 THEN x * m WHEN kind = 2 THEN x + m * (pos - a) / greatest(1, w - 1)
+  WHEN kind = 3 THEN donor[b + pos - a + 1] ELSE values[a + w - (pos - a)] END AS v
+FROM (SELECT *, unnest(range(64)) AS pos, unnest(values) AS x FROM (
+  SELECT *, CAST(floor({_inject('s')} * greatest(1, 64 - w + 1)) AS INT) AS a, CAST(floor({_inject('d')} * greatest(1, 64 - w + 1)) AS INT) AS b,
+    CASE kind WHEN 0 THEN sign * (2.5 + {_inject('amp')}) * (list_stddev_pop(values) + 1e-6) WHEN 1 THEN 0.2 + 2.6 * {_inject('amp')} ELSE 3.0 * sign END AS m FROM (
+    SELECT p.*, d.values AS donor, CAST(floor({_inject('kind').replace('dataset', 'p.dataset').replace('idx', 'p.idx')} * 5) AS INT) AS kind,
+      CAST(4 + floor({_inject('w').replace('dataset', 'p.dataset').replace('idx', 'p.idx')} * 5) AS INT) AS w,
+      CASE WHEN {_inject('sign').replace('dataset', 'p.dataset').replace('idx', 'p.idx')} < 0.5 THEN -1.0 ELSE 1.0 END AS sign
+    FROM (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY sha256('inject|' || dataset || '|' || idx), idx) AS r, count(*) OVER (PARTITION BY dataset) AS n FROM ztrain) p
+    JOIN (SELECT dataset, values, row_number() OVER (PARTITION BY dataset ORDER BY sha256('inject|' || dataset || '|' || idx), idx) AS r FROM ztrain) d
+      ON d.dataset = p.dataset AND d.r = p.r % p.n + 1)))""")
+
+
+@query("anomaly_injection", "injected", f"SELECT dataset, idx, kind, CAST(pos AS BIGINT) AS pos, {r6('v')} AS v FROM injected")
 def _(t):
     return long(M.inject(train_series(t)).withColumnRenamed("values", "vec"), "dataset", "idx", "kind", name="pos")
 
@@ -216,7 +231,9 @@ def _(t):
     return rounded(M.pseudo_classifier(vectors(t), stage(fakes.select("dataset", "idx", F.col("values").alias("vec")))))
 
 
-@query("injection_centroid_score")
+@query("injection_centroid_score", "points injected", f"""
+WITH c AS (SELECT dataset, pos, avg(v) AS c FROM points WHERE split = 'TRAIN' GROUP BY 1, 2), f AS (SELECT dataset, pos, avg(v) AS f FROM injected GROUP BY 1, 2)
+SELECT dataset, split, idx, {r6('sqrt(sum((v - c) * (v - c))) - 0.25 * sqrt(sum((v - f) * (v - f)))')} AS score FROM points JOIN c USING (dataset, pos) JOIN f USING (dataset, pos) GROUP BY 1, 2, 3""")
 def _(t):
     fakes = M.inject(train_series(t)).select("dataset", F.col("values").alias("vec"))
     return rounded(M.injection_centroid(vectors(t), fakes))
@@ -224,9 +241,14 @@ def _(t):
 
 @query("small_train_density")
 def _(t):
-    """Datasets cut to 4 or 20 TRAIN rows, so both branches run."""
-    limit = F.when(F.col("dataset") < "emb_normal_5", 4).otherwise(20)
-    return rounded(M.small_train(stage(vectors(t).filter((F.col("split") == "TEST") | (F.col("idx") < limit)))))
+    """Classes dealt over 12 or 3 datasets, so sizes differ; all rows are used.
+    A stored score stands in for the large ones: the reconstruction error of
+    the mean of a vector."""
+    parts = F.when(F.col("dataset") < "emb_normal_5", 12).otherwise(3)
+    rows = stage(vectors(t).withColumn("dataset", F.concat_ws("/", "dataset", F.pmod("idx", parts))))
+    mean = F.transform("vec", lambda _: C.array_mean("vec"))
+    stored = rows.select("dataset", "split", "idx", M.reconstruction_score("vec", mean, F.array(F.lit(0.0)), F.array(F.lit(0.0))).alias("score"))
+    return rounded(M.small_train(rows, stored))
 
 
 fragment("recon", "pts", """
@@ -255,7 +277,13 @@ def _(t):
     return per.groupBy("id").agg(R6(F.avg("s")).alias("score"))
 
 
-@query("spectral_reconstruction_loss")
+@query("spectral_reconstruction_loss", "recon", f"""
+WITH w AS (SELECT unnest(range(9)) AS fr), j AS (SELECT fr, unnest(range(32)) AS j FROM w),
+tap AS (SELECT fr, j, 0.5 - 0.5 * cos(2 * pi() * j / 32) AS h, CASE WHEN fr * 8 + j < 16 THEN 16 - fr * 8 - j WHEN fr * 8 + j > 79 THEN 142 - fr * 8 - j ELSE fr * 8 + j - 16 END AS pos FROM j),
+d AS (SELECT id, fr, k, sum(x * h * cos(2 * pi() * k * j / 32)) AS xr, sum(x * h * sin(2 * pi() * k * j / 32)) AS xi, sum(recon * h * cos(2 * pi() * k * j / 32)) AS yr, sum(recon * h * sin(2 * pi() * k * j / 32)) AS yi
+  FROM recon JOIN tap USING (pos), range(17) k(k) GROUP BY 1, 2, 3),
+m AS (SELECT id, sqrt(xr * xr + xi * xi) AS a, sqrt(yr * yr + yi * yi) AS b FROM d)
+SELECT id, {r6('sqrt(sum((a - b) * (a - b))) / CASE WHEN sum(a * a) = 0 THEN 1 ELSE sqrt(sum(a * a)) END + avg(abs(ln(a + 1e-5) - ln(b + 1e-5)))')} AS score FROM m GROUP BY 1""")
 def _(t):
     return recon(t).select("id", R6(M.spectral_loss()).alias("score"))
 
@@ -267,20 +295,36 @@ def _(t):
     return M.density_weights(near(t, 5)).withColumn("weight", R6("weight"))
 
 
-@query("jitter_scale_augmentation", "ztrain", """
-WITH p AS (SELECT dataset, idx, row_number() OVER (PARTITION BY dataset ORDER BY sha256('aug|' || dataset || '|' || idx), idx) AS r, count(*) OVER (PARTITION BY dataset) AS n FROM ztrain)
-SELECT dataset, idx, copy FROM (SELECT dataset, idx, r, n, unnest(range(0, 10)) AS copy FROM p) WHERE copy = 0 OR (copy - 1) * n + r <= 100 - n""")
+_aug = lambda *tag: U01("'aug'", "dataset", "idx", "copy", *tag)
+
+
+@query("jitter_scale_augmentation", "ztrain", f"""
+WITH p AS (SELECT dataset, idx, values, row_number() OVER (PARTITION BY dataset ORDER BY sha256('aug|' || dataset || '|' || idx), idx) AS r, count(*) OVER (PARTITION BY dataset) AS n FROM ztrain),
+c AS (SELECT * FROM (SELECT *, unnest(range(0, 10)) AS copy FROM p) WHERE copy = 0 OR (copy - 1) * n + r <= 100 - n),
+k AS (SELECT *, floor({_aug("'kind'")} * 3) AS kind, 0.9 + 0.2 * {_aug("'scale'")} AS scale FROM c),
+v AS (SELECT dataset, idx, copy, kind, scale, unnest(range(64)) AS i, unnest(values) AS x FROM k)
+SELECT dataset, idx, copy, {r6(f"sum(CASE WHEN copy = 0 THEN x ELSE (x + CASE WHEN kind = 1 THEN 0 ELSE 0.03 * sqrt(-2 * ln(1 - {_aug('i', chr(39) + 'r' + chr(39))})) * cos(2 * pi() * {_aug('i', chr(39) + 'a' + chr(39))}) END) * CASE WHEN kind = 0 THEN 1 ELSE scale END END)")} AS total
+FROM v GROUP BY 1, 2, 3""")
 def _(t):
-    return M.augment(train_series(t), 100).select("dataset", "idx", "copy")
+    return M.augment(train_series(t), 100).select("dataset", "idx", "copy", R6(C.array_sum("values")).alias("total"))
 
 
-@query("oversample_tile", "ztrain", """
-SELECT dataset, idx, copy, copy * n + idx AS place FROM (SELECT dataset, idx, count(*) OVER (PARTITION BY dataset) AS n, unnest(range(0, 10)) AS copy FROM ztrain) WHERE copy * n + idx < 100""")
+@query("oversample_tile", "ztrain", f"""
+SELECT dataset, idx, copy, copy * n + idx AS place, {r6('list_sum(values)')} AS total FROM (SELECT dataset, idx, values, count(*) OVER (PARTITION BY dataset) AS n, unnest(range(0, 10)) AS copy FROM ztrain)
+WHERE copy * n + idx < 100 OR (n >= 100 AND copy = 0)""")
 def _(t):
-    return M.tile(train_series(t), 100).select("dataset", "idx", "copy", "place")
+    return M.tile(train_series(t), 100).select("dataset", "idx", "copy", "place", R6(C.array_sum("values")).alias("total"))
+
+
+_warp = lambda *tag: U01("'multi'", "dataset", "idx", *tag)
 
 
-@query("warp_permute_augmentation")
+@query("warp_permute_augmentation", "ztrain", f"""
+WITH k AS (SELECT *, CASE WHEN {_warp("'kind'")} < 0.5 THEN 'warp' ELSE 'permute' END AS kind, 2 * pi() * {_warp("'phase'")} AS phase FROM ztrain),
+s AS (SELECT dataset, idx, j, row_number() OVER (PARTITION BY dataset, idx ORDER BY sha256('multi|' || dataset || '|' || idx || '|seg|' || j), j) AS place FROM (SELECT dataset, idx, unnest(range(4)) AS j FROM ztrain)),
+p AS (SELECT *, unnest(range(64)) AS pos FROM k)
+SELECT p.dataset, p.idx, kind, CAST(pos AS BIGINT) AS pos, {r6("CASE WHEN kind = 'warp' THEN values[CAST(greatest(0, least(63, round_even(pos + 3.2 * sin(2 * pi() * pos / 64 + phase), 0))) AS INT) + 1] ELSE values[j * 16 + pos % 16 + 1] END")} AS v
+FROM p JOIN s ON s.dataset = p.dataset AND s.idx = p.idx AND s.place = pos // 16 + 1""")
 def _(t):
     return long(M.warp_permute(train_series(t)).withColumnRenamed("values", "vec"), "dataset", "idx", "kind", name="pos")
 

@@ -35,7 +35,7 @@ s AS (SELECT *, last_value(v IGNORE NULLS) OVER a AS l, last_value(CASE WHEN v I
 def _(t):
     bad = lambda i: (F.pmod(F.col("id") * 7 + i * 13, F.lit(5)) < 2) | (F.col("id") % 50 == 0)
     holes = raw(t).withColumn("values", F.transform("values", lambda x, i: F.when(bad(i), F.lit(float("nan"))).otherwise(x)))
-    return long(holes.withColumn("values", C.interpolate_missing("values")), "id")
+    return long(holes.withColumn("values", P.interpolate_missing("values")), "id")
 
 
 def _resample_sql(rel, keys, target):

@@ -111,7 +111,7 @@ def _(t):
     rows = vectors(t)
     reference = rows.filter("split = 'TRAIN'")
     test = K.robust_scale(rows.filter("split = 'TEST'"), reference)
-    near_ = K.neighbours(test, K.robust_scale(reference, reference), 5, reference_bound=None)
+    near_ = K.neighbours(test, K.robust_scale(reference, reference), 5)
     return rounded(K.knn_scores(near_)).drop("split")
 
 

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from outlane.functions.columns import r6
 from outlane.functions.order import with_position
-from outlane.operators.quality import reference_rows
 from outlane.session import stage
 from outlane.sources.archive import one_class
 
@@ -49,9 +48,8 @@ class Tables:
         return self.archive().drop("y")
 
     def scored_series(self) -> DataFrame:
-        """Reference TRAIN rows (at most 1000 per dataset) and all TEST rows."""
-        rows = self.series()
-        return reference_rows(rows.filter("split = 'TRAIN'")).unionByName(rows.filter("split = 'TEST'"))
+        """All TRAIN and TEST rows, without labels."""
+        return self.series()
 
     # -- timestamped events -> scores ------------------------------------------
     def event_rows(self) -> DataFrame:

@@ -116,7 +116,7 @@ def test_min_zero(spark):
 
 def test_interpolation(spark):
     nan = float("nan")
-    got = arrays(spark, (nan, 1, nan, 3, nan), (nan, nan), (1, 2), ()).select(C.interpolate_missing("values").alias("v")).collect()
+    got = arrays(spark, (nan, 1, nan, 3, nan), (nan, nan), (1, 2), ()).select(prep.interpolate_missing("values").alias("v")).collect()
     assert [r.v for r in got] == [[1, 1, 2, 3, 3], [0, 0], [1, 2], []]
 
 
