@@ -34,15 +34,17 @@ def random_intervals(length: int, count: int, seed: int = 27) -> list[tuple[int,
 
 
 def even_intervals(length: int, count: int) -> list[tuple[int, int]]:
-    """Evenly spaced spans covering the series, plus the full span."""
-    count = max(1, count)
-    starts = [int(i * (length - 1) / max(1, count - 1)) for i in range(count)]
-    width = max(4, length // max(4, count))
-    spans = []
-    for i, start in enumerate(starts):
-        end = length if i == count - 1 else min(length, max(start + width, starts[i + 1]))
-        spans.append((start, max(start + 1, end)))
-    return spans + [(0, length)]
+    """``count`` spans that begin at equal distances from the first to the last
+    point and meet the next one or overlap it, then the whole series.
+
+    A span has at least max(4, length / max(4, count)) points where the series
+    has them; the last one ends with the series.
+    """
+    begin = np.arange(max(count, 1)) * (length - 1) // max(count - 1, 1)
+    shortest = max(4, length // max(4, count))
+    end = np.clip(np.append(np.maximum(begin[:-1] + shortest, begin[1:]), length), begin + 1, None)
+    end = np.maximum(np.minimum(end, length), begin + 1)
+    return [*zip(begin.tolist(), end.tolist()), (0, length)]
 
 
 def span_moments(segment: Column) -> Column:

@@ -215,38 +215,36 @@ def rank_bucket(rank) -> Column:
     return (F.when(r <= 1, "top1").when(r <= 3, "top3").when(r <= 10, "top10").when(r <= 20, "top20").otherwise("beyond20"))
 
 
-def feature_need(rows: DataFrame, pooled: list[str], spectral: list[str], shape: list[str]) -> DataFrame:
-    """Why a dataset scores zero, first matching rule, with reasons (diagnostic).
+def failure_classes(rows: DataFrame, rules: list[tuple[str, Column]], notes: list[Column]) -> DataFrame:
+    """Class and notes of failed datasets (diagnostic).
 
-    Needs train_count, anomaly_count, best_rank, review_hit (0 or the smallest k
-    that hits) and family.
+    ``rules`` are (class, condition) in order of precedence, the last of which
+    should hold for every row; ``notes`` are text columns, null where they say
+    nothing.  Both are the caller's: what counts as a cause is policy.
     """
-    fam, tiny, hit = F.col("family"), F.col("train_count") <= 10, F.col("review_hit") > 0
-    primary = (F.when(tiny | fam.isin(pooled), "A_tiny_train_normal_pooling").when(hit, "B_review_tier_candidate")
-               .when(fam.isin(spectral), "C_spectral_derivative_feature").when(fam.isin(shape), "D_shapelet_prototype_feature")
-               .when(F.col("best_rank") <= 10, "E_score_calibration_candidate").otherwise("F_new_representation_needed"))
-    reasons = F.concat_ws(
-        ";", F.when(tiny, "tiny_train"), F.when(fam.isin(pooled), "family_pooling"),
-        F.when(hit, F.concat(F.lit("review_top"), F.col("review_hit"), F.lit("_hit"))), F.when(fam.isin(spectral), "spectral_family"),
-        F.when(fam.isin(shape), "shape_family"), F.when(F.col("anomaly_count") <= 1, "single_anomaly_sensitive"),
-        F.when(F.col("best_rank") <= 10, F.concat(F.lit("best_rank_"), rank_bucket("best_rank"))).otherwise("rank_not_top10"))
-    return rows.select("dataset", primary.alias("primary"), reasons.alias("reasons"))
-
-
-def operational_tier(f1: str, fp: str, exceed: str, precision: str) -> Column:
-    """Rule on F1, false alerts, TRAIN exceed and alert precision."""
+    named = F.coalesce(*[F.when(condition, F.lit(label)) for label, condition in rules])
+    return rows.select("dataset", named.alias("primary"), F.concat_ws(";", *notes).alias("reasons"))
+
+
+def operational_tier(f1: str, fp: str, exceed: str, precision: str, excluded: Column | None = None, default: Column | None = None) -> Column:
+    """Rule on F1, false alerts, TRAIN exceed and alert precision; what is marked
+    excluded or default comes first.
+
+    Fixed values: the limits."""
+    no = F.lit(False)
+    marked = F.when(no if excluded is None else excluded, "excluded").when(no if default is None else default, "operational")
     a, b, e, p = (F.col(c) for c in (f1, fp, exceed, precision))
-    return (F.when(a.isNull(), "undecided")
+    return (marked.when(a.isNull(), "undecided")
             .when((a >= 0.5) & (b <= 2.0) & (e <= 0.01) & (p.isNull() | (p >= 0.5)), "operational")
             .when((a >= 0.5) & (b <= 2.5) & (e <= 0.015), "sensitive").when(a >= 0.5, "research").otherwise("hold"))
 
 
-def strategy_summary(detail: DataFrame, keys: list[str]) -> DataFrame:
+def strategy_summary(detail: DataFrame, keys: list[str], excluded: Column | None = None, default: Column | None = None) -> DataFrame:
     got = detail.groupBy(*keys).agg(
         F.avg("f1").alias("mean_f1"), F.count_if(F.col("f1") == 0).alias("zero_f1"), F.avg(F.col("tp") + F.col("fp")).alias("mean_predicted"),
         F.avg("tp").alias("mean_tp"), F.avg("fp").alias("mean_fp"), F.avg("fn").alias("mean_fn"), F.avg("exceed_rate").alias("mean_exceed"))
     got = got.withColumn("alert_precision", F.when(F.col("mean_tp") + F.col("mean_fp") > 0, F.col("mean_tp") / (F.col("mean_tp") + F.col("mean_fp"))))
-    return got.withColumn("tier", operational_tier("mean_f1", "mean_fp", "mean_exceed", "alert_precision"))
+    return got.withColumn("tier", operational_tier("mean_f1", "mean_fp", "mean_exceed", "alert_precision", excluded, default))
 
 
 def family_trouble(detail: DataFrame, limit: int = 8) -> DataFrame:
@@ -348,8 +346,29 @@ def recent_unique(rows: DataFrame, order: str, limit: int = 12) -> DataFrame:
     return rows.groupBy("dataset").agg(F.max(order).alias(order)).orderBy(F.col(order).desc(), "dataset").limit(limit)
 
 
+def eta(speed: Column, other: Column, remaining: Column) -> list[Column]:
+    """Remaining seconds and what they rest on: the recent speed (per minute),
+    else the mean one, else nothing yet."""
+    left = F.greatest(F.lit(0), remaining)
+    return [F.when(speed > 0, left / speed * 60).when(other > 0, left / other * 60).alias("eta_seconds"),
+            F.when(speed > 0, "recent").when(other > 0, "average").otherwise("waiting").alias("eta_basis")]
+
+
 def throughput(events: DataFrame, window: str = "1 minute") -> DataFrame:
-    """done per minute and remaining time per window of progress lines."""
-    got = events.filter("at is not null").groupBy(F.window("at", window).alias("w")).agg(
-        F.min("done").alias("first"), F.max("done").alias("last"), F.max("expected").alias("expected"), F.count(F.lit(1)).alias("lines"))
-    return got.select(F.col("w.start").alias("start"), "lines", "first", "last", (F.col("expected") - F.col("last")).alias("remaining"))
+    """Speed and remaining time per window of progress lines.
+
+    Recent speed is between the last two lines of the window, mean speed from
+    the first line of all to the last of the window; both per minute.
+    """
+    lines = events.filter("at is not null").select(F.window("at", window)["start"].alias("start"), F.unix_timestamp("at").alias("at"), "done", "expected")
+    got = lines.groupBy("start").agg(F.min("done").alias("first"), F.max("done").alias("last"), F.max("expected").alias("expected"), F.count(F.lit(1)).alias("lines"))
+    order = Window.partitionBy("start").orderBy(F.desc("at"), F.desc("done"))
+    pick = lambda c, r: F.max(F.when(F.col("_r") == r, F.col(c)))
+    last = lines.withColumn("_r", F.row_number().over(order)).filter("_r <= 2").groupBy("start").agg(*[pick(c, r).alias(f"{c}{r}") for c in ("at", "done") for r in (1, 2)])
+    begin = lines.agg(F.min("at").alias("begin"))  # one row
+    seconds, gain = F.col("at1") - F.col("at2"), F.col("done1") - F.col("done2")
+    recent = F.when((seconds > 0) & (gain >= 0), gain / (seconds / 60))
+    mean = F.when(F.col("at1") > F.col("begin"), F.col("done1") / ((F.col("at1") - F.col("begin")) / 60))
+    return got.join(last, "start").crossJoin(begin).select(
+        "start", "lines", "first", "last", (F.col("expected") - F.col("last")).alias("remaining"), recent.alias("recent_speed"), mean.alias("mean_speed"),
+        *eta(recent, mean, F.col("expected") - F.col("done1")))

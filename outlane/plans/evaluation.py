@@ -368,18 +368,22 @@ def _(t):
 @query("failure_need_classes", "diagnostics counts labelled", """
 WITH r AS (SELECT d.dataset, c.family, train_count, best_rank, CASE WHEN best_rank <= 1 THEN 1 WHEN best_rank <= 2 THEN 2 WHEN best_rank <= 3 THEN 3 ELSE 0 END * (n % 2) AS review_hit,
   (SELECT sum(y) FROM labelled l WHERE l.dataset = d.dataset AND l.source = 'rocket') AS anomaly_count FROM diagnostics d JOIN counts c ON c.dataset = d.dataset WHERE source = 'rocket')
-SELECT dataset, CASE WHEN train_count <= 10 OR family = 'f0' THEN 'A_tiny_train_normal_pooling' WHEN review_hit > 0 THEN 'B_review_tier_candidate' WHEN family = 'f1' THEN 'C_spectral_derivative_feature'
-  WHEN family = 'f2' THEN 'D_shapelet_prototype_feature' WHEN best_rank <= 10 THEN 'E_score_calibration_candidate' ELSE 'F_new_representation_needed' END AS primary,
-  concat_ws(';', CASE WHEN train_count <= 10 THEN 'tiny_train' END, CASE WHEN family = 'f0' THEN 'family_pooling' END, CASE WHEN review_hit > 0 THEN 'review_top' || review_hit || '_hit' END,
-    CASE WHEN family = 'f1' THEN 'spectral_family' END, CASE WHEN family = 'f2' THEN 'shape_family' END, CASE WHEN anomaly_count <= 1 THEN 'single_anomaly_sensitive' END,
-    CASE WHEN best_rank <= 1 THEN 'best_rank_top1' WHEN best_rank <= 3 THEN 'best_rank_top3' WHEN best_rank <= 10 THEN 'best_rank_top10' ELSE 'rank_not_top10' END) AS reasons FROM r""")
+SELECT dataset, CASE WHEN train_count <= 10 OR family = 'f0' THEN 'borrow_normals' WHEN review_hit > 0 THEN 'send_to_review' WHEN family = 'f1' THEN 'frequency_features'
+  WHEN family = 'f2' THEN 'shape_features' WHEN best_rank <= 10 THEN 'move_threshold' ELSE 'other_features' END AS primary,
+  concat_ws(';', CASE WHEN review_hit > 0 THEN 'found at ' || review_hit END, CASE WHEN train_count <= 10 THEN 'few normals' END, 'family ' || family,
+    CASE WHEN anomaly_count <= 1 THEN 'one anomaly' END, 'best ' || CASE WHEN best_rank <= 1 THEN 'top1' WHEN best_rank <= 3 THEN 'top3' WHEN best_rank <= 10 THEN 'top10' WHEN best_rank <= 20 THEN 'top20' ELSE 'beyond20' END) AS reasons FROM r""")
 def _(t):
     rows = labelled(t).filter("source = 'rocket'")
     diag = E.rank_diagnostics(rows, ["dataset"]).select("dataset", "n", "best_rank")
     anomalies = rows.groupBy("dataset").agg(F.sum("y").alias("anomaly_count"))
     hit = F.when(F.col("best_rank") <= 3, F.col("best_rank")).otherwise(0) * (F.col("n") % 2)
     full = diag.join(anomalies, "dataset").join(counts(t), "dataset").withColumn("review_hit", hit)
-    return P.feature_need(full, ["f0"], ["f1"], ["f2"])
+    family, few = F.col("family"), F.col("train_count") <= 10
+    rules = [("borrow_normals", few | (family == "f0")), ("send_to_review", F.col("review_hit") > 0), ("frequency_features", family == "f1"),
+             ("shape_features", family == "f2"), ("move_threshold", F.col("best_rank") <= 10), ("other_features", F.lit(True))]
+    notes = [F.when(F.col("review_hit") > 0, F.concat(F.lit("found at "), F.col("review_hit"))), F.when(few, "few normals"), F.concat(F.lit("family "), family),
+             F.when(F.col("anomaly_count") <= 1, "one anomaly"), F.concat(F.lit("best "), P.rank_bucket("best_rank"))]
+    return P.failure_classes(full, rules, notes)
 
 
 fragment("detail_exceed", "detail exceed", "SELECT d.*, exceed_rate / 8 AS exceed_rate FROM detail d JOIN exceed e ON e.dataset = d.dataset AND e.source = d.source")
@@ -405,9 +409,11 @@ def _(t):
     return rounded(P.strategy_summary(detail_exceed(t), ["source"]), *SS)
 
 
-@query("operational_tier", "detail_exceed", f"SELECT source, family, tier FROM ({_summary_sql('source, family')})")
+@query("operational_tier", "detail_exceed", f"""
+SELECT source, family, CASE WHEN source = 'image_b' THEN 'excluded' WHEN source = 'multi' AND family = 'f0' THEN 'operational' ELSE tier END AS tier FROM ({_summary_sql('source, family')})""")
 def _(t):
-    return P.strategy_summary(detail_exceed(t), ["source", "family"]).select("source", "family", "tier")
+    marks = F.col("source") == "image_b", (F.col("source") == "multi") & (F.col("family") == "f0")
+    return P.strategy_summary(detail_exceed(t), ["source", "family"], *marks).select("source", "family", "tier")
 
 
 @query("result_file_summary", "detail", f"SELECT source, count(*) AS rows, count(DISTINCT dataset) AS datasets, {r6('avg(f1)')} AS mean_f1, {r6('quantile_cont(f1, 0.5)')} AS median_f1 FROM detail GROUP BY 1")
@@ -530,8 +536,13 @@ def _(t):
     return P.recent_unique(t.event_rows(), "event_id")
 
 
-@query("progress_throughput", "", """
-SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS start, count(*) AS lines, min(event_id) AS first, max(event_id) AS last, 20000 - max(event_id) AS remaining FROM events WHERE event_type = 'purchase' GROUP BY 1""")
+@query("progress_throughput", "", f"""
+WITH e AS (SELECT event_id AS done, CAST(epoch(date_trunc('second', ts)) AS BIGINT) AS sec, date_trunc('hour', ts) AS h FROM events WHERE event_type = 'purchase'),
+k AS (SELECT *, row_number() OVER (PARTITION BY h ORDER BY sec DESC, done DESC) AS r FROM e),
+g AS (SELECT h, count(*) AS lines, min(done) AS first, max(done) AS last, max(CASE WHEN r = 1 THEN done END) AS d1, max(CASE WHEN r = 2 THEN done END) AS d2, max(CASE WHEN r = 1 THEN sec END) AS t1, max(CASE WHEN r = 2 THEN sec END) AS t2 FROM k GROUP BY 1),
+s AS (SELECT *, CASE WHEN t1 > t2 AND d1 >= d2 THEN (d1 - d2) / ((t1 - t2) / 60.0) END AS recent, CASE WHEN t1 > t0 THEN d1 / ((t1 - t0) / 60.0) END AS mean, greatest(0, 20000 - d1) AS todo FROM g, (SELECT min(sec) AS t0 FROM e))
+SELECT strftime(h, '%Y-%m-%d %H:%M') AS start, lines, first, last, 20000 - last AS remaining, {r6('recent')} AS recent_speed, {r6('mean')} AS mean_speed,
+  {r6('CASE WHEN recent > 0 THEN todo / recent * 60 WHEN mean > 0 THEN todo / mean * 60 END')} AS eta_seconds, CASE WHEN recent > 0 THEN 'recent' WHEN mean > 0 THEN 'average' ELSE 'waiting' END AS eta_basis FROM s""")
 def _(t):
     got = P.throughput(P.progress_events(log_lines(t)), "1 hour")
-    return got.withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm"))
+    return rounded(got.withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm")), "recent_speed", "mean_speed", "eta_seconds")

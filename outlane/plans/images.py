@@ -52,12 +52,28 @@ def _(t):
     return pixels(t, "multi_rp")
 
 
-@query("spectrogram_image")
+@query("spectrogram_image", "zraw", f"""
+WITH f AS (SELECT id, values, unnest(range(7)) AS fr FROM zraw),
+d AS (SELECT id, fr, r, sum(values[fr * 8 + j + 1] * (0.5 - 0.5 * cos(2 * pi() * j / 15)) * cos(2 * pi() * j * k / 16)) AS re, sum(values[fr * 8 + j + 1] * (0.5 - 0.5 * cos(2 * pi() * j / 15)) * sin(2 * pi() * j * k / 16)) AS im
+  FROM f, range(16) j(j), (SELECT r, round_even(r * 8 / 7.0, 0) AS k FROM range(8) r(r)) GROUP BY 1, 2, 3),
+h AS (SELECT id, fr, r, ln(1 + sqrt(re * re + im * im)) AS h FROM d),
+g AS (SELECT a.id, a.r * 8 + c AS px, a.h * (1 - share) + b.h * share AS g FROM (SELECT c, least(CAST(floor(c * 6 / 7.0) AS INT), 5) AS lo, c * 6 / 7.0 - least(CAST(floor(c * 6 / 7.0) AS INT), 5) AS share FROM range(8) c(c))
+  JOIN h a ON a.fr = lo JOIN h b ON b.id = a.id AND b.r = a.r AND b.fr = lo + 1)
+SELECT id, px, {r6('(g - min(g) OVER w) / (max(g) OVER w - min(g) OVER w + 1e-6)')} AS v FROM g WINDOW w AS (PARTITION BY id)""")
 def _(t):
     return pixels(t, "spectrogram")
 
 
-@query("scalogram_image")
+@query("scalogram_image", "zraw", f"""
+WITH t AS (SELECT t, least(CAST(floor(t * 63 / 95.0) AS INT), 62) AS lo, t * 63 / 95.0 - least(CAST(floor(t * 63 / 95.0) AS INT), 62) AS share FROM range(96) t(t)),
+y AS (SELECT id, t, y - avg(y) OVER (PARTITION BY id) AS y FROM (SELECT id, t, values[lo + 1] * (1 - share) + values[lo + 2] * share AS y FROM zraw, t)),
+s AS (SELECT i, scale, least(48, greatest(4, ceil(6 * scale))) AS reach FROM (SELECT i, 2 * pow(4, i / 15.0) AS scale FROM range(16) i(i))),
+w AS (SELECT i, o, reach, exp(-pow(o / scale, 2) / 2) * cos(5 * o / scale) AS w FROM s, (SELECT unnest(range(-48, 49)) AS o) WHERE abs(o) <= reach),
+e AS (SELECT i, o, (w - m) / (sqrt(sum((w - m) * (w - m)) OVER (PARTITION BY i)) + 1e-6) AS w FROM (SELECT *, avg(w) OVER (PARTITION BY i) AS m FROM w)),
+c AS (SELECT c, side, least(CAST(floor(c * 95 / 15.0) AS INT), 94) + side AS at, c * 95 / 15.0 - least(CAST(floor(c * 95 / 15.0) AS INT), 94) AS share FROM range(16) c(c), range(2) s(side)),
+r AS (SELECT id, i, c, side, any_value(share) AS share, abs(sum(y * w)) AS r FROM c, e JOIN y ON true WHERE y.t = c.at - e.o GROUP BY 1, 2, 3, 4),
+g AS (SELECT id, i * 16 + c AS px, ln(1 + sum(CASE side WHEN 0 THEN r * (1 - share) ELSE r * share END)) AS g FROM r GROUP BY 1, 2)
+SELECT id, px, {r6('(g - min(g) OVER w) / (max(g) OVER w - min(g) OVER w + 1e-6)')} AS v FROM g WINDOW w AS (PARTITION BY id)""")
 def _(t):
     return pixels(t, "scalogram", 16)
 
