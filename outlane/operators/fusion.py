@@ -146,7 +146,7 @@ def select_by_p(fused: DataFrame, method: str, alpha: float) -> DataFrame:
 
 def calibration_status(train: DataFrame, least: int = 5) -> DataFrame:
     n = train.groupBy("dataset").agg(F.count(F.lit(1)).alias("n_train"))
-    return n.withColumn("status", F.when(F.col("n_train") < least, "insufficient_calibration_n_train_lt5").otherwise("calibrated")) \
+    return n.withColumn("status", F.when(F.col("n_train") < least, f"insufficient_calibration_n_train_lt{least}").otherwise("calibrated")) \
             .withColumn("abstain", (F.col("n_train") < least).cast("int"))
 
 

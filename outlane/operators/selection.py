@@ -204,10 +204,10 @@ def fused_guarded(scores: DataFrame, count: int, guard: str, guard_count: int) -
         return fused
     tops = source_ranks(scores.filter(F.col("source").isin(list(BASE)))).filter(F.col("rank") <= max(count, guard_count))
     rocket, two = tops.filter("source = 'rocket'"), at_least(tops, 2)
+    if guard not in ("rocket_top", "two_model_top", "rocket_or_two_model_top"):
+        raise ValueError(f"unknown guard {guard}")
     allowed = {"rocket_top": rocket, "two_model_top": two}.get(guard)
-    if allowed is None:
-        allowed = union(rocket, two)
-    return intersect(fused, allowed)
+    return intersect(fused, union(rocket, two) if allowed is None else allowed)
 
 
 # ---- fallback tiers ---------------------------------------------------------

@@ -344,8 +344,9 @@ def margins(test: DataFrame, thresholds: DataFrame, keys: list[str], top: int =
     best = test.withColumn("_r", F.row_number().over(window)).filter(F.col("_r") <= top)
     packed = best.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_r", "idx", "score"))).alias("p"))
     count = test.join(thresholds, keys).groupBy(*keys).agg(
-        F.count_if(F.col("score") > F.col("threshold")).alias("selected"))
+        F.count_if(F.col("score") > F.col("threshold")).alias("selected"),
+        *[f(F.when(F.col("score") > F.col("threshold"), F.col("score"))).alias(name) for f, name in ((F.max, "most_selected"), (F.min, "least_selected"))])
     out = packed.join(thresholds, keys).join(count, keys)
     first, second = F.get("p", 0)["score"], F.get("p", 1)["score"]
-    return out.select(*keys, "selected", F.concat_ws(" ", F.transform("p", lambda x: x["idx"].cast("string"))).alias("top_order"),
+    return out.select(*keys, "selected", "most_selected", "least_selected", second.alias("top2_score"), F.concat_ws(" ", F.transform("p", lambda x: x["idx"].cast("string"))).alias("top_order"),
                       first.alias("top1_score"), (first - second).alias("top_gap"), (first - F.col("threshold")).alias("threshold_margin"))

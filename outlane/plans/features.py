@@ -56,12 +56,16 @@ fragment("zarch", "points", "SELECT dataset, split, idx, list(v ORDER BY pos) AS
 BANK = N.random_kernels(L, 6)
 
 
-@query("random_kernel_bank", "", f"SELECT k, count(*) AS taps, {r6('sum(w * (j + 1))')} AS moment, d AS dilation, {r6('bias')} AS bias, (SELECT count(*) FROM embeddings) AS series FROM {bank_sql(BANK, ('bias',))} GROUP BY k, d, bias")
+@query("random_kernel_bank", "pts", f"""
+WITH m AS (SELECT pos, avg(v) AS m FROM pts GROUP BY 1)
+SELECT k, count(*) AS taps, d AS dilation, {r6('bias')} AS bias, {r6('sum(w * m)')} AS response FROM {bank_sql(BANK, ('bias',))} JOIN m ON m.pos = j * d GROUP BY k, d, bias""")
 def _(t):
-    rows = t.table("embeddings").agg(F.count(F.lit(1)).alias("series"))
-    bank = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(len(b["weights"])).cast("bigint").alias("taps"), R6(F.lit(sum(w * (j + 1) for j, w in enumerate(b["weights"])))).alias("moment"),
-                                        F.lit(b["dilation"]).alias("dilation"), R6(F.lit(b["bias"])).alias("bias")) for k, b in enumerate(N.random_kernels(L, 6))]))
-    return rows.select("series", bank.alias("b")).select("b.*", "series")
+    """The bank, and the mean response of all series at their first point."""
+    means = raw(t).select(F.posexplode("values").alias("pos", "v")).groupBy("pos").agg(F.avg("v").alias("m"))
+    taps = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(j * b["dilation"]).alias("pos"), F.lit(float(w)).alias("w"), F.lit(b["dilation"]).alias("dilation"), R6(F.lit(b["bias"])).alias("bias"))
+                               for k, b in enumerate(BANK) for j, w in enumerate(b["weights"])]))
+    met = means.select("pos", "m", taps.alias("b")).filter("b.pos = pos")
+    return met.groupBy("b.k", "b.dilation", "b.bias").agg(F.count(F.lit(1)).alias("taps"), R6(F.sum(F.col("b.w") * F.col("m"))).alias("response"))
 
 
 @query("dilated_convolution", "zraw", f"SELECT id, p, {r6(f'c + {BANK[1]['bias']!r}')} AS v FROM ({conv_sql([BANK[1]], 'zraw', 'id')})")
@@ -85,16 +89,17 @@ def _(t):
     return long(zraw(t).withColumn("vec", N.block_features("values", 1, 4)), "id")
 
 
-@query("dictionary_kernel_bank", "raw", """
+@query("dictionary_kernel_bank", "pts", f"""
 WITH c AS (SELECT i, j, k FROM range(9) a(i), range(9) b(j), range(9) c(k) WHERE i < j AND j < k)
-SELECT i * 100 + j * 10 + k AS kernel, round(3 * (s[1 + i] + s[1 + j] + s[1 + k]) - list_sum(s[1:9]), 4) AS total FROM c, (
-  SELECT list(s ORDER BY pos) AS s FROM (SELECT pos, round(sum(v), 6) AS s FROM (SELECT unnest(range(len(values))) AS pos, unnest(values) AS v FROM raw) GROUP BY 1))""")
+SELECT i * 100 + j * 10 + k AS kernel, {r6('3 * (s[1 + i] + s[1 + j] + s[1 + k]) - list_sum(s)')} AS total FROM c, (
+  SELECT list(s ORDER BY tap) AS s FROM (SELECT tap, round(sum(v), 6) AS s FROM pts, range(9) t(tap) WHERE pos BETWEEN tap AND 55 + tap GROUP BY 1))""")
 def _(t):
-    sums = raw(t).select(F.posexplode("values").alias("pos", "v")).groupBy("pos").agg(F.round(F.sum("v"), 6).alias("s"))
-    base = sums.filter("pos < 9").agg(F.sort_array(F.collect_list(F.struct("pos", "s"))).alias("p")).select(F.col("p.s").alias("s"))
+    """Each kernel's outputs summed over all series and places."""
+    points = raw(t).select(F.posexplode("values").alias("pos", "v"))
+    sums = points.agg(F.array(*[F.round(F.sum(F.when(F.col("pos").between(tap, L - 9 + tap), F.col("v"))), 6) for tap in range(9)]).alias("s"))
     bank = F.explode(F.array(*[F.struct(F.lit(int("".join(str(i) for i, w in enumerate(k) if w > 0))).cast("bigint").alias("kernel"), F.array(*[F.lit(w) for w in k]).alias("w"))
                                for k in N.dictionary_kernels()]))
-    return base.select("s", bank.alias("b")).select("b.kernel", F.round(C.array_sum(F.zip_with("b.w", "s", lambda a, b: a * b)), 4).alias("total"))
+    return sums.select("s", bank.alias("b")).select("b.kernel", R6(C.array_sum(F.zip_with("b.w", "s", lambda a, b: a * b))).alias("total"))
 
 
 PARAMS = N.dictionary_params(L, 5)

@@ -190,7 +190,7 @@ def _(t):
 
 
 @query("calibration_status", "train", """
-SELECT dataset, count(*) AS n_train, CASE WHEN count(*) < 30 THEN 'insufficient_calibration_n_train_lt5' ELSE 'calibrated' END AS status,
+SELECT dataset, count(*) AS n_train, CASE WHEN count(*) < 30 THEN 'insufficient_calibration_n_train_lt30' ELSE 'calibrated' END AS status,
   CASE WHEN count(*) < 30 THEN 1 ELSE 0 END AS abstain FROM train GROUP BY 1""")
 def _(t):
     return U.calibration_status(t.score().filter("split = 'TRAIN'"), 30)

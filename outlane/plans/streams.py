@@ -58,12 +58,15 @@ def _(t):
     return O.skip_finished(events, events.filter("value > 250")).select("event_id", "dataset")
 
 
-@query("live_progress_windows", "", """
-SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS start, count(*) AS lines, min(event_id) AS first, max(event_id) AS last, max(event_id) - min(event_id) AS done_in_window,
-  20000 - max(event_id) AS remaining FROM events WHERE event_type = 'purchase' GROUP BY 1""")
+@query("live_progress_windows", "", f"""
+WITH g AS (SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS start, count(*) AS lines, min(event_id) AS first, max(event_id) AS last,
+  CAST(epoch(date_trunc('second', max(ts))) AS BIGINT) - CAST(epoch(date_trunc('second', min(ts))) AS BIGINT) AS seconds FROM events WHERE event_type = 'purchase' GROUP BY 1),
+s AS (SELECT *, CASE WHEN seconds > 0 THEN (last - first) / (seconds / 60.0) END AS s FROM g)
+SELECT start, lines, first, last, last - first AS done_in_window, 20000 - last AS remaining, {r6('s')} AS speed, {r6('CASE WHEN s > 0 THEN greatest(0, 20000 - last) / s * 60 END')} AS eta_seconds FROM s""")
 def _(t):
     got = O.live_progress(P.progress_events(log_lines(t)).filter("at is not null"), "1 hour")
-    return got.withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm"))
+    return (got.withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm"))
+            .withColumns({c: R6(c) for c in ("speed", "eta_seconds")}))
 
 
 @query("event_time_series", "", f"""

@@ -260,9 +260,10 @@ def _(t):
 WITH r AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY score DESC, idx DESC) AS r FROM test),
 p AS (SELECT dataset, string_agg(CAST(idx AS VARCHAR), ' ' ORDER BY r) AS top_order, max(CASE WHEN r = 1 THEN score END) AS a, max(CASE WHEN r = 2 THEN score END) AS b
       FROM r WHERE r <= 10 GROUP BY 1)
-SELECT dataset, selected, top_order, {r6('a')} AS top1_score, {r6('a - b')} AS top_gap, {r6('a - threshold')} AS threshold_margin
-FROM p JOIN cap10 USING (dataset) JOIN (SELECT dataset, count(CASE WHEN score > threshold THEN 1 END) AS selected FROM test JOIN cap10 USING (dataset) GROUP BY 1) USING (dataset)""")
+SELECT dataset, selected, top_order, {r6('most')} AS most_selected, {r6('least')} AS least_selected, {r6('b')} AS top2_score, {r6('a')} AS top1_score, {r6('a - b')} AS top_gap, {r6('a - threshold')} AS threshold_margin
+FROM p JOIN cap10 USING (dataset) JOIN (SELECT dataset, count(CASE WHEN score > threshold THEN 1 END) AS selected, max(CASE WHEN score > threshold THEN score END) AS most, min(CASE WHEN score > threshold THEN score END) AS least
+  FROM test JOIN cap10 USING (dataset) GROUP BY 1) USING (dataset)""")
 def _(t):
     limits = T.count_cap(train(t), DS, 0.1).select("dataset", "threshold")
     got = T.margins(test(t), limits, DS)
-    return got.select("dataset", "selected", "top_order", *[R6(c).alias(c) for c in ("top1_score", "top_gap", "threshold_margin")])
+    return got.select("dataset", "selected", "top_order", *[R6(c).alias(c) for c in ("most_selected", "least_selected", "top2_score", "top1_score", "top_gap", "threshold_margin")])

@@ -28,10 +28,16 @@ def local_session(cpus: str = "8", app: str = "outlane", memory: str = "8g") ->
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a scratch folder only when unset."""
+    """The shared folder the cluster names.
+
+    Only a local session may go without: a folder of the driver's machine is
+    not seen by executors elsewhere.
+    """
     named = spark.conf.get(CHECKPOINT_CONF, None)
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
+        if not named and not context.master.startswith("local["):
+            raise RuntimeError(f"{CHECKPOINT_CONF} must name a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return context.getCheckpointDir()
 

@@ -172,12 +172,16 @@ def restore(log: DataFrame, key: str = "dataset", order: str = "batch_id") -> Da
 # ---- live progress and event-time series ------------------------------------
 
 def live_progress(events: DataFrame, width: str = "1 minute", slide: str | None = None, late: str = "5 minutes") -> DataFrame:
-    """Done, expected and speed per window of progress events (``at``)."""
+    """Done, speed per minute and remaining time per window of progress events
+    (``at``); the speed is between the window's first and last event."""
     window = F.window("at", width, slide) if slide else F.window("at", width)
     got = events.withWatermark("at", late).groupBy(window.alias("w")).agg(
-        F.min("done").alias("first"), F.max("done").alias("last"), F.max("expected").alias("expected"), F.count(F.lit(1)).alias("lines"))
-    return got.select(F.col("w.start").alias("start"), "lines", "first", "last",
-                      (F.col("last") - F.col("first")).alias("done_in_window"), (F.col("expected") - F.col("last")).alias("remaining"))
+        F.min("done").alias("first"), F.max("done").alias("last"), F.max("expected").alias("expected"), F.count(F.lit(1)).alias("lines"),
+        (F.unix_timestamp(F.max("at")) - F.unix_timestamp(F.min("at"))).alias("seconds"))
+    gain, remaining = F.col("last") - F.col("first"), F.col("expected") - F.col("last")
+    speed = F.when(F.col("seconds") > 0, gain / (F.col("seconds") / 60))
+    return got.select(F.col("w.start").alias("start"), "lines", "first", "last", gain.alias("done_in_window"), remaining.alias("remaining"), speed.alias("speed"),
+                      F.when(speed > 0, F.greatest(F.lit(0), remaining) / speed * 60).alias("eta_seconds"))
 
 
 def event_series(events: DataFrame, keys: list[str], width: str, late: str, gap: str | None = None) -> DataFrame:
