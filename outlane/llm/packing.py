@@ -65,7 +65,7 @@ def schedule(totals: dict[str, int], window: int, targets: dict[str, float] | No
         left = [n - s for n, s in zip(left, served)]
         base.append(base[-1] + np.array(served, np.int64))
         quanta.append(np.array(k, np.int64))
-    return Schedule(window, names, np.array(base), np.array(quanta).reshape(-1, len(names)))
+    return Schedule(window, names, np.array(base), np.array(quanta, np.int64).reshape(len(quanta), len(names)))
 
 
 def _served(rounds: np.ndarray, quanta: np.ndarray) -> np.ndarray:
