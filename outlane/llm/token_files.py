@@ -151,7 +151,9 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
     made = spark.read.parquet(f"{folder}/blocks")
     # one row per shard, so as many as there are files
     shards = made.groupBy("shard").agg(F.sum("n_ids").alias("n"))
-    heads = shards.select(F.col("shard").alias("s"), F.coalesce(F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("head"))
+    earlier = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    # written, so that its size is known before the blocks are joined to it
+    heads = written(shards.select(F.col("shard").alias("s"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("head")))
     id_kind = made.schema["docs"].dataType.elementType.simpleString()
 
     def decode(batches):

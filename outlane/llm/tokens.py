@@ -163,7 +163,8 @@ def library_table(path: str, kind: str) -> UnitTable:
         return out, n
 
     specials = [token.content for token in tokenizer.get_added_tokens_decoder().values()]
-    _TABLES[key] = UnitTable(word_units if kind == "word" else spaced_units, specials, encode_units, separate, len(edge) - 1)
+    _TABLES[key] = UnitTable(word_units if kind == "word" else spaced_units, specials, encode_units, separate, len(edge) - 1,
+                             limit=450_000 if kind == "word" else 250_000)
     return _TABLES[key]
 
 
