@@ -39,8 +39,32 @@ CASES = {
 }
 
 
+ODD_CASES = {
+    "position": lambda df: order.with_position(df, ["dataset"], [("score", "desc"), ("idx", "asc")], "rn").select("dataset", "idx", "rn"),
+    "position_asc": lambda df: order.with_position(df, ["dataset"], [("score", "asc"), ("idx", "desc")], "rn").select("dataset", "idx", "rn"),
+    "cumulative": lambda df: order.with_cumulative(df, ["dataset"], "score", {"c": F.col("y")}).select("dataset", "idx", "c"),
+    "cumulative_desc": lambda df: order.with_cumulative(df, ["dataset"], "score", {"c": F.col("y")}, True).select("dataset", "idx", "c"),
+    "conformal": lambda df: fusion.conformal_p(df, ["dataset"]).select("dataset", "idx", "p"),
+}
+
+
+@pytest.mark.parametrize("name", ODD_CASES)
+def test_null_nan_and_infinity(spark, skewed, name):
+    """Both paths keep every row and agree on where odd values stand."""
+    i = F.col("idx") % 11
+    odd = skewed.withColumn("score", F.when(i == 0, None).when(i == 1, float("nan")).when(i == 2, float("inf")).when(i == 3, float("-inf")).otherwise(F.col("score")))
+    key = lambda df: sorted(map(repr, rounded(df)))
+    plain = key(ODD_CASES[name](odd))
+    spark.conf.set(order.HOT_ROWS_CONF, "50")
+    try:
+        split = key(ODD_CASES[name](odd))
+    finally:
+        spark.conf.unset(order.HOT_ROWS_CONF)
+    assert split == plain
+
+
 def rounded(df):
-    return [tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in rows(df)]
+    return [tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in sorted(map(tuple, df.collect()), key=repr)]
 
 
 @pytest.mark.parametrize("name", CASES)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from conftest import rows
 from outlane.functions import columns as C
-from outlane.operators import evaluate, fusion, models, quality, reports, rerank, selection, thresholds
+from outlane.operators import evaluate, fusion, models, prep, quality, reports, rerank, selection, thresholds
 
 S = "dataset string, split string, idx bigint, source string, score double"
 

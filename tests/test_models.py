@@ -35,10 +35,45 @@ def test_factor_matches_svd(points, centred):
 def test_neighbour_blocks_are_exact(points):
     train, test, df = points
     d = np.sqrt(((test[:, None] - train[None]) ** 2).sum(axis=2))
-    for bound in (1000, None):
-        got = neighbours(df, df.filter("split = 'TRAIN'"), 4, reference_bound=bound)
-        near = [[n["d"] for n in r["near"]] for r in got.filter("split = 'TEST'").orderBy("idx").collect()]
-        assert np.allclose(near, np.sort(d, axis=1)[:, :4])
+    got = neighbours(df, df.filter("split = 'TRAIN'"), 4)
+    near = [[n["d"] for n in r["near"]] for r in got.filter("split = 'TEST'").orderBy("idx").collect()]
+    assert np.allclose(near, np.sort(d, axis=1)[:, :4])
+
+
+def test_ties_go_to_the_lower_id(spark):
+    data = vec_rows(spark, np.array([[1.0, 0.0], [0.0, 1.0], [-1.0, 0.0], [1.0, 0.0]])) + vec_rows(spark, np.zeros((1, 2)), "TEST")
+    df = spark.createDataFrame(data, "dataset string, split string, idx bigint, vec array<double>")
+    got = neighbours(df, df.filter("split = 'TRAIN'"), 3).filter("split = 'TEST'").first()
+    assert [n["rid"] for n in got["near"]] == [0, 1, 2]
+
+
+def test_long_train_sides_are_used_whole(spark):
+    """1,500 TRAIN rows in one dataset: every row is scored against all others."""
+    from outlane.operators import scoring
+    x = np.random.default_rng(6).normal(size=(1510, 3))
+    data = vec_rows(spark, x[:1500]) + vec_rows(spark, x[1500:], "TEST")
+    df = spark.createDataFrame(data, "dataset string, split string, idx bigint, vec array<double>").repartition(4)
+    got = {(r.split, r.idx): r.score for r in scoring.local_gap(df).collect()}
+    low, mid, high = np.quantile(x[:1500], [0.1, 0.5, 0.9], axis=0)
+    z = (x - mid) / (high - low)
+    d = np.sqrt(((z[:, None] - z[None, :1500]) ** 2).sum(axis=2))
+    d[np.arange(1500), np.arange(1500)] = np.inf
+    near = np.argsort(d, axis=1, kind="stable")[:, :3]
+    base = np.take_along_axis(d, near, axis=1).mean(axis=1)
+    radius = base[:1500] + 1e-9
+    want = (base - (radius[near].mean(axis=1) + 1e-9)) / (np.median(radius) + 1e-9)
+    assert len(got) == 1510
+    assert np.allclose([got["TRAIN", i] for i in range(1500)] + [got["TEST", i] for i in range(10)], want)
+
+
+def test_lone_train_row(spark):
+    from outlane.operators import scoring
+    data = vec_rows(spark, np.array([[1.0, 2.0]])) + vec_rows(spark, np.array([[1.0, 2.5]]), "TEST")
+    df = spark.createDataFrame(data, "dataset string, split string, idx bigint, vec array<double>")
+    got = {r.split: r.score for r in scoring.local_gap(df).collect()}
+    assert got["TRAIN"] == pytest.approx(-1, abs=1e-6) and got["TEST"] > 1000
+    folded = {r.split: r.score for r in models.crossfit(df, models.centroid).collect()}
+    assert folded == {"TRAIN": 0.0, "TEST": 0.5}
 
 
 def test_neighbours_over_many_blocks(points, monkeypatch):
@@ -46,7 +81,7 @@ def test_neighbours_over_many_blocks(points, monkeypatch):
     train, test, df = points
     monkeypatch.setattr(scoring, "REFERENCE_BLOCK", 8)
     monkeypatch.setattr(scoring, "QUERY_BLOCK", 5)
-    got = neighbours(df, df.filter("split = 'TRAIN'"), 3, reference_bound=None)
+    got = neighbours(df, df.filter("split = 'TRAIN'"), 3)
     d = np.sqrt(((test[:, None] - train[None]) ** 2).sum(axis=2))
     near = [[n["rid"] for n in r["near"]] for r in got.filter("split = 'TEST'").orderBy("idx").collect()]
     assert np.array_equal(near, np.argsort(d, axis=1)[:, :3])

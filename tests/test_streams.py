@@ -80,3 +80,12 @@ def test_live_progress_stream(spark, tmp_path, slide):
     got = run(O.live_progress(stream_of(spark, df, tmp_path), "1 minute", slide), f"live{slide is None}")
     assert got.count() > 5
     assert got.filter(F.col("remaining") != 100 - F.col("last")).count() == 0
+
+
+def test_speed_and_remaining_time(spark):
+    from outlane.operators import reports
+    data = [("2024-01-01 08:00:00", 10, 100), ("2024-01-01 08:05:00", 30, 100), ("2024-01-01 09:00:00", 30, 100)]
+    df = spark.createDataFrame(data, "t string, done bigint, expected bigint").select(F.col("t").cast("timestamp").alias("at"), "done", "expected")
+    first, second = reports.throughput(df, "1 hour").orderBy("start").collect()
+    assert (first.recent_speed, first.mean_speed, first.eta_seconds, first.eta_basis) == (4.0, 6.0, 1050.0, "recent")
+    assert (second.recent_speed, second.mean_speed, second.eta_basis) == (None, 0.5, "average")
