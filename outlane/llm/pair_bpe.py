@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from outlane.llm.tokens import UnitTable, blocks, word_units
+from outlane.llm.tokens import UnitTable, blocks
 
 #: How the word vocabulary cuts text before merges, and the
 #: characters that stand for the bytes without a printable one.
@@ -139,9 +139,10 @@ class PairIndexBpe:
 
     # -- units and whole texts -------------------------------------------------------
     def encode_units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Units are lower-case; a unit may be several words, or none."""
+        """Units are lower-case, after white space; a unit may be several words, or none."""
         words, counts = [], np.ones(len(units), np.int64)
         for i, unit in enumerate(units):
+            unit = unit.strip()
             if unit.isalpha():
                 words.append(unit.encode())
             else:
@@ -192,7 +193,7 @@ def encoder(path: str) -> tuple[PairIndexBpe, UnitTable]:
     """One encoder and table of words per worker process and file."""
     if path not in _MADE:
         bpe = PairIndexBpe(path)
-        _MADE[path] = bpe, UnitTable(word_units, list(bpe.special), bpe.encode_units, bpe.encode_whole)
+        _MADE[path] = bpe, UnitTable(True, list(bpe.special), bpe.encode_units, bpe.encode_whole)
     return _MADE[path]
 
 

@@ -30,29 +30,47 @@ def plain(texts: pa.Array, specials: list[str]) -> pa.Array:
     return out
 
 
-def word_units(texts: pa.Array) -> pa.Array:
-    """Lists of units for the word vocabulary, which lower-cases and drops white
-    space; letters are cut from what follows them."""
-    return pc.ascii_split_whitespace(pc.replace_substring_regex(pc.utf8_lower(texts), r"(\pL)([^\pL\s])", r"\1 \2"))
+_SPACE, _LETTER, _OTHER = (np.array([chr(b) in " \t\n\f\r" for b in range(256)]),
+                          np.array([b < 128 and chr(b).isalpha() for b in range(256)]),
+                          np.array([32 < b < 127 and not chr(b).isalpha() for b in range(256)]))
 
 
-def spaced_units(texts: pa.Array) -> pa.Array:
-    """Lists of units for a byte-level vocabulary: every run of white space
-    goes with what follows it, and letters are cut from what follows them."""
-    cut = pc.replace_substring_regex(texts, r"(\S)(\s)", "\\1\x01\\2")
-    return pc.split_pattern(pc.replace_substring_regex(cut, r"(\pL)([^\pL\s\x01])", "\\1\x01\\2"), "\x01")
+def cut_units(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Units of plain texts, and where each text's begin.
+
+    Text is cut before white space that follows something else, and between a
+    letter and a digit or punctuation mark.  No token of the byte-level or the
+    word vocabulary crosses such a place, and what it makes of a unit does not
+    depend on the units beside it.
+    """
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0]:offsets[-1]]
+    offsets = offsets - offsets[0]
+    if not len(data):
+        return pa.array([], pa.large_binary()), np.zeros(len(offsets), np.int64)
+    space, letter = _SPACE[data], _LETTER[data]
+    # letters of two bytes end in a byte after C3 or C4; D7 and F7 are signs
+    before, after = data[:-1], data[1:]
+    letter[1:] |= (after >= 0x80) & ((before == 0xC4) | ((before == 0xC3) & (after != 0x97) & (after != 0xB7)))
+    cut = np.zeros(len(data) + 1, bool)
+    cut[1:-1] = (space[1:] & ~space[:-1]) | (letter[:-1] & _OTHER[after])
+    cut[offsets] = True
+    at = np.flatnonzero(cut)  # the last is the end of the data
+    units = pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(data)])
+    return units, np.searchsorted(at, offsets)
 
 
 class UnitTable:
     """unit -> ids.  ``encode_units`` maps a list of units to (ids, lengths);
-    ``encode_whole`` does the same for texts that are not plain.
+    ``encode_whole`` does the same for texts that are not plain.  ``lower``: the
+    vocabulary lower-cases.
 
     The table is emptied when it holds ``limit`` units or ``limit_chars``
     characters, which bounds memory and changes no result.
     """
 
-    def __init__(self, cut, specials, encode_units, encode_whole, most_id: int = 2**31 - 1, limit: int = 250_000, limit_chars: int = 8_000_000):
-        self.cut, self.specials, self.limit, self.limit_chars = cut, specials, limit, limit_chars
+    def __init__(self, lower: bool, specials, encode_units, encode_whole, most_id: int = 2**31 - 1, limit: int = 250_000, limit_chars: int = 8_000_000):
+        self.lower, self.specials, self.limit, self.limit_chars = lower, specials, limit, limit_chars
         self.encode_units, self.encode_whole, self.most_id = encode_units, encode_whole, most_id
         self._clear()
 
@@ -78,9 +96,8 @@ class UnitTable:
         return out, n
 
     def _cut(self, texts) -> tuple[np.ndarray, np.ndarray]:
-        lists = self.cut(texts)
-        edges = lists.offsets.to_numpy()
-        units = lists.flatten().dictionary_encode()
+        units, edges = cut_units(pc.utf8_lower(texts) if self.lower else texts)
+        units = units.dictionary_encode()
         which = self._known(units.dictionary.to_pylist())
         where = which[units.indices.to_numpy()]
         lengths = self.lengths[where]
@@ -88,9 +105,9 @@ class UnitTable:
         np.cumsum(lengths, out=ends[1:])
         at = np.repeat(self.starts[where] - ends[:-1], lengths)
         at += np.arange(ends[-1], dtype=np.int32)
-        return self.ids[at], np.diff(ends[edges - edges[0]])
+        return self.ids[at], np.diff(ends[edges])
 
-    def _known(self, units: list[str]) -> np.ndarray:
+    def _known(self, units: list[bytes]) -> np.ndarray:
         """Row of each of these distinct units in the table."""
         if len(self.index) > self.limit or self.chars > self.limit_chars:
             self._clear()
@@ -98,7 +115,7 @@ class UnitTable:
         fresh = [u for u in units if u not in index]
         if fresh:
             gc.disable()  # a great many small lists, none of them cyclic
-            ids, lengths = self.encode_units(fresh)
+            ids, lengths = self.encode_units([u.decode() for u in fresh])
             gc.enable()
             index.update(zip(fresh, range(base, base + len(fresh))))
             self.starts = np.concatenate([self.starts, (len(self.ids) + np.cumsum(lengths) - lengths).astype(np.int32)])
@@ -152,7 +169,11 @@ def library_table(path: str, kind: str) -> UnitTable:
         return ids, lengths
 
     def encode_units(units):
-        words = np.array([u.isalpha() if kind == "word" else u[:1] == " " and u[1:].isalpha() for u in units], bool)
+        if kind == "word":
+            units = [u.strip() for u in units]
+            words = np.array([u.isalpha() for u in units], bool)
+        else:
+            words = np.array([u[:1] == " " and u[1:].isalpha() for u in units], bool)
         groups = [[u for u, w in zip(units, words) if w], [u for u, w in zip(units, words) if not w]]
         (a, na), (b, nb) = joined(groups[0]) if groups[0] else flattened([]), separate(groups[1]) if groups[1] else flattened([])
         n = np.zeros(len(units), np.int64)
@@ -163,7 +184,7 @@ def library_table(path: str, kind: str) -> UnitTable:
         return out, n
 
     specials = [token.content for token in tokenizer.get_added_tokens_decoder().values()]
-    _TABLES[key] = UnitTable(word_units if kind == "word" else spaced_units, specials, encode_units, separate, len(edge) - 1,
+    _TABLES[key] = UnitTable(kind == "word", specials, encode_units, separate, len(edge) - 1,
                              limit=450_000 if kind == "word" else 250_000)
     return _TABLES[key]
 
