@@ -27,11 +27,13 @@ from outlane.llm.common import components, remove, written
 REACH = 0.15
 #: Expected vectors of the sample that centroids and codewords are fitted on.
 SAMPLE_ROWS = 32_768
-MOST_LISTS = 1024
+MOST_LISTS = 4096
 SUBSPACES = 8
 CODEWORDS = 256
-#: Members that a task holds at a time.
+#: Members that a task holds at a time; more where there would be over
+#: ``MOST_GROUPS`` groups.
 GROUP_ROWS = 4096
+MOST_GROUPS = 10_000
 _PAIRS = 1 << 19
 
 
@@ -250,13 +252,14 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     for r in packed.select("v").mapInArrow(sizes, "k long, n long").groupBy("k").agg(F.sum("n")).collect():
         per_list[r[0]] = r[1]
     begin = np.cumsum(per_list) - per_list
-    groups = max(1, -(-int(per_list.sum()) // GROUP_ROWS))
+    group_rows = max(GROUP_ROWS, -(-count // MOST_GROUPS))
+    groups = max(1, -(-int(per_list.sum()) // group_rows))
 
     def deal(batches):
         """Members to their group (a large list spans several), queries to every
         group with a list that they probe."""
         model = shared.value
-        low, high = begin // GROUP_ROWS, np.minimum((begin + np.maximum(per_list, 1) - 1) // GROUP_ROWS, groups - 1)
+        low, high = begin // group_rows, np.minimum((begin + np.maximum(per_list, 1) - 1) // group_rows, groups - 1)
         reaches = np.zeros((len(low), groups), np.float32)
         for k in range(len(low)):
             if per_list[k]:
@@ -267,7 +270,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
                 ids, data = part.column(0).to_numpy(), vectors_of(part.column(2))
                 own, probe = model.lists(data)
                 share = ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.float64) / (1 << 24)
-                home = np.minimum((begin[own] + (share * per_list[own]).astype(np.int64)) // GROUP_ROWS, groups - 1)
+                home = np.minimum((begin[own] + (share * per_list[own]).astype(np.int64)) // group_rows, groups - 1)
                 who, to = np.nonzero(probe.astype(np.float32) @ reaches)
                 take = pa.array(np.concatenate([np.arange(len(ids)), who]))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([home, to]).astype(np.int32)), pa.array(np.concatenate([np.zeros(len(ids), bool), np.ones(len(who), bool)])),
