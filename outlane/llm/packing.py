@@ -154,8 +154,9 @@ def packed(docs: DataFrame, path: str, kind: str = "byte", end_id: int = 0, wind
     last to ``window`` tokens.  A null or empty text is its end id alone; null
     sources are the source with the empty name; null or repeated ids are packed
     as rows of their own.  The ``queues`` sources with the most rows have their
-    own queue, the others share one, so the schedule is bounded.  An empty
-    table gives no rows; other columns are not read.
+    own queue, the others share one, so the schedule is bounded.  A queue takes
+    documents in the order of the input's partitions.  An empty table gives no
+    rows; other columns are not read.
     """
     source = F.coalesce(F.col(source_col).cast("string"), F.lit(""))
     own = [r[0] for r in docs.groupBy(source.alias("s")).count().orderBy(F.desc("count"), "s").limit(queues).collect()]

@@ -68,9 +68,6 @@ class Bloom:
         mixed *= np.uint64(0x9E3779B97F4A7C15)
         return ((mixed >> np.uint64(20)) % np.uint64(self.size)).astype(np.int64)
 
-    def __contains__(self, keys):
-        raise TypeError("use has()")
-
     def has(self, keys: np.ndarray) -> np.ndarray:
         return self.bits[self._places(keys)].all(axis=0)
 
