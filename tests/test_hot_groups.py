@@ -3,7 +3,6 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
 from outlane.functions import order
 from outlane.operators import evaluate, fusion, thresholds
 
