@@ -28,14 +28,19 @@ def _key(line: Column) -> Column:
     return F.struct(F.xxhash64(line).alias("h"), F.crc32(F.encode(line, "UTF-8")).alias("c"))
 
 
-def boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, least: int = LEAST_PAGES) -> DataFrame:
+def boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, least: int = LEAST_PAGES, copies: bool = True) -> DataFrame:
     """(site, bad): the boilerplate lines of each site that has any.
 
     A page has at most its own number of distinct lines, so a site has at most
-    (mean lines per page) / ratio of them whatever its size.
+    (mean lines per page) / ratio of them whatever its size.  Without ``copies``
+    pages of a site with the same text are one page, in the counts of lines and
+    of pages alike.
     """
-    pages = docs.select(F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("site"),
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    pages = docs.select(_key(text).alias("page"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("site"),
                         F.array_distinct(F.transform(F.filter(_lines(text_col), lambda x: F.trim(x) != ""), _key)).alias("keys"))
+    if not copies:
+        pages = pages.groupBy("site", "page").agg(F.first("keys").alias("keys"))
     # one scan counts both: the empty key stands for the page itself
     own = F.array(F.struct(F.lit(None).cast("bigint").alias("h"), F.lit(None).cast("bigint").alias("c")))
     counts = written(pages.select("site", F.explode(F.concat(own, "keys")).alias("key")).groupBy("site", "key.h", "key.c").agg(F.count("*").alias("n"))
@@ -45,7 +50,7 @@ def boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text
             .groupBy("site").agg(F.collect_set(F.struct("h", "c")).alias("bad")))
 
 
-def site_line_dedup(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, least: int = LEAST_PAGES) -> DataFrame:
+def site_line_dedup(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, least: int = LEAST_PAGES, copies: bool = True) -> DataFrame:
     """``docs`` with boilerplate lines taken out of the text.
 
     Lines end at ``\\n``; lines of white space are never boilerplate; a line
@@ -55,11 +60,13 @@ def site_line_dedup(docs: DataFrame, host_col: str = "source", text_col: str = "
     unchanged, whatever their names; two columns are added (or
     replaced): ``lines_before`` and ``lines_dropped`` (a null text has one
     empty line).  Repeated ids are
-    separate pages; an empty table gives no rows.
+    separate pages; an empty table gives no rows.  Copies of a text count as
+    separate pages of the site, or as one page if ``copies`` is False: then
+    copying a page does not turn its lines into boilerplate.
     """
     added = ("lines_before", "lines_dropped")
     names = [c for c in docs.columns if c not in added]
-    bad = written(boilerplate(docs, host_col, text_col, ratio, least)).select(F.col("site").alias("__site"), F.col("bad").alias("__bad"))
+    bad = written(boilerplate(docs, host_col, text_col, ratio, least, copies)).select(F.col("site").alias("__site"), F.col("bad").alias("__bad"))
     joined = docs.join(bad, F.coalesce(F.col(host_col).cast("string"), F.lit("")) == F.col("__site"), "left")
     clean = F.filter(_lines(text_col), lambda x: ~F.array_contains("__bad", _key(x)))
     kept = F.when(F.col("__bad").isNull() | F.col(text_col).isNull(), F.col(text_col)).otherwise(F.array_join("__kept", "\n"))
