@@ -6,6 +6,12 @@ sqrt(|x_n| |z_n|).  Nystroem: kernel values with a few landmark texts, whitened,
 are the features; one ridge regression per language (one versus the rest) is
 fitted on them.  The n-grams of the kernel are those of the landmarks, so the
 kernel values of a block of texts are matrix products of presence matrices.
+
+A classifier that only compares its languages must name one for any text.  So a
+text's norm in the space of the landmarks is taken too, with k(x, z) over all of
+the text's own n-grams: 1 if the landmarks explain it whole, near 0 in an unknown
+script.  Labelled rows of like size tell how low it is in the languages learnt; a
+text well below that keeps its label but has score 0.
 """
 
 from __future__ import annotations
@@ -21,6 +27,9 @@ SAMPLE_ROWS = 3000
 LANDMARKS = 160
 RIDGE = 1e-3
 ORDERS = (1, 2, 3)
+#: Labelled rows nearest in size whose norms, at this quantile and times this
+#: part of it, are the least that a text of a learnt language has.
+LIKE_ROWS, LOW, PART = 100, 0.02, 0.75
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
 #: A-Z to a-z; digits, punctuation and white space to a blank.
@@ -69,17 +78,33 @@ class Kernel:
 
     def values(self, texts: list[bytes]) -> np.ndarray:
         """[text, landmark] kernel values of a block of texts."""
+        return self.both(texts)[0]
+
+    def both(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Kernel values over the n-grams that landmarks have, the same over all
+        n-grams of the text, and its number of distinct n-grams of the last order."""
         out = np.zeros((len(texts), self.products[0].shape[1]), np.float32)
+        whole, own = np.zeros_like(out), np.zeros(len(texts))
         for i, n in enumerate(ORDERS):
             table = self._table(i)
-            there = np.zeros((len(texts), len(self.grams[i]) + 1), np.float32)
+            there, strange = np.zeros((len(texts), len(self.grams[i]) + 1), np.float32), [np.zeros(0, np.int64)]
             for data, row in _slices(texts, n):
-                found = table[codes(data, n)]
-                there[row[:len(found)], found] = 1
+                code = codes(data, n)
+                found, row = table[code], row[:len(code)]
+                there[row, found] = 1
+                at = np.flatnonzero(found == 0)
+                inside = np.ones(len(at), bool)  # not over the end of a text
+                for k in range(n):
+                    inside &= data[at + k] > 0
+                at = at[inside]
+                strange.append(np.unique(row[at].astype(np.int64) << 24 | code[at]))
             there[:, 0] = 0
             sizes = there.sum(axis=1, keepdims=True)
-            out += there @ self.products[i] / np.sqrt(np.maximum(sizes, 1))
-        return out / len(ORDERS)
+            own = sizes[:, 0] + np.bincount(np.unique(np.concatenate(strange)) >> 24, minlength=len(texts))
+            shared = there @ self.products[i]
+            out += shared / np.sqrt(np.maximum(sizes, 1))
+            whole += shared / np.sqrt(np.maximum(own, 1))[:, None]
+        return out / len(ORDERS), whole / len(ORDERS), own
 
 
 def _slices(texts: list[bytes], n: int):
@@ -120,27 +145,47 @@ class Model:
         size, turn = np.linalg.eigh((base + base.T) / 2)
         keep = size > 1e-6 * size.max()
         self.white = turn[:, keep] / np.sqrt(size[keep])
-        rows = np.concatenate([self.features(texts[i:i + 256]) for i in range(0, len(texts), 256)])
+        parts = [self.placed(texts[i:i + 256]) for i in range(0, len(texts), 256)]
+        rows, norms, own = (np.concatenate(x) for x in zip(*parts))
+        # a landmark's norm is that by the other landmarks
+        norms[sorted(chosen)] = 1 - 1 / np.diag(np.linalg.inv((base + base.T) / 2 + 1e-6 * np.eye(len(base))))
+        self._learn_floor(norms, own)
         goal = np.where(labels[:, None] == np.array(self.names)[None, :], 1.0, -1.0)
         weight = 1 / np.sqrt(np.array([(labels == x).sum() for x in labels]))[:, None]  # rare languages count
         left = rows * weight
         gram = left.T @ left
         self.beta = np.linalg.solve(gram + ridge * np.trace(gram) / len(gram) * np.eye(len(gram)), left.T @ (goal * weight))
 
+    def placed(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Features, squared norm in the landmarks' space and size of each text."""
+        known, whole, own = self.kernel.both(texts)
+        return np.column_stack([known @ self.white, np.ones(len(texts))]), ((whole @ self.white) ** 2).sum(axis=1), own
+
     def features(self, texts: list[bytes]) -> np.ndarray:
-        return np.column_stack([self.kernel.values(texts) @ self.white, np.ones(len(texts))])
+        return self.placed(texts)[0]
+
+    def _learn_floor(self, norms: np.ndarray, own: np.ndarray) -> None:
+        order = np.argsort(own, kind="stable")
+        norms, own = norms[order], own[order]
+        n = min(LIKE_ROWS, len(norms))
+        low = np.quantile(np.lib.stride_tricks.sliding_window_view(norms, n), LOW, axis=1)
+        middle = np.sort(np.lib.stride_tricks.sliding_window_view(np.log1p(own), n), axis=1)[:, n // 2]
+        self.sizes, first = np.unique(middle, return_index=True)
+        self.floors = PART * np.maximum(low[first], 0)
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        """Language and score of each text; the score is a softmax of margins."""
+        """Language and score of each text; the score is a softmax of margins,
+        or 0 if the text is less like the labelled rows than any of them."""
         known = [bool(self.names) and x is not None and bool(_LETTER.search(x)) for x in texts]
         names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
         at = [i for i, k in enumerate(known) if k]
         for i in range(0, len(at), 128):
             block = at[i:i + 128]
-            margins = self.features([folded(texts[j]) for j in block]) @ self.beta
+            rows, norms, own = self.placed([folded(texts[j]) for j in block])
+            margins, like = rows @ self.beta, norms >= np.interp(np.log1p(own), self.sizes, self.floors)
             power = np.exp(4 * (margins - margins.max(axis=1, keepdims=True)))
             best = margins.argmax(axis=1)
-            for j, b, s in zip(block, best.tolist(), 1 / power.sum(axis=1)):
+            for j, b, s in zip(block, best.tolist(), like / power.sum(axis=1)):
                 names[j], scores[j] = self.names[b], s
         return names, scores
 
@@ -167,7 +212,8 @@ def identified(docs: DataFrame, model: Model, text_col: str = "text", to: str =
 
     Whole texts are scored in blocks.  A null text, or one without a letter,
     is ``und`` with score 0, and so is every text if no labelled row was there
-    to learn from.  Rows, order and other columns are unchanged; an empty table
+    to learn from.  A text in none of the languages has the label of the nearest
+    one and score 0.  Rows, order and other columns are unchanged; an empty table
     gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
