@@ -8,7 +8,7 @@ from public_tokenizers import path as vocabulary
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from outlane.llm import bloom_dedup, chat, language, line_dedup, near_vectors, packing, pair_bpe, simhash, token_files, url_cascade
+from outlane.llm import bloom_dedup, chat, collocations, decontamination, language, line_dedup, near_vectors, orchard, packing, pair_bpe, simhash, token_files, url_cascade
 from outlane.session import checkpoint_dir
 
 #: Files of public tokenizers; every worker has them at the same place.
@@ -100,3 +100,23 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (bloom_dedup.exact_groups(table(spark, sf_dir, "documents"))
             .select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256")))
+
+
+@query("op11_decontamination", decontamination.SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    got = decontamination.marked(docs, table(spark, sf_dir, "benchmark"), keep_text=False)
+    return got.select("doc_id", "marks.n_words", "marks.n_hit", F.size("marks.items").cast("bigint").alias("n_items"),
+                      F.sha2(F.encode(F.array_join("marks.items", ","), "UTF-8"), 256).alias("items_sha256"), (F.col("marks.n_hit") > 0).alias("contaminated"))
+
+
+@query("op12_orchard", orchard.SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return (orchard.clustered(table(spark, sf_dir, "embeddings"))
+            .select(F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia",
+                    F.sha2(F.encode(F.array_join(F.col("centroid").cast("array<string>"), ","), "UTF-8"), 256).alias("centroid_sha256")))
+
+
+@query("op13_collocations", collocations.SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
