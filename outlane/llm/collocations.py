@@ -5,8 +5,8 @@ counts, and the stream of word numbers.  Level by level, a shard is mined
 completely at its proportionally lowered support ceil(support * n_i / n): a phrase
 below it in every shard is below the support overall, as the shards' shortfalls
 add up to less than the support.  Shards emit hash and count of what is frequent
-in them; the union keeps a phrase if its counts plus what other shards may hide
-reach the support.  The kept hashes become a bit filter of bounded size, with which
+in them, packed by segments of the hash space; the union keeps a phrase if its
+counts plus what other shards may hide reach the support.  The kept hashes become a bit filter of bounded size, with which
 every shard counts its candidates, and only those counts travel as strings and
 are added up exactly.  The filter of a level prunes the next: a phrase is mined
 only if both phrases of one word less are candidates.
@@ -29,7 +29,9 @@ SUPPORT = 10
 WORDS = 3
 TOP = 2000
 #: Words of a shard; a longer document is a shard of its own.
-SHARD_WORDS = 2_000_000
+SHARD_WORDS = 1_000_000
+#: Words of the corpus for each segment in which shards' hashes meet.
+SEGMENT_WORDS = 1_000_000
 #: Pieces that a language's ranking is dealt over before they meet.
 DEALT = 64
 _BREAKS = b".,;:!?\n\x0b\x0c\r"
@@ -97,63 +99,106 @@ def joined_hash(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return out ^ (out >> np.uint64(29))
 
 
-def phrases(lang: str, words: pa.Array, stream: bytes, filters: list, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word numbers, counts, hashes) of the distinct phrases of ``size`` words of
-    one shard whose parts of one word less pass the filters of their level."""
+def levels(lang: str, words: pa.Array, stream: bytes, filters: list, most: int):
+    """For 1 to ``most`` words: (word numbers, counts, hashes) of the distinct phrases
+    of one shard whose parts of one word less pass the filters of their level."""
     data = np.frombuffer(stream, "<i4")
-    number, joined = (data >> 1).astype(np.int64), (data & 1).astype(bool)
+    number, joined = data >> 1, (data & 1).astype(bool)
     single = word_hashes(lang, words)
-    of, hashes = number, single  # of[i]: which distinct phrase begins at word i
-    good = filters[0].has(single)[number]
-    rows = np.arange(len(words))[:, None]
-    count = np.zeros(0, np.int64)
-    for level in range(2, size + 1):
-        begins = good[:-1] & good[1:]
-        if level == 2:
-            begins &= joined[:-1]
-        at = np.flatnonzero(begins)
-        code, which, count = np.unique(of[at] * len(words) + number[at + level - 1], return_inverse=True, return_counts=True)
+    of, hashes, rows = number, single, np.arange(len(words))[:, None]  # of[i]: which distinct phrase begins at word i
+    yield rows, np.bincount(number, minlength=len(words)), hashes
+    for level in range(2, most + 1):
+        good = filters[level - 2].has(hashes)[of] & (of >= 0)
+        at = np.flatnonzero(good[:-1] & good[1:] & joined[:-1])
+        code, which, count = np.unique(of[at].astype(np.int64) * len(words) + number[at + level - 1], return_inverse=True, return_counts=True)
         left, last = code // len(words), code % len(words)
         rows, hashes = np.concatenate([rows[left], last[:, None]], axis=1), joined_hash(hashes[left], single[last])
-        if level < size:
-            of, good = np.zeros(len(number), np.int64), np.zeros(len(number), bool)
-            of[at], good[at] = which, filters[level - 1].has(hashes)[which]
-    return rows, count, hashes
+        yield rows, count, hashes
+        of = np.full(len(number), -1, np.int32)
+        of[at] = which
+        if not len(code):
+            return
 
 
 # -- one level ------------------------------------------------------------------------
-def local_frequent(rows: DataFrame, filters: list, size: int) -> DataFrame:
-    """(h, c, slack): what each shard finds frequent.  ``c`` is the count less what
-    the shard might have hidden; ``slack`` is what all shards might hide."""
-    shared = rows.sparkSession.sparkContext.broadcast(filters)
+def _packed(values: np.ndarray, edges: np.ndarray) -> pa.Array:
+    offsets = (edges * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _unpacked(column: pa.Array, kind: str) -> np.ndarray:
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0]:offsets[-1]].view(kind)
+
+
+def local_frequent(rows: DataFrame, filters: list, size: int, bits: int) -> DataFrame:
+    """(segment, hashes, counts): what each shard finds frequent, in order of hash.
+
+    A row holds all of a shard's hashes with the same first ``bits``; a count is
+    less what the shard might have hidden (its support less one).
+    """
+    shared, shift = rows.sparkSession.sparkContext.broadcast(filters), np.uint64(64 - bits)
 
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                lang, words, stream, least, slack = batch.column(0)[i].as_py(), batch.column(1)[i].values, batch.column(2)[i].as_py(), batch.column(3)[i].as_py(), batch.column(4)[i].as_py()
-                _, count, hashes = phrases(lang, words, stream, shared.value, size)
-                keep = count >= least
-                count, hashes = count[keep] - (least - 1), hashes[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(count), pa.array(np.full(len(count), slack, np.int64))], names=["h", "c", "slack"])
+                lang, words, stream, least = batch.column(0)[i].as_py(), batch.column(1)[i].values, batch.column(2)[i].as_buffer(), batch.column(3)[i].as_py()
+                found = list(levels(lang, words, stream, shared.value, size))
+                if len(found) < size:
+                    continue
+                _, count, hashes = found[-1]
+                keep = np.flatnonzero(count >= least)
+                keep = keep[np.argsort(hashes[keep])]
+                hashes, count = hashes[keep], count[keep] - (least - 1)
+                if len(keep):
+                    segment = (hashes >> shift).astype(np.int64)
+                    edges = np.concatenate([[0], np.flatnonzero(np.diff(segment)) + 1, [len(keep)]])
+                    yield pa.RecordBatch.from_arrays([pa.array(segment[edges[:-1]]), _packed(hashes, edges), _packed(count.astype(np.int64), edges)], names=["segment", "hashes", "counts"])
+
+    return rows.select("lang", "words", "stream", "least").mapInArrow(run, "segment long, hashes binary, counts binary")
 
-    return rows.select("lang", "words", "stream", "least", "slack").mapInArrow(run, "h long, c long, slack long")
 
+def union(local: DataFrame, least: int, bits: int) -> DataFrame:
+    """(h): hashes whose counts in all shards add up to ``least`` and more."""
+    shift = np.uint64(64 - bits)
 
-def counted(rows: DataFrame, filters: list, size: int) -> DataFrame:
-    """(lang, phrase, f): counts of each shard's candidates, all of them."""
+    def run(batches):
+        h, c, last = np.zeros(0, np.uint64), np.zeros(0, np.int64), None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            h, c = np.concatenate([h, _unpacked(batch.column(1), "<u8")]), np.concatenate([c, _unpacked(batch.column(2), "<i8")])
+            last = np.uint64(batch.column(0)[batch.num_rows - 1].as_py())
+            whole = (h >> shift) != last  # the last segment may go on
+            yield kept(h[whole], c[whole])
+            h, c = h[~whole], c[~whole]
+        yield kept(h, c)
+
+    def kept(h, c):
+        order = np.argsort(h)
+        h, c = h[order], c[order]
+        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+        total = np.add.reduceat(c, first) if len(h) else c
+        return pa.RecordBatch.from_arrays([pa.array(h[first[total >= least]].view(np.int64))], names=["h"])
+
+    return local.repartition("segment").sortWithinPartitions("segment").mapInArrow(run, "h long")
+
+
+def counted(rows: DataFrame, filters: list) -> DataFrame:
+    """(lang, phrase, size, f): counts of each shard's candidates, all of them."""
     shared = rows.sparkSession.sparkContext.broadcast(filters)
 
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                lang, words, stream = batch.column(0)[i].as_py(), batch.column(1)[i].values, batch.column(2)[i].as_py()
-                numbers, count, hashes = phrases(lang, words, stream, shared.value, size)
-                keep = shared.value[size - 1].has(hashes)
-                numbers, count = numbers[keep], count[keep]
-                text = pc.binary_join_element_wise(*[words.take(pa.array(numbers[:, k])) for k in range(size)], " ")
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(count), pa.string()), text, pa.array(count)], names=["lang", "phrase", "f"])
+                lang, words, stream = batch.column(0)[i].as_py(), batch.column(1)[i].values, batch.column(2)[i].as_buffer()
+                for level, (numbers, count, hashes) in enumerate(levels(lang, words, stream, shared.value, len(filters))):
+                    keep = shared.value[level].has(hashes)
+                    numbers, count = numbers[keep], count[keep]
+                    text = pc.binary_join_element_wise(*[words.take(pa.array(numbers[:, k])) for k in range(level + 1)], " ")
+                    yield pa.RecordBatch.from_arrays([pa.array([lang], pa.string()).take(pa.array(np.zeros(len(count), np.int64))), text, pa.array(np.full(len(count), level + 1, np.int32)), pa.array(count.astype(np.int64))], names=["lang", "phrase", "size", "f"])
 
-    return rows.select("lang", "words", "stream").mapInArrow(run, "lang string, phrase string, f long")
+    return rows.select("lang", "words", "stream").mapInArrow(run, "lang string, phrase string, size int, f long")
 
 
 def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", support: int = SUPPORT, most_words: int = WORDS, shard_words: int = SHARD_WORDS,
@@ -168,29 +213,17 @@ def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "l
     totals = coded.groupBy("lang").agg(F.sum("n").alias("all"))
     shares = coded.select("lang", "n").join(totals, "lang").withColumn("least", F.expr(f"({support} * n + all - 1) div all"))
     stats = written(shares.groupBy("lang").agg(F.first("all").alias("all"), F.sum(F.col("least") - 1).alias("slack")))
+    words, slack = stats.agg(F.sum("all"), F.max("slack")).first()
     rows = coded.join(stats, "lang").withColumn("least", F.expr(f"({support} * n + all - 1) div all"))
-    singles = coded.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w")).groupBy("lang", F.col("w.words").alias("phrase")).agg(F.sum("w.counts").alias("f"))
-    levels = [written(singles.filter(F.col("f") >= support).withColumn("size", F.lit(1)))]
-
-    def hashed(batches):
-        for batch in batches:
-            names = batch.column(0).to_pylist()
-            out = [int(word_hashes(lang, batch.column(1).slice(i, 1))[0]) for i, lang in enumerate(names)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(out, np.uint64).view(np.int64))], names=["h"])
-
-    filters = [key_filter.built(levels[0].select("lang", "phrase").mapInArrow(hashed, "h long"), levels[0].count(), most_bits)]
-    for size in range(2, most_words + 1):
-        union = local_frequent(rows, filters, size).groupBy("h").agg(F.sum("c").alias("c"), F.max("slack").alias("slack"))
-        kept = written(union.filter(F.col("c") + F.col("slack") >= support).select("h"))
+    bits = max(8, ((words or 0) // SEGMENT_WORDS).bit_length())
+    filters = []
+    for size in range(1, most_words + 1):
+        kept = written(union(local_frequent(rows, filters, size, bits), support - (slack or 0), bits))
         filters.append(key_filter.built(kept, kept.count(), most_bits))
         remove(docs.sparkSession, kept)
-        exact = counted(rows, filters, size).groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
-        levels.append(written(exact.filter(F.col("f") >= support).withColumn("size", F.lit(size))))
+    known = written(counted(rows, filters).groupBy("lang", "phrase", "size").agg(F.sum("f").alias("f")).filter(F.col("f") >= support))
     remove(docs.sparkSession, coded)
-    out = levels[0]
-    for level in levels[1:]:
-        out = out.unionByName(level)
-    return out, stats.select("lang", F.col("all").alias("n"))
+    return known, stats.select("lang", F.col("all").alias("n"))
 
 
 # -- binding and ranking -----------------------------------------------------------------
