@@ -45,9 +45,9 @@ def brute(rows):
     return [(r[0], min(ids[sets.find(i)], default=None)) for i, r in enumerate(rows)]
 
 
-@pytest.mark.parametrize("rounds", [0, 2, 4])
-def test_groups_of_the_stage(spark, rounds, monkeypatch):
-    monkeypatch.setattr(shingle_dedup.linked, "__defaults__", (rounds,))
+@pytest.mark.parametrize("piece", [2, 7, 2048])
+def test_groups_of_the_stage(spark, piece, monkeypatch):
+    monkeypatch.setattr(shingle_dedup, "PIECE", piece)
     rows = documents() + near_copies()
     got = [(r.id, r.component_id) for r in shingle_dedup.shingle_groups(frame(spark, rows)).collect()]
     order = lambda x: sorted(x, key=lambda r: tuple((v is None, v or 0) for v in r))

@@ -188,7 +188,8 @@ def test_query_matches_sql(spark, name):
 
 def test_pipeline_against_plain_python(spark):
     import corpus_pipeline
-    from outlane.llm import language, line_dedup, simhash
+    from outlane.llm import language, line_dedup
+    from test_near_dedup_stage import brute
 
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "simhash_near_dedup", "packing"]
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
@@ -196,17 +197,14 @@ def test_pipeline_against_plain_python(spark):
     names, scores = language.fit(docs).predict([r.text for r in given])
     rows = [[r.doc_id, r.text, r.source] for r, n, s in zip(given, names, scores) if n != "und" and s >= corpus_pipeline.LEAST_SCORE]
     pages, has = defaultdict(int), defaultdict(int)
-    for _, text, site in rows:
+    for text, site in {(text, site) for _, text, site in rows}:  # copies of a page count once
         pages[site] += 1
         for line in set(text.split("\n")):
             has[site, line] += 1
     for r in rows:
         r[1] = "\n".join(x for x in r[1].split("\n") if not x.strip(" ") or has[r[2], x] < line_dedup.LEAST_PAGES or has[r[2], x] <= line_dedup.RATIO * pages[r[2]])
-    prints, sets = np.array([simhash.fingerprint(r[1]) for r in rows], np.uint64), Sets()
-    for i, r in enumerate(rows):
-        for j in np.flatnonzero(np.bitwise_count(prints ^ prints[i]) <= 3):
-            sets.join(r[0], rows[int(j)][0])
-    kept = {r[0]: r[1] for r in rows if sets.find(r[0]) == r[0]}
+    component = dict(brute(rows))
+    kept = {r[0]: r[1] for r in rows if component[r[0]] == r[0]}
     from tokenizers import Tokenizer
     tokenizer = Tokenizer.from_file(queries.BYTE_BPE)
     want = {k: np.array(tokenizer.encode(v, add_special_tokens=False).ids + [0], "<u4").tobytes() for k, v in kept.items()}
