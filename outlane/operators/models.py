@@ -2,8 +2,8 @@
 
 Cross-fitting turns (dataset, fold) into a dataset of its own: rows of the other
 folds are its TRAIN side, rows of the fold its HELD side.  Any scorer of rows
-then works unchanged and all folds run in one plan.  Fits that need linear
-algebra run per (dataset, fold) on the capped reference rows.
+then works unchanged and all folds run in one plan.  A scorer that can do better
+than copy the rows for every fold has a method ``folded``.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from outlane.functions.columns import array_mean, array_std, array_sum, hash_key, let, uniform
 from outlane.functions.order import exact_quantiles, with_position
 from outlane.operators.features import factor
+from outlane.operators.fits import gmm, kmeans  # noqa: F401  scorers by name
 from outlane.operators.quality import reference_rows
 from outlane.operators.scoring import centroids, distance, mean_distance, neighbours
 from outlane.session import stage
@@ -28,6 +29,13 @@ SCORE = "dataset string, split string, idx bigint, score double"
 
 # ---- folds ------------------------------------------------------------------
 
+def score_folds(train: DataFrame, seed: str = "fold") -> DataFrame:
+    """Folds of cross-fitted scores: five, or one per row if there are fewer."""
+    plan = fold_plan(train, seed)
+    few = F.least(F.lit(FOLDS).cast("long"), F.col("folds"))
+    return plan.withColumn("fold", F.pmod("fold", few)).withColumn("folds", few)
+
+
 def fold_plan(train: DataFrame, seed: str = "fold") -> DataFrame:
     """Fold of each TRAIN row: none below 2, leave-one-out below 20, else five."""
     keyed = train.select("dataset", "idx").withColumn("h", hash_key(seed, F.col("dataset"), F.col("idx")))
@@ -54,15 +62,28 @@ def crossfit(rows: DataFrame, scorer, plan: DataFrame | None = None) -> DataFram
     """Out-of-fold TRAIN scores and TEST scores as the median over folds.
 
     ``scorer`` maps rows (dataset, split, idx, vec) to (dataset, split, idx,
-    score), fitting on the TRAIN side.
+    score), fitting on the TRAIN side.  What it leaves out or scores NULL, NaN or
+    infinite gets the distance to the centre of the same fold's TRAIN side.
     """
-    plan = plan if plan is not None else fold_plan(rows.filter("split = 'TRAIN'"))
-    scores = scorer(stage(cross_rows(rows, plan))).filter("split <> 'TRAIN'")
-    named = scores.withColumn("dataset", F.regexp_replace("dataset", "#[0-9]+$", ""))
-    got = exact_quantiles(named, ["dataset", "split", "idx"], "score", {"score": 0.5})
-    folded = got.withColumn("split", F.when(F.col("split") == "HELD", "TRAIN").otherwise(F.col("split")))
+    plan = stage(plan if plan is not None else score_folds(rows.filter("split = 'TRAIN'")))
+    names, key, score = plan.select("dataset").distinct(), ["dataset", "split", "idx"], F.col("score")
+    some = rows.join(names, "dataset", "left_semi")
+    got = scorer.folded(some, plan) if hasattr(scorer, "folded") else _over_folds(scorer(stage(cross_rows(some, plan))))
+    good = stage(got.filter(score.isNotNull() & ~F.isnan(score) & (F.abs(score) < float("inf"))).select(*key, "score"))
     # a dataset with one TRAIN row has no folds: distance to that row
-    return folded.unionByName(centroid(rows.join(plan.select("dataset").distinct(), "dataset", "left_anti")))
+    whole = good.unionByName(centroid(rows.join(names, "dataset", "left_anti")))
+    failed = stage(some.select(*key).join(good, key, "left_anti"))
+    if failed.isEmpty():
+        return whole
+    centre = _over_folds(centroid(stage(cross_rows(some.join(failed.select("dataset").distinct(), "dataset", "left_semi"), plan))))
+    return whole.unionByName(centre.join(failed, key, "left_semi"))
+
+
+def _over_folds(scores: DataFrame) -> DataFrame:
+    """Scores of (dataset#fold) rows brought back to their dataset."""
+    named = scores.filter("split <> 'TRAIN'").withColumn("dataset", F.regexp_replace("dataset", "#[0-9]+$", ""))
+    got = exact_quantiles(named, ["dataset", "split", "idx"], "score", {"score": 0.5})
+    return got.withColumn("split", F.when(F.col("split") == "HELD", "TRAIN").otherwise(F.col("split")))
 
 
 def crossfit_source(rows: DataFrame, scorer, least: int = 5) -> DataFrame:
@@ -70,7 +91,7 @@ def crossfit_source(rows: DataFrame, scorer, least: int = 5) -> DataFrame:
     attainable p; datasets with too little TRAIN are left out."""
     n = rows.filter("split = 'TRAIN'").groupBy("dataset").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
     kept = rows.join(n.select("dataset"), "dataset", "left_semi")
-    oof = crossfit(kept, scorer).filter("split = 'TRAIN'")
+    oof = crossfit(kept, scorer, fold_plan(kept.filter("split = 'TRAIN'"))).filter("split = 'TRAIN'")
     full = scorer(kept).filter("split = 'TEST'")
     both = oof.withColumn("phase", F.lit("out_of_fold")).unionByName(full.withColumn("phase", F.lit("full_fit")))
     return both.join(n, "dataset").withColumn("min_p", 1 / (F.col("n") + 1)).drop("n")
@@ -92,74 +113,6 @@ def lof(k: int):
     return score
 
 
-def _fitted(fit, schema: str):
-    """Model arrays per dataset, fitted on at most 1000 reference rows."""
-    def model(rows: DataFrame) -> DataFrame:
-        train = reference_rows(rows.filter("split = 'TRAIN'").select("dataset", "idx", "vec"))
-        return train.groupBy("dataset").applyInPandas(fit, f"dataset string, {schema}")
-    return model
-
-
-def _ordered(pdf: pd.DataFrame) -> np.ndarray:
-    return np.stack(pdf.sort_values("idx")["vec"].to_numpy()).astype(float)
-
-
-def _lloyd(x: np.ndarray, k: int, rounds: int = 25) -> np.ndarray:
-    """k-means from farthest-point starts: no random draws."""
-    centers = [x[np.argmin(((x - x.mean(axis=0)) ** 2).sum(axis=1))]]
-    while len(centers) < k:
-        gap = np.min([((x - c) ** 2).sum(axis=1) for c in centers], axis=0)
-        centers.append(x[gap.argmax()])
-    centers = np.stack(centers)
-    for _ in range(rounds):
-        near = ((x[:, None] - centers[None]) ** 2).sum(axis=2).argmin(axis=1)
-        centers = np.stack([x[near == j].mean(axis=0) if (near == j).any() else centers[j] for j in range(k)])
-    return centers
-
-
-def kmeans(k: int):
-    """Distance to the nearest of k centres."""
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = _ordered(pdf)
-        return pd.DataFrame({"dataset": [pdf["dataset"].iloc[0]], "centers": [list(_lloyd(x, min(k, len(x))))]})
-
-    def score(rows: DataFrame) -> DataFrame:
-        got = rows.join(_fitted(fit, "centers array<array<double>>")(rows), "dataset")
-        return got.select("dataset", "split", "idx", F.array_min(F.transform("centers", lambda c: distance("vec", c))).alias("score"))
-    return score
-
-
-def gmm(most: int, floor: float = 1e-4):
-    """Negative log-likelihood of a diagonal mixture; BIC picks 1..most parts."""
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = _ordered(pdf)
-        n, d = x.shape
-        best = None
-        for k in range(1, min(most, n) + 1):
-            mean, var, weight = _lloyd(x, k), np.tile(x.var(axis=0) + floor, (k, 1)), np.full(k, 1 / k)
-            for _ in range(30):
-                logp = np.log(weight) - 0.5 * (np.log(2 * np.pi * var).sum(axis=1) + ((x[:, None] - mean) ** 2 / var).sum(axis=2))
-                top = logp.max(axis=1, keepdims=True)
-                total = top[:, 0] + np.log(np.exp(logp - top).sum(axis=1))
-                part = np.exp(logp - total[:, None])
-                mass = part.sum(axis=0) + 1e-9
-                mean, weight = part.T @ x / mass[:, None], mass / mass.sum()
-                var = part.T @ (x ** 2) / mass[:, None] - mean ** 2 + floor
-            bic = -2 * total.sum() + (2 * k * d + k - 1) * math.log(n)
-            if best is None or bic < best[0]:
-                best = (bic, weight, mean, var)
-        return pd.DataFrame({"dataset": [pdf["dataset"].iloc[0]], "parts": [
-            [{"w": float(w), "m": list(m), "v": list(v)} for w, m, v in zip(*best[1:])]]})
-
-    def score(rows: DataFrame) -> DataFrame:
-        got = rows.join(_fitted(fit, "parts array<struct<w:double,m:array<double>,v:array<double>>>")(rows), "dataset")
-        quad = lambda p: array_sum(F.zip_with(F.zip_with("vec", p["m"], lambda x, m: (x - m) * (x - m)), p["v"], lambda s, v: s / v + F.log(2 * math.pi * v)))
-        logs = F.transform("parts", lambda p: F.log(p["w"]) - quad(p) / 2)
-        total = let(logs, lambda l: F.array_max(l) + F.log(array_sum(F.transform(l, lambda v: F.exp(v - F.array_max(l))))))
-        return got.select("dataset", "split", "idx", (-total).alias("score"))
-    return score
-
-
 def centroid(rows: DataFrame) -> DataFrame:
     center = centroids(rows.filter("split = 'TRAIN'"), ["dataset"])
     return rows.join(center, "dataset").select("dataset", "split", "idx", distance().alias("score"))

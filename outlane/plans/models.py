@@ -25,10 +25,14 @@ def _(t):
     return M.fold_plan(t.series().filter("split = 'TRAIN'"))
 
 
-fragment("cross_all", "vectors_z folds", """
+fragment("folds5", "archive", """
+SELECT dataset, idx, (r - 1) % least(5, n) AS fold, least(5, n) AS folds FROM (
+  SELECT dataset, idx, row_number() OVER (PARTITION BY dataset ORDER BY sha256('fold|' || dataset || '|' || idx), idx) AS r, count(*) OVER (PARTITION BY dataset) AS n FROM archive WHERE split = 'TRAIN') WHERE n >= 2""")
+for _cross, _folds in (("cross_all", "folds"), ("cross5", "folds5")):
+    fragment(_cross, f"vectors_z {_folds}", f"""
 SELECT dataset, f, CASE WHEN f = fold THEN 'HELD' ELSE 'TRAIN' END AS split, idx, vec FROM (
-  SELECT v.dataset, v.idx, vec, fold, unnest(range(CAST(folds AS BIGINT))) AS f FROM vectors_z v JOIN folds p ON p.dataset = v.dataset AND p.idx = v.idx WHERE split = 'TRAIN')
-UNION ALL SELECT v.dataset, unnest(range(CAST(folds AS BIGINT))), 'TEST', v.idx, vec FROM vectors_z v JOIN (SELECT DISTINCT dataset, folds FROM folds) p ON p.dataset = v.dataset WHERE split = 'TEST'""")
+  SELECT v.dataset, v.idx, vec, fold, unnest(range(CAST(folds AS BIGINT))) AS f FROM vectors_z v JOIN {_folds} p ON p.dataset = v.dataset AND p.idx = v.idx WHERE split = 'TRAIN')
+UNION ALL SELECT v.dataset, unnest(range(CAST(folds AS BIGINT))), 'TEST', v.idx, vec FROM vectors_z v JOIN (SELECT DISTINCT dataset, folds FROM {_folds}) p ON p.dataset = v.dataset WHERE split = 'TEST'""")
 fragment("vectors_z", "points", "SELECT dataset, split, idx, list(v ORDER BY pos) AS vec FROM points GROUP BY 1, 2, 3")
 FINAL = f"SELECT dataset, CASE split WHEN 'HELD' THEN 'TRAIN' ELSE split END AS split, idx, {r6('quantile_cont(score, 0.5)')} AS score FROM cf WHERE split <> 'TRAIN' GROUP BY 1, 2, 3"
 CENTER = """SELECT c.dataset, c.f, split, idx, list_distance(vec, center) AS score FROM cross_rows c JOIN (
@@ -36,7 +40,7 @@ CENTER = """SELECT c.dataset, c.f, split, idx, list_distance(vec, center) AS sco
   ON m.dataset = c.dataset AND m.f = c.f"""
 
 
-@query("crossfit_centroid", "cross_all", "WITH cross_rows AS (SELECT * FROM cross_all), cf AS (" + CENTER + ") " + FINAL)
+@query("crossfit_centroid", "cross5", "WITH cross_rows AS (SELECT * FROM cross5), cf AS (" + CENTER + ") " + FINAL)
 def _(t):
     return rounded(M.crossfit(vectors(t), M.centroid))
 
@@ -51,17 +55,62 @@ def _(t):
     return rounded(M.crossfit_source(vectors(t), M.centroid)).withColumn("min_p", R6("min_p"))
 
 
-@query("kmeans_crossfit")
+def starts_sql(most: int) -> str:
+    """Starts per (dataset, fold): nearest to the mean, then furthest rows."""
+    picks = ["""p1 AS (SELECT dataset, f, vec AS c1 FROM fit JOIN fit_mean USING (dataset, f) QUALIFY row_number() OVER (PARTITION BY dataset, f ORDER BY list_distance(vec, center), idx) = 1)"""]
+    for k in range(2, most + 1):
+        gap = ", ".join(f"list_distance(vec, c{j})" for j in range(1, k))
+        had = ", ".join(f"c{j}" for j in range(1, k))
+        picks.append(f"p{k} AS (SELECT dataset, f, {had}, vec AS c{k} FROM fit JOIN p{k - 1} USING (dataset, f) QUALIFY row_number() OVER (PARTITION BY dataset, f ORDER BY least({gap}) DESC, idx) = 1)")
+    return f"""fit AS MATERIALIZED (SELECT dataset, f, idx, vec FROM cross5 WHERE split = 'TRAIN'),
+fit_mean AS MATERIALIZED (SELECT dataset, f, any_value(n) AS n, list(m ORDER BY pos) AS center, list(s ORDER BY pos) AS spread FROM (
+  SELECT dataset, f, pos, count(*) AS n, avg(v) AS m, greatest(avg(v * v) - avg(v) * avg(v), 0) + 1e-4 AS s FROM (SELECT dataset, f, unnest(range(64)) AS pos, unnest(vec) AS v FROM fit) GROUP BY 1, 2, 3) GROUP BY 1, 2),
+{", ".join(picks)},
+starts AS MATERIALIZED (SELECT dataset, f, n, list_slice([{", ".join(f"c{j}" for j in range(1, most + 1))}], 1, least({most}, n)) AS cs FROM p{most} JOIN fit_mean USING (dataset, f))"""
+
+
+#: Recursion over (dataset, f, k, cs): 25 moves of the centres to the means of their rows.
+LLOYD = """lloyd AS (SELECT dataset, f, k, 0 AS r, cs FROM begins UNION ALL
+  SELECT dataset, f, k, r + 1, list(coalesce(fresh, c) ORDER BY j) FROM (SELECT dataset, f, k, r, unnest(range(1, len(cs) + 1)) AS j, unnest(cs) AS c FROM lloyd WHERE r < 25) AS o LEFT JOIN (
+    SELECT dataset, f, k, j, list(m ORDER BY pos) AS fresh FROM (SELECT dataset, f, k, j, pos, avg(v) AS m FROM (
+      SELECT dataset, f, k, j, unnest(range(64)) AS pos, unnest(vec) AS v FROM (
+        SELECT dataset, f, k, vec, list_position(ds, list_min(ds)) AS j FROM (
+          SELECT t.dataset, t.f, k, vec, list_transform(cs, lambda c: list_distance(vec, c)) AS ds FROM fit t JOIN lloyd l ON l.dataset = t.dataset AND l.f = t.f WHERE r < 25))) GROUP BY 1, 2, 3, 4, 5) GROUP BY 1, 2, 3, 4) AS n USING (dataset, f, k, j)
+  GROUP BY 1, 2, 3, 4)"""
+
+
+@query("kmeans_crossfit", "cross5", f"""WITH RECURSIVE {starts_sql(3)}, begins AS (SELECT dataset, f, 3 AS k, cs FROM starts), {LLOYD},
+cf AS (SELECT c.dataset, c.f, split, idx, list_min(list_transform(cs, lambda m: list_distance(vec, m))) AS score FROM cross5 c JOIN lloyd l ON l.dataset = c.dataset AND l.f = c.f WHERE r = 25) """ + FINAL)
 def _(t):
     return rounded(M.crossfit(vectors(t), M.kmeans(3)))
 
 
-@query("mixture_crossfit")
+LOGS = "list_transform(range(1, len(w) + 1), lambda j: ln(w[j]) - 0.5 * list_sum(list_transform(range(1, 65), lambda p: ln(2 * pi() * vs[j][p]) + (vec[p] - ms[j][p]) * (vec[p] - ms[j][p]) / vs[j][p])))"
+TOTAL = "list_max(lp) + ln(list_sum(list_transform(lp, lambda x: exp(x - list_max(lp)))))"
+
+
+@query("mixture_crossfit", "cross5", f"""WITH RECURSIVE {starts_sql(2)},
+begins AS (SELECT dataset, f, k, list_slice(cs, 1, k) AS cs FROM starts, (SELECT unnest([1, 2]) AS k) WHERE k <= len(cs)), {LLOYD},
+em AS (SELECT dataset, f, k, n, 0 AS r, false AS done, CAST('-infinity' AS DOUBLE) AS fit, list_transform(range(k), lambda x: 1.0 / k) AS w, cs AS ms, list_transform(range(k), lambda x: spread) AS vs
+    FROM lloyd JOIN fit_mean USING (dataset, f) WHERE r = 25
+  UNION ALL SELECT dataset, f, k, any_value(n), any_value(r) + 1, bool_or(stop), any_value(total), CASE WHEN bool_or(stop) THEN any_value(w) ELSE list(mass / all_mass ORDER BY j) END,
+    CASE WHEN bool_or(stop) THEN any_value(ms) ELSE list(m ORDER BY j) END, CASE WHEN bool_or(stop) THEN any_value(vs) ELSE list(s ORDER BY j) END FROM (
+    SELECT *, total - fit < 1e-3 * n OR r = 30 AS stop, sum(mass) OVER (PARTITION BY dataset, f, k) AS all_mass FROM (
+      SELECT dataset, f, k, j, any_value(n) AS n, any_value(r) AS r, any_value(fit) AS fit, any_value(w) AS w, any_value(ms) AS ms, any_value(vs) AS vs, any_value(total) AS total, any_value(mass) AS mass,
+        list(e ORDER BY pos) AS m, list(greatest(q - e * e, 0) + 1e-4 ORDER BY pos) AS s FROM (
+        SELECT *, sx / mass AS e, sq / mass AS q FROM (
+          SELECT dataset, f, k, j, pos, any_value(n) AS n, any_value(r) AS r, any_value(fit) AS fit, any_value(w) AS w, any_value(ms) AS ms, any_value(vs) AS vs, sum(t) AS total, sum(p) + 1e-9 AS mass, sum(p * x) AS sx, sum(p * x * x) AS sq FROM (
+            SELECT dataset, f, k, n, r, fit, w, ms, vs, t, j, p, unnest(range(64)) AS pos, unnest(vec) AS x FROM (
+              SELECT dataset, f, k, n, r, fit, w, ms, vs, vec, t, unnest(range(1, len(lp) + 1)) AS j, unnest(list_transform(lp, lambda x: exp(x - t))) AS p FROM (
+                SELECT *, {TOTAL} AS t FROM (SELECT em.*, vec, {LOGS} AS lp FROM em JOIN fit USING (dataset, f) WHERE NOT done))))
+          GROUP BY 1, 2, 3, 4, 5)) GROUP BY 1, 2, 3, 4)) GROUP BY 1, 2, 3),
+best AS (SELECT * FROM em WHERE done QUALIFY row_number() OVER (PARTITION BY dataset, f ORDER BY -2 * fit + (2 * k * 64 + k - 1) * ln(n), k) = 1),
+cf AS (SELECT dataset, f, split, idx, -({TOTAL}) AS score FROM (SELECT c.dataset, c.f, c.split, c.idx, {LOGS} AS lp FROM cross5 c JOIN best b ON b.dataset = c.dataset AND b.f = c.f)) """ + FINAL)
 def _(t):
     return rounded(M.crossfit(vectors(t), M.gmm(2)))
 
 
-@query("lof_crossfit", "cross_all", f"""WITH cross_rows AS (SELECT * FROM cross_all),
+@query("lof_crossfit", "cross5", f"""WITH cross_rows AS (SELECT * FROM cross5),
 p AS (SELECT a.dataset, a.f, a.split, a.idx, b.idx AS rid, list_distance(a.vec, b.vec) AS d FROM cross_rows a JOIN cross_rows b ON a.dataset = b.dataset AND a.f = b.f AND b.split = 'TRAIN' AND NOT (a.split = 'TRAIN' AND a.idx = b.idx)
       QUALIFY row_number() OVER (PARTITION BY a.dataset, a.f, a.split, a.idx ORDER BY list_distance(a.vec, b.vec), b.idx) <= 5),
 kd AS (SELECT dataset, f, idx AS rid, max(d) AS kd FROM p WHERE split = 'TRAIN' GROUP BY 1, 2, 3),

@@ -33,6 +33,8 @@ def with_fragments(needs: str, body: str) -> str:
         visit(name)
     head = ",\n".join(f"{n} AS ({FRAGMENTS[n][1]})" for n in ordered)
     body = body.strip()
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {head},\n{body[15:]}"
     if body.upper().startswith("WITH "):
         return f"WITH {head},\n{body[5:]}" if head else body
     return f"WITH {head}\n{body}" if head else body
