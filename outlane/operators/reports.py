@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right
+from bisect import bisect_left
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from outlane.functions.order import with_position
+from outlane.session import stage
 
 ID = ["dataset", "idx"]
 
@@ -152,39 +154,119 @@ def reaggregate(detail: DataFrame, summary: DataFrame, keys: list[str], columns:
     return both.select(*keys, ok.cast("int").alias("consistent"))
 
 
-ISLANDS_PER_RUN = 1000
+#: Positions of a block of the matching, and blocks that are composed at a time.
+MATCH_BLOCK, COMPOSED = 4096, 64
 
 
-def tolerance_match(left: DataFrame, right: DataFrame, tolerance: int) -> DataFrame:
-    """Greedy nearest matching within +-t, left rows in ascending order.
+def _nearest_free(lefts: list[int], rights: list[int], taken: list[int], tolerance: int) -> list[int | None]:
+    """The right position that each left one takes, in order, None if there is none.
+
+    Taken positions are skipped in both directions by paths that shorten.
+    """
+    below, above = list(range(len(rights) + 1)), list(range(len(rights) + 1))  # below[i]: greatest free j < i, plus one
+
+    def end(up: list[int], i: int) -> int:
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    def take(i: int) -> None:
+        below[i + 1], above[i] = i, i + 1
+
+    for v in taken:
+        take(bisect_left(rights, v))
+    out = []
+    for x in lefts:
+        at = bisect_left(rights, x)
+        left, right = end(below, at) - 1, end(above, at)
+        near = [(abs(rights[i] - x), rights[i], i) for i in (left, right) if 0 <= i < len(rights) and abs(rights[i] - x) <= tolerance]
+        if near:
+            take(min(near)[2])
+        out.append(min(near)[1] if near else None)
+    return out
 
-    Positions more than t apart cannot interact, so the line is cut into
-    islands first; the sequential part sees a bounded run of islands.
+
+def _match_blocks(left: DataFrame, right: DataFrame, tolerance: int, width: int) -> DataFrame:
+    """(dataset, block, lefts, rights): the left positions of each block and all
+    right ones that they reach."""
+    at = lambda c: F.floor(c / width).cast("long")
+    lefts = left.select(*ID).distinct().groupBy("dataset", at(F.col("idx")).alias("block")).agg(F.sort_array(F.collect_list("idx")).alias("lefts"))
+    reached = F.explode(F.sequence(at(F.col("idx") - tolerance), at(F.col("idx") + tolerance))).alias("block")
+    rights = right.select(*ID).distinct().select("dataset", "idx", reached).groupBy("dataset", "block").agg(F.sort_array(F.collect_list("idx")).alias("rights"))
+    none = F.expr("CAST(array() AS array<bigint>)")
+    return lefts.join(rights, ["dataset", "block"], "left").withColumn("rights", F.coalesce("rights", none))
+
+
+def _evaluated(blocks: DataFrame, asked: DataFrame, tolerance: int, width: int) -> DataFrame:
+    """(dataset, block, taken, matched, after): each block from each asked state."""
+    def run(batches):
+        for batch in batches:
+            matched, after = [], []
+            for block, lefts, rights, taken in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3, 4))):
+                got = [v for v in _nearest_free(lefts, rights, taken, tolerance) if v is not None]
+                matched.append(len(got))
+                # the next block reaches back to its begin less the tolerance
+                after.append(sorted(v for v in {*got, *taken} if v >= (block + 1) * width - tolerance))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(4), pa.array(matched, pa.int64()), pa.array(after, pa.list_(pa.int64()))],
+                                             names=["dataset", "block", "taken", "matched", "after"])
+
+    rows = blocks.join(asked, ["dataset", "block"]).select("dataset", "block", "lefts", "rights", "taken")
+    return rows.mapInArrow(run, "dataset string, block bigint, taken array<bigint>, matched bigint, after array<bigint>")
+
+
+def _composed(part: pd.DataFrame) -> pd.DataFrame:
+    """Up to ``COMPOSED`` neighbouring blocks as one map from state to state."""
+    maps = {}
+    for place, taken, matched, after in zip(part["place"], part["taken"], part["matched"], part["after"]):
+        maps.setdefault(int(place), {})[tuple(taken)] = (int(matched), tuple(after))
+    places, out = sorted(maps), []
+    for begin in maps[places[0]]:
+        state, total = begin, 0
+        for place in places:
+            matched, state = maps[place][state]
+            total += matched
+        out.append((list(begin), total, list(state)))
+    first = part.iloc[0]
+    return pd.DataFrame({"dataset": first["dataset"], "run": first["run"], "place": places[0] // COMPOSED, "taken": [x[0] for x in out], "matched": [x[1] for x in out], "after": [x[2] for x in out]})
+
+
+def tolerance_match(left: DataFrame, right: DataFrame, tolerance: int) -> DataFrame:
+    """Greedy nearest matching within +-t, left rows in ascending order; of equally
+    near right positions the smaller is taken.
+
+    The line is cut into blocks.  What blocks before can do to a block is to have
+    taken some right positions near its begin, so a block is a map from such a
+    state to its matches and the state it leaves.  Blocks are evaluated from the
+    empty state and then from every state that the block before may leave, until
+    none is new; then maps are composed in order, many at a time.  A dense line of
+    any length is thus many tasks, and the counts are those of the sequential
+    rule.  A dataset that is only on one side has no match.
     """
-    both = left.select(*ID).distinct().withColumn("side", F.lit(0)).unionByName(
-        right.select(*ID).distinct().withColumn("side", F.lit(1)))
-    placed = with_position(both, ["dataset"], [("idx", "asc"), ("side", "asc")], "p")
-    before = placed.select("dataset", (F.col("p") + 1).alias("p"), F.col("idx").alias("prev"))
-    marked = placed.join(before, ["dataset", "p"], "left").withColumn(
-        "cut", F.when(F.col("idx") - F.col("prev") <= tolerance, 0).otherwise(1))
-    islands = with_position(marked.drop("p", "prev"), ["dataset"], [("idx", "asc"), ("side", "asc")], "p", {"island": F.col("cut")})
-
-    def greedy(part: pd.DataFrame) -> pd.DataFrame:
-        free = sorted(part.loc[part["side"] == 1, "idx"])
-        ours = sorted(part.loc[part["side"] == 0, "idx"])
-        hits = 0
-        for x in ours:
-            near = free[bisect_left(free, x - tolerance):bisect_right(free, x + tolerance)]
-            if near:
-                free.remove(min(near, key=lambda v: (abs(v - x), v)))
-                hits += 1
-        return pd.DataFrame({"dataset": [part["dataset"].iloc[0]], "matched": [hits],
-                             "left_only": [len(ours) - hits], "right_only": [len(free)]})
-
-    schema = "dataset string, matched bigint, left_only bigint, right_only bigint"
-    run = F.floor(F.col("island") / ISLANDS_PER_RUN).alias("run")
-    per = islands.select("dataset", run, "idx", "side").groupBy("dataset", "run").applyInPandas(greedy, schema)
-    return per.groupBy("dataset").agg(*[F.sum(c).alias(c) for c in ("matched", "left_only", "right_only")])
+    width = max(MATCH_BLOCK, 2 * tolerance + 1)
+    blocks = stage(_match_blocks(left, right, tolerance, width))
+    known = stage(_evaluated(blocks, blocks.select("dataset", "block", F.expr("CAST(array() AS array<bigint>)").alias("taken")), tolerance, width))
+    fresh, key = known, ["dataset", "block", "taken"]
+    while True:
+        asked = fresh.select("dataset", (F.col("block") + 1).alias("block"), F.col("after").alias("taken")).distinct().join(known.select(*key), key, "left_anti")
+        fresh = stage(_evaluated(blocks, asked, tolerance, width))
+        if fresh.isEmpty():
+            break
+        known = stage(known.unionByName(fresh))
+    before = blocks.select("dataset", (F.col("block") + 1).alias("block"), F.lit(0).alias("cut"))
+    order = blocks.select("dataset", "block").join(before, ["dataset", "block"], "left").withColumn("cut", F.coalesce("cut", F.lit(1)))
+    runs = with_position(order, ["dataset"], [("block", "asc")], "p", {"run": F.col("cut")})
+    starts = runs.groupBy("dataset", "run").agg(F.min("p").alias("start"))
+    placed = runs.join(starts, ["dataset", "run"]).select("dataset", "block", "run", (F.col("p") - F.col("start")).alias("place"))
+    maps = stage(known.join(placed, ["dataset", "block"]).select("dataset", "run", "place", "taken", "matched", "after"))
+    schema = "dataset string, run bigint, place bigint, taken array<bigint>, matched bigint, after array<bigint>"
+    while not maps.filter("place > 0").isEmpty():
+        maps = stage(maps.groupBy("dataset", "run", F.floor(F.col("place") / COMPOSED).alias("group")).applyInPandas(_composed, schema))
+    # the first block of a run starts from the empty state
+    matched = maps.filter(F.size("taken") == 0).groupBy("dataset").agg(F.sum("matched").alias("matched"))
+    side = lambda df, name: df.select(*ID).distinct().groupBy("dataset").agg(F.count(F.lit(1)).alias(name))
+    sizes = side(left, "n_left").join(side(right, "n_right"), "dataset", "full").join(matched, "dataset", "left").na.fill(0)
+    return sizes.select("dataset", "matched", (F.col("n_left") - F.col("matched")).alias("left_only"), (F.col("n_right") - F.col("matched")).alias("right_only"))
 
 
 # ---- report tables ----------------------------------------------------------

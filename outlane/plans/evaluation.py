@@ -327,7 +327,14 @@ def _(t):
     return P.reaggregate(rows, summary, ["source"], ["tp", "fp", "fn"])
 
 
-@query("tolerance_match")
+@query("tolerance_match", "fired", """WITH RECURSIVE l AS (SELECT dataset, idx, row_number() OVER (PARTITION BY dataset ORDER BY idx) AS i FROM (SELECT DISTINCT dataset, idx FROM fired WHERE source = 'rocket')),
+r AS (SELECT dataset, list(DISTINCT idx) AS rs FROM fired WHERE source = 'multi' GROUP BY 1),
+g AS (SELECT dataset, CAST(0 AS BIGINT) AS i, coalesce(rs, []) AS free, CAST(0 AS BIGINT) AS matched FROM (SELECT DISTINCT dataset FROM fired WHERE source IN ('rocket', 'multi')) LEFT JOIN r USING (dataset)
+  UNION ALL SELECT dataset, i, CASE WHEN best IS NULL THEN free ELSE list_filter(free, lambda v: v <> best.v) END, matched + CASE WHEN best IS NULL THEN 0 ELSE 1 END FROM (
+    SELECT g.dataset, l.i, free, matched, list_min(list_transform(list_filter(free, lambda v: abs(v - l.idx) <= 1), lambda v: {'d': abs(v - l.idx), 'v': v})) AS best
+    FROM g JOIN l ON l.dataset = g.dataset AND l.i = g.i + 1)),
+n AS (SELECT dataset, max(i) AS n FROM l GROUP BY 1)
+SELECT g.dataset, matched, i - matched AS left_only, CAST(len(free) AS BIGINT) AS right_only FROM g LEFT JOIN n ON n.dataset = g.dataset WHERE i = coalesce(n, 0)""")
 def _(t):
     return P.tolerance_match(fired(t, "rocket"), fired(t, "multi"), 1)
 
