@@ -7,12 +7,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from outlane.functions.order import with_position
+from outlane.session import stage
 
 # Smoothing, window length, deviation margin, covariate share.
 ALPHA, WINDOW, MARGIN, GAMMA = 0.15, 50, 1.0, 0.3
@@ -82,72 +83,128 @@ def online_threshold_stream(scores: DataFrame, start: DataFrame) -> DataFrame:
         statefulProcessor=OnlineThreshold(), outputStructType=OUT, outputMode="Append", timeMode="None")
 
 
-def online_threshold_batch(scores: DataFrame, start: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The batch twin, without a sequential pass.
+#: Rows of a block of the order, and block maps that are composed at a time.
+ORDER_BLOCK, COMPOSED = 50_000, 1024
+
+
+def _decayed(part: pd.DataFrame) -> pd.DataFrame:
+    """The smoothed score of one block from zero, and the rows up to each row."""
+    part = part.sort_values("idx", kind="stable")
+    begun = pd.concat([pd.Series([0.0]), part["score"]]).ewm(alpha=ALPHA, adjust=False).mean().iloc[1:]
+    return pd.DataFrame({"dataset": part["dataset"], "idx": part["idx"], "block": part["block"], "steps": np.arange(1, len(part) + 1), "own": begun.to_numpy()})
+
+
+def _before(part: pd.DataFrame) -> pd.DataFrame:
+    """Of each map x -> a x + b the composition of those before it in its group,
+    and in one more row (place -1) that of the whole group."""
+    part = part.sort_values("place")
+    a, b, out = 1.0, 0.0, []
+    for place, own_a, own_b in zip(part["place"], part["a"], part["b"]):
+        out.append((place, a, b))
+        a, b = a * own_a, b * own_a + own_b
+    rows = pd.DataFrame(out + [(-1, a, b)], columns=["place", "a", "b"])
+    return rows.assign(dataset=part["dataset"].iloc[0], group=part["group"].iloc[0])[["dataset", "group", "place", "a", "b"]]
+
+
+def scanned_maps(maps: DataFrame, begins: DataFrame, width: int = COMPOSED) -> DataFrame:
+    """(dataset, place, x): the value before each affine map x -> a x + b of a
+    dataset in order of ``place``, from ``begins`` (dataset, x).
+
+    An associative scan: groups of neighbouring maps are composed, the groups'
+    maps are scanned in the same way, and their values go down again.
+    """
+    schema = "dataset string, group bigint, place bigint, a double, b double"
+    grouped = maps.withColumn("group", F.floor(F.col("place") / width)).groupBy("dataset", "group")
+    composed = stage(grouped.applyInPandas(lambda part: _before(part), schema))
+    inside, whole = composed.filter("place >= 0"), composed.filter("place < 0")
+    if whole.filter("group > 0").isEmpty():
+        heads = begins.select("dataset", F.lit(0).cast("bigint").alias("group"), "x")
+    else:
+        heads = scanned_maps(whole.select("dataset", F.col("group").alias("place"), "a", "b"), begins, width).withColumnRenamed("place", "group")
+    return inside.join(heads, ["dataset", "group"]).select("dataset", "place", (F.col("a") * F.col("x") + F.col("b")).alias("x"))
+
+
+def smoothed(scores: DataFrame, begins: DataFrame, block: int | None = None) -> DataFrame:
+    """(dataset, idx, ema): the exponential moving average of each dataset in order
+    of idx, from ``begins`` (dataset, x), over all terms.
+
+    A block of the order is a map of what the average was before it; the maps are
+    scanned, so a hot dataset is many tasks.
+    """
+    block = block or ORDER_BLOCK
+    cut = scores.select("dataset", "idx", "score", F.floor(F.col("idx") / block).alias("block"))
+    own = stage(cut.groupBy("dataset", "block").applyInPandas(_decayed, "dataset string, idx bigint, block bigint, steps bigint, own double"))
+    decay = F.pow(F.lit(1 - ALPHA), F.col("steps"))
+    maps = own.groupBy("dataset", F.col("block").alias("place")).agg(F.max_by(F.struct(decay.alias("a"), F.col("own").alias("b")), "steps").alias("m")).select("dataset", "place", "m.*")
+    heads = scanned_maps(maps, begins).withColumnRenamed("place", "block")
+    return own.join(heads, ["dataset", "block"]).select("dataset", "idx", (decay * F.col("x") + F.col("own")).alias("ema"))
+
+
+def online_threshold_batch(scores: DataFrame, start: DataFrame, window: int = WINDOW, block: int | None = None) -> DataFrame:
+    """The batch twin, without a sequential pass; idx counts from 0 without gaps.
 
     The window statistics are frames over the dataset's order with the TRAIN
-    tail in front.  The smoothed score is a geometric sum over a frame: after
-    200 steps a term weighs less than 1e-14, so the frame is exact to doubles.
+    tail in front, the smoothed score is a scan over all terms.
     """
-    reach, block = 200, 50_000
+    block = block or ORDER_BLOCK
     warm = start.select("dataset", "mu", F.posexplode(F.concat(
         F.array_repeat(F.col("mu"), F.lit(window) - F.least(F.lit(window), F.size("tail"))), "tail")).alias("p", "score"))
     rows = warm.select("dataset", (F.col("p") - window).cast("long").alias("idx"), "score").unionByName(
         scores.select("dataset", "idx", "score"))
     # blocks of the order overlap by the frame, so a hot dataset is many tasks
     own = F.greatest(F.lit(0).cast("long"), F.floor(F.col("idx") / block))
-    blocks = F.when((F.col("idx") >= 0) & (F.pmod("idx", F.lit(block)) >= block - reach), F.array(own, own + 1)).otherwise(F.array(own))
-    placed = rows.withColumn("own", own).withColumn("block", F.explode(blocks))
-    order = Window.partitionBy("dataset", "block").orderBy("idx")
-    recent = order.rowsBetween(-window, -1)
-    terms = F.collect_list(F.when(F.col("idx") >= 0, F.col("score"))).over(order.rowsBetween(-reach, 0))
-    framed = placed.withColumn("m", F.avg("score").over(recent)).withColumn("s", F.stddev_pop("score").over(recent)).withColumn("terms", terms)
+    reached = F.sequence(own, F.greatest(F.lit(0).cast("long"), F.floor((F.col("idx") + window) / block)))
+    placed = rows.withColumn("own", own).withColumn("block", F.explode(reached))
+    recent = Window.partitionBy("dataset", "block").orderBy("idx").rowsBetween(-window, -1)
+    framed = placed.withColumn("m", F.avg("score").over(recent)).withColumn("s", F.stddev_pop("score").over(recent))
     kept = framed.filter((F.col("idx") >= 0) & (F.col("own") == F.col("block"))).join(start.select("dataset", "mu", "limit"), "dataset")
-    ema = F.aggregate("terms", F.col("mu"), lambda acc, x: ALPHA * x + (1 - ALPHA) * acc)
+    averages = smoothed(scores, start.select("dataset", F.col("mu").alias("x")), block)
     bound = (F.col("limit") + MARGIN * F.col("s")) * (GAMMA * F.col("m") / F.col("mu") + 1 - GAMMA)
-    return kept.select("dataset", "idx", "score", ema.alias("ema"), bound.alias("threshold"), (ema > bound).cast("int").alias("alert"))
+    return kept.join(averages, ["dataset", "idx"]).select("dataset", "idx", "score", "ema", bound.alias("threshold"), (F.col("ema") > bound).cast("int").alias("alert"))
 
 
 # ---- frozen reference -------------------------------------------------------
 
-VALUE_BUCKETS = 1024
-
+#: Entries of a node of the search tree over TRAIN scores.
+FANOUT = 128
 
-def _value_bucket(value) -> Column:
-    share = (F.col(value) - F.col("least")) / F.greatest(F.col("most") - F.col("least"), F.lit(1e-12))
-    return F.floor(F.least(F.lit(1.0), F.greatest(F.lit(0.0), share)) * VALUE_BUCKETS)
 
-
-def frozen_reference(train: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Frozen TRAIN scores as (ranges, steps).
+def frozen_reference(train: DataFrame, fanout: int = FANOUT) -> tuple[DataFrame, ...]:
+    """Frozen TRAIN scores as (counts, root level, ..., leaf level).
 
     A step is an interval (low, high] between neighbouring distinct scores with
-    the number of TRAIN scores at or above it, listed under the value buckets it
-    touches; ``ranges`` says how a dataset is bucketed.
+    the number of TRAIN scores at or above it; the last one has no upper end.
+    Steps in their order are leaves of ``fanout`` entries, leaves are entries of
+    nodes and so on: cut by rank, so that no distribution of scores makes a node
+    long.  A node has the upper ends of its entries.
     """
-    ranges = train.groupBy("dataset").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least"), F.max("score").alias("most"))
+    sizes = train.groupBy("dataset").agg(F.count(F.lit(1)).alias("n"))
     counts = train.groupBy("dataset", "score").agg(F.count(F.lit(1)).alias("c"))
     placed = with_position(counts, ["dataset"], [("score", "asc")], "p", {"upto": F.col("c")})
-    before = placed.select("dataset", (F.col("p") + 1).alias("p"), F.col("score").alias("low"))
-    steps = placed.join(before, ["dataset", "p"], "left").join(ranges, "dataset").select(
-        "dataset", "low", F.col("score").alias("high"), (F.col("n") - F.col("upto") + F.col("c")).alias("ge"), "least", "most")
-    top = ranges.select("dataset", F.col("most").alias("low"), F.lit(None).cast("double").alias("high"), F.lit(0).cast("long").alias("ge"), "least", "most")
-    spread = F.sequence(F.when(F.col("low").isNull(), F.lit(0).cast("long")).otherwise(_value_bucket("low")),
-                        F.when(F.col("high").isNull(), F.lit(VALUE_BUCKETS).cast("long")).otherwise(_value_bucket("high")))
-    return ranges, steps.unionByName(top).select("dataset", "low", "high", "ge", F.explode(spread).alias("bucket"))
-
-
-def conformal_stream(scores: DataFrame, reference: tuple[DataFrame, DataFrame]) -> DataFrame:
+    steps = placed.join(sizes, "dataset").select("dataset", (F.col("p") - 1).alias("p"), F.col("score").alias("high"), (F.col("n") - F.col("upto") + F.col("c")).alias("ge"))
+    top = placed.groupBy("dataset").agg(F.max("p").alias("p")).select("dataset", "p", F.lit(float("inf")).alias("high"), F.lit(0).cast("long").alias("ge"))
+    entry = stage(steps.unionByName(top))
+    levels = []
+    while True:
+        node = entry.withColumn("node", F.floor(F.col("p") / fanout)).groupBy("dataset", "node").agg(F.sort_array(F.collect_list(F.struct("p", "high", "ge"))).alias("e"))
+        levels.insert(0, stage(node.select("dataset", "node", F.col("e.high").alias("highs"), F.col("e.ge").alias("ges"))))
+        if levels[0].filter("node > 0").isEmpty():
+            return (sizes, *levels)
+        entry = levels[0].select("dataset", F.col("node").alias("p"), F.array_max("highs").alias("high"), F.lit(None).cast("long").alias("ge"))
+
+
+def conformal_stream(scores: DataFrame, reference: tuple[DataFrame, ...], fanout: int = FANOUT) -> DataFrame:
     """p-value of each arriving row against frozen TRAIN scores only.
 
-    Two stream-static equi joins without state: appending rows cannot change
-    earlier ones, and a row meets only the steps of its own value bucket.
+    Stream-static equi joins without state: appending rows cannot change earlier
+    ones, and a row meets one node of each level of the search tree.
     """
-    ranges, steps = reference
-    rows = scores.join(ranges, "dataset").withColumn("bucket", _value_bucket("score"))
-    inside = (F.col("low").isNull() | (F.col("score") > F.col("low"))) & (F.col("high").isNull() | (F.col("score") <= F.col("high")))
-    return rows.join(steps, ["dataset", "bucket"]).filter(inside).select(
-        "dataset", "idx", "score", ((1 + F.col("ge")) / (F.col("n") + 1)).alias("p"))
+    sizes, *levels = reference
+    rows = scores.join(sizes, "dataset").withColumn("node", F.lit(0).cast("long"))
+    for level in levels:
+        at = F.size(F.filter("highs", lambda h: h < F.col("score")))
+        rows = rows.join(level, ["dataset", "node"]).select("dataset", "idx", "score", "n", (F.col("node") * fanout + at).alias("node"), F.element_at("ges", at + 1).alias("ge"))
+    return rows.select("dataset", "idx", "score", ((1 + F.col("ge")) / (F.col("n") + 1)).alias("p"))
 
 
 # ---- resumable scoring ------------------------------------------------------

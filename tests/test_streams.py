@@ -11,8 +11,12 @@ from outlane.streaming import online as O
 
 
 def stream_of(spark, df, tmp_path, files=3):
+    """One micro-batch per file, in the order of idx."""
     path = str(tmp_path / "in")
-    df.repartitionByRange(files, "idx").write.parquet(path)
+    bounds = df.approxQuantile("idx", [k / files for k in range(1, files)], 0.0)
+    for k, (low, high) in enumerate(zip([-1, *bounds], [*bounds, float("inf")])):
+        time.sleep(1.1 if k else 0)  # files are taken in modification order
+        df.filter((F.col("idx") > low) & (F.col("idx") <= high)).coalesce(1).write.mode("append").parquet(path)
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
@@ -22,16 +26,45 @@ def run(df, name):
     return df.sparkSession.table(name)
 
 
-def test_online_threshold_stream_equals_batch(spark, tables, tmp_path):
+@pytest.mark.parametrize("files, block", [(4, None), (3, 7)])
+def test_online_threshold_stream_equals_batch(spark, tables, tmp_path, files, block):
+    """State is carried over several micro-batches, the scan over several blocks."""
     some = ["u1", "u2", "u3"]
-    test = tables.score().filter((F.col("split") == "TEST") & F.col("dataset").isin(some)).select("dataset", "idx", "score")
+    test = tables.score().filter((F.col("split") == "TEST") & F.col("dataset").isin(some)).select("dataset", "idx", "score").cache()
     start = warm(tables).filter(F.col("dataset").isin(some)).cache()
-    batch = O.online_threshold_batch(test, start)
-    streamed = run(O.online_threshold_stream(stream_of(spark, test, tmp_path, 1), start), "online")
+    batch = O.online_threshold_batch(test, start, block=block)
+    streamed = run(O.online_threshold_stream(stream_of(spark, test, tmp_path, files), start), f"online{files}")
     keep = ["dataset", "idx", F.round("ema", 9), F.round("threshold", 9), "alert"]
     assert rows(streamed.select(*keep)) == rows(batch.select(*keep)) != []
 
 
+def test_an_early_term_is_never_forgotten(spark):
+    """A score of 1e30 still shows after 400 steps; blocks of 16 composed by 4."""
+    n = 401
+    data = spark.range(n).selectExpr("'d' AS dataset", "id AS idx", "CASE WHEN id = 0 THEN 1e30D ELSE CAST(id % 7 AS DOUBLE) END AS score")
+    begin = spark.createDataFrame([("d", 3.0)], "dataset string, x double")
+    got = {r.idx: r.ema for r in O.smoothed(data, begin, 16).collect()}
+    x = 3.0
+    for i in range(n):
+        x = O.ALPHA * (1e30 if i == 0 else i % 7) + (1 - O.ALPHA) * x
+        assert got[i] == pytest.approx(x, rel=1e-9)
+    assert got[300] > 20
+    maps = spark.range(100).selectExpr("'d' AS dataset", "id AS place", "1D AS a", "CAST(id AS DOUBLE) AS b")
+    sums = {r.place: r.x for r in O.scanned_maps(maps, begin, 4).collect()}
+    assert sums == {k: 3.0 + k * (k - 1) / 2 for k in range(100)}
+
+
+def test_heavy_tails_do_not_lengthen_a_node(spark):
+    """2,000 scores and one of a million: a row meets at most one node of 16 a level."""
+    train = spark.range(2000).selectExpr("'d' AS dataset", "CASE WHEN id = 7 THEN 1e6D ELSE id / 1000D END AS score")
+    reference = O.frozen_reference(train, 16)
+    assert len(reference) == 4 and all(level.selectExpr("max(size(highs))").first()[0] <= 16 for level in reference[1:])
+    values = sorted(r.score for r in train.collect())
+    test = spark.createDataFrame([("d", i, v) for i, v in enumerate([-5.0, 0.0, 0.0005, 0.5, 1.999, 1.9995, 1e6, 2e6, 0.007, *values[::97]])], "dataset string, idx bigint, score double")
+    got = {r.idx: r.p for r in O.conformal_stream(test, reference, 16).collect()}
+    assert got == {r.idx: (1 + sum(v >= r.score for v in values)) / 2001 for r in test.collect()}
+
+
 def test_conformal_stream_equals_batch(spark, tables, tmp_path):
     from outlane.operators.fusion import conformal_p
     scores = tables.score()
