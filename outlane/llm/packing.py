@@ -11,6 +11,11 @@ Because credits are counts, the place of a token follows from its place in its
 queue by arithmetic.  Tasks need only where each of their queues begins, which
 is a sum over earlier tasks: deficits carry across windows and partitions and
 no task sees a whole queue.
+
+A schedule over very many sources would not be small.  Sources beyond ``QUEUES``
+get one queue with the sum of their targets, inside of which documents are in
+the order of weighted fair queueing: by the tokens of their source before them
+divided by its target.  Every source thus keeps its own proportion.
 """
 
 from __future__ import annotations
@@ -23,10 +28,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from outlane.functions.order import with_position
 from outlane.llm.common import written
 from outlane.llm.tokens import blocks, library_table
 
-#: Sources with a queue of their own; all others share one more queue.
+#: Sources with a queue of their own; all others are interleaved in one more queue.
 QUEUES = 255
 SHARED = "\x01shared"
 #: Credits are counted in parts of a token.
@@ -118,8 +124,8 @@ def place(plan: Schedule, queue: np.ndarray, begin: np.ndarray, size: np.ndarray
     return run[owner], start[owner] + s - to[owner], e - s, window, s - window * plan.window
 
 
-def tokenised(docs: DataFrame, path: str, kind: str, end_id: int, queue_col: str, id_col: str, text_col: str) -> DataFrame:
-    """(id, queue, task, begin, n, ids): ``begin`` counts the queue's tokens that
+def tokenised(docs: DataFrame, path: str, kind: str, end_id: int, source_col: str, id_col: str, text_col: str) -> DataFrame:
+    """(id, source, task, begin, n, ids): ``begin`` counts the source's tokens that
     the same task has read before; ids are unsigned 32-bit, the end id last."""
     id_kind = docs.schema[id_col].dataType.simpleString()
 
@@ -140,9 +146,24 @@ def tokenised(docs: DataFrame, path: str, kind: str, end_id: int, queue_col: str
             edge = np.concatenate([[0], ends]) * 4
             data = pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(edge.astype(np.int64)), pa.py_buffer(out)]).cast(pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.full(len(counts), task, np.int32)), pa.array(begin, pa.int64()), pa.array(counts), data],
-                                             names=["id", "queue", "task", "begin", "n", "ids"])
+                                             names=["id", "source", "task", "begin", "n", "ids"])
+
+    source = F.coalesce(F.col(source_col).cast("string"), F.lit(""))
+    return docs.select(F.col(id_col), source, F.col(text_col)).mapInArrow(run, f"id {id_kind}, source string, task int, begin long, n long, ids binary")
 
-    return docs.select(F.col(id_col), F.col(queue_col), F.col(text_col)).mapInArrow(run, f"id {id_kind}, queue string, task int, begin long, n long, ids binary")
+
+def interleaved(tail: DataFrame, weights: DataFrame) -> DataFrame:
+    """(source, task, begin, place): place of each document of ``tail`` (source, task,
+    begin, head, n) in the shared queue.
+
+    Documents are in the order of (tokens of the source before them) / weight;
+    sources without a weight come after all others, by share of their tokens.
+    """
+    before = (F.col("head") + F.col("begin")).cast("double")
+    late = F.col("weight") <= 0
+    turn = tail.join(weights, "source").select("source", "task", "begin", "n", late.cast("int").alias("late"), (before / F.when(late, F.col("total")).otherwise(F.col("weight"))).alias("turn"), before.alias("before"))
+    placed = with_position(turn.withColumn("all", F.lit(0)), ["all"], [("late", "asc"), ("turn", "asc"), ("source", "asc"), ("before", "asc")], "p", {"upto": F.col("n")})
+    return placed.select("source", "task", "begin", (F.col("upto") - F.col("n")).alias("place"))
 
 
 def packed(docs: DataFrame, path: str, kind: str = "byte", end_id: int = 0, window: int = 1024, targets: dict[str, float] | None = None,
@@ -153,19 +174,37 @@ def packed(docs: DataFrame, path: str, kind: str = "byte", end_id: int = 0, wind
     piece; sequences are numbered from 0 and filled without gaps, all but the
     last to ``window`` tokens.  A null or empty text is its end id alone; null
     sources are the source with the empty name; null or repeated ids are packed
-    as rows of their own.  The ``queues`` sources with the most rows have their
-    own queue, the others share one, so the schedule is bounded.  A queue takes
-    documents in the order of the input's partitions.  An empty table gives no
-    rows; other columns are not read.
+    as rows of their own.  The ``queues`` sources with the highest targets (without
+    ``targets``: with most tokens) have their own queue, the others are
+    interleaved in one with the sum of their targets.  A queue takes documents of
+    a source in the order of the input's partitions.  An empty table gives no
+    rows; other columns, whatever their names, are not read.
     """
-    source = F.coalesce(F.col(source_col).cast("string"), F.lit(""))
-    own = [r[0] for r in docs.groupBy(source.alias("s")).count().orderBy(F.desc("count"), "s").limit(queues).collect()]
-    queue = F.when(source.isin(own), source).otherwise(F.lit(SHARED)) if len(own) == queues else source
-    rows = written(tokenised(docs.select(F.col(id_col), F.col(text_col), queue.alias("__queue")), path, kind, end_id, "__queue", id_col, text_col))
-    sums = written(rows.groupBy("queue", "task").agg(F.sum("n").alias("n")))
-    plan = schedule({r[0]: r[1] for r in sums.groupBy("queue").agg(F.sum("n")).collect()}, window, targets)
-    earlier = Window.partitionBy("queue").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
-    heads = written(sums.select("queue", "task", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("head")))
+    spark = docs.sparkSession
+    rows = written(tokenised(docs, path, kind, end_id, source_col, id_col, text_col))
+    sums = written(rows.groupBy("source", "task").agg(F.sum("n").alias("n")))
+    totals = sums.groupBy("source").agg(F.sum("n").alias("total"))
+    if targets is None:
+        weights = totals.withColumn("weight", F.col("total").cast("double"))
+    else:
+        if any(w < 0 for w in targets.values()):
+            raise ValueError("target proportions must not be negative")
+        given = spark.createDataFrame([(k, float(v)) for k, v in targets.items()], "source string, weight double")
+        weights = totals.join(given, "source", "left").na.fill(0.0, ["weight"])
+    weights = written(weights)
+    first = weights.orderBy(F.desc("weight"), F.desc("total"), "source").limit(queues).collect()
+    plan_totals, plan_targets = {r.source: r.total for r in first}, {r.source: r.weight for r in first}
+    many = weights.count() > len(first)
+    own = F.col("source").isin(list(plan_totals))
+    shared = SHARED
+    while shared in plan_totals:
+        shared += SHARED
+    if many:
+        rest = weights.filter(~own).agg(F.sum("total").alias("total"), F.sum("weight").alias("weight")).first()
+        plan_totals[shared], plan_targets[shared] = rest.total, rest.weight
+    plan = schedule(plan_totals, window, None if targets is None else plan_targets)
+    earlier = Window.partitionBy("source").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    heads = written(sums.select("source", "task", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("head")))
     number = {name: i for i, name in enumerate(plan.names)}
     kind_of_id = rows.schema["id"].dataType.simpleString()
 
@@ -185,8 +224,13 @@ def packed(docs: DataFrame, path: str, kind: str = "byte", end_id: int = 0, wind
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(run_at)), pa.array(start), data, pa.array(size[run_at]), pa.array(sequence), pa.array(offset.astype(np.int32))],
                                              names=["id", "start", "ids", "doc_tokens", "sequence_id", "offset"])
 
-    return (rows.join(heads, ["queue", "task"]).select("id", "queue", (F.col("begin") + F.col("head")).alias("begin"), "n", "ids")
-            .mapInArrow(run, f"id {kind_of_id}, start long, ids binary, doc_tokens long, sequence_id long, offset int"))
+    known = rows.join(heads, ["source", "task"])
+    placed = (known.filter(own) if many else known).select("id", F.col("source").alias("queue"), (F.col("begin") + F.col("head")).alias("begin"), "n", "ids")
+    if many:
+        turns = written(interleaved(known.filter(~own).drop("id", "ids"), weights))
+        tail = rows.filter(~own).join(turns, ["source", "task", "begin"])
+        placed = placed.unionAll(tail.select("id", F.lit(shared).alias("queue"), F.col("place").alias("begin"), "n", "ids"))
+    return placed.mapInArrow(run, f"id {kind_of_id}, start long, ids binary, doc_tokens long, sequence_id long, offset int")
 
 
 def sequences(pieces: DataFrame, window: int = 1024, pad_id: int = 0) -> DataFrame:
