@@ -53,6 +53,14 @@ def _delete(spark: SparkSession, folder: str) -> None:
     _FOLDERS.remove(folder)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, longer if ``df`` has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node that is not the least of its component.
 

@@ -4,12 +4,12 @@ Two texts are compared by the n-grams of bytes that both contain (presence, not
 frequency), blended over n = 1, 2, 3: k(x, z) = mean over n of |x_n and z_n| /
 sqrt(|x_n| |z_n|).  Nystroem: kernel values with a few landmark texts, whitened,
 are the features; one ridge regression per language (one versus the rest) is
-fitted on them.  The n-grams of the kernel are those of the landmarks, so the
-kernel values of a block of texts are matrix products of presence matrices.
+fitted on them.  Only n-grams that landmarks have can be shared, so the kernel
+values of a block of texts are products of presence matrices over those, divided
+by the root of the number of all n-grams of each text.
 
 A classifier that only compares its languages must name one for any text.  So a
-text's norm in the space of the landmarks is taken too, with k(x, z) over all of
-the text's own n-grams: 1 if the landmarks explain it whole, near 0 in an unknown
+text's norm in the space of the landmarks is taken too: 1 if the landmarks explain it whole, near 0 in an unknown
 script.  Labelled rows of like size tell how low it is in the languages learnt; a
 text well below that keeps its label but has score 0.
 """
@@ -22,8 +22,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: The labelled sample that the classifier is fitted on: expected rows in all.
+#: The labelled sample that the classifier is fitted on: expected rows and bytes in
+#: all, shared out equally, but ``LEAST_EACH`` rows of each language.
 SAMPLE_ROWS = 3000
+SAMPLE_BYTES = 64 << 20
+LEAST_EACH = 10
 LANDMARKS = 160
 RIDGE = 1e-3
 ORDERS = (1, 2, 3)
@@ -158,8 +161,9 @@ class Model:
 
     def placed(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Features, squared norm in the landmarks' space and size of each text."""
-        known, whole, own = self.kernel.both(texts)
-        return np.column_stack([known @ self.white, np.ones(len(texts))]), ((whole @ self.white) ** 2).sum(axis=1), own
+        _, whole, own = self.kernel.both(texts)
+        rows = whole @ self.white
+        return np.column_stack([rows, np.ones(len(texts))]), (rows ** 2).sum(axis=1), own
 
     def features(self, texts: list[bytes]) -> np.ndarray:
         return self.placed(texts)[0]
@@ -190,21 +194,29 @@ class Model:
         return names, scores
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", sample_rows: int = SAMPLE_ROWS) -> Model:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> Model:
     """Fit on a bounded sample of the labelled rows, as many of each language.
 
     A row is taken if a hash of its id is under the language's rate, so the
-    sample does not depend on partitions; expected rows are ``sample_rows`` in
-    all and the draw alone leaves the executors.
+    sample does not depend on partitions.  Expected are ``sample_rows`` rows and
+    ``sample_bytes`` bytes of whole texts in all; every language has the row with
+    its least hash at least, and ``LEAST_EACH`` rows if their bytes allow it.  The
+    draw alone leaves the executors.
     """
     rows = docs.filter(F.col(label_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
-    sizes = {r[0]: r[1] for r in rows.groupBy(label_col).count().orderBy(F.desc("count"), label_col).limit(sample_rows // 10).collect()}
-    each = sample_rows / max(len(sizes), 1)
     draw = F.pmod(F.xxhash64(F.lit("language"), F.col(id_col)), F.lit(1 << 30))
-    limit = F.create_map(*[F.lit(x) for name, n in sizes.items() for x in (name, int(min(1.0, each / n) * (1 << 30)))]) if sizes else None
-    got = rows.filter(draw < limit[F.col(label_col)]).select(label_col, text_col, id_col).toPandas() if sizes else pd.DataFrame({label_col: [], text_col: [], id_col: []})
-    got = got.sort_values([label_col, id_col], kind="stable")
-    return Model([folded(x) for x in got[text_col]], got[label_col].tolist())
+    rows = rows.select(F.col(label_col).alias("label"), F.col(text_col).alias("text"), F.col(id_col).alias("id"), draw.alias("draw"))
+    # one row per language
+    sizes = rows.groupBy("label").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"), F.min("draw").alias("least")).collect()
+    each, limits = max(LEAST_EACH, sample_rows / max(len(sizes), 1)), []
+    for r in sizes:
+        rate = min(1.0, each / r.n, sample_bytes / len(sizes) / max(r.bytes, 1))
+        limits.append((r.label, max(int(rate * (1 << 30)), r.least + 1)))
+    if not limits:
+        return Model([], [])
+    taken = rows.join(docs.sparkSession.createDataFrame(limits, "label string, limit long"), "label").filter("draw < limit")
+    got = taken.select("label", "text", "id").toPandas().sort_values(["label", "id"], kind="stable")
+    return Model([folded(x) for x in got["text"]], got["label"].tolist())
 
 
 def identified(docs: DataFrame, model: Model, text_col: str = "text", to: str = "language") -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from outlane.llm.common import written
+from outlane.llm.common import free_name, written
 
 #: Share of a site's pages above which a line is boilerplate.
 RATIO = 0.05
@@ -66,14 +66,15 @@ def site_line_dedup(docs: DataFrame, host_col: str = "source", text_col: str = "
     """
     added = ("lines_before", "lines_dropped")
     names = [c for c in docs.columns if c not in added]
-    bad = written(boilerplate(docs, host_col, text_col, ratio, least, copies)).select(F.col("site").alias("__site"), F.col("bad").alias("__bad"))
-    joined = docs.join(bad, F.coalesce(F.col(host_col).cast("string"), F.lit("")) == F.col("__site"), "left")
-    clean = F.filter(_lines(text_col), lambda x: ~F.array_contains("__bad", _key(x)))
-    kept = F.when(F.col("__bad").isNull() | F.col(text_col).isNull(), F.col(text_col)).otherwise(F.array_join("__kept", "\n"))
-    return (joined.withColumn("__kept", F.when(F.col("__bad").isNotNull(), clean))
+    site_, bad_, kept_ = (free_name(docs, x) for x in ("site_of_lines", "bad_lines", "kept_lines"))
+    bad = written(boilerplate(docs, host_col, text_col, ratio, least, copies)).select(F.col("site").alias(site_), F.col("bad").alias(bad_))
+    joined = docs.join(bad, F.coalesce(F.col(host_col).cast("string"), F.lit("")) == F.col(site_), "left")
+    clean = F.filter(_lines(text_col), lambda x: ~F.array_contains(bad_, _key(x)))
+    kept = F.when(F.col(bad_).isNull() | F.col(text_col).isNull(), F.col(text_col)).otherwise(F.array_join(kept_, "\n"))
+    return (joined.withColumn(kept_, F.when(F.col(bad_).isNotNull(), clean))
             .select(*[kept.alias(c) if c == text_col else F.col(f"`{c}`") for c in names],
                     F.size(_lines(text_col)).cast("bigint").alias("lines_before"),
-                    F.when(F.col("__bad").isNull(), F.lit(0)).otherwise(F.size(_lines(text_col)) - F.size("__kept")).cast("bigint").alias("lines_dropped")))
+                    F.when(F.col(bad_).isNull(), F.lit(0)).otherwise(F.size(_lines(text_col)) - F.size(kept_)).cast("bigint").alias("lines_dropped")))
 
 
 SQL = f"""

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from outlane.llm.common import components, remove, written
+from outlane.llm.common import components, free_name, remove, written
 
 BITS = 64
 PARTS = 4
@@ -335,5 +335,6 @@ def near_duplicates_removed(docs: DataFrame, id_col: str = "doc_id", text_col: s
     stay or go together.
     """
     groups = simhash_groups(docs, id_col, text_col, **options)
-    gone = groups.filter("id <> component_id").select(F.col("id").alias("__gone")).distinct()
-    return docs.join(written(gone), F.col(id_col) == F.col("__gone"), "left_anti")
+    name = free_name(docs, "gone_id")
+    gone = groups.filter("id <> component_id").select(F.col("id").alias(name)).distinct()
+    return docs.join(written(gone), F.col(id_col) == F.col(name), "left_anti")
