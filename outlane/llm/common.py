@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from outlane.session import checkpoint_dir
 
-#: Folders written by :func:`written` in this process and not yet removed.
-_FOLDERS: list[str] = []
+#: Folders written by :func:`written` in this process and not yet removed, and
+#: the owner of each; see :func:`owned`.
+_FOLDERS: dict[str, str | None] = {}
+_OWNER: list[str | None] = [None]
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -23,7 +26,7 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     folder = f"{checkpoint_dir(spark)}/outlane-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(folder)
-    _FOLDERS.append(folder)
+    _FOLDERS[folder] = _OWNER[-1]
     return spark.read.schema(df.schema).parquet(folder)
 
 
@@ -35,22 +38,31 @@ def remove(spark: SparkSession, *frames: DataFrame) -> None:
                 _delete(spark, folder)
 
 
-def remove_unread(spark: SparkSession, frame: DataFrame) -> None:
-    """Delete every written folder that ``frame`` does not read.
+@contextmanager
+def owned(owner: str, frame: DataFrame):
+    """What is written inside belongs to ``owner``.
 
     For a chain of steps whose results are written and read again: once a step
-    starts from the reread result, what earlier steps have staged is garbage.
+    starts from the reread ``frame``, what earlier steps of the same owner have
+    staged and ``frame`` does not read is garbage, and deleted.  Folders of others
+    stay.
     """
-    names = frame.inputFiles() if _FOLDERS else []
-    for folder in list(_FOLDERS):
+    mine = [folder for folder, of in _FOLDERS.items() if of == owner]
+    names = frame.inputFiles() if mine else []
+    for folder in mine:
         if not any(folder.rpartition("/")[2] in name for name in names):
-            _delete(spark, folder)
+            _delete(frame.sparkSession, folder)
+    _OWNER.append(owner)
+    try:
+        yield
+    finally:
+        _OWNER.pop()
 
 
 def _delete(spark: SparkSession, folder: str) -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    _FOLDERS.remove(folder)
+    del _FOLDERS[folder]
 
 
 def free_name(df: DataFrame, name: str) -> str:

@@ -88,6 +88,20 @@ def test_pipeline_of_odd_tables(spark, tmp_path, rows):
     assert {p.doc_id for p in pieces} <= ids
 
 
+def test_a_stage_leaves_the_folders_of_others(spark):
+    import corpus_pipeline
+
+    from outlane.llm import common, queries
+
+    mine = queries.QUERIES["op10_bloom_dedup"](spark, "/root/testdata/sf0.001")
+    docs = frame(spark).select("doc_id", "text", "lang", "source", "n_chars")
+    first = corpus_pipeline.drop_near_duplicates(spark, docs, "").count()
+    of = lambda: {k for k, v in common._FOLDERS.items() if v == "pipeline"}
+    before = of()
+    assert before and corpus_pipeline.drop_near_duplicates(spark, docs, "").count() == first
+    assert not before & of() and mine.count() == 200
+
+
 def test_vectors_of_odd_lengths_and_repeated_ids(spark):
     rows = [(1, [1.0] * 300), (1, [1.0] * 300), (2, [2.0] * 300), (3, [1.0]), (4, [1.0] + [0.0] * 299), (5, []), (6, None), (None, [1.0])]
     got = sorted(map(repr, near_vectors.near_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).select("id", "n_links", "component_id").collect()))
