@@ -99,18 +99,67 @@ def crossfit_source(rows: DataFrame, scorer, least: int = 5) -> DataFrame:
 
 # ---- scorers ----------------------------------------------------------------
 
-def lof(k: int):
-    """Local outlier factor against the TRAIN side, as neighbour joins."""
-    def score(rows: DataFrame) -> DataFrame:
-        near = stage(neighbours(rows, rows.filter("split = 'TRAIN'"), k))
-        far = near.filter("split = 'TRAIN'").select("dataset", F.col("idx").alias("rid"), F.array_max(F.transform("near", lambda x: x["d"])).alias("kd"))
-        links = near.select("dataset", "split", "idx", F.explode("near").alias("n")).select("dataset", "split", "idx", "n.d", "n.rid")
+class LocalOutlierFactor:
+    """Local outlier factor against the TRAIN side, as neighbour joins.
+
+    Cross-fitted, neighbours are searched once among all TRAIN rows, with a margin:
+    those of a fold's model are the ones outside the fold.  Only rows that are
+    left with fewer than ``k`` are searched again.
+    """
+
+    #: Neighbours searched for each one that is wanted, when folds may take some.
+    MARGIN = 2.5
+
+    def __init__(self, k: int):
+        self.k = k
+
+    def __call__(self, rows: DataFrame) -> DataFrame:
+        near = stage(neighbours(rows, rows.filter("split = 'TRAIN'"), self.k))
+        return self._factors(near.select("dataset", "split", "idx", F.explode("near").alias("n")).select("dataset", "split", "idx", "n.d", "n.rid"))
+
+    @staticmethod
+    def _factors(links: DataFrame) -> DataFrame:
+        """Scores from links (dataset, split, idx, d, rid) to TRAIN rows."""
+        far = links.filter("split = 'TRAIN'").groupBy("dataset", F.col("idx").alias("rid")).agg(F.max("d").alias("kd"))
         reach = links.join(far, ["dataset", "rid"]).groupBy("dataset", "split", "idx").agg(
             (1 / (F.avg(F.greatest("d", "kd")) + 1e-10)).alias("lrd"))
         other = reach.filter("split = 'TRAIN'").select("dataset", F.col("idx").alias("rid"), F.col("lrd").alias("other"))
         return links.join(other, ["dataset", "rid"]).groupBy("dataset", "split", "idx").agg(F.avg("other").alias("o")).join(
             reach, ["dataset", "split", "idx"]).select("dataset", "split", "idx", (F.col("o") / F.col("lrd")).alias("score"))
-    return score
+
+    def folded(self, rows: DataFrame, plan: DataFrame) -> DataFrame:
+        return _over_folds(self._factors(stage(self.fold_links(rows, plan))))
+
+    def fold_links(self, rows: DataFrame, plan: DataFrame) -> DataFrame:
+        """Links of every row to its ``k`` nearest of each fold's TRAIN side; the
+        dataset is named dataset#fold, rows of the fold are on the HELD side."""
+        train = rows.filter("split = 'TRAIN'")
+        wide = neighbours(rows, train, math.ceil(self.MARGIN * self.k))
+        links = wide.select("dataset", "split", "idx", F.explode_outer("near").alias("n")).select("dataset", "split", "idx", "n.d", "n.rid")
+        of = plan.select("dataset", F.col("idx").alias("rid"), F.col("fold").alias("rfold"))
+        near = links.join(of, ["dataset", "rid"], "left").groupBy("dataset", "split", "idx").agg(F.sort_array(F.collect_list(F.when(F.col("rid").isNotNull(), F.struct("d", "rid", "rfold")))).alias("near"))
+        own = plan.select("dataset", "idx", F.lit("TRAIN").alias("split"), "fold")
+        sizes = plan.groupBy("dataset").agg(F.first("folds").alias("folds"), F.count(F.lit(1)).alias("n"))
+        per_fold = plan.groupBy("dataset", F.col("fold").alias("f")).agg(F.count(F.lit(1)).alias("left_out"))
+        asked = near.join(sizes, "dataset").join(own, ["dataset", "split", "idx"], "left").withColumn("f", F.explode(F.sequence(F.lit(0).cast("long"), F.col("folds") - 1)))
+        side = F.when(F.col("split") != "TRAIN", F.col("split")).when(F.col("fold") == F.col("f"), F.lit("HELD")).otherwise(F.lit("TRAIN"))
+        kept = F.slice(F.filter("near", lambda x: x["rfold"] != F.col("f")), 1, self.k)
+        # all that there is: TRAIN rows outside the fold but for the row itself
+        there = F.col("n") - F.col("left_out") - F.when(side == "TRAIN", 1).otherwise(0)
+        got = stage(asked.join(per_fold, ["dataset", "f"]).select("dataset", "f", "split", "idx", side.alias("side"), kept.alias("near"), (F.size(kept) >= F.least(F.lit(self.k), there)).alias("enough")))
+        name = F.concat_ws("#", "dataset", F.col("f").cast("string"))
+        found = got.filter("enough").select(name.alias("dataset"), F.col("side").alias("split"), "idx", "near.d", "near.rid")
+        short = got.filter("NOT enough").select("dataset", "f", "split", "idx", "side")
+        if not short.isEmpty():
+            queries = short.join(rows, ["dataset", "split", "idx"]).select(name.alias("dataset"), F.col("side").alias("split"), "idx", "vec")
+            fits = short.select("dataset", "f").distinct().join(train.drop("split"), "dataset").join(own.drop("split"), ["dataset", "idx"]).filter("f <> fold")
+            more = neighbours(queries, fits.select(name.alias("dataset"), "idx", "vec"), self.k)
+            found = found.unionByName(more.select("dataset", "split", "idx", "near.d", "near.rid"))
+        return found.select("dataset", "split", "idx", F.explode(F.arrays_zip("d", "rid")).alias("z")).select("dataset", "split", "idx", "z.d", "z.rid")
+
+
+def lof(k: int) -> LocalOutlierFactor:
+    return LocalOutlierFactor(k)
 
 
 def centroid(rows: DataFrame) -> DataFrame:

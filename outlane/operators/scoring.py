@@ -1,25 +1,30 @@
 """Nearest-neighbour, centroid and density scores against normal references.
 
-Series travel as one row with an array.  A query row meets the reference rows
-of its dataset inside one task as a matrix product; pairs are never rows.  The
-queries and the reference of a dataset are cut into blocks of a few thousand
-rows, so neither a hot dataset nor a long reference lands in one task, and
-per-block neighbours are merged to the exact result.
+Series travel as one row with an array.  A query row meets reference rows of
+its dataset inside one task as a matrix product; pairs are never rows.  A
+reference of more rows than one block is cut by its nearest pivot and the distance
+to it; a query first searches the block that it lies in, which bounds the distance
+of its neighbours, and then only blocks that the triangle inequality does not
+rule out.  Neighbours of blocks are merged to the exact result, and blocks with
+many queries are dealt over tasks.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from outlane.functions.columns import array_sum
-from outlane.functions.order import exact_quantiles
+from outlane.functions.order import exact_quantiles, with_position
+from outlane.operators.quality import reference_rows
 from outlane.session import stage
 
 QUERY_BLOCK = 4000
 REFERENCE_BLOCK = 2000
+MOST_PIVOTS = 256
 NEAR = "array<struct<d:double,rid:bigint>>"
 
 # Guards of the density scores and of the robust scaling.
@@ -97,25 +102,137 @@ def neighbours(rows: DataFrame, reference: DataFrame, k: int, skip_self: bool =
     lower reference id.
 
     ``rows``: (dataset, split, idx, vec); ``reference``: (dataset, idx, vec), any
-    number of rows: blocks are merged.
+    number of rows.
     """
-    count = lambda df, block, name: df.groupBy("dataset").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(name))
-    sizes = count(rows, QUERY_BLOCK, "qn").join(count(reference, REFERENCE_BLOCK, "rn"), "dataset")
-    block = lambda col, n: F.pmod(F.xxhash64(col), n).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    ref = (reference.select("dataset", F.col("idx").alias("rid"), F.col("vec").alias("ref_vec")).join(sizes, "dataset")
-           .withColumn("rb", block("rid", F.col("rn"))).withColumn("qb", every("qn")))
-    left = (rows.select("dataset", "split", "idx", F.col("vec").alias("query_vec")).join(sizes, "dataset")
-            .withColumn("qb", block("idx", F.col("qn"))).withColumn("rb", every("rn")))
-    keys = ["dataset", "qb", "rb"]
-    ref = ref.select("rid", "ref_vec", *[F.col(k).alias(f"ref_{k}") for k in keys])
-    left = left.select(*keys, "split", "idx", "query_vec")
-    found = left.groupBy(*keys).cogroup(ref.groupBy(*[f"ref_{k}" for k in keys])).applyInPandas(
-        _block_neighbours(k, skip_self), f"dataset string, split string, idx bigint, near {NEAR}")
+    sizes = stage(reference.groupBy("dataset").agg(F.count(F.lit(1)).alias("n")))
+    large = sizes.filter(F.col("n") > REFERENCE_BLOCK)
+    left = rows.select("dataset", "split", "idx", F.col("vec").alias("query_vec"))
+    right = reference.select("dataset", F.col("idx").alias("rid"), F.col("vec").alias("ref_vec"))
+    if large.isEmpty():
+        return _merged(_searched(left.join(sizes.select("dataset"), "dataset", "left_semi"), right, ["dataset"], k, skip_self), k)
+    names = large.select("dataset")
+    small = sizes.filter(F.col("n") <= REFERENCE_BLOCK).select("dataset")
+    found = _searched(left.join(small, "dataset", "left_semi"), right.join(small, "dataset", "left_semi"), ["dataset"], k, skip_self)
+    return _merged(found.unionByName(_pruned(left.join(names, "dataset", "left_semi"), right.join(names, "dataset", "left_semi"), large, k, skip_self)), k)
+
+
+def _merged(found: DataFrame, k: int) -> DataFrame:
     merged = found.groupBy("dataset", "split", "idx").agg(F.flatten(F.collect_list("near")).alias("near"))
     return merged.withColumn("near", F.slice(F.array_sort("near"), 1, k))
 
 
+def _searched(left: DataFrame, right: DataFrame, keys: list[str], k: int, skip_self: bool) -> DataFrame:
+    """Each query of ``left`` against the one block of ``right`` with its keys;
+    queries of a block are dealt over tasks, which get the block each."""
+    counts = left.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("qn"))
+    dealt = left.join(counts, keys).withColumn("qb", F.pmod(F.xxhash64("idx"), F.col("qn")).cast("int")).drop("qn")
+    copies = right.join(counts, keys).withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("qn") - 1))).drop("qn")
+    keys = [*keys, "qb"]
+    copies = copies.select("rid", "ref_vec", *[F.col(c).alias(f"ref_{c}") for c in keys])
+    return dealt.groupBy(*keys).cogroup(copies.groupBy(*[f"ref_{c}" for c in keys])).applyInPandas(
+        _block_neighbours(k, skip_self), f"dataset string, split string, idx bigint, near {NEAR}")
+
+
+# -- pruning by pivots ---------------------------------------------------------
+
+def _chunks(df: DataFrame, vec: str, *others: str) -> DataFrame:
+    """(dataset, ids, data): rows of a dataset packed by the thousand, so that what
+    a dataset has in common is joined once a chunk."""
+    counts = df.groupBy("dataset").agg(F.ceil(F.count(F.lit(1)) / 1000).alias("chunks"))
+    packed = df.join(counts, "dataset").groupBy("dataset", F.pmod(F.xxhash64(*others), F.col("chunks"))).agg(F.collect_list(F.struct(*others, vec)).alias("r"))
+    return packed.select("dataset", *[F.col(f"r.{c}").alias(c) for c in others], F.flatten(f"r.{vec}").alias("data"))
+
+
+def _far(x: np.ndarray, pivots: list) -> np.ndarray:
+    return np.stack([np.sqrt(((x - np.asarray(p, float)) ** 2).sum(axis=1)) for p in pivots], axis=1)
+
+
+def _data(batch: pa.RecordBatch, i: int, rows: int) -> np.ndarray:
+    return batch.column(batch.schema.get_field_index("data"))[i].values.to_numpy(zero_copy_only=False).astype(float).reshape(rows, -1)
+
+
+def _vectors(x: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(np.ascontiguousarray(x).ravel()))
+
+
+def reference_blocks(reference: DataFrame, sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows by (dataset, cell, ring), and per dataset its pivots and blocks.
+
+    A cell has the rows nearest to one of up to ``MOST_PIVOTS`` pivots, one per
+    ``REFERENCE_BLOCK`` rows; a ring has that many rows in order of their distance to
+    the pivot.  Pivots are rows in hash order: they matter for speed only.
+    """
+    named = reference.withColumnRenamed("rid", "idx")
+    first = reference_rows(named.select("dataset", "idx", "ref_vec"), MOST_PIVOTS, "pivot")
+    rank = F.row_number().over(Window.partitionBy("dataset").orderBy(F.xxhash64("idx"), "idx"))
+    wanted = F.least(F.lit(MOST_PIVOTS), F.ceil(F.col("n") / REFERENCE_BLOCK))
+    pivots = stage(first.join(sizes, "dataset").withColumn("r", rank).filter(F.col("r") <= wanted).groupBy("dataset").agg(F.collect_list("ref_vec").alias("pivots")))
+
+    def assign(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                rid = batch.column(1)[i].values
+                x = _data(batch, i, len(rid))
+                far = _far(x, batch.column(3)[i].as_py())
+                cell = far.argmin(axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[i].as_py()] * len(x)), rid, pa.array(cell.astype(np.int32)), pa.array(far[np.arange(len(x)), cell]), _vectors(x)],
+                                                 names=["dataset", "rid", "cell", "far", "ref_vec"])
+
+    cells = _chunks(reference, "ref_vec", "rid").join(pivots, "dataset").select("dataset", "rid", "data", "pivots").mapInArrow(assign, "dataset string, rid bigint, cell int, far double, ref_vec array<double>")
+    placed = with_position(stage(cells), ["dataset", "cell"], [("far", "asc"), ("rid", "asc")], "p")
+    blocks = stage(placed.withColumn("ring", F.floor((F.col("p") - 1) / REFERENCE_BLOCK).cast("int")).drop("p"))
+    rings = blocks.groupBy("dataset", "cell", "ring").agg(F.min("far").alias("low"), F.max("far").alias("high"), F.count(F.lit(1)).alias("n"))
+    return blocks, stage(rings.groupBy("dataset").agg(F.collect_list(F.struct("cell", "ring", "low", "high", "n")).alias("rings")).join(pivots, "dataset"))
+
+
+def visits(queries: DataFrame, marks: DataFrame, k: int) -> DataFrame:
+    """(dataset, split, idx, query_vec, cell, ring): blocks that each query must see.
+
+    Without a column ``most`` it is the block with the least bound; with it (the
+    distance of the k-th neighbour so far) all others whose bound does not exceed it.
+    """
+    again = "most" in queries.columns
+    others = ["split", "idx", *(["most"] if again else [])]
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                split, idx = batch.column(1)[i].values, batch.column(2)[i].values
+                x = _data(batch, i, len(idx))
+                rings = batch.column(batch.num_columns - 2)[i].as_py()
+                cell, ring, low, high, n = (np.array([r[c] for r in rings]) for c in ("cell", "ring", "low", "high", "n"))
+                far = _far(x, batch.column(batch.num_columns - 1)[i].as_py())
+                for at in range(0, len(x), max(1, 4_000_000 // len(rings))):
+                    own = far[at:at + max(1, 4_000_000 // len(rings))]
+                    to = own[:, cell]
+                    bound = np.maximum(np.maximum(to - high, low - to), 0)
+                    home = np.lexsort((ring[None, :] + 0 * to, to, bound + np.where(n > k, 0, 1e300)[None, :]), axis=1)[:, 0]
+                    if again:
+                        most = batch.column(3)[i].values.to_numpy(zero_copy_only=False)[at:at + len(own)]
+                        see = bound <= (most + 1e-9 * (1 + np.abs(own).max(axis=1)))[:, None]
+                        see[np.arange(len(own)), home] = False
+                        who, block = np.nonzero(see)
+                    else:
+                        who, block = np.arange(len(own)), home
+                    if len(who):
+                        take = pa.array(who + at)
+                        yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[i].as_py()] * len(who)), split.take(take), idx.take(take), _vectors(x[who + at]), pa.array(cell[block].astype(np.int32)), pa.array(ring[block].astype(np.int32))],
+                                                         names=["dataset", "split", "idx", "query_vec", "cell", "ring"])
+
+    packed = _chunks(queries, "query_vec", *others).join(marks, "dataset").select("dataset", *others, "data", "rings", "pivots")
+    return packed.mapInArrow(run, "dataset string, split string, idx bigint, query_vec array<double>, cell int, ring int")
+
+
+def _pruned(left: DataFrame, right: DataFrame, sizes: DataFrame, k: int, skip_self: bool) -> DataFrame:
+    blocks, marks = reference_blocks(right, sizes)
+    blocks, keys = blocks.drop("far"), ["dataset", "cell", "ring"]
+    left = stage(left)
+    first = stage(_searched(visits(left, marks, k), blocks, keys, k, skip_self))
+    most = F.when(F.size("near") == k, F.array_max(F.transform("near", lambda x: x["d"]))).otherwise(F.lit(float("inf")))
+    bounded = left.join(first.select("dataset", "split", "idx", most.alias("most")), ["dataset", "split", "idx"])
+    return first.unionByName(_searched(stage(visits(bounded, marks, k)), blocks, keys, k, skip_self))
+
+
 def mean_distance(near="near"):
     return F.when(F.size(near) > 0, array_sum(F.transform(near, lambda x: x["d"])) / F.size(near)).otherwise(0.0)
 
@@ -137,7 +254,7 @@ def density_scores(near: DataFrame, mode: str) -> DataFrame:
              .agg(F.first("base").alias("base"), (F.avg("radius") + RADIUS_EPS).alias("local")))
     if mode == "ratio":
         return local.select("dataset", "split", "idx", (F.col("base") / F.col("local")).alias("score"))
-    typical = radius.groupBy("dataset").agg((F.percentile("radius", 0.5) + RADIUS_EPS).alias("typical"))
+    typical = exact_quantiles(radius, ["dataset"], "radius", {"typical": 0.5}).withColumn("typical", F.col("typical") + RADIUS_EPS)
     return local.join(typical, "dataset").select(
         "dataset", "split", "idx", ((F.col("base") - F.col("local")) / F.col("typical")).alias("score"))
 
