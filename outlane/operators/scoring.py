@@ -135,7 +135,7 @@ def _searched(left: DataFrame, right: DataFrame, keys: list[str], k: int, skip_s
 
 # -- pruning by pivots ---------------------------------------------------------
 
-def _chunks(df: DataFrame, vec: str, *others: str) -> DataFrame:
+def row_chunks(df: DataFrame, vec: str, *others: str) -> DataFrame:
     """(dataset, ids, data): rows of a dataset packed by the thousand, so that what
     a dataset has in common is joined once a chunk."""
     counts = df.groupBy("dataset").agg(F.ceil(F.count(F.lit(1)) / 1000).alias("chunks"))
@@ -178,7 +178,7 @@ def reference_blocks(reference: DataFrame, sizes: DataFrame) -> tuple[DataFrame,
                 yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[i].as_py()] * len(x)), rid, pa.array(cell.astype(np.int32)), pa.array(far[np.arange(len(x)), cell]), _vectors(x)],
                                                  names=["dataset", "rid", "cell", "far", "ref_vec"])
 
-    cells = _chunks(reference, "ref_vec", "rid").join(pivots, "dataset").select("dataset", "rid", "data", "pivots").mapInArrow(assign, "dataset string, rid bigint, cell int, far double, ref_vec array<double>")
+    cells = row_chunks(reference, "ref_vec", "rid").join(pivots, "dataset").select("dataset", "rid", "data", "pivots").mapInArrow(assign, "dataset string, rid bigint, cell int, far double, ref_vec array<double>")
     placed = with_position(stage(cells), ["dataset", "cell"], [("far", "asc"), ("rid", "asc")], "p")
     blocks = stage(placed.withColumn("ring", F.floor((F.col("p") - 1) / REFERENCE_BLOCK).cast("int")).drop("p"))
     rings = blocks.groupBy("dataset", "cell", "ring").agg(F.min("far").alias("low"), F.max("far").alias("high"), F.count(F.lit(1)).alias("n"))
@@ -219,7 +219,7 @@ def visits(queries: DataFrame, marks: DataFrame, k: int) -> DataFrame:
                         yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[i].as_py()] * len(who)), split.take(take), idx.take(take), _vectors(x[who + at]), pa.array(cell[block].astype(np.int32)), pa.array(ring[block].astype(np.int32))],
                                                          names=["dataset", "split", "idx", "query_vec", "cell", "ring"])
 
-    packed = _chunks(queries, "query_vec", *others).join(marks, "dataset").select("dataset", *others, "data", "rings", "pivots")
+    packed = row_chunks(queries, "query_vec", *others).join(marks, "dataset").select("dataset", *others, "data", "rings", "pivots")
     return packed.mapInArrow(run, "dataset string, split string, idx bigint, query_vec array<double>, cell int, ring int")
 
 

@@ -372,24 +372,21 @@ def _(t):
     return rounded(P.outcome_profile(detail(t).filter("source = 'rocket'").drop("family"), counts(t)), "mean_train", "mean_test")
 
 
-@query("failure_need_classes", "diagnostics counts labelled", """
-WITH r AS (SELECT d.dataset, c.family, train_count, best_rank, CASE WHEN best_rank <= 1 THEN 1 WHEN best_rank <= 2 THEN 2 WHEN best_rank <= 3 THEN 3 ELSE 0 END * (n % 2) AS review_hit,
-  (SELECT sum(y) FROM labelled l WHERE l.dataset = d.dataset AND l.source = 'rocket') AS anomaly_count FROM diagnostics d JOIN counts c ON c.dataset = d.dataset WHERE source = 'rocket')
-SELECT dataset, CASE WHEN train_count <= 10 OR family = 'f0' THEN 'borrow_normals' WHEN review_hit > 0 THEN 'send_to_review' WHEN family = 'f1' THEN 'frequency_features'
-  WHEN family = 'f2' THEN 'shape_features' WHEN best_rank <= 10 THEN 'move_threshold' ELSE 'other_features' END AS primary,
-  concat_ws(';', CASE WHEN review_hit > 0 THEN 'found at ' || review_hit END, CASE WHEN train_count <= 10 THEN 'few normals' END, 'family ' || family,
-    CASE WHEN anomaly_count <= 1 THEN 'one anomaly' END, 'best ' || CASE WHEN best_rank <= 1 THEN 'top1' WHEN best_rank <= 3 THEN 'top3' WHEN best_rank <= 10 THEN 'top10' WHEN best_rank <= 20 THEN 'top20' ELSE 'beyond20' END) AS reasons FROM r""")
-def _(t):
+@query("failure_need_classes", "diagnostics counts labelled", f"""
+WITH r AS (SELECT d.dataset, train_count, n, best_rank, best_rank / n AS depth, y AS anomalies FROM diagnostics d JOIN counts c ON c.dataset = d.dataset
+  JOIN (SELECT dataset, sum(y) AS y FROM labelled WHERE source = 'rocket' GROUP BY 1) l ON l.dataset = d.dataset WHERE source = 'rocket')
+SELECT dataset, CASE WHEN depth > 0.5 THEN 'ranked_low' WHEN best_rank BETWEEN 2 AND 5 THEN 'near_miss' WHEN 50 * anomalies <= n THEN 'rare_event' WHEN train_count < n THEN 'thin_reference' ELSE 'as_expected' END AS primary,
+  concat_ws(';', CASE WHEN 50 * anomalies <= n THEN anomalies || ' of ' || n END, CASE WHEN train_count < n THEN 'reference ' || train_count END,
+    'first hit ' || CASE WHEN best_rank <= 1 THEN 'top1' WHEN best_rank <= 3 THEN 'top3' WHEN best_rank <= 10 THEN 'top10' WHEN best_rank <= 20 THEN 'top20' ELSE 'beyond20' END) AS reasons FROM r""")
+def _(t):
+    """Rules of our own over rank, rarity and size; the operator takes any list."""
     rows = labelled(t).filter("source = 'rocket'")
     diag = E.rank_diagnostics(rows, ["dataset"]).select("dataset", "n", "best_rank")
-    anomalies = rows.groupBy("dataset").agg(F.sum("y").alias("anomaly_count"))
-    hit = F.when(F.col("best_rank") <= 3, F.col("best_rank")).otherwise(0) * (F.col("n") % 2)
-    full = diag.join(anomalies, "dataset").join(counts(t), "dataset").withColumn("review_hit", hit)
-    family, few = F.col("family"), F.col("train_count") <= 10
-    rules = [("borrow_normals", few | (family == "f0")), ("send_to_review", F.col("review_hit") > 0), ("frequency_features", family == "f1"),
-             ("shape_features", family == "f2"), ("move_threshold", F.col("best_rank") <= 10), ("other_features", F.lit(True))]
-    notes = [F.when(F.col("review_hit") > 0, F.concat(F.lit("found at "), F.col("review_hit"))), F.when(few, "few normals"), F.concat(F.lit("family "), family),
-             F.when(F.col("anomaly_count") <= 1, "one anomaly"), F.concat(F.lit("best "), P.rank_bucket("best_rank"))]
+    anomalies = rows.groupBy("dataset").agg(F.sum("y").alias("anomalies"))
+    full = diag.join(anomalies, "dataset").join(counts(t), "dataset")
+    rare, thin = 50 * F.col("anomalies") <= F.col("n"), F.col("train_count") < F.col("n")
+    rules = [("ranked_low", F.col("best_rank") / F.col("n") > 0.5), ("near_miss", F.col("best_rank").between(2, 5)), ("rare_event", rare), ("thin_reference", thin), ("as_expected", F.lit(True))]
+    notes = [F.when(rare, F.concat("anomalies", F.lit(" of "), "n")), F.when(thin, F.concat(F.lit("reference "), "train_count")), F.concat(F.lit("first hit "), P.rank_bucket("best_rank"))]
     return P.failure_classes(full, rules, notes)
 
 

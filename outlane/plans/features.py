@@ -53,19 +53,8 @@ FROM {rel}, (SELECT *, unnest(range(size)) AS p FROM {bank_sql(bank, extra, leng
 fragment("zraw", "zpts", "SELECT id, label, list(v ORDER BY pos) AS values FROM zpts GROUP BY 1, 2")
 fragment("zarch", "points", "SELECT dataset, split, idx, list(v ORDER BY pos) AS values FROM points GROUP BY 1, 2, 3")
 
-BANK = N.random_kernels(L, 6)
-
-
-@query("random_kernel_bank", "pts", f"""
-WITH m AS (SELECT pos, avg(v) AS m FROM pts GROUP BY 1)
-SELECT k, count(*) AS taps, d AS dilation, {r6('bias')} AS bias, {r6('sum(w * m)')} AS response FROM {bank_sql(BANK, ('bias',))} JOIN m ON m.pos = j * d GROUP BY k, d, bias""")
-def _(t):
-    """The bank, and the mean response of all series at their first point."""
-    means = raw(t).select(F.posexplode("values").alias("pos", "v")).groupBy("pos").agg(F.avg("v").alias("m"))
-    taps = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(j * b["dilation"]).alias("pos"), F.lit(float(w)).alias("w"), F.lit(b["dilation"]).alias("dilation"), R6(F.lit(b["bias"])).alias("bias"))
-                               for k, b in enumerate(BANK) for j, w in enumerate(b["weights"])]))
-    met = means.select("pos", "m", taps.alias("b")).filter("b.pos = pos")
-    return met.groupBy("b.k", "b.dilation", "b.bias").agg(F.count(F.lit(1)).alias("taps"), R6(F.sum(F.col("b.w") * F.col("m"))).alias("response"))
+COUNT = 64
+BANK = N.random_kernels(L, COUNT)
 
 
 @query("dilated_convolution", "zraw", f"SELECT id, p, {r6(f'c + {BANK[1]['bias']!r}')} AS v FROM ({conv_sql([BANK[1]], 'zraw', 'id')})")
@@ -77,16 +66,24 @@ ROCKET = f"SELECT {KEY}, 2 * k + s AS feature, CASE s WHEN 0 THEN max(c + bias)
 fragment("conv", "zarch", conv_sql(BANK, "zarch", KEY, ("bias",)))
 
 
+@query("random_kernel_bank", "conv", f"SELECT k, CAST(len AS BIGINT) AS taps, d AS dilation, padded, {r6('bias')} AS bias, {r6('avg(c)')} AS response FROM conv JOIN (SELECT k AS kk, count(*) AS len, any_value(d) AS d, CASE WHEN any_value(pad) > 0 THEN 1 ELSE 0 END AS padded FROM {bank_sql(BANK, ('bias',))} GROUP BY 1) ON kk = k GROUP BY ALL")
+def _(t):
+    """The bank, and each kernel's mean output over all places of all series."""
+    rows = zarch(t).select(F.posexplode(N.mean_responses("values", COUNT)).alias("k", "v")).groupBy("k").agg(R6(F.avg("v")).alias("response"))
+    bank = t.spark.createDataFrame([(k, len(b["weights"]), b["dilation"], int(b["padding"]), b["bias"]) for k, b in enumerate(BANK)], "k int, taps bigint, dilation int, padded int, bias double")
+    return bank.withColumn("bias", R6("bias")).join(rows, "k")
+
+
 @query("rocket_features", "conv", f"SELECT {KEY}, feature, {r6('v')} AS v FROM ({ROCKET})")
 def _(t):
-    return long(zarch(t).withColumn("vec", N.rocket_features("values", 6)), *AK)
+    return long(zarch(t).withColumn("vec", N.rocket_features("values", COUNT)), *AK)
 
 
 @query("kernel_block_features", "zraw", f"""
-SELECT id, 2 * k AS feature, {r6('max(c + bias)')} AS v FROM ({conv_sql(N.random_kernels(L, 4, first=4), 'zraw', 'id', ('bias',))}) GROUP BY 1, 2
-UNION ALL SELECT id, 2 * k + 1, {r6('avg(CASE WHEN c + bias > 0 THEN 1 ELSE 0 END)')} FROM ({conv_sql(N.random_kernels(L, 4, first=4), 'zraw', 'id', ('bias',))}) GROUP BY 1, 2""")
+SELECT id, 2 * k AS feature, {r6('max(c + bias)')} AS v FROM ({conv_sql(N.random_kernels(L, COUNT, first=COUNT), 'zraw', 'id', ('bias',))}) GROUP BY 1, 2
+UNION ALL SELECT id, 2 * k + 1, {r6('avg(CASE WHEN c + bias > 0 THEN 1 ELSE 0 END)')} FROM ({conv_sql(N.random_kernels(L, COUNT, first=COUNT), 'zraw', 'id', ('bias',))}) GROUP BY 1, 2""")
 def _(t):
-    return long(zraw(t).withColumn("vec", N.block_features("values", 1, 4)), "id")
+    return long(zraw(t).withColumn("vec", N.block_features("values", 1, COUNT)), "id")
 
 
 @query("dictionary_kernel_bank", "pts", f"""
@@ -102,24 +99,35 @@ def _(t):
     return sums.select("s", bank.alias("b")).select("b.kernel", R6(C.array_sum(F.zip_with("b.w", "s", lambda a, b: a * b))).alias("total"))
 
 
-PARAMS = N.dictionary_params(L, 5)
+#: The bias fit is registered for a whole bank, pooling for its first part.
+BIASES = 256
+PARAMS = N.dictionary_params(L, COUNT)
 fragment("dconv", "zarch", conv_sql(PARAMS, "zarch", KEY, ("quantile",)))
-BIAS = "SELECT dataset, k, CASE k " + " ".join(f"WHEN {i} THEN quantile_cont(c, {p['quantile']!r})" for i, p in enumerate(PARAMS)) + " END AS bias FROM {0} WHERE split = 'TRAIN' GROUP BY 1, 2"
+
+
+def bias_sql(params) -> str:
+    return " UNION ALL ".join(f"SELECT dataset, k, quantile_cont(c, {p['quantile']!r}) AS bias FROM {{0}} WHERE split = 'TRAIN' AND k = {i} GROUP BY 1, 2" for i, p in enumerate(params))
+
+
+BIAS = bias_sql(PARAMS)
 fragment("biases", "dconv", BIAS.format("dconv"))
 
 
-def biases(t):
-    return N.fit_biases(zarch(t).filter("split = 'TRAIN'"), L, 5)
+fragment("dconv_all", "zarch", conv_sql(N.dictionary_params(L, BIASES), "zarch", KEY, ("quantile",)))
+
+
+def biases(t, count=COUNT):
+    return N.fit_biases(zarch(t).filter("split = 'TRAIN'"), L, count)
 
 
-@query("fitted_bias", "biases", f"SELECT dataset, CAST(k AS BIGINT) AS feature, {r6('bias')} AS v FROM biases")
+@query("fitted_bias", "dconv_all", f"SELECT dataset, CAST(k AS BIGINT) AS feature, {r6('bias')} AS v FROM ({bias_sql(N.dictionary_params(L, BIASES)).format('dconv_all')})")
 def _(t):
-    return long(biases(t).withColumnRenamed("biases", "vec"), "dataset")
+    return long(biases(t, BIASES).withColumnRenamed("biases", "vec"), "dataset")
 
 
 @query("share_above_bias", "dconv biases", f"SELECT {KEY}, k AS feature, {r6('avg(CASE WHEN c > bias THEN 1 ELSE 0 END)')} AS v FROM dconv JOIN biases USING (dataset, k) GROUP BY {KEY}, k")
 def _(t):
-    return long(N.pooled_features(zarch(t), biases(t), L, 5, all_pools=False), *AK)
+    return long(N.pooled_features(zarch(t), biases(t), L, COUNT, all_pools=False), *AK)
 
 
 POOLS = f"""
@@ -132,7 +140,7 @@ fragment("pools", "dconv biases", POOLS.replace("CONV", "dconv").replace("BIAS",
 
 @query("multi_pool_features", "pools", f"SELECT {KEY}, 4 * k + s AS feature, {r6('v')} AS v FROM pools")
 def _(t):
-    return long(N.pooled_features(zarch(t), biases(t), L, 5), *AK)
+    return long(N.pooled_features(zarch(t), biases(t), L, COUNT), *AK)
 
 
 fragment("zarch_diff", "points", """SELECT dataset, split, idx, list(v ORDER BY pos) AS values FROM (
@@ -148,7 +156,7 @@ def _(t):
     """The pooled set on the series and on its change, side by side."""
     rows = zarch(t)
     diff = rows.withColumn("values", C.first_difference("values"))
-    parts = [N.pooled_features(r, N.fit_biases(r.filter("split = 'TRAIN'"), L, 5), L, 5).withColumn("representation", F.lit(n)) for n, r in (("raw", rows), ("diff", diff))]
+    parts = [N.pooled_features(r, N.fit_biases(r.filter("split = 'TRAIN'"), L, COUNT), L, COUNT).withColumn("representation", F.lit(n)) for n, r in (("raw", rows), ("diff", diff))]
     return long(parts[0].unionByName(parts[1]), "representation", *AK)
 
 
