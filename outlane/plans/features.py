@@ -330,12 +330,43 @@ def _projection(t, method):
     return long(X.compressed(vectors(t), method, L, 4), *AK)
 
 
-@query("pca_projection")
+def axes_sql(train: str, count: int, centred: bool) -> str:
+    """CTEs ``axes`` (dataset, mean, a1, a2, ...) of TRAIN points (dataset, idx, pos, v).
+
+    The product matrix is squared 24 times, which leaves the product of its first
+    axis with itself; that axis is taken out of the matrix for the next.
+    """
+    parts = [f"""tp AS MATERIALIZED (SELECT dataset, idx, pos, v, {'avg(v) OVER (PARTITION BY dataset, pos)' if centred else 'CAST(0 AS DOUBLE)'} AS m FROM {train}),
+means AS MATERIALIZED (SELECT dataset, list(m ORDER BY pos) AS mean FROM (SELECT dataset, pos, any_value(m) AS m FROM tp GROUP BY 1, 2) GROUP BY 1),
+g1 AS MATERIALIZED (SELECT dataset, list(r ORDER BY i) AS g FROM (SELECT dataset, i, list(s ORDER BY j) AS r FROM (
+  SELECT a.dataset, a.pos AS i, b.pos AS j, sum((a.v - a.m) * (b.v - b.m)) AS s FROM tp a JOIN tp b ON a.dataset = b.dataset AND a.idx = b.idx GROUP BY 1, 2, 3) GROUP BY 1, 2) GROUP BY 1)"""]
+    trace = "list_sum(list_transform(range(1, len({0}) + 1), lambda i: {0}[i][i]))"
+    for c in range(1, count + 1):
+        parts.append(f"""s{c} AS (SELECT dataset, 0 AS step, list_transform(g, lambda r: list_transform(r, lambda x: x / t)) AS m FROM (SELECT *, {trace.format('g')} AS t FROM g{c})
+  UNION ALL SELECT dataset, step + 1, list_transform(q, lambda r: list_transform(r, lambda x: x / t)) FROM (SELECT *, {trace.format('q')} AS t FROM (
+    SELECT dataset, step, list_transform(m, lambda r: list_transform(m, lambda c: list_dot_product(r, c))) AS q FROM s{c} WHERE step < 24))),
+v{c} AS MATERIALIZED (SELECT dataset, list_transform(u, lambda x: x * CASE WHEN u[list_position(list_transform(u, lambda y: abs(y)), list_max(list_transform(u, lambda y: abs(y))))] < 0 THEN -1 ELSE 1 END / sqrt(list_dot_product(u, u))) AS a{c} FROM (
+  SELECT dataset, m[list_position(d, list_max(d))] AS u FROM (SELECT *, list_transform(range(1, len(m) + 1), lambda i: m[i][i]) AS d FROM s{c} WHERE step = 24)))""")
+        if c < count:
+            parts.append(f"""g{c + 1} AS MATERIALIZED (SELECT dataset, list_transform(range(1, len(g) + 1), lambda i: list_transform(range(1, len(g) + 1), lambda j: g[i][j] - l * a{c}[i] * a{c}[j])) AS g FROM (
+  SELECT g{c}.dataset, g, a{c}, list_dot_product(a{c}, list_transform(g, lambda r: list_dot_product(r, a{c}))) AS l FROM g{c} JOIN v{c} USING (dataset)))""")
+    parts.append(f"axes AS MATERIALIZED (SELECT * FROM means {' '.join(f'JOIN v{c} USING (dataset)' for c in range(1, count + 1))})")
+    return ", ".join(parts)
+
+
+def projected_sql(centred: bool) -> str:
+    taken = ", ".join(f"list_dot_product(x, a{c})" for c in range(1, 5))
+    return f"""WITH RECURSIVE {axes_sql('tpts', 4, centred)},
+r AS (SELECT {KEY}, list_transform(range(1, 65), lambda i: vec[i] - mean[i]) AS x, axes.* EXCLUDE (dataset) FROM (SELECT {KEY}, list(v ORDER BY pos) AS vec FROM points GROUP BY 1, 2, 3) JOIN axes USING (dataset))
+SELECT {KEY}, f AS feature, {r6('z')} AS v FROM (SELECT {KEY}, unnest(range(4)) AS f, unnest([{taken}]) AS z FROM r)"""
+
+
+@query("pca_projection", "points tpts", projected_sql(True))
 def _(t):
     return _projection(t, "pca")
 
 
-@query("truncated_svd")
+@query("truncated_svd", "points tpts", projected_sql(False))
 def _(t):
     return _projection(t, "svd")
 

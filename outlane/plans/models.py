@@ -9,7 +9,7 @@ from outlane.operators import kernels as N
 from outlane.operators import models as M
 from outlane.operators import scoring as K
 from outlane.operators import thresholds as T
-from outlane.plans.features import AK, KEY, L, conv_sql, long, zarch
+from outlane.plans.features import AK, KEY, L, axes_sql, conv_sql, long, zarch
 from outlane.plans.prep import raw
 from outlane.plans.registry import fragment, query, r6
 from outlane.plans.scoring import near, rounded, vectors
@@ -288,7 +288,22 @@ def _(t):
     return rounded(M.injection_centroid(vectors(t), fakes))
 
 
-@query("small_train_density")
+@query("small_train_density", "vectors_z", f"""WITH RECURSIVE v AS MATERIALIZED (
+  SELECT dataset || '/' || idx % CASE WHEN dataset < 'emb_normal_5' THEN 12 ELSE 3 END AS dataset, split, idx, vec FROM vectors_z),
+n AS MATERIALIZED (SELECT dataset, count(*) AS n FROM v WHERE split = 'TRAIN' GROUP BY 1),
+pts AS MATERIALIZED (SELECT dataset, n, split, idx, unnest(range(64)) AS pos, unnest(vec) AS v FROM v JOIN n USING (dataset)),
+mid AS (SELECT dataset, list(m ORDER BY pos) AS center FROM (SELECT dataset, pos, avg(v) AS m FROM pts WHERE split = 'TRAIN' GROUP BY 1, 2) GROUP BY 1),
+small AS MATERIALIZED (SELECT dataset, idx, pos, v FROM pts WHERE split = 'TRAIN' AND n > 5 AND n < 30), {axes_sql('small', 5, True)},
+z AS MATERIALIZED (SELECT dataset, split, idx, list_transform([a1, a2, a3, a4, a5], lambda a: list_dot_product(list_transform(range(1, 65), lambda i: vec[i] - mean[i]), a)) AS z FROM v JOIN axes USING (dataset)),
+sd AS (SELECT dataset, list(greatest(s, 1e-12) ORDER BY f) AS s FROM (SELECT dataset, f, var_samp(z) AS s FROM (SELECT dataset, unnest(range(5)) AS f, unnest(z) AS z FROM z WHERE split = 'TRAIN') GROUP BY 1, 2) GROUP BY 1),
+kd AS (SELECT q.dataset, q.split, q.idx, any_value(n) AS n, any_value(s) AS s, -0.5 * list_sum(list_transform(range(1, 6), lambda i: (q.z[i] - r.z[i]) * (q.z[i] - r.z[i]) / s[i])) / pow(n, -2.0 / 9) AS e
+       FROM z q JOIN z r ON q.dataset = r.dataset AND r.split = 'TRAIN' JOIN sd ON sd.dataset = q.dataset JOIN n ON n.dataset = q.dataset GROUP BY q.dataset, q.split, q.idx, r.idx, q.z, r.z, s, n),
+den AS (SELECT dataset, split, idx, ln(any_value(n)) + 0.5 * (5 * (ln(2 * pi()) + ln(pow(any_value(n), -2.0 / 9))) + list_sum(list_transform(any_value(s), lambda x: ln(x)))) - max(e) - ln(sum(exp(e - mx))) AS score
+        FROM (SELECT *, max(e) OVER (PARTITION BY dataset, split, idx) AS mx FROM kd) GROUP BY 1, 2, 3)
+SELECT dataset, split, idx, {r6('score')} AS score FROM (
+  SELECT dataset, split, idx, list_distance(vec, center) AS score FROM v JOIN mid USING (dataset) JOIN n USING (dataset) WHERE n <= 5
+  UNION ALL SELECT dataset, split, idx, score FROM den
+  UNION ALL SELECT dataset, split, idx, avg(v * v) - avg(v) * avg(v) FROM pts WHERE n >= 30 GROUP BY 1, 2, 3)""")
 def _(t):
     """Classes dealt over 12 or 3 datasets, so sizes differ; all rows are used.
     A stored score stands in for the large ones: the reconstruction error of
@@ -401,12 +416,39 @@ def _(t):
     return M.periodic_datasets(t.panel(), "acf").withColumn("share", R6("share"))
 
 
-@query("periodicity_detrended")
+def detrended_sql(rel: str, key: str) -> str:
+    """CTEs d (detrended points) and k (autocorrelations beside their neighbours)
+    of points (key, n, pos, v)."""
+    return f"""t AS (SELECT *, pos - (n - 1) / 2 AS place FROM {rel}),
+d AS MATERIALIZED (SELECT {key}, n, pos, v - avg(v) OVER w - place * (sum(place * v) OVER w) / greatest(1e-12, sum(place * place) OVER w) AS v FROM t WINDOW w AS (PARTITION BY {key})),
+c AS MATERIALIZED (SELECT {key}, n, pos, v - avg(v) OVER (PARTITION BY {key}) AS v FROM d),
+a AS (SELECT {key}, any_value(x.n) AS n, y.pos - x.pos AS lag, sum(x.v * y.v) / any_value(s.p) AS acf FROM c x JOIN c y USING ({key}) JOIN (SELECT {key}, sum(v * v) AS p FROM c GROUP BY {key}) s USING ({key}) WHERE y.pos >= x.pos GROUP BY {key}, y.pos - x.pos),
+k AS (SELECT {key}, max(CASE WHEN n >= 15 AND lag >= 5 AND lag < n - 1 AND acf > b AND acf > nx THEN acf END) AS peak FROM (
+  SELECT *, lag(acf) OVER w AS b, lead(acf) OVER w AS nx FROM a WINDOW w AS (PARTITION BY {key} ORDER BY lag)) GROUP BY {key})"""
+
+
+def entropy_sql(rel: str, key: str, size: str, double: bool = False) -> str:
+    """Spectral entropy (key, e) of points (key, pos, v) on ``size`` places."""
+    twice = f"CASE WHEN f = 0 OR 2 * f = z THEN 1 ELSE 2 END *" if double else ""  # noqa: F541
+    return f"""SELECT {key}, -sum(p / total * log2(p / total + 1e-12)) / log2(any_value(bins)) AS e FROM (SELECT *, sum(p) OVER (PARTITION BY {key}) AS total, count(*) OVER (PARTITION BY {key}) AS bins FROM (
+  SELECT {key}, f, {twice} (pow(sum(v * cos(2 * pi() * f * pos / z)), 2) + pow(sum(v * sin(2 * pi() * f * pos / z)), 2)) AS p FROM (SELECT *, unnest(range(z // 2 + 1)) AS f FROM (SELECT *, CAST({size} AS BIGINT) AS z FROM {rel})) GROUP BY {key}, f, z)) GROUP BY {key}"""
+
+
+@query("periodicity_detrended", "panel", f"""
+WITH p AS (SELECT dataset, idx, len(values) AS n, unnest(range(len(values))) AS pos, unnest(values) AS v FROM panel),
+{detrended_sql('p', 'dataset, idx')}, h AS ({entropy_sql('d', 'dataset, idx', 'n')}),
+f AS (SELECT dataset, idx, CASE WHEN n >= 15 AND s > 0 AND (peak > 0.45 OR e < 0.65) THEN 1 ELSE 0 END AS f FROM (SELECT dataset, idx, any_value(n) AS n, stddev_pop(v) AS s FROM d GROUP BY 1, 2) JOIN k USING (dataset, idx) JOIN h USING (dataset, idx))
+SELECT dataset, {r6('avg(f)')} AS share, CASE WHEN avg(f) >= 0.5 THEN 1 ELSE 0 END AS periodic FROM f GROUP BY 1""")
 def _(t):
     return M.periodic_datasets(t.panel(), "detrended").withColumn("share", R6("share"))
 
 
-@query("periodicity_length_gated")
+@query("periodicity_length_gated", "panel", f"""
+WITH g AS (SELECT dataset, idx, values, len(values) AS n, unnest(range(160)) AS pos FROM panel),
+q AS (SELECT dataset, pos, values[CAST(floor(x) AS INT) + 1] + (values[CAST(least(floor(x) + 1, n - 1) AS INT) + 1] - values[CAST(floor(x) AS INT) + 1]) * (x - floor(x)) AS v FROM (SELECT *, pos * (n - 1) / 159 AS x FROM g)),
+p AS (SELECT dataset, 160 AS n, pos, avg(v) AS v FROM q GROUP BY 1, 3),
+{detrended_sql('p', 'dataset')}, w AS (SELECT dataset, pos, v * (0.5 - 0.5 * cos(2 * pi() * pos / 160)) AS v FROM c), h AS ({entropy_sql('w', 'dataset', '256', True)})
+SELECT dataset, 160 AS length, CASE WHEN peak > 0.45 OR e < 0.65 THEN 1 ELSE 0 END AS periodic FROM k JOIN h USING (dataset)""")
 def _(t):
     """Each month series is drawn on 160 points, so the length gate opens."""
     rows = t.panel().withColumn("values", C.resample("values", 160))
