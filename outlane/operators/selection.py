@@ -239,7 +239,7 @@ def agreement_rows(scores: DataFrame, thresholds: DataFrame) -> DataFrame:
     total = F.col("hit_rocket") + F.col("hit_image_a") + F.col("hit_image_b")
     rows = rows.filter(total > 0).select(
         "dataset", "idx", "score", "image_score", (total >= 2).cast("int").alias("two"), (total >= 3).cast("int").alias("three"),
-        F.col("hit_rocket").cast("int").alias("rocket"),
+        F.col("hit_rocket").cast("int").alias("rocket"), *[F.col(f"hit_{s}").cast("int").alias(s) for s in BASE[1:]],
         ((F.col("hit_image_a") > 0) & (F.col("hit_image_b") > 0)).cast("int").alias("pair"))
     first = with_position(rows, ["dataset"], [("score", "desc"), ("idx", "asc")], "_o",
                           {f"at_{s}": F.col(s) for s in ("two", "three", "rocket")})

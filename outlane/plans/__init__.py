@@ -3,7 +3,7 @@
 from importlib import import_module
 
 MODULES = ("fragments", "ingest", "scoring", "thresholds", "fusion", "selection", "review", "evaluation", "prep", "features",
-           "images", "models", "streams")
+           "images", "models", "streams", "experiments")
 
 
 def load_all() -> None:
