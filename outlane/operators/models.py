@@ -20,7 +20,7 @@ from outlane.functions.order import exact_quantiles, with_position
 from outlane.operators.features import factor
 from outlane.operators.fits import gmm, kmeans  # noqa: F401  scorers by name
 from outlane.operators.quality import reference_rows
-from outlane.operators.scoring import centroids, distance, mean_distance, neighbours
+from outlane.operators.scoring import centroids, distance, local_gap, mean_distance, neighbours
 from outlane.session import stage
 
 FOLDS = 5
@@ -36,14 +36,14 @@ def score_folds(train: DataFrame, seed: str = "fold") -> DataFrame:
     return plan.withColumn("fold", F.pmod("fold", few)).withColumn("folds", few)
 
 
-def fold_plan(train: DataFrame, seed: str = "fold") -> DataFrame:
-    """Fold of each TRAIN row: none below 2, leave-one-out below 20, else five."""
+def fold_plan(train: DataFrame, seed: str = "fold", folds: int = FOLDS) -> DataFrame:
+    """Fold of each TRAIN row: none below 2, leave-one-out below 20, else ``folds``."""
     keyed = train.select("dataset", "idx").withColumn("h", hash_key(seed, F.col("dataset"), F.col("idx")))
     placed = with_position(keyed, ["dataset"], [("h", "asc"), ("idx", "asc")], "r")
     n = train.groupBy("dataset").agg(F.count(F.lit(1)).alias("n"))
-    fold = F.when(F.col("n") < 20, F.col("r") - 1).otherwise(F.pmod(F.col("r") - 1, F.lit(FOLDS)))
-    folds = F.when(F.col("n") < 20, F.col("n")).otherwise(F.lit(FOLDS).cast("long"))
-    return placed.join(n, "dataset").filter("n >= 2").select("dataset", "idx", fold.alias("fold"), folds.alias("folds"))
+    fold = F.when(F.col("n") < 20, F.col("r") - 1).otherwise(F.pmod(F.col("r") - 1, F.lit(folds)))
+    number = F.when(F.col("n") < 20, F.col("n")).otherwise(F.lit(folds).cast("long"))
+    return placed.join(n, "dataset").filter("n >= 2").select("dataset", "idx", fold.alias("fold"), number.alias("folds"))
 
 
 def cross_rows(rows: DataFrame, plan: DataFrame) -> DataFrame:
@@ -209,43 +209,59 @@ def small_train(rows: DataFrame, stored: DataFrame | None = None, tiny: int = 5,
 
 #: TRAIN rows of a dataset that a labelled fit sees at most, first in hash order.
 FIT_ROWS = 1000
-
-
-def pseudo_classifier(rows: DataFrame, pseudo: DataFrame, c: float = 0.5, rounds: int = 40, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """P(anomaly) of a class-balanced logistic fit: normal against pseudo rows.
+# Folds of the pseudo classifier, TRAIN rows that it needs, inverse
+# penalty, quantiles of its scaling.
+PSEUDO_FOLDS, PSEUDO_LEAST, PSEUDO_C, PSEUDO_RANGE = 3, 30, 0.5, (0.1, 0.9)
+
+
+def pseudo_fit(x: np.ndarray, y: np.ndarray, c: float = PSEUDO_C, rounds: int = 40) -> tuple[float, np.ndarray]:
+    """(bias, slope) of the class-balanced logistic fit on features scaled by median
+    and quantile range of the normal rows; the slopes of scaled features are
+    penalised, the bias is not.  Newton's rounds end at a fixed point."""
+    low, mid, high = np.quantile(x[y == 0], [PSEUDO_RANGE[0], 0.5, PSEUDO_RANGE[1]], axis=0)
+    width = np.where(high > low, high - low, 1.0)
+    z = np.hstack([np.ones((len(x), 1)), (x - mid) / width])
+    weight = np.where(y == 1, len(y) / (2 * max(1, y.sum())), len(y) / (2 * max(1, (1 - y).sum())))
+    beta, ridge = np.zeros(z.shape[1]), np.eye(z.shape[1]) / c
+    ridge[0, 0] = 1e-9
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(z @ beta, -30, 30)))
+        step = np.linalg.solve((z.T * (weight * p * (1 - p))) @ z + ridge, z.T @ (weight * (y - p)) - ridge @ beta)
+        beta = beta + step
+        if np.abs(step).max() < 1e-10:
+            break
+    slope = beta[1:] / width
+    return float(beta[0] - (slope * mid).sum()), slope
+
+
+def pseudo_classifier(rows: DataFrame, pseudo: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """P(anomaly) of a logistic fit of normal against pseudo rows, cross-fitted in
+    three folds; a dataset with fewer than ``PSEUDO_LEAST`` TRAIN rows gets its
+    local gap instead.
 
     ``pseudo`` rows carry the idx of their TRAIN parent, so a fold holds out a
     row together with its perturbations.  The fit sees at most ``fit_rows``
     TRAIN rows of a dataset and their perturbations; all rows are scored.
     """
-    reference = stage(reference_rows(rows.filter("split = 'TRAIN'"), fit_rows))
+    sizes = rows.filter("split = 'TRAIN'").groupBy("dataset").agg(F.count(F.lit(1)).alias("n"))
+    few = rows.join(sizes.filter(F.col("n") < PSEUDO_LEAST).select("dataset"), "dataset", "left_semi")
+    many = rows.join(sizes.filter(F.col("n") >= PSEUDO_LEAST).select("dataset"), "dataset", "left_semi")
+    reference = stage(reference_rows(many.filter("split = 'TRAIN'"), fit_rows))
     pseudo = pseudo.join(reference.select("dataset", "idx"), ["dataset", "idx"], "left_semi")
+
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["y", "idx"], kind="stable")
-        x, y = np.stack(pdf["vec"].to_numpy()).astype(float), pdf["y"].to_numpy().astype(float)
-        mean, std = x.mean(axis=0), x.std(axis=0) + 1e-9
-        z = np.hstack([np.ones((len(x), 1)), (x - mean) / std])
-        weight = np.where(y == 1, len(y) / (2 * max(1, y.sum())), len(y) / (2 * max(1, (1 - y).sum())))
-        beta, ridge = np.zeros(z.shape[1]), np.eye(z.shape[1]) / c
-        ridge[0, 0] = 1e-9
-        for _ in range(rounds):
-            p = 1 / (1 + np.exp(-np.clip(z @ beta, -30, 30)))
-            step = np.linalg.solve((z.T * (weight * p * (1 - p))) @ z + ridge, z.T @ (weight * (y - p)) - ridge @ beta)
-            beta = beta + step
-            if np.abs(step).max() < 1e-10:
-                break
-        slope = beta[1:] / std
-        return pd.DataFrame({"dataset": [pdf["dataset"].iloc[0]], "bias": [float(beta[0] - (slope * mean).sum())], "slope": [slope]})
-
-    plan = fold_plan(rows.filter("split = 'TRAIN'"))
+        bias, slope = pseudo_fit(np.stack(pdf["vec"].to_numpy()).astype(float), pdf["y"].to_numpy().astype(float))
+        return pd.DataFrame({"dataset": [pdf["dataset"].iloc[0]], "bias": [bias], "slope": [slope]})
+
+    # in hash order every third row, as in ``fold_plan``
+    plan = stage(fold_plan(many.filter("split = 'TRAIN'"), folds=PSEUDO_FOLDS))
     fakes = cross_rows(pseudo.withColumn("split", F.lit("TRAIN")), plan).filter("split = 'TRAIN'").withColumn("y", F.lit(1))
     train = cross_rows(reference, plan).filter("split = 'TRAIN'").withColumn("y", F.lit(0)).unionByName(fakes)
     model = train.select("dataset", "idx", "vec", "y").groupBy("dataset").applyInPandas(fit, "dataset string, bias double, slope array<double>")
     logit = F.col("bias") + array_sum(F.zip_with("vec", "slope", lambda a, b: a * b))
-    scored = cross_rows(rows, plan).filter("split <> 'TRAIN'").join(model, "dataset").select("dataset", "split", "idx", (1 / (1 + F.exp(-logit))).alias("score"))
-    named = scored.withColumn("dataset", F.regexp_replace("dataset", "#[0-9]+$", ""))
-    got = exact_quantiles(named, ["dataset", "split", "idx"], "score", {"score": 0.5})
-    return got.withColumn("split", F.when(F.col("split") == "HELD", "TRAIN").otherwise(F.col("split")))
+    scored = cross_rows(many, plan).filter("split <> 'TRAIN'").join(model, "dataset").select("dataset", "split", "idx", (1 / (1 + F.exp(-logit))).alias("score"))
+    return _over_folds(scored).unionByName(local_gap(few))
 
 
 # ---- stored reconstructions -------------------------------------------------

@@ -110,6 +110,39 @@ def test_classifier_separates(spark, points):
     assert table(got)[9] > 0.9 and np.median(table(got, "TRAIN")) < 0.1
 
 
+def test_classifier_is_a_fixed_point_of_the_penalised_loss():
+    rng = np.random.default_rng(5)
+    x = np.vstack([rng.normal(size=(60, 4)), rng.normal(size=(120, 4)) + [2, 0, 0, 0]])
+    y = np.repeat([0.0, 1.0], [60, 120])
+    bias, slope = models.pseudo_fit(x, y)
+    width = np.diff(np.quantile(x[:60], [0.1, 0.9], axis=0), axis=0)[0]
+    p = 1 / (1 + np.exp(-(bias + x @ slope)))
+    weight = np.where(y == 1, 180 / 240, 180 / 120)
+    mid = np.median(x[:60], axis=0)
+    gradient = ((x - mid) / width).T @ (weight * (p - y)) + slope * width / models.PSEUDO_C
+    assert np.abs(gradient).max() < 1e-6 and abs((weight * (p - y)).sum()) < 1e-6
+
+
+def test_classifier_of_folds_and_of_small_sides(spark, points):
+    from outlane.operators import scoring
+    train, test, df = points
+    fakes = train + np.array([6.0, -6, 6, -6, 6, -6])
+    rows = df.unionByName(spark.createDataFrame(vec_rows(spark, train[:29], name="few") + vec_rows(spark, test, "TEST", "few"), df.schema))
+    pseudo = spark.createDataFrame([(n, i, [float(v) for v in row]) for n, k in (("d", 40), ("few", 29)) for i, row in enumerate(fakes[:k])], "dataset string, idx bigint, vec array<double>")
+    got = {(r.dataset, r.split, r.idx): r.score for r in models.pseudo_classifier(rows, pseudo).collect()}
+    gap = {(r.split, r.idx): r.score for r in scoring.local_gap(rows.filter("dataset = 'few'")).collect()}
+    assert {k[1:]: v for k, v in got.items() if k[0] == "few"} == pytest.approx(gap)
+    fold = {r.idx: r.fold for r in models.fold_plan(df.filter("split = 'TRAIN'"), folds=3).collect()}
+    folds = np.array([fold[i] for i in range(40)])
+    by = {}
+    for f in range(3):
+        fits = folds != f
+        bias, slope = models.pseudo_fit(np.vstack([train[fits], fakes[fits]]), np.repeat([0.0, 1.0], fits.sum()))
+        by[f] = lambda x, bias=bias, slope=slope: 1 / (1 + np.exp(-(bias + x @ slope)))
+    assert np.allclose([got["d", "TRAIN", i] for i in range(40)], [by[folds[i]](train[i]) for i in range(40)], atol=1e-7)
+    assert np.allclose([got["d", "TEST", i] for i in range(10)], [np.median([by[f](x) for f in range(3)]) for x in test], atol=1e-7)
+
+
 def series(spark, n=6, length=64, seed=3):
     x = np.random.default_rng(seed).normal(size=(n, length))
     return x, spark.createDataFrame([("d", i, [float(v) for v in row]) for i, row in enumerate(x)], "dataset string, idx bigint, values array<double>")
