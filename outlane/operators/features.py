@@ -10,14 +10,17 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from outlane.functions.columns import (
     array_mean, array_std, array_sum, first_difference, fixed_width, let, moments, slope, sorted_percentile)
+from outlane.functions.order import exact_quantiles
 from outlane.operators.kernels import draw
 from outlane.operators.prep import spectrum
-from outlane.operators.scoring import feature_quantiles
+from outlane.operators.scoring import feature_quantiles, row_chunks
+from outlane.session import stage
 
 
 # ---- intervals --------------------------------------------------------------
@@ -218,16 +221,15 @@ def keep_features(rows: DataFrame, chosen: DataFrame) -> DataFrame:
 
 def stable_tail(train: DataFrame, keep: int) -> DataFrame:
     """Features whose robust tail is calm: lowest p95/p75 ratio, and neither
-    always nor never zero.  ``train`` is the capped reference."""
+    always nor never zero."""
     from pyspark.sql import Window
     q = feature_quantiles(train, {"q25": 0.25, "q50": 0.5, "q75": 0.75})
     long = train.select("dataset", F.posexplode("vec").alias("feature", "v")).join(q, ["dataset", "feature"])
     iqr = F.col("q75") - F.col("q25")
-    robust = F.abs((F.col("v") - F.col("q50")) / (iqr + 1e-6))
-    got = long.groupBy("dataset", "feature").agg(
-        F.max(iqr > 1e-8).alias("usable"), F.percentile(robust, F.array(F.lit(0.75), F.lit(0.95))).alias("t"),
-        F.avg((F.abs("v") > 1e-8).cast("int")).alias("nonzero"))
-    score = F.round(F.col("t")[1] / (F.col("t")[0] + 1e-6) + 0.25 * F.abs(F.col("nonzero") - 0.5), 9)
+    long = long.withColumn("robust", F.abs((F.col("v") - F.col("q50")) / (iqr + 1e-6)))
+    got = long.groupBy("dataset", "feature").agg(F.max(iqr > 1e-8).alias("usable"), F.avg((F.abs("v") > 1e-8).cast("int")).alias("nonzero")).join(
+        exact_quantiles(long, ["dataset", "feature"], "robust", {"calm": 0.75, "tail": 0.95}), ["dataset", "feature"])
+    score = F.round(F.col("tail") / (F.col("calm") + 1e-6) + 0.25 * F.abs(F.col("nonzero") - 0.5), 9)
     # unusable features fill the rest in order; a dataset has few features
     window = Window.partitionBy("dataset").orderBy(F.col("usable").desc(), F.when(F.col("usable"), score).otherwise(0.0), "feature")
     return got.withColumn("r", F.row_number().over(window)).filter(F.col("r") <= keep).select("dataset", "feature")
@@ -238,28 +240,41 @@ def widest_spread(train: DataFrame, keep: int) -> DataFrame:
     from pyspark.sql import Window
     q = feature_quantiles(train, {"q10": 0.1, "q50": 0.5, "q90": 0.9})
     long = train.select("dataset", F.posexplode("vec").alias("feature", "v")).join(q, ["dataset", "feature"])
-    got = long.groupBy("dataset", "feature").agg(
-        F.max(F.col("q90") - F.col("q10")).alias("spread"), F.percentile(F.abs(F.col("v") - F.col("q50")), 0.5).alias("mad"))
+    far = long.withColumn("far", F.abs(F.col("v") - F.col("q50")))
+    got = q.select("dataset", "feature", (F.col("q90") - F.col("q10")).alias("spread")).join(exact_quantiles(far, ["dataset", "feature"], "far", {"mad": 0.5}), ["dataset", "feature"])
     ratio = F.round(F.col("spread") / (F.col("mad") + 1e-6), 9)
     window = Window.partitionBy("dataset").orderBy(ratio.desc(), F.col("feature").desc())
     return got.withColumn("r", F.row_number().over(window)).filter(F.col("r") <= keep).select("dataset", "feature", "r")
 
 
+#: Widest vectors whose product matrix is added up whole.
+WIDE = 512
+#: More directions than components, rounds, and the change that ends them.
+SPARE, SUBSPACE_ROUNDS, SUBSPACE_GAIN = 8, 60, 1e-12
+
+
 def _gram(batches):
-    """Per batch and dataset: row count, sums and the d x d product matrix."""
+    """Per task and dataset: row count, sums and the d x d product matrix."""
+    held, cells = {}, 0
     for pdf in batches:
         for name, part in pdf.groupby("dataset"):
             x = np.stack(part["vec"].to_numpy()).astype(float)
-            yield pd.DataFrame({"dataset": [name], "sums": [np.concatenate([[len(x)], x.sum(axis=0), (x.T @ x).ravel()])]})
+            sums = np.concatenate([[len(x)], x.sum(axis=0), (x.T @ x).ravel()])
+            cells += len(sums) if name not in held else 0
+            held[name] = held[name] + sums if name in held else sums
+        if cells > 8_000_000:
+            yield pd.DataFrame({"dataset": list(held), "sums": list(held.values())})
+            held, cells = {}, 0
+    if held:
+        yield pd.DataFrame({"dataset": list(held), "sums": list(held.values())})
 
 
-def factor(rows: DataFrame, components: int, centred: bool) -> DataFrame:
-    """PCA (centred) or truncated SVD fitted on the TRAIN side of any size.
+def _signed(axes: np.ndarray) -> np.ndarray:
+    """Rows turned so that their largest loading is positive."""
+    return axes * np.sign(axes[np.arange(len(axes)), np.abs(axes).argmax(axis=1)])[:, None]
 
-    TRAIN is read once into product matrices that are summed entry by entry;
-    only the d x d total of a dataset meets the eigen solver.  The projection is
-    an expression on every row.  The largest loading of an axis is positive.
-    """
+
+def _gram_axes(train: DataFrame, components: int, centred: bool) -> DataFrame:
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         total = pdf.sort_values("at")["v"].to_numpy()
         d = int(round((-1 + math.sqrt(1 + 4 * (len(total) - 1))) / 2))
@@ -269,12 +284,101 @@ def factor(rows: DataFrame, components: int, centred: bool) -> DataFrame:
         else:
             mean = np.zeros(d)
         axes = np.linalg.eigh(product)[1].T[::-1][:min(components, int(n), d)]
-        signs = np.sign(axes[np.arange(len(axes)), np.abs(axes).argmax(axis=1)])
-        return pd.DataFrame({"dataset": [pdf["dataset"].iloc[0]], "mean": [mean], "axes": [list(axes * signs[:, None])]})
+        return pd.DataFrame({"dataset": [pdf["dataset"].iloc[0]], "mean": [mean], "axes": [list(_signed(axes))]})
 
-    parts = rows.filter("split = 'TRAIN'").select("dataset", "vec").mapInPandas(_gram, "dataset string, sums array<double>")
+    parts = train.select("dataset", "vec").mapInPandas(_gram, "dataset string, sums array<double>")
     total = parts.select("dataset", F.posexplode("sums").alias("at", "v")).groupBy("dataset", "at").agg(F.sum("v").alias("v"))
-    model = total.groupBy("dataset").applyInPandas(solve, "dataset string, mean array<double>, axes array<array<double>>")
+    return total.groupBy("dataset").applyInPandas(solve, "dataset string, mean array<double>, axes array<array<double>>")
+
+
+def _subspace_axes(train: DataFrame, components: int, centred: bool) -> DataFrame:
+    """First axes by subspace iteration: a round multiplies X'X with a few directions,
+    X'(X Q), summed over blocks of rows, so nothing of size d x d is ever made.
+
+    Directions start from fixed draws; a dataset ends when its leading values change
+    no more.
+    """
+    rows = stage(row_chunks(train.select("dataset", "idx", "vec"), "vec", "idx").select("dataset", F.size("idx").alias("n"), "data"))
+    state_schema = "dataset string, n double, mean array<double>, q array<double>, values array<double>, done boolean"
+
+    def summed(state: DataFrame | None) -> DataFrame:
+        first = state is None
+
+        def run(batches):
+            held = {}
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    name, n = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+                    x = batch.column(2)[i].values.to_numpy(zero_copy_only=False).astype(float).reshape(n, -1)
+                    if first:
+                        sums = np.concatenate([[n], x.sum(axis=0)])
+                    else:
+                        x = x - batch.column(3)[i].values.to_numpy(zero_copy_only=False)
+                        q = batch.column(4)[i].values.to_numpy(zero_copy_only=False).reshape(x.shape[1], -1)
+                        sums = (x.T @ (x @ q)).ravel()
+                    held[name] = held[name] + sums if name in held else sums
+                if sum(map(len, held.values())) > 8_000_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(held)), pa.array(list(held.values()), pa.list_(pa.float64()))], names=["dataset", "sums"])
+                    held = {}
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(list(held)), pa.array(list(held.values()), pa.list_(pa.float64()))], names=["dataset", "sums"])
+
+        given = rows.select("dataset", "n", "data") if first else rows.join(state.filter("NOT done").select("dataset", "mean", "q"), "dataset").select("dataset", "n", "data", "mean", "q")
+        parts = given.mapInArrow(run, "dataset string, sums array<double>").select("dataset", F.posexplode("sums").alias("at", "v")).groupBy("dataset", "at").agg(F.sum("v").alias("v"))
+        return parts.groupBy("dataset").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "v"))), lambda z: z["v"]).alias("sums"))
+
+    def begun(batches):
+        for batch in batches:
+            out = []
+            for name, sums in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                n, total = sums[0], np.array(sums[1:])
+                wide = min(components + SPARE, len(total))
+                q = np.linalg.qr(np.random.default_rng(90).normal(size=(len(total), wide)))[0]
+                out.append((name, n, total / n if centred else 0 * total, q.ravel(), np.zeros(wide), False))
+            yield pa.RecordBatch.from_pandas(pd.DataFrame(out, columns=["dataset", "n", "mean", "q", "values", "done"]), preserve_index=False)
+
+    def moved(batches):
+        for batch in batches:
+            out = []
+            for name, n, mean, q, values, done, sums in zip(*(c.to_pylist() for c in batch.columns)):
+                q = np.array(q).reshape(len(mean), -1)
+                if sums is not None:
+                    y = np.array(sums).reshape(q.shape)
+                    found, turn = np.linalg.eigh((q.T @ y + y.T @ q) / 2)
+                    top = found[::-1]
+                    kept = min(components, len(top))
+                    done = bool(np.abs(top[:kept] - np.array(values)[:kept]).max() <= SUBSPACE_GAIN * max(abs(top[0]), 1e-300))
+                    # the directions in order of their values; one more product brings them closer
+                    q, values = (q @ turn[:, ::-1]) if done else np.linalg.qr(y @ turn[:, ::-1])[0], top
+                out.append((name, n, mean, q.ravel(), np.array(values), done))
+            yield pa.RecordBatch.from_pandas(pd.DataFrame(out, columns=["dataset", "n", "mean", "q", "values", "done"]), preserve_index=False)
+
+    state = stage(summed(None).mapInArrow(begun, state_schema))
+    for _ in range(SUBSPACE_ROUNDS):
+        state = stage(state.join(summed(state), "dataset", "left").select("dataset", "n", "mean", "q", "values", "done", "sums").mapInArrow(moved, state_schema))
+        if state.filter("NOT done").isEmpty():
+            break
+
+    def axes(batches):
+        for batch in batches:
+            for name, n, mean, q in zip(*(c.to_pylist() for c in batch.columns)):
+                found = np.array(q).reshape(len(mean), -1).T[:min(components, int(n))]
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([mean], pa.list_(pa.float64())), pa.array([_signed(found).tolist()], pa.list_(pa.list_(pa.float64())))], names=["dataset", "mean", "axes"])
+
+    return stage(state.select("dataset", "n", "mean", "q").mapInArrow(axes, "dataset string, mean array<double>, axes array<array<double>>"))
+
+
+def factor(rows: DataFrame, components: int, centred: bool) -> DataFrame:
+    """PCA (centred) or truncated SVD fitted on the TRAIN side of any size.
+
+    Vectors up to ``WIDE``: TRAIN is read once into product matrices that are
+    summed entry by entry; only the d x d total of a dataset meets the eigen
+    solver.  Wider ones: subspace iteration.  The projection is an expression on
+    every row.  The largest loading of an axis is positive.
+    """
+    train = rows.filter("split = 'TRAIN'")
+    widest = train.agg(F.max(F.size("vec"))).first()[0] or 0
+    model = (_gram_axes if widest <= WIDE else _subspace_axes)(train, components, centred)
     shifted = F.zip_with("vec", "mean", lambda x, m: x - m)
     project = let(shifted, lambda v: F.transform("axes", lambda a: array_sum(F.zip_with(a, v, lambda p, q: p * q))))
     return rows.join(model, "dataset").withColumn("vec", fixed_width(project, components)).drop("mean", "axes")

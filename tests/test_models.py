@@ -32,6 +32,23 @@ def test_factor_matches_svd(points, centred):
     assert np.allclose(table(features.factor(df, 3, centred), col="vec"), (test - mean) @ axes.T)
 
 
+@pytest.mark.parametrize("centred", [True, False])
+def test_wide_vectors_by_subspace_iteration(spark, monkeypatch, centred):
+    """600 values: no product matrix is made, the axes are those of an SVD."""
+    rng = np.random.default_rng(3)
+    monkeypatch.setattr(features, "_gram", None)
+    x = rng.normal(size=(1200, 12)) * np.geomspace(9, 0.5, 12) @ rng.normal(size=(12, 600)) + 0.05 * rng.normal(size=(1200, 600)) + 3
+    train, test = x[:1150], x[1150:]
+    df = spark.createDataFrame(vec_rows(spark, train) + vec_rows(spark, test, "TEST") + vec_rows(spark, x[:3], name="few") + vec_rows(spark, test[:2], "TEST", "few"), "dataset string, split string, idx bigint, vec array<double>").repartition(3)
+    got = features.factor(df, 4, centred).cache()
+    for name, own, rows in (("d", train, test), ("few", x[:3], test[:2])):
+        mean = own.mean(axis=0) if centred else 0
+        axes = np.linalg.svd(own - mean, full_matrices=False)[2][:4]
+        axes = axes * np.sign(axes[np.arange(len(axes)), np.abs(axes).argmax(axis=1)])[:, None]
+        some = min(4, len(own) - centred)
+        assert np.allclose(table(got.filter(F.col("dataset") == name), col="vec")[:, :some], ((rows - mean) @ axes.T)[:, :some], atol=1e-5)
+
+
 def test_neighbour_blocks_are_exact(points):
     train, test, df = points
     d = np.sqrt(((test[:, None] - train[None]) ** 2).sum(axis=2))
