@@ -214,7 +214,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
         limits.append((r.label, max(int(rate * (1 << 30)), r.least + 1)))
     if not limits:
         return Model([], [])
-    taken = rows.join(docs.sparkSession.createDataFrame(limits, "label string, limit long"), "label").filter("draw < limit")
+    # as many rows as the model has languages: the texts stay where they are
+    taken = rows.join(F.broadcast(docs.sparkSession.createDataFrame(limits, "label string, limit long")), "label").filter("draw < limit")
     got = taken.select("label", "text", "id").toPandas().sort_values(["label", "id"], kind="stable")
     return Model([folded(x) for x in got["text"]], got["label"].tolist())
 
