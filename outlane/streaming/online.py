@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from outlane.functions.order import with_position
 from outlane.session import stage
@@ -241,6 +241,64 @@ def live_progress(events: DataFrame, width: str = "1 minute", slide: str | None
                       F.when(speed > 0, F.greatest(F.lit(0), remaining) / speed * 60).alias("eta_seconds"))
 
 
+PROGRESS = "run string, lines bigint, done bigint, remaining bigint, recent_speed double, mean_speed double, eta_seconds double, eta_basis string"
+
+
+class ProgressMemory(StatefulProcessor):
+    """Keyed by run: the first event, the last two and the number of all are state.
+
+    A run without events for ``quiet`` seconds of event time is forgotten.
+    """
+
+    def __init__(self, quiet: int):
+        self.quiet = quiet
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        number = lambda name: StructField(name, LongType())
+        self._handle = handle
+        self._state = handle.getValueState("progress", StructType([number(n) for n in ("lines", "begin", "at", "done", "at2", "done2", "expected")]))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        lines, begin, at, done, at2, done2, expected = self._state.get() if self._state.exists() else (0, None, None, None, None, None, 0)
+        seen = [(at2, done2), (at, done)]
+        for part in rows:
+            lines += len(part)
+            expected = max([expected, *part["expected"].tolist()])
+            seen += list(zip(part["sec"].tolist(), part["done"].tolist()))
+            begin = min([begin, *part["sec"].tolist()]) if begin is not None else min(part["sec"].tolist())
+            seen = sorted(x for x in seen if x[0] is not None)[-2:]
+        at, done = (int(v) for v in seen[-1])
+        at2, done2 = (int(v) for v in seen[0]) if len(seen) > 1 else (None, None)
+        self._state.update((int(lines), int(begin), at, done, at2, done2, int(expected)))
+        for old in list(self._handle.listTimers()):
+            self._handle.deleteTimer(old)
+        self._handle.registerTimer((at + self.quiet) * 1000)
+        recent = (done - done2) / ((at - at2) / 60) if at2 is not None and at > at2 and done >= done2 else None
+        mean = done / ((at - begin) / 60) if at > begin else None
+        speed, basis = (recent, "recent") if recent else (mean, "average") if mean else (None, "waiting")
+        yield pd.DataFrame([(key[0], lines, done, expected - done, recent, mean, max(0, expected - done) / speed * 60 if speed else None, basis)],
+                           columns=[c.split()[0] for c in PROGRESS.split(", ")])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self._state.clear()
+        yield pd.DataFrame(columns=[c.split()[0] for c in PROGRESS.split(", ")])
+
+    def close(self) -> None:
+        pass
+
+
+def progress_stream(events: DataFrame, late: str = "5 minutes", quiet: int = 86_400) -> DataFrame:
+    """After every micro-batch the state of each run (``run``, ``at``, ``done``,
+    ``expected``): recent speed between its last two events, mean speed since its
+    first, both per minute, the remaining time and what it is based on.
+
+    The session needs the RocksDB state store provider.
+    """
+    rows = events.withWatermark("at", late).select("run", "at", F.unix_timestamp("at").alias("sec"), "done", "expected")
+    return rows.groupBy("run").transformWithStateInPandas(
+        statefulProcessor=ProgressMemory(quiet), outputStructType=PROGRESS, outputMode="Update", timeMode="EventTime")
+
+
 def event_series(events: DataFrame, keys: list[str], width: str, late: str, gap: str | None = None) -> DataFrame:
     """Points of a series from events: tumbling windows, or sessions by gap."""
     window = F.session_window("ts", gap) if gap else F.window("ts", width)
