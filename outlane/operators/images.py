@@ -13,65 +13,63 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from outlane.functions.columns import array_sum, clip, let, resample, sorted_percentile
 from outlane.operators.prep import array_udf
 
 EPS = 1e-6
 
 
-def _grid(row: Column, pixel) -> Column:
-    """Every pair (row value at y, row value at x) of a bound array."""
-    return F.flatten(F.transform(row, lambda a: F.transform(row, lambda b: pixel(a, b))))
+def _resized(x: np.ndarray, size: int) -> np.ndarray:
+    """Rows resampled to ``size`` points; rows of that size stay as they are."""
+    if x.shape[1] == size:
+        return x
+    low, high, share = _between(x.shape[1], size)
+    return x[:, low] + (x[:, high] - x[:, low]) * share
 
 
-def _resized(values, size: int) -> Column:
-    """Resampled series; the input is bound so it is evaluated once."""
-    return let(F.col(values) if isinstance(values, str) else values, lambda v: resample(v, size))
+def _pairs(x: np.ndarray, pixel) -> np.ndarray:
+    """Every pair (value at y, value at x) of each row, as flat pixels."""
+    return pixel(x[:, :, None], x[:, None, :]).reshape(len(x), -1)
 
 
-def _angles(values, size: int) -> Column:
-    def body(x):
-        return let(F.struct(F.array_min(x).alias("lo"), F.array_max(x).alias("hi")), lambda e: F.transform(
-            x, lambda v: F.acos(clip(2.0 * (v - e["lo"]) / (e["hi"] - e["lo"] + EPS) - 1.0, -1.0, 1.0))))
-    return let(_resized(values, size), body)
+def _image(values, work) -> Column:
+    return array_udf(lambda x: _in_pieces(x, work), values)
+
+
+def _angles(x: np.ndarray, size: int) -> np.ndarray:
+    x = _resized(x, size)
+    low, high = x.min(axis=1, keepdims=True), x.max(axis=1, keepdims=True)
+    return np.arccos(np.clip(2.0 * (x - low) / (high - low + EPS) - 1.0, -1.0, 1.0))
 
 
 def gasf(values, size: int) -> Column:
     """cos(phi_y + phi_x) of the series rescaled to [-1, 1]."""
-    return let(_angles(values, size), lambda phi: _grid(phi, lambda a, b: F.cos(a + b)))
+    return _image(values, lambda x: _pairs(_angles(x, size), lambda a, b: np.cos(a + b)))
 
 
 def gadf(values, size: int) -> Column:
     """sin(phi_y - phi_x)."""
-    return let(_angles(values, size), lambda phi: _grid(phi, lambda a, b: F.sin(a - b)))
+    return _image(values, lambda x: _pairs(_angles(x, size), lambda a, b: np.sin(a - b)))
 
 
 def transition_field(values, size: int, bins: int = 8) -> Column:
     """Transition probability between the quantile bins of two points."""
-    def states(x):
-        edges = let(F.array_sort(x), lambda s: F.array(*[sorted_percentile(s, i / bins) for i in range(1, bins)]))
-        return let(edges, lambda e: F.transform(x, lambda v: F.size(F.filter(e, lambda edge: edge <= v))))
-
-    def field(s):
-        moves = F.zip_with(F.slice(s, 1, size - 1), F.slice(s, 2, size - 1), lambda a, b: a * bins + b)
-        cells = F.sequence(F.lit(0), F.lit(bins * bins - 1))
-        count = lambda m: F.transform(cells, lambda c: F.size(F.filter(m, lambda v: v == c)) + 1e-3)
-        total = lambda n: F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda r: array_sum(F.slice(n, r * bins + 1, F.lit(bins))))
-        share = lambda n: let(total(n), lambda t: F.transform(n, lambda v, i: v / F.get(t, F.floor(i / bins).cast("int"))))
-        return let(let(let(moves, count), share), lambda p: _grid(s, lambda a, b: F.get(p, a * bins + b)))
-
-    return let(let(_resized(values, size), states), field)
+    def work(x: np.ndarray) -> np.ndarray:
+        x, n = _resized(x, size), len(x)
+        edges = np.quantile(x, np.arange(1, bins) / bins, axis=1).T
+        state = (edges[:, None, :] <= x[:, :, None]).sum(axis=2)
+        moves = state[:, :-1] * bins + state[:, 1:] + bins * bins * np.arange(n)[:, None]
+        count = np.bincount(moves.ravel(), minlength=n * bins * bins).reshape(n, bins, bins) + 1e-3
+        share = count / count.sum(axis=2, keepdims=True)
+        return share[np.arange(n)[:, None, None], state[:, :, None], state[:, None, :]].reshape(n, -1)
+    return _image(values, work)
 
 
 def recurrence(values, size: int, quantiles=(0.75,)) -> Column:
     """exp(-|x_y - x_x| / scale), averaged over distance percentiles."""
-    def body(x):
-        def scaled(d):
-            ends = let(F.array_sort(d), lambda s: F.array(*[sorted_percentile(s, q) + EPS for q in quantiles]))
-            return let(ends, lambda e: F.transform(d, lambda v: F.aggregate(
-                e, F.lit(0.0), lambda acc, scale: acc + F.exp(-v / scale)) / len(quantiles)))
-        return let(_grid(x, lambda a, b: F.abs(a - b)), scaled)
-    return let(_resized(values, size), body)
+    def work(x: np.ndarray) -> np.ndarray:
+        far = _pairs(_resized(x, size), lambda a, b: np.abs(a - b))
+        return sum(np.exp(-far / (np.quantile(far, q, axis=1)[:, None] + EPS)) for q in quantiles) / len(quantiles)
+    return _image(values, work)
 
 
 def multiscale_recurrence(values, size: int) -> Column:
@@ -166,29 +164,28 @@ KINDS = {"gasf": gasf, "gadf": gadf, "mtf": transition_field, "rp": recurrence,
 
 # ---- texture ----------------------------------------------------------------
 
-def hog(image, size: int, orientations: int = 8, cells: int = 4) -> Column:
-    """Gradient orientation histogram per cell, L2-normalised."""
-    edges = [int(i * size / cells) for i in range(cells + 1)]
-    cell_of = F.array(*[F.lit(sum(1 for e in edges[1:-1] if p >= e)) for p in range(size)])
+def _histogram(slot: np.ndarray, width: int, weight: np.ndarray | None = None) -> np.ndarray:
+    """Of each row the number (or weight) of each slot."""
+    n = len(slot)
+    at = (slot + width * np.arange(n).reshape(n, *[1] * (slot.ndim - 1))).ravel()
+    return np.bincount(at, None if weight is None else weight.ravel(), minlength=n * width).reshape(n, width)
 
-    def body(px):
-        def gradient(v, i):
-            x, y = i % size, F.floor(i / size).cast("int")
-            gx = F.when(x > 0, v - F.get(px, i - 1)).otherwise(0.0)
-            gy = F.when(y > 0, v - F.get(px, i - size)).otherwise(0.0)
-            turn = F.atan2(gy, gx)
-            angle = turn - F.floor(turn / math.pi) * math.pi
-            slot = F.greatest(F.lit(0), F.least(F.lit(orientations - 1), F.floor(angle / math.pi * orientations)))
-            cell = F.get(cell_of, y) * cells + F.get(cell_of, x)
-            return F.struct((cell * orientations + slot).cast("int").alias("slot"), F.sqrt(gx * gx + gy * gy).alias("m"))
 
-        slots = F.sequence(F.lit(0), F.lit(cells * cells * orientations - 1))
-        hist = lambda g: F.transform(slots, lambda s: F.aggregate(
-            F.filter(g, lambda e: e["slot"] == s), F.lit(0.0), lambda acc, e: acc + e["m"]))
-        unit = lambda h: let(F.sqrt(array_sum(F.transform(h, lambda v: v * v))) + EPS, lambda n: F.transform(h, lambda v: v / n))
-        return let(let(F.transform(px, gradient), hist), unit)
+def hog(image, size: int, orientations: int = 8, cells: int = 4) -> Column:
+    """Gradient orientation histogram per cell, L2-normalised."""
+    cell_of = np.searchsorted([int(i * size / cells) for i in range(1, cells)], np.arange(size), side="right")
 
-    return let(F.col(image) if isinstance(image, str) else image, body)
+    def work(px: np.ndarray) -> np.ndarray:
+        px = px.reshape(-1, size, size)
+        gx, gy = np.zeros_like(px), np.zeros_like(px)
+        gx[:, :, 1:], gy[:, 1:] = px[:, :, 1:] - px[:, :, :-1], px[:, 1:] - px[:, :-1]
+        turn = np.arctan2(gy, gx)
+        angle = turn - np.floor(turn / math.pi) * math.pi
+        slot = np.clip(np.floor(angle / math.pi * orientations), 0, orientations - 1).astype(np.int64)
+        cell = cell_of[:, None] * cells + cell_of[None, :]
+        found = _histogram(cell * orientations + slot, cells * cells * orientations, np.sqrt(gx * gx + gy * gy))
+        return found / (np.sqrt((found * found).sum(axis=1, keepdims=True)) + EPS)
+    return _image(image, work)
 
 
 # (dy, dx) of the eight neighbours, clockwise from the upper left.
@@ -197,15 +194,12 @@ NEIGHBOURS = ((-1, -1), (-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -
 
 def lbp(image, size: int) -> Column:
     """Share of each 8-neighbour comparison code among the inner pixels."""
-    inner = F.array(*[F.lit(y * size + x) for y in range(1, size - 1) for x in range(1, size - 1)])
-
-    def body(px):
-        code = lambda i: sum((F.when(F.get(px, i + dy * size + dx) >= F.get(px, i), 1 << b).otherwise(0)
-                              for b, (dy, dx) in enumerate(NEIGHBOURS)), F.lit(0))
-        share = lambda codes: F.transform(F.sequence(F.lit(0), F.lit(255)), lambda c: F.size(F.filter(codes, lambda v: v == c)) / (F.size(codes) + EPS))
-        return let(F.transform(inner, code), share)
-
-    return let(F.col(image) if isinstance(image, str) else image, body)
+    def work(px: np.ndarray) -> np.ndarray:
+        px = px.reshape(-1, size, size)
+        inner = px[:, 1:-1, 1:-1]
+        code = sum((px[:, 1 + dy:size - 1 + dy, 1 + dx:size - 1 + dx] >= inner).astype(np.int64) << b for b, (dy, dx) in enumerate(NEIGHBOURS))
+        return _histogram(code, 256) / ((size - 2) ** 2 + EPS)
+    return _image(image, work)
 
 
 # (dy, dx) of the co-occurrence offsets.
@@ -215,37 +209,25 @@ OFFSETS = ((0, 1), (1, 0), (1, 1), (1, -1))
 def glcm(image, size: int, levels: int = 8) -> Column:
     """Co-occurrence statistics per offset: contrast, dissimilarity,
     homogeneity, second moment, energy, entropy, correlation."""
-    def one(q, dy: int, dx: int) -> Column:
-        starts = F.array(*[F.lit(y * size + x) for y in range(size - dy) for x in range(size) if 0 <= x + dx < size])
-        codes = F.transform(starts, lambda i: F.get(q, i) * levels + F.get(q, i + dy * size + dx))
-        cells = F.sequence(F.lit(0), F.lit(levels * levels - 1))
-        flip = lambda c: (c % levels) * levels + F.floor(c / levels).cast("int")
-        count = lambda c: F.transform(cells, lambda k: F.size(F.filter(c, lambda v: v == k)).cast("double"))
-        both = lambda n: F.transform(n, lambda v, k: v + F.get(n, flip(k)))
-        share = lambda m: let(array_sum(m) + EPS, lambda t: F.transform(m, lambda v: v / t))
-
-        def stats(p):
-            y, x = (lambda k: F.floor(k / levels)), (lambda k: k % levels)
-            total = lambda f: F.aggregate(F.transform(p, lambda v, k: f(v, k)), F.lit(0.0), lambda a, b: a + b)
-            gap = lambda k: F.abs(y(k) - x(k))
-            mean = F.struct(total(lambda v, k: y(k) * v).alias("i"), total(lambda v, k: x(k) * v).alias("j"))
-
-            def rest(m):
-                si = F.sqrt(total(lambda v, k: F.pow(y(k) - m["i"], F.lit(2)) * v)) + EPS
-                sj = F.sqrt(total(lambda v, k: F.pow(x(k) - m["j"], F.lit(2)) * v)) + EPS
-                asm = total(lambda v, k: v * v)
-                return F.array(total(lambda v, k: gap(k) * gap(k) * v), total(lambda v, k: gap(k) * v), total(lambda v, k: v / (1.0 + gap(k))),
-                               asm, F.sqrt(asm), -total(lambda v, k: v * F.log(v + EPS)),
-                               total(lambda v, k: (y(k) - m["i"]) * (x(k) - m["j"]) * v) / (si * sj))
-            return let(mean, rest)
-
-        return let(let(let(let(codes, count), both), share), stats)
-
-    def quantised(px):
-        return let(F.struct(F.array_min(px).alias("lo"), F.array_max(px).alias("hi")), lambda e: F.transform(px, lambda v: F.greatest(
-            F.lit(0), F.least(F.lit(levels - 1), F.floor((v - e["lo"]) / (e["hi"] - e["lo"] + EPS) * levels))).cast("int")))
-
-    return let(let(F.col(image) if isinstance(image, str) else image, quantised), lambda q: F.concat(*[one(q, dy, dx) for dy, dx in OFFSETS]))
+    y, x = np.indices((levels, levels))
+    gap = np.abs(y - x)
+
+    def work(px: np.ndarray) -> np.ndarray:
+        low, high = px.min(axis=1, keepdims=True), px.max(axis=1, keepdims=True)
+        q = np.clip(np.floor((px - low) / (high - low + EPS) * levels), 0, levels - 1).astype(np.int64).reshape(-1, size, size)
+        out = []
+        for dy, dx in OFFSETS:
+            one, other = q[:, :size - dy, max(0, -dx):size - max(0, dx)], q[:, dy:, max(0, dx):size - max(0, -dx)]
+            both = _histogram(one * levels + other, levels * levels).reshape(-1, levels, levels).astype(float)
+            both = both + both.transpose(0, 2, 1)
+            p = both / (both.sum(axis=(1, 2), keepdims=True) + EPS)
+            total = lambda f: (f * p).sum(axis=(1, 2))  # noqa: B023, E731
+            my, mx = total(y)[:, None, None], total(x)[:, None, None]
+            sy, sx = np.sqrt(total((y - my) ** 2)) + EPS, np.sqrt(total((x - mx) ** 2)) + EPS
+            second = total(p)
+            out += [total(gap * gap), total(gap), total(1 / (1.0 + gap)), second, np.sqrt(second), -total(np.log(p + EPS)), total((y - my) * (x - mx)) / (sy * sx)]
+        return np.stack(out, axis=1)
+    return _image(image, work)
 
 
 TEXTURES = {"raw": lambda image, size: image, "hog": hog, "lbp": lbp, "glcm": glcm}

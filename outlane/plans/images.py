@@ -4,8 +4,7 @@ from outlane.operators import images as I
 from outlane.plans.features import long, zraw
 from outlane.plans.registry import fragment, query, r6
 
-S = 8
-N = S * S
+S = 32
 
 fragment("res", "zraw", f"""
 SELECT id, i, values[CAST(floor(x) AS INT) + 1] + (values[CAST(least(floor(x) + 1, 63) AS INT) + 1] - values[CAST(floor(x) AS INT) + 1]) * (x - floor(x)) AS v
@@ -61,7 +60,7 @@ g AS (SELECT a.id, a.r * 8 + c AS px, a.h * (1 - share) + b.h * share AS g FROM
   JOIN h a ON a.fr = lo JOIN h b ON b.id = a.id AND b.r = a.r AND b.fr = lo + 1)
 SELECT id, px, {r6('(g - min(g) OVER w) / (max(g) OVER w - min(g) OVER w + 1e-6)')} AS v FROM g WINDOW w AS (PARTITION BY id)""")
 def _(t):
-    return pixels(t, "spectrogram")
+    return pixels(t, "spectrogram", 8)
 
 
 @query("scalogram_image", "zraw", f"""
@@ -82,13 +81,16 @@ def texture(t, kinds, name):
     return long(I.image_features(zraw(t), kinds, S, name), "id")
 
 
-@query("hog_texture", "rp", f"""
-WITH g AS (SELECT p.id, p.px % {S} AS x, p.px // {S} AS y, CASE WHEN p.px % {S} > 0 THEN p.v - l.v ELSE 0 END AS gx, CASE WHEN p.px // {S} > 0 THEN p.v - u.v ELSE 0 END AS gy
-  FROM rp p LEFT JOIN rp l ON l.id = p.id AND l.px = p.px - 1 LEFT JOIN rp u ON u.id = p.id AND u.px = p.px - {S}),
-a AS (SELECT id, (y // 2) * 4 + x // 2 AS cell, sqrt(gx * gx + gy * gy) AS m, atan2(gy, gx) - floor(atan2(gy, gx) / pi()) * pi() AS ang FROM g),
+def hog_sql(rel: str) -> str:
+    return f"""WITH g AS (SELECT p.id, p.px % {S} AS x, p.px // {S} AS y, CASE WHEN p.px % {S} > 0 THEN p.v - l.v ELSE 0 END AS gx, CASE WHEN p.px // {S} > 0 THEN p.v - u.v ELSE 0 END AS gy
+  FROM {rel} p LEFT JOIN {rel} l ON l.id = p.id AND l.px = p.px - 1 LEFT JOIN {rel} u ON u.id = p.id AND u.px = p.px - {S}),
+a AS (SELECT id, (y // {S // 4}) * 4 + x // {S // 4} AS cell, sqrt(gx * gx + gy * gy) AS m, atan2(gy, gx) - floor(atan2(gy, gx) / pi()) * pi() AS ang FROM g),
 h AS (SELECT id, cell * 8 + CAST(greatest(0, least(7, floor(ang / pi() * 8))) AS INT) AS feature, sum(m) AS v FROM a GROUP BY 1, 2),
-f AS (SELECT id, feature, coalesce(v, 0) AS v FROM (SELECT DISTINCT id, unnest(range(128)) AS feature FROM rp) LEFT JOIN h USING (id, feature))
-SELECT id, feature, {r6('v / (sqrt(sum(v * v) OVER (PARTITION BY id)) + 1e-6)')} AS v FROM f""")
+f AS (SELECT id, feature, coalesce(v, 0) AS v FROM (SELECT DISTINCT id, unnest(range(128)) AS feature FROM {rel}) LEFT JOIN h USING (id, feature))
+SELECT id, feature, {r6('v / (sqrt(sum(v * v) OVER (PARTITION BY id)) + 1e-6)')} AS v FROM f"""
+
+
+@query("hog_texture", "rp", hog_sql("rp"))
 def _(t):
     return texture(t, ["rp"], "hog")
 
@@ -123,6 +125,6 @@ def _(t):
     return texture(t, ["rp"], "glcm")
 
 
-@query("image_feature_set", "gasf rp", f"SELECT id, px AS feature, {r6('v')} AS v FROM gasf UNION ALL SELECT id, px + {N}, {r6('v')} FROM rp")
+@query("image_feature_set", "gasf rp", f"SELECT * FROM ({hog_sql('gasf')}) UNION ALL SELECT id, feature + 128, v FROM ({hog_sql('rp')})")
 def _(t):
-    return texture(t, ["gasf", "rp"], "raw")
+    return texture(t, ["gasf", "rp"], "hog")
