@@ -290,9 +290,13 @@ def _(t):
     return P.replay_check(P.lanes_as_text(lanes(t)), second_lanes(t))
 
 
-@query("replay_diff", "lanes", "SELECT dataset, lane, 1 AS same FROM lanes GROUP BY 1, 2")
+@query("replay_diff", "lanes", """
+SELECT dataset, lane, CASE WHEN min(idx) = any_value(low) THEN 0 ELSE 1 END AS same FROM lanes JOIN (SELECT dataset, min(idx) AS low FROM lanes GROUP BY 1) USING (dataset) GROUP BY 1, 2""")
 def _(t):
-    return P.replay_check(P.lanes_as_text(lanes(t)), lanes(t))
+    """The replay misses each dataset's first row, so its lane differs."""
+    stored = lanes(t)
+    first = stored.groupBy("dataset").agg(F.min("idx").alias("idx"))
+    return P.replay_check(P.lanes_as_text(stored), stored.join(first, ["dataset", "idx"], "left_anti"))
 
 
 @query("lane_transitions", "both_lanes", """
@@ -320,10 +324,11 @@ def _(t):
     return P.consistency(rows, shrunk, sizes.select("dataset", F.lit(5).alias("count")))
 
 
-@query("independent_reaggregation", "detail", "SELECT source, 1 AS consistent FROM detail GROUP BY 1")
+@query("independent_reaggregation", "detail", "SELECT source, CASE WHEN source = 'image_a' THEN 0 ELSE 1 END AS consistent FROM detail GROUP BY 1")
 def _(t):
+    """One source's stored summary is off by one."""
     rows = detail(t)
-    summary = E.quality_summary(rows, ["source"]).select("source", "tp", "fp", "fn")
+    summary = E.quality_summary(rows, ["source"]).select("source", (F.col("tp") + (F.col("source") == "image_a").cast("int")).alias("tp"), "fp", "fn")
     return P.reaggregate(rows, summary, ["source"], ["tp", "fp", "fn"])
 
 

@@ -311,10 +311,12 @@ def _(t):
 @query("grain_audit", "archive", f"""
 SELECT dataset, min(y) AS min_label, max(y) AS max_label, count(CASE WHEN split = 'TRAIN' THEN 1 END) AS n_train,
        count(CASE WHEN split = 'TEST' THEN 1 END) AS n_test, CASE WHEN count(DISTINCT split || idx) = count(*) THEN 1 ELSE 0 END AS grain_ok,
-       1 AS catalog_ok, {r6("1.0 / (count(CASE WHEN split = 'TRAIN' THEN 1 END) + 1)")} AS min_p FROM archive GROUP BY 1""")
+       CASE WHEN dataset = 'emb_normal_3' THEN 0 ELSE 1 END AS catalog_ok, {r6("1.0 / (count(CASE WHEN split = 'TRAIN' THEN 1 END) + 1)")} AS min_p FROM archive GROUP BY 1""")
 def _(t):
+    """The catalog counts one row too many in one dataset."""
     rows = t.archive()
-    return Q.grain_audit(rows, A.catalog(rows)).withColumn("min_p", R6("min_p"))
+    catalog = A.catalog(rows).withColumn("total_count", F.col("total_count") + (F.col("dataset") == "emb_normal_3").cast("int"))
+    return Q.grain_audit(rows, catalog).withColumn("min_p", R6("min_p"))
 
 
 @query("missing_coverage", "", """
