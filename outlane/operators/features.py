@@ -185,22 +185,52 @@ def choose_shapelets(train: DataFrame, length: int, count: int, widths: list[int
         "dataset", F.col("p.shape").alias("shapelets"))
 
 
+def _sliding(x: np.ndarray, shapes: np.ndarray) -> np.ndarray:
+    """[series, shape] smallest RMSE of each shape to the z-normed windows of each
+    series: all window products of a few series at once by FFT, window means and
+    deviations from running sums; the best window is measured again directly."""
+    n, length = x.shape
+    width = shapes.shape[1]
+    size = 1 << (length + width - 1).bit_length()
+    x = x - x.mean(axis=1, keepdims=True)  # windows are normed anyway; small sums keep digits
+    heard = np.conj(np.fft.rfft(shapes, size))
+    sums = np.cumsum(np.pad(x, ((0, 0), (1, 0))), axis=1)
+    squares = np.cumsum(np.pad(x * x, ((0, 0), (1, 0))), axis=1)
+    mean = (sums[:, width:] - sums[:, :-width]) / width
+    deviation = np.sqrt(np.maximum((squares[:, width:] - squares[:, :-width]) / width - mean ** 2, 0)) + 1e-6
+    out = np.empty((n, len(shapes)))
+    step = max(1, 4_000_000 // (size * len(shapes)))
+    for i in range(0, n, step):
+        product = np.fft.irfft(np.fft.rfft(x[i:i + step], size)[:, None] * heard[None], size)[:, :, :length - width + 1] / width
+        m, d = mean[i:i + step, None], deviation[i:i + step, None]
+        alike = 2 * (product - m * shapes.mean(axis=1)[None, :, None]) / d - ((d - 1e-6) / d) ** 2
+        best = alike.argmax(axis=2)
+        for r in range(best.shape[0]):
+            w = x[i + r][best[r][:, None] + np.arange(width)]
+            w = (w - w.mean(axis=1, keepdims=True)) / (w.std(axis=1, keepdims=True) + 1e-6)
+            out[i + r] = np.sqrt(((w - shapes) ** 2).mean(axis=1))
+    return out
+
+
 def shapelet_distances(rows: DataFrame, shapelets: DataFrame) -> DataFrame:
-    """Smallest RMSE of each shapelet to any z-normed window of the series."""
+    """Smallest RMSE of each shapelet to any z-normed window of the series.
+
+    Series of a batch that share their dataset and length are one matrix, shapelets
+    of one width another; no matrix of windows is made."""
     @F.pandas_udf("array<double>")
-    def run(values: pd.Series, shapes: pd.Series) -> pd.Series:
-        out = []
-        for x, group in zip(values, shapes):
-            x = np.asarray(x, dtype=float)
-            best = []
-            for shape in group:
-                shape = np.asarray(shape, dtype=float)
-                w = np.lib.stride_tricks.sliding_window_view(x, len(shape))
-                w = (w - w.mean(axis=1, keepdims=True)) / (w.std(axis=1, keepdims=True) + 1e-6)
-                best.append(float(np.sqrt(((w - shape) ** 2).mean(axis=1)).min()))
-            out.append(best)
+    def run(names: pd.Series, values: pd.Series, shapes: pd.Series) -> pd.Series:
+        out = [None] * len(values)
+        alike = pd.DataFrame({"name": names.to_numpy(), "length": values.map(len).to_numpy()}).groupby(["name", "length"], dropna=False).indices
+        for where in alike.values():
+            x, group = np.stack(values.iloc[where].to_numpy()).astype(float), [np.asarray(s, dtype=float) for s in shapes.iloc[where[0]]]
+            found = np.empty((len(where), len(group)))
+            for width in {len(s) for s in group}:
+                own = [k for k, s in enumerate(group) if len(s) == width]
+                found[:, own] = _sliding(x, np.stack([group[k] for k in own]))
+            for i, row in zip(where, found):
+                out[i] = row
         return pd.Series(out)
-    return rows.join(shapelets, "dataset").withColumn("vec", run("values", "shapelets")).drop("shapelets")
+    return rows.join(shapelets, "dataset").withColumn("vec", run("dataset", "values", "shapelets")).drop("shapelets")
 
 
 def interval_frequency(rows: DataFrame, length: int, intervals: int = 12, bands: int = 24) -> DataFrame:

@@ -79,3 +79,21 @@ def stage_scores(t, configs):
     scores = E.config_scores(rows, configs)
     # equal scores on both sides of a threshold must stay equal
     return stage(scores.withColumn("score", F.round("score", 9)))
+
+
+@query("sql_series_functions", "points", f"""
+WITH w AS (SELECT dataset, idx, s * 8 AS start, pos - s * 8 AS place, v FROM points, range(7) r(s) WHERE split = 'TEST' AND pos BETWEEN s * 8 AND s * 8 + 15),
+m AS (SELECT dataset, idx, start, avg(v) AS mean, stddev_pop(v) AS deviation, sum((place - 7.5) * v) / 340 AS slope FROM w GROUP BY 1, 2, 3),
+g AS (SELECT dataset, idx, min(v) AS low, max(v) AS high FROM points WHERE split = 'TEST' GROUP BY 1, 2)
+SELECT dataset, idx, start, {r6('mean')} AS mean, {r6('deviation')} AS deviation, {r6('slope')} AS slope, {r6('high - low')} AS range FROM m JOIN g USING (dataset, idx)""")
+def _(t):
+    """The table function and an array function, called from SQL."""
+    from outlane.functions import tables
+    from outlane.functions.columns import z_norm
+    tables.install(t.spark)
+    t.scored_series().filter("split = 'TEST'").select("dataset", "idx", z_norm("values").alias("values")).createOrReplaceTempView("outlane_series")
+    got = t.spark.sql("""
+        SELECT w.dataset, w.idx, w.start, w.mean, w.deviation, w.slope, r.r[1] - r.r[0] AS range
+        FROM series_windows(TABLE(SELECT dataset, idx, values FROM outlane_series) PARTITION BY (dataset, idx), 16, 8) w
+        JOIN (SELECT dataset, idx, series_feature('range', values) AS r FROM outlane_series) r ON r.dataset = w.dataset AND r.idx = w.idx""")
+    return got.withColumns({c: R6(c) for c in ("mean", "deviation", "slope", "range")})

@@ -49,6 +49,23 @@ def test_wide_vectors_by_subspace_iteration(spark, monkeypatch, centred):
         assert np.allclose(table(got.filter(F.col("dataset") == name), col="vec")[:, :some], ((rows - mean) @ axes.T)[:, :some], atol=1e-5)
 
 
+def test_sliding_shapelets_of_long_series(spark):
+    """64 shapes of two widths on 2,048 points, flat stretches and large offsets included."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(5, 2048)).cumsum(axis=1) + 1e4
+    x[1, 300:700] = 7.0
+    shapes = [rng.normal(size=40 if k % 2 else 111) for k in range(62)] + [(w - w.mean()) / (w.std() + 1e-6) for w in (x[0, 50:90], x[2, 900:1011])]
+    rows = spark.createDataFrame([("d", i, [float(v) for v in r]) for i, r in enumerate(x)] + [("d", 9, [float(v) for v in x[0, :200]])], "dataset string, idx bigint, values array<double>").repartition(2)
+    given = spark.createDataFrame([("d", [[float(v) for v in s] for s in shapes])], "dataset string, shapelets array<array<double>>")
+    got = {r.idx: r.vec for r in features.shapelet_distances(rows, given).collect()}
+    for i, own in [*enumerate(x), (9, x[0, :200])]:
+        for k, shape in enumerate(shapes):
+            w = np.lib.stride_tricks.sliding_window_view(own, len(shape))
+            w = (w - w.mean(axis=1, keepdims=True)) / (w.std(axis=1, keepdims=True) + 1e-6)
+            assert got[i][k] == pytest.approx(np.sqrt(((w - shape) ** 2).mean(axis=1)).min(), abs=1e-5)
+    assert got[0][62] < 1e-6 and got[2][63] < 1e-6
+
+
 def test_neighbour_blocks_are_exact(points):
     train, test, df = points
     d = np.sqrt(((test[:, None] - train[None]) ** 2).sum(axis=2))

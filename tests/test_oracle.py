@@ -16,7 +16,8 @@ SAMPLE = ["one_class_archive", "label_windows_join", "train_test_overlap_removal
           "threshold_rule_sweep", "peaks_over_threshold", "kde_threshold", "family_pooled_own_weight", "train_reference_rank_nan_safe", "p_value_fusion",
           "source_reliability", "agreement_strategy_sets", "largest_tail_gap", "weak_alert_replacement", "lane_routing", "auc_pr", "best_k_f1",
           "lane_metrics", "progress_log_parse", "interpolate_missing", "train_robust_scale", "multi_pool_features", "spectral_derivative_profile",
-          "shapelet_distance", "hog_texture", "lof_crossfit", "online_ema_threshold", "frozen_conformal_scoring"]
+          "shapelet_distance", "hog_texture", "lof_crossfit", "online_ema_threshold", "frozen_conformal_scoring",
+          "kmeans_crossfit", "tolerance_match", "pca_projection", "periodicity_detrended", "strategy_table_selections", "config_sweep", "sql_series_functions"]
 
 
 @pytest.fixture(scope="module")
