@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from outlane.functions.columns import uniform
-from outlane.functions.order import exact_quantiles, with_cumulative, with_position
+from outlane.functions.order import exact_quantiles, has_hot_group, with_cumulative, with_position
 
 ID = ["dataset", "split", "idx"]
 
@@ -170,13 +170,16 @@ def reliability(train: DataFrame, exceed: DataFrame, repeats: int = 16, seed: st
     """
     keys = ["dataset", "source"]
     n = train.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    qs = exact_quantiles(train, keys, "score", {"q25": 0.25, "q75": 0.75, "q90": 0.9, "q95": 0.95})
-    placed = with_position(train, keys, [("score", "asc"), ("idx", "asc")], "_i").join(n, keys)
+    hot = has_hot_group(train, keys)  # a resample has no more rows than its group
+    qs = exact_quantiles(train, keys, "score", {"q25": 0.25, "q75": 0.75, "q90": 0.9, "q95": 0.95}, hot=hot)
+    placed = with_position(train, keys, [("score", "asc"), ("idx", "asc")], "_i").hint("merge").join(n, keys)
     draws = placed.select(*keys, "n", "_i", F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("rep"))
     target = F.floor(uniform(seed, F.col("dataset"), F.col("source"), F.col("rep"), F.col("_i")) * F.col("n")) + 1
-    counts = draws.withColumn("_t", target).groupBy(*keys, "rep", "_t").agg(F.count(F.lit(1)).alias("w"))
-    drawn = counts.join(placed.select(*keys, F.col("_i").alias("_t"), "score"), keys + ["_t"])
-    boot = exact_quantiles(drawn, keys + ["rep"], "score", {"b": 0.95}, "w").groupBy(*keys).agg(F.stddev_pop("b").alias("boot_std"))
+    # one shuffle for the counts and the join; sizes behind an explode are guessed
+    # too small, so that without the hint all draws would be broadcast
+    counts = draws.withColumn("_t", target).repartition(*keys, "_t").groupBy(*keys, "rep", "_t").agg(F.count(F.lit(1)).alias("w"))
+    drawn = counts.hint("merge").join(placed.select(*keys, F.col("_i").alias("_t"), "score"), keys + ["_t"])
+    boot = exact_quantiles(drawn, keys + ["rep"], "score", {"b": 0.95}, "w", hot).groupBy(*keys).agg(F.stddev_pop("b").alias("boot_std"))
     iqr = F.greatest(F.col("q75") - F.col("q25"), F.lit(1e-8))
     tail = F.greatest(F.lit(0.0), F.col("q95") - F.col("q90")) / iqr
     rel = 1 / (1 + tail + F.col("boot_std") / iqr + F.least(F.lit(2.0), 25 * F.col("exceed_rate")))

@@ -32,7 +32,8 @@ def count_cap(train: DataFrame, keys: list[str], rate: float | Column) -> DataFr
     n = train.transform(finite).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     cap = F.greatest(F.lit(0), F.least(F.floor(rate * F.col("n")), F.col("n") - 1))
     caps = n.withColumn("cap", cap.cast("bigint"))
-    return placed.join(caps, keys).filter(F.col("_rn") == F.col("cap") + 1).select(
+    # the hint: scores behind an explode are guessed too small and would be broadcast
+    return placed.hint("merge").join(caps, keys).filter(F.col("_rn") == F.col("cap") + 1).select(
         *keys, F.col("score").alias("threshold"), "cap", "n", (F.col("cap") / F.greatest(F.lit(1), "n")).alias("q_effective"))
 
 
@@ -330,7 +331,7 @@ def _mixture_quantile(train: DataFrame, pools: DataFrame, q: float, own_weight:
 def train_exceed(train: DataFrame, thresholds: DataFrame, keys: list[str]) -> DataFrame:
     """How many TRAIN rows a threshold would alert, count and share."""
     over = (F.col("score") > F.col("threshold")).cast("int")
-    return train.join(thresholds, keys).groupBy(*keys).agg(
+    return train.hint("merge").join(thresholds, keys).groupBy(*keys).agg(
         F.sum(over).alias("exceed_count"), F.avg(over).alias("exceed_rate"))
 
 
