@@ -49,7 +49,8 @@ def sweep(train: DataFrame, keys: list[str], rules=SWEEP_RULES) -> DataFrame:
     """All rules at once: one ordering, then each rule picks its positions.
 
     A rule is a pair of neighbouring order statistics and a weight, so the
-    sorted scores are read once for any number of rules.
+    sorted scores are read once for any number of rules.  Equal neighbours give
+    their own value, so a score that ties with them is not above it.
     """
     kept = finite(train)
     placed = with_position(kept, keys, [("score", "desc"), ("idx", "asc")], "_rn")
@@ -58,17 +59,20 @@ def sweep(train: DataFrame, keys: list[str], rules=SWEEP_RULES) -> DataFrame:
 
     def position(kind: str, value) -> Column:
         if kind == "quantile":
-            return (n - 1) * F.lit(float(value))
+            return (n - 1) * F.lit(1 - float(value))
         cap = F.lit(int(value)) if kind == "cap" else F.floor(F.lit(float(value)) * n)
-        return F.greatest(F.lit(0), F.least(cap, n - 1)).cast("double")
+        return (n - 1 - F.greatest(F.lit(0), F.least(cap, n - 1))).cast("double")
 
+    # positions count from the lowest score, rows are numbered from the highest
     table = F.array(*[F.struct(F.lit(r).alias("rule"), position(k, v).alias("pos")) for r, k, v in rules])
     wanted = sizes.select(*keys, "n", F.explode(table).alias("r")).select(*keys, "n", "r.rule", "r.pos")
-    ends = wanted.select(*keys, "rule", "pos", F.explode(F.array_distinct(F.array(
-        F.floor("pos"), F.ceil("pos")))).alias("at"))
+    ends = wanted.select(*keys, "rule", "pos", (n - 1 - F.floor("pos")).alias("low"), (n - 1 - F.ceil("pos")).alias("high"))
+    ends = ends.select("*", F.explode(F.array_distinct(F.array("low", "high"))).alias("at"))
     hit = ends.join(placed.select(*keys, (F.col("_rn") - 1).alias("at"), "score"), keys + ["at"])
-    share = 1 - F.abs(F.col("at") - F.col("pos"))
-    return hit.groupBy(*keys, "rule").agg(F.sum(F.col("score") * share).alias("threshold"))
+    found = hit.groupBy(*keys, "rule").agg(
+        F.max(F.when(F.col("at") == F.col("low"), F.col("score"))).alias("_low"),
+        F.max(F.when(F.col("at") == F.col("high"), F.col("score"))).alias("_high"), F.max(F.col("pos") - F.floor("pos")).alias("_share"))
+    return found.select(*keys, "rule", (F.col("_low") + (F.col("_high") - F.col("_low")) * F.col("_share")).alias("threshold"))
 
 
 def dynamic_q(n_test) -> Column:
