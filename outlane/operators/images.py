@@ -11,7 +11,6 @@ import math
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
 from outlane.operators.prep import array_udf
 
@@ -31,8 +30,9 @@ def _pairs(x: np.ndarray, pixel) -> np.ndarray:
     return pixel(x[:, :, None], x[:, None, :]).reshape(len(x), -1)
 
 
-def _image(values, work) -> Column:
-    return array_udf(lambda x: _in_pieces(x, work), values)
+def _image(values, work) -> Column | np.ndarray:
+    """A column of images of a column of arrays; of a matrix of rows the matrix."""
+    return np.asarray(work(values)) if isinstance(values, np.ndarray) else array_udf(work, values)
 
 
 def _angles(x: np.ndarray, size: int) -> np.ndarray:
@@ -117,7 +117,7 @@ def spectrogram(values, size: int) -> Column:
             image = heard[:, low] * (1 - share)[:, None] + heard[:, high] * share[:, None]
             return _picture(image.transpose(0, 2, 1), size)
         return _in_pieces(x, piece)
-    return array_udf(work, values)
+    return _image(values, work)
 
 
 def wavelet_bank(length: int, size: int) -> np.ndarray:
@@ -155,7 +155,7 @@ def scalogram(values, size: int) -> Column:
             heard = np.abs((even - even.mean(axis=1, keepdims=True)) @ bank).reshape(len(part), size, 2, size)
             return _picture(np.log1p(heard[:, :, 0] * (1 - weight) + heard[:, :, 1] * weight), size)
         return _in_pieces(x, piece)
-    return array_udf(work, values)
+    return _image(values, work)
 
 
 KINDS = {"gasf": gasf, "gadf": gadf, "mtf": transition_field, "rp": recurrence, "multi_rp": multiscale_recurrence,
@@ -234,9 +234,11 @@ TEXTURES = {"raw": lambda image, size: image, "hog": hog, "lbp": lbp, "glcm": gl
 
 
 def image_features(rows: DataFrame, kinds: list[str], size: int, texture: str = "raw") -> DataFrame:
-    """Texture vectors of several image kinds, concatenated."""
-    wide = rows
-    for kind in kinds:
-        wide = wide.withColumn(f"_{kind}", KINDS[kind]("values", size))
-    parts = [TEXTURES[texture](F.col(f"_{kind}"), size) for kind in kinds]
-    return wide.withColumn("vec", F.concat(*parts)).drop(*[f"_{kind}" for kind in kinds])
+    """Texture vectors of several image kinds, concatenated.
+
+    Images live in the worker only, for the rows of one slice.
+    """
+    def work(x: np.ndarray) -> np.ndarray:
+        return np.concatenate([TEXTURES[texture](KINDS[kind](x, size), size) for kind in kinds], axis=1)
+
+    return rows.withColumn("vec", array_udf(work, "values"))
