@@ -10,13 +10,14 @@ from outlane.operators import reports as P
 from outlane.operators import thresholds as T
 from outlane.plans.evaluation import log_lines
 from outlane.plans.registry import fragment, query, r6
+from outlane.session import stage
 from outlane.streaming import online as O
 
 
 def warm(t):
-    train = t.score().filter("split = 'TRAIN'").select("dataset", "idx", "score")
+    train = t.score_once().filter("split = 'TRAIN'").select("dataset", "idx", "score")
     limits = T.empirical(train, ["dataset"], 0.02).withColumnRenamed("threshold", "limit")
-    return O.warm_start(train, limits)
+    return stage(O.warm_start(train, limits))  # three readers
 
 
 fragment("warm", "train", """
@@ -34,7 +35,7 @@ f AS (SELECT *, avg(score) OVER w AS m, stddev_pop(score) OVER w AS s FROM r WIN
 b AS (SELECT e.dataset, e.idx, ema, (lim + s) * (0.3 * m / mu + 0.7) AS bound FROM ema e JOIN f ON f.dataset = e.dataset AND f.idx = e.idx)
 SELECT dataset, idx, {r6('ema')} AS ema, {r6('bound')} AS threshold, CASE WHEN ema > bound THEN 1 ELSE 0 END AS alert FROM b""")
 def _(t):
-    got = O.online_threshold_batch(t.score().filter("split = 'TEST'").select("dataset", "idx", "score"), warm(t))
+    got = O.online_threshold_batch(t.score_once().filter("split = 'TEST'").select("dataset", "idx", "score"), warm(t))
     return got.select("dataset", "idx", R6("ema").alias("ema"), R6("threshold").alias("threshold"), "alert")
 
 
