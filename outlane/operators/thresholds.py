@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from outlane.functions.columns import normal_cdf, normal_quantile_value
-from outlane.functions.order import exact_quantiles, with_cumulative, with_position
+from outlane.functions.order import exact_quantiles, has_hot_group, with_cumulative, with_position
 from outlane.session import stage
 
 
@@ -222,6 +222,8 @@ def lognormal(train: DataFrame, keys: list[str], q: float = 0.02) -> DataFrame:
 
 KDE_GRID = 1000
 KDE_STRIDES = (100, 10, 1)
+#: Scores of a task: each is eleven rows for a while, which sizes of shuffles do not show.
+KDE_ROWS = 50_000
 
 
 def kde(train: DataFrame, keys: list[str], q: float = 0.02) -> DataFrame:
@@ -230,22 +232,28 @@ def kde(train: DataFrame, keys: list[str], q: float = 0.02) -> DataFrame:
     The mass is monotone, so three rounds of eleven points (strides 100, 10, 1)
     find the crossing: three aggregations instead of a grid-by-score product.
     """
-    fit = train.groupBy(*keys).agg(F.min("score").alias("lo"), F.max("score").alias("hi"),
+    dealt = train.select(*keys, "score")
+    if not has_hot_group(dealt, keys):  # a hot group is left to skew handling
+        dealt = dealt.repartition(max(1, -(-dealt.count() // KDE_ROWS)), *keys)
+    dealt = stage(dealt)
+    fit = dealt.groupBy(*keys).agg(F.min("score").alias("lo"), F.max("score").alias("hi"),
                                    (F.stddev_samp("score") * F.pow(F.count(F.lit(1)), F.lit(-0.2))).alias("h"))
     grid = lambda i: F.col("lo") + (2 * F.col("hi") - F.col("lo")) * i / (KDE_GRID - 1)
     below = lambda x: F.avg(normal_cdf((x - F.col("score")) / F.col("h")))
-    rows = stage(train.select(*keys, "score").join(fit, keys))  # read once per round
-    bracket = rows.groupBy(*keys).agg(below(F.col("lo")).alias("floor")).withColumn("start", F.lit(0))
+    # the hint: scores are many however they are guessed; it keeps their parts
+    rows = stage(dealt.hint("merge").join(fit, keys))  # read once per round
+    # rounds are written out: sorts and aggregations of one task would all hold memory at once
+    bracket = stage(rows.groupBy(*keys).agg(below(F.col("lo")).alias("floor")).withColumn("start", F.lit(0)))
     for stride in KDE_STRIDES:
         # eleven points per score exist only until the map-side average
-        points = rows.join(bracket, keys).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(10))))
+        points = rows.hint("merge").join(bracket, keys).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(10))))
         x = grid(F.least(F.col("start") + F.col("j") * stride, F.lit(KDE_GRID - 1)))
         mass = points.groupBy(*keys, "start", "floor", "j").agg(below(x).alias("m"))
         reached = F.min(F.when(F.col("m") - F.col("floor") >= 1 - q, F.col("j")))
         hit = reached if stride == 1 else F.greatest(reached - 1, F.lit(0))
         at = F.when(hit.isNotNull(), F.least(F.col("start") + hit * stride, F.lit(KDE_GRID - 1)))
-        bracket = mass.groupBy(*keys, "start", "floor").agg(at.alias("_at")).select(
-            *keys, "floor", F.col("_at").alias("start"))
+        bracket = stage(mass.groupBy(*keys, "start", "floor").agg(at.alias("_at")).select(
+            *keys, "floor", F.col("_at").alias("start")))
     limits = rows.groupBy(*keys).agg(F.first("lo").alias("lo"), F.first("hi").alias("hi"))
     out = bracket.join(limits, keys).join(empirical(rows, keys, q).withColumnRenamed("threshold", "fallback"), keys)
     return out.select(*keys, _finite_or(grid(F.col("start")), F.col("fallback")).alias("threshold"))

@@ -16,6 +16,11 @@ def train(t):
     return t.score().filter("split = 'TRAIN'")
 
 
+def train_once(t):
+    """For thresholds that read the scores several times."""
+    return t.score_once().filter("split = 'TRAIN'")
+
+
 def test(t):
     return t.score().filter("split = 'TEST'")
 
@@ -186,7 +191,7 @@ SELECT dataset, coalesce(min(CASE WHEN mass >= 0.98 THEN x END), any_value(fallb
 
 @query("kde_threshold", "kde", f"SELECT dataset, {r6('threshold')} AS threshold FROM kde")
 def _(t):
-    return out(T.kde(train(t), DS))
+    return out(T.kde(train_once(t), DS))
 
 
 fragment("ks", "train", f"""
@@ -206,14 +211,14 @@ def _(t):
 SELECT dataset, {r6('CASE WHEN n >= 10 AND p >= 0.05 THEN l.threshold ELSE k.threshold END')} AS threshold,
   CASE WHEN n >= 10 AND p >= 0.05 THEN 'lognormal' ELSE 'kde' END AS method FROM ks JOIN kde k USING (dataset) JOIN lognormal l USING (dataset)""")
 def _(t):
-    return T.ks_gated(train(t), DS).select("dataset", R6("threshold").alias("threshold"), "method")
+    return T.ks_gated(train_once(t), DS).select("dataset", R6("threshold").alias("threshold"), "method")
 
 
 @query("size_hybrid_threshold", "train kde lognormal", f"""
 SELECT dataset, {r6('CASE WHEN n < 34 THEN k.threshold ELSE l.threshold END')} AS threshold
 FROM (SELECT dataset, count(*) AS n FROM train GROUP BY 1) JOIN kde k USING (dataset) JOIN lognormal l USING (dataset)""")
 def _(t):
-    return out(T.size_hybrid(train(t), DS, small=34))
+    return out(T.size_hybrid(train_once(t), DS, small=34))
 
 
 fragment("pool_plain", "train", """
