@@ -282,7 +282,9 @@ class Fitted:
 
     def folded(self, rows: DataFrame, plan: DataFrame) -> DataFrame:
         models = self.fit(stage(blocks(rows, plan)), plan)
-        joined = rows.join(models, "dataset").join(plan.select("dataset", "idx", F.lit("TRAIN").alias("split"), "fold"), ["dataset", "split", "idx"], "left")
+        # folds first: models are wide and would travel with every row
+        placed = rows.join(plan.select("dataset", "idx", F.lit("TRAIN").alias("split"), "fold"), ["dataset", "split", "idx"], "left")
+        joined = placed.join(models, "dataset")
         used = F.filter("models", lambda m: F.col("fold").isNull() | (m["fold"] == F.col("fold")))
         scores = F.array_sort(F.transform(used, lambda m: self.score(m)))
         n = F.size(scores)
