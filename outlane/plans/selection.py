@@ -29,7 +29,8 @@ def test_all(t):
 
 
 def caps_all(t, rate=0.1):
-    return T.count_cap(t.scores().filter("split = 'TRAIN'"), DSS, rate).select(*DSS, "threshold")
+    """One threshold per dataset and source; several readers of a costly result."""
+    return t.once(f"caps {rate}", lambda: T.count_cap(t.scores().filter("split = 'TRAIN'"), DSS, rate).select(*DSS, "threshold"))
 
 
 def fired(t, source=None):
@@ -105,7 +106,7 @@ SELECT s.dataset, s.source, avg(CASE WHEN score > threshold THEN 1 ELSE 0 END) A
 
 
 def exceed(t):
-    return T.train_exceed(t.scores().filter("split = 'TRAIN'"), caps_all(t), DSS)
+    return t.once("exceed", lambda: T.train_exceed(t.scores().filter("split = 'TRAIN'"), caps_all(t), DSS))
 
 
 @query("train_derived_budget", "exceed sizes", f"""
